@@ -3,18 +3,76 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from assayer.llm.decontamination import contamination
+from assayer.llm.line_dedup import remove_repeated_lines
 from assayer.llm.near_dedup import near_duplicates
+from assayer.llm.sharding import shuffle_into_shards
+from assayer.llm.substring_dedup import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return out.select("doc_id", "n_lines", "n_removed", "n_links", F.sha2(kept, 256).alias("kept_sha256"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op9_near_dedup,)}
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shuffle_into_shards(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_decontamination, op5_line_dedup, op7_substring_dedup, op9_near_dedup, op10_sharding)}
+
+_SPACED = r"[\x20\x09-\x0D]+"
+_LETTERED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": f"""
+with d as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_LETTERED}') as w from documents),
+b as (select cast(item_id as varchar) as item, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_LETTERED}') as w from benchmark),
+bl as (select item, w, least(10, len(w)) as n from b where len(w) > 0),
+grams as (select distinct item, n, array_to_string(w[i:i + n - 1], ' ') as g from (select item, w, n, unnest(range(1, len(w) - n + 2)) as i from bl)),
+places as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from bl) where len(w) >= n),
+found as (select p.doc_id, p.i, p.n, g.item from (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as g from places) p join grams g on g.n = p.n and g.g = p.g),
+hits as (select doc_id, count(distinct x) as n_hit from (select doc_id, unnest(range(i, i + n)) as x from found) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct doc_id, item from found where item is not null) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hits using (doc_id) left join items using (doc_id)""",
+    "op5_line_dedup": f"""
+with cut as (select doc_id, string_split(text, chr(10)) as parts from documents),
+l as (select doc_id, i, parts[i] as line, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(parts[i]), '{_SPACED}'), lambda x: x <> ''))) as w
+      from (select doc_id, parts, unnest(range(1, len(parts) + 1)) as i from cut)),
+c as (select w, len(w) as n, min({{'d': doc_id, 'i': i}}) as f from l where len(w) > 0 group by w),
+t as (select f, n, unnest(w) as t from c),
+r as (select f, n, t, row_number() over (partition by f order by freq, t) as pos from (select *, count(*) over (partition by t) as freq from t)),
+p as (select f, n, t from r where pos <= n - (4 * n + 4) // 5 + 1),
+pairs as (select distinct a.f as fa, b.f as fb from p a join p b on a.t = b.t and a.f < b.f and 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+links as (select fa, fb from (select fa, fb, x.n as na, y.n as nb, len(list_intersect(x.w, y.w)) as s from pairs join c x on x.f = fa join c y on y.f = fb) where 5 * s >= 4 * (na + nb - s)),
+deg as (select f, count(*) as n, max(later) as later from (select fa as f, 0 as later from links union all select fb, 1 from links) group by f),
+marks as (select l.doc_id, l.i, l.line, len(l.w) as nw, c.f is not null as first, coalesce(deg.n, 0) as n_links, coalesce(later, 0) as later
+          from l left join c on c.f = {{'d': l.doc_id, 'i': l.i}} left join deg on deg.f = c.f),
+per as (select doc_id, count(*) filter (nw > 0) as n_lines, count(*) filter (nw > 0 and not (first and later = 0)) as n_removed, sum(n_links) as n_links,
+               string_agg(line, chr(10) order by i) filter (nw = 0 or (first and later = 0)) as kept from marks group by doc_id)
+select doc_id, cast(coalesce(n_lines, 0) as int) as n_lines, cast(coalesce(n_removed, 0) as int) as n_removed, cast(coalesce(n_links, 0) as bigint) as n_links, sha256(coalesce(kept, '')) as kept_sha256
+from documents left join per using (doc_id)""",
+}
