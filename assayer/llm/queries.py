@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm.decontamination import contamination
+from assayer.llm.language_id import fit_languages, identify
 from assayer.llm.line_dedup import remove_repeated_lines
 from assayer.llm.near_dedup import near_duplicates
+from assayer.llm.packing import pack
 from assayer.llm.sharding import shuffle_into_shards
 from assayer.llm.substring_dedup import remove_repeats
 
@@ -26,11 +29,22 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "n_links", F.sha2(kept, 256).alias("kept_sha256"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", fold.alias("held_out"))
+    model = fit_languages(docs.where("not held_out"))
+    return identify(docs, model, keep=["doc_id", "held_out"])
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
@@ -39,7 +53,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle_into_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op5_line_dedup, op7_substring_dedup, op9_near_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op5_line_dedup, op6_packing, op7_substring_dedup, op8_language_id, op9_near_dedup, op10_sharding)}
 
 _SPACED = r"[\x20\x09-\x0D]+"
 _LETTERED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
