@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,9 @@ class LanguageModel:
 
 def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each text's distinct gram buckets: text, bucket and count, in order of text."""
-    data, offsets = buffer(column)
+    pad, none = (pa.scalar(x, pa.large_string()) for x in ("  ", ""))
+    padded = pc.binary_join_element_wise(pad, column.cast(pa.large_string()).fill_null(""), pad, none)
+    data, offsets = buffer(padded)
     b = _PLAIN[data]
     n = len(b) - GRAM + 1
     if n <= 0:
@@ -88,7 +91,7 @@ def _em(p: np.ndarray, doc: np.ndarray, count: np.ndarray, share: np.ndarray, ro
 
 
 def mixtures(column: pa.Array, model: LanguageModel, penalty: float = PENALTY) -> np.ndarray:
-    """Each text's language proportions, 0 for languages outside its set; all 0 for a text too short for a gram."""
+    """Each text's language proportions, 0 for languages outside its set; all 0 for a text without a gram."""
     out = np.zeros((len(column), len(model.languages)))
     doc, bucket, count = grams(column)
     if not len(doc) or not model.languages:
@@ -139,8 +142,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: li
     """The rows of ``docs`` with the columns ``keep`` (all) and ``lang_pred``, ``score`` and ``lang_mix`` after them.
 
     ``lang_mix`` lists the languages of the chosen set and their proportions, largest first; ``lang_pred`` is the first, and
-    ``score`` its proportion. A null text, one without a letter or too short for a gram is ``und`` with score 0, and all are if
-    the model knows no language. Columns of ``docs`` named as those added are replaced.
+    ``score`` its proportion. A null text or one without a letter is ``und`` with score 0, and all are if the model knows no
+    language. Columns of ``docs`` named as those added are replaced.
     """
     added = ("lang_pred", "score", "lang_mix")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]

@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayer.llm.ann import nearest
 from assayer.llm.decontamination import contamination
+from assayer.llm.html_text import main_text
 from assayer.llm.language_id import fit_languages, identify
 from assayer.llm.line_dedup import remove_repeated_lines
 from assayer.llm.near_dedup import near_duplicates
@@ -19,10 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -53,7 +64,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle_into_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op5_line_dedup, op6_packing, op7_substring_dedup, op8_language_id, op9_near_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_decontamination, op3_html_text, op5_line_dedup, op6_packing, op7_substring_dedup, op8_language_id, op9_near_dedup, op10_sharding)}
 
 _SPACED = r"[\x20\x09-\x0D]+"
 _LETTERED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -36,9 +36,9 @@ def test_grams_equal_those_of_each_text_alone():
 
 
 def test_edge_cases(spark, model):
-    docs = spark.createDataFrame([(1, None), (2, ""), (3, "12 .. 34 56"), (None, "mendo sulak irido"), (5, "mendo " * 20000)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "12 .. 34 56"), (None, "mendo sulak irido"), (5, "mendo " * 20000), (6, "ü")], "doc_id long, text string")
     got = {r.doc_id: (r.lang_pred, r.score) for r in identify(docs, model, keep=["doc_id"]).collect()}
-    assert got[1] == got[2] == got[3] == ("und", 0) and got[None][0] == got[5][0] == "aa"
+    assert got[1] == got[2] == got[3] == ("und", 0) and got[None][0] == got[5][0] == "aa" and got[6][0] != "und"
     empty = fit_languages(docs.selectExpr("text", "cast(null as string) lang"))
     assert empty.languages == [] and {r.lang_pred for r in identify(docs, empty).collect()} == {"und"}
     assert identify(docs.limit(0), model).count() == 0 and isinstance(model, LanguageModel)
