@@ -23,8 +23,11 @@ from assayer.llm.scratch import written
 
 #: Vectors that fit the quantiser, at most: those whose hash is smallest.
 SAMPLE = 20_000
-CENTROIDS, SUBSPACES, CODES = 256, 16, 256
-PROBES, LOCAL, RERANK = 48, 32, 200
+CENTROIDS, SUBSPACES, CODES = 256, 32, 256
+#: Lists that a query looks into: vectors without clusters need many of them for a recall of 0.95, clustered ones far fewer.
+PROBES = 144
+#: Candidates that go on from a list's block, and those that are scored exactly.
+LOCAL, RERANK = 32, 200
 BLOCK, CHUNK = 16_384, 256
 
 
@@ -135,7 +138,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_i
         v = F.col(vector).cast("array<double>")
         finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
         length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-        return df.select(F.col(id).cast("long").alias("id"), v.alias("vector")).where(F.col("id").isNotNull() & v.isNotNull() & finite).withColumn("length", length).where("length > 0")
+        return df.where(F.col(id).isNotNull() & v.isNotNull() & finite).select(F.col(id).cast("long").alias("id"), v.alias("vector"), length.alias("length")).where("length > 0")
 
     rows, asked = sound(vectors), sound(queries)
     common = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()

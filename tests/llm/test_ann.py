@@ -16,7 +16,7 @@ def test_recall_and_exact_scores(spark, monkeypatch):
     monkeypatch.setattr("assayer.llm.ann.BLOCK", 300)
     monkeypatch.setattr("assayer.llm.ann.CHUNK", 7)
     rng = np.random.default_rng(1)
-    x = np.concatenate([rng.normal(size=(1500, 24)), np.tile(rng.normal(size=(1, 24)), (700, 1)) + rng.normal(size=(700, 24)) * 0.01]).astype(np.float32)
+    x = np.concatenate([rng.normal(size=(1500, 24)), np.tile(rng.normal(size=(1, 24)), (700, 1)) + rng.normal(size=(700, 24)) * 0.05]).astype(np.float32)
     ids = np.arange(len(x)) * 5
     vectors = spark.createDataFrame([(int(i), v.tolist(), "x") for i, v in zip(ids, x, strict=True)], SCHEMA).repartition(3)
     got = nearest(vectors, vectors.where("vec_id % 50 = 0")).collect()
