@@ -11,6 +11,7 @@ from assayer.llm.decontamination import contamination
 from assayer.llm.html_text import main_text
 from assayer.llm.language_id import fit_languages, identify
 from assayer.llm.line_dedup import remove_repeated_lines
+from assayer.llm.lm_scoring import fit, score
 from assayer.llm.near_dedup import near_duplicates
 from assayer.llm.packing import pack
 from assayer.llm.sharding import shuffle_into_shards
@@ -34,6 +35,11 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -64,7 +70,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle_into_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_decontamination, op3_html_text, op5_line_dedup, op6_packing, op7_substring_dedup, op8_language_id, op9_near_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_decontamination, op3_html_text, op4_lm_scoring, op5_line_dedup, op6_packing, op7_substring_dedup, op8_language_id, op9_near_dedup, op10_sharding)}
 
 _SPACED = r"[\x20\x09-\x0D]+"
 _LETTERED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
