@@ -78,39 +78,87 @@ def _deal(window: int, blocks: int):
     return run
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each document of a block: which of its windows, by rank, start in a smaller document, and in which one first."""
-    held: dict[int, list[tuple[bytes, bytes, bytes, bytes]]] = defaultdict(list)
-    for batch in batches:
-        for row in batch.to_pylist():
-            held[row["block"]].append((row["ids"], row["prints"], row["counts"], row["hashes"]))
-    while held:
-        block, rows = held.popitem()
-        ids, prints, counts = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in enumerate((np.int64, np.int32, np.int32)))
-        short = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, 7)
-        del rows
-        full = np.zeros((len(short), 8), np.uint8)
-        full[:, :7] = short
-        hashes = full.view(np.uint64).ravel()
-        del short, full
-        doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
-        order = np.argsort(hashes)
-        groups = _starts(hashes[order])
-        least = np.minimum.reduceat(ids[doc[order]], groups)
-        source = np.empty(len(order), np.int64)
-        source[order] = np.repeat(least, np.diff(np.append(groups, len(order))))
-        hit = np.flatnonzero(source < ids[doc])
-        rank = (hit - (np.cumsum(counts) - counts)[doc[hit]]).astype(np.int32)
-        at = _starts(doc[hit])
-        for a in range(0, len(at), 50_000):
-            mine = at[a : a + 50_000]
-            ends = np.append(at, len(hit))[a + 1 : a + 1 + len(mine)]
-            span = slice(mine[0], ends[-1])
+def _index(blocks: int):
+    """For each document of a block: which of its windows, by rank, start in a smaller document, and in which one first.
+
+    A row holds all such documents of one home, which is where the parts of a document meet.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[bytes, bytes, bytes, bytes]]] = defaultdict(list)
+        for batch in batches:
+            for row in batch.to_pylist():
+                held[row["block"]].append((row["ids"], row["prints"], row["counts"], row["hashes"]))
+        while held:
+            block, rows = held.popitem()
+            ids, prints, counts = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in enumerate((np.int64, np.int32, np.int32)))
+            short = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, 7)
+            del rows
+            full = np.zeros((len(short), 8), np.uint8)
+            full[:, :7] = short
+            hashes = full.view(np.uint64).ravel()
+            del short, full
+            doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+            order = np.argsort(hashes)
+            groups = _starts(hashes[order])
+            least = np.minimum.reduceat(ids[doc[order]], groups)
+            source = np.empty(len(order), np.int64)
+            source[order] = np.repeat(least, np.diff(np.append(groups, len(order))))
+            hit = np.flatnonzero(source < ids[doc])
+            home = _blocks_of(ids.view(np.uint64) ^ (prints.astype(np.uint64) << np.uint64(32)), blocks)
+            hit = hit[np.argsort(home[doc[hit]], kind="stable")]
+            rank = (hit - (np.cumsum(counts) - counts)[doc[hit]]).astype(np.int32)
+            at = _starts(doc[hit])
+            mine = doc[hit[at]]
+            rows_at = _starts(home[mine])
+            ends = np.append(rows_at, len(at))[1:]
+            hits_end = np.append(at, len(hit))[ends]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[doc[hit[mine]]]), pa.array(prints[doc[hit[mine]]]), pa.array(np.full(len(mine), block, np.int32)), _binary(rank[span], ends - mine[0]), _binary(source[hit[span]], ends - mine[0])],
-                ["id", "print", "block", "ranks", "sources"],
+                [
+                    pa.array(home[mine[rows_at]].astype(np.int32)),
+                    pa.array(np.full(len(rows_at), block, np.int32)),
+                    _binary(ids[mine], ends),
+                    _binary(prints[mine], ends),
+                    _binary(np.diff(np.append(at, len(hit))).astype(np.int32), ends),
+                    _binary(rank, hits_end),
+                    _binary(source[hit], hits_end),
+                ],
+                ["home", "block", "ids", "prints", "counts", "ranks", "sources"],
             )
 
+    return run
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document of a home: its blocks one after another, the hits in each, their ranks and sources."""
+    parts: dict[str, list] = {c: [] for c in ("ids", "prints", "counts", "ranks", "sources", "blocks")}
+    for batch in batches:
+        for row in batch.to_pylist():
+            for c in ("ids", "prints", "counts", "ranks", "sources"):
+                parts[c].append(row[c])
+            parts["blocks"].append(np.full(len(row["counts"]) // 4, row["block"], np.int32).tobytes())
+    ids, prints, counts, ranks, sources, blocks = (np.frombuffer(b"".join(parts.pop(c)), t) for c, t in (("ids", np.int64), ("prints", np.int32), ("counts", np.int32), ("ranks", np.int32), ("sources", np.int64), ("blocks", np.int32)))
+    if not len(ids):
+        return
+    order = np.lexsort((blocks, prints, ids))
+    # A document that comes more than once has the same hits each time.
+    once = np.ones(len(order), dtype=bool)
+    once[1:] = (ids[order[1:]] != ids[order[:-1]]) | (prints[order[1:]] != prints[order[:-1]]) | (blocks[order[1:]] != blocks[order[:-1]])
+    order = order[once]
+    begin = np.cumsum(counts) - counts
+    doc_at = np.flatnonzero(np.append(True, (np.diff(ids[order]) != 0) | (np.diff(prints[order]) != 0)))
+    for a in range(0, len(doc_at), 2000):
+        rows = np.append(doc_at, len(order))[a : a + 2001]
+        mine = order[rows[0] : rows[-1]]
+        n = counts[mine]
+        hits = np.repeat(begin[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        ends = rows[1:] - rows[0]
+        hit_ends = np.cumsum(n)[ends - 1]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[mine[rows[:-1] - rows[0]]]), pa.array(prints[mine[rows[:-1] - rows[0]]]), _binary(blocks[mine], ends), _binary(n, ends), _binary(ranks[hits], hit_ends), _binary(sources[hits], hit_ends)],
+            ["id", "print", "blocks", "counts", "ranks", "sources"],
+        )
+
 
 def factors(source: np.ndarray, window: int) -> list[tuple[int, int, int]]:
     """The greedy parse of one document: (first word, words, reference document) of each factor, in order.
@@ -150,16 +198,15 @@ def _parse(window: int, blocks: int):
                 keep = np.ones(len(w.start), dtype=bool)
                 _, hashes, first = windows(w, window)
                 spans: list[list[dict]] = []
-                for d, found in enumerate(part.column("found").to_pylist()):
+                for d, (at, counts, ranks, sources) in enumerate(zip(*(part.column(c).to_pylist() for c in ("blocks", "counts", "ranks", "sources")), strict=True)):
                     spans.append([])
-                    if not found:
+                    if at is None:
                         continue
                     block = _blocks_of(hashes[first[d] : first[d + 1]], blocks)
                     order = np.argsort(block, kind="stable")
-                    begin = np.searchsorted(block[order], [f["block"] for f in found])
+                    begin = np.searchsorted(block[order], np.frombuffer(at, np.int32))
                     source = np.full(len(block), NONE, dtype=np.int64)
-                    for f, b in zip(found, begin, strict=True):
-                        source[order[b + np.frombuffer(f["ranks"], np.int32)]] = np.frombuffer(f["sources"], np.int64)
+                    source[order[np.repeat(begin, np.frombuffer(counts, np.int32)) + np.frombuffer(ranks, np.int32)]] = np.frombuffer(sources, np.int64)
                     for a, n, s in factors(source, window):
                         keep[w.first[d] + a : w.first[d] + a + n] = False
                         spans[-1].append({"start": a, "length": n, "source": s})
@@ -185,7 +232,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + size // BLOCK_BYTES
     dealt = docs.where("id is not null").mapInArrow(_deal(window, blocks), "block int, ids binary, prints binary, counts binary, hashes binary")
-    found = dealt.repartitionById(blocks, "block").mapInArrow(_index, "id long, print int, block int, ranks binary, sources binary")
-    found = found.groupBy("id", "print").agg(F.collect_set(F.struct("block", "ranks", "sources")).alias("found"))
-    parsed = docs.join(found, ["id", "print"], "left").select("id", "text", "found")
+    found = dealt.repartitionById(blocks, "block").mapInArrow(_index(blocks), "home int, block int, ids binary, prints binary, counts binary, ranks binary, sources binary")
+    found = found.repartitionById(blocks, "home").mapInArrow(_gather, "id long, print int, blocks binary, counts binary, ranks binary, sources binary")
+    parsed = docs.join(found, ["id", "print"], "left").select("id", "text", "blocks", "counts", "ranks", "sources")
     return parsed.mapInArrow(_parse(window, blocks), "id long, n_words long, n_removed long, kept string, factors array<struct<start: long, length: long, source: long>>").withColumnRenamed("id", id)
