@@ -70,7 +70,8 @@ def line_links(docs: DataFrame, id: str = "doc_id", text: str = "text", percent:
     prefix = lambda n: n - F.floor((F.lit(percent) * n + 99) / 100).cast("int") + 1
 
     lines = docs.select("id", F.xxhash64("text").alias("print"), F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    lines = lines.select("id", "print", "line", _tokens(F.col("words"), scale).alias("tokens")).where("size(tokens) > 0")
+    # Filtered on the line itself: a condition on its words would have Spark cut and sort them twice.
+    lines = lines.where(F.col("words").rlike(r"[^\x20\x09-\x0D]")).select("id", "print", "line", _tokens(F.col("words"), scale).alias("tokens"))
     lines = lines.select(
         F.struct("id", "print", "line").alias("at"),
         F.struct(F.xxhash64("tokens").alias("x"), F.xxhash64(F.lit(5), "tokens").alias("y")).alias("class"),
@@ -82,30 +83,34 @@ def line_links(docs: DataFrame, id: str = "doc_id", text: str = "text", percent:
     classes = lines.groupBy("class").agg(F.min("at").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("map").alias("map"))
     classes = written(classes, "classes")
 
-    probes = classes.select("first", "n", "map", F.posexplode("prefix").alias("at", "token"))
-    a, b = (probes.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("first", "n", "map", "at"))) for s in ("a", "b"))
+    # Probes name a class by one of its hashes; the sets that are compared in the end are those of all classes of that name.
+    probes = classes.select(F.col("class.x").alias("x"), "n", "map", F.posexplode("prefix").alias("at", "token"))
+    a, b = (probes.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("x", "n", "map", "at"))) for s in ("a", "b"))
     enough = need(F.col("n_a"), F.col("n_b"))
     pairs = a.join(b, "token").where(
-        (F.col("first_a") < F.col("first_b"))
+        (F.col("x_a") < F.col("x_b"))
         & (F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
         & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + F.least("at_a", "at_b") >= enough)
         & (F.bit_count(F.col("map_a").bitwiseAND(F.bitwise_not("map_b"))) <= F.col("n_a") - enough)
         & (F.bit_count(F.col("map_b").bitwiseAND(F.bitwise_not("map_a"))) <= F.col("n_b") - enough)
     )
-    pairs = written(pairs.select("first_a", "first_b").distinct(), "pairs")
+    pairs = written(pairs.select("x_a", "x_b").distinct(), "pairs")
 
     # The whole sets of the lines in question, from their own texts.
-    asked = pairs.select(F.explode(F.array("first_a", "first_b")).alias("at")).distinct()
-    asked = asked.groupBy(F.col("at.id").alias("id"), F.col("at.print").alias("print")).agg(F.collect_set("at.line").alias("asked"))
+    asked = pairs.select(F.explode(F.array("x_a", "x_b")).alias("x")).distinct()
+    asked = asked.join(classes.select(F.col("class.x").alias("x"), "first"), "x")
+    asked = asked.groupBy(F.col("first.id").alias("id"), F.col("first.print").alias("print")).agg(F.collect_set(F.struct("x", F.col("first.line").alias("line"))).alias("asked"))
     texts = docs.select("id", "text", F.xxhash64("text").alias("print")).alias("d")
     sets = texts.join(asked.alias("q"), F.col("d.id").eqNullSafe(F.col("q.id")) & (F.col("d.print") == F.col("q.print")))
-    sets = sets.select("d.id", "d.print", F.split("text", "\n").alias("all"), F.explode("asked").alias("line"))
-    sets = sets.select(F.struct("id", "print", "line").alias("at"), _words(F.get("all", F.col("line"))).alias("words")).dropDuplicates(["at"])
-    sets = written(sets.select("at", F.array_distinct("words").alias("words")), "sets")
-    links = pairs.join(sets.select(F.col("at").alias("first_a"), F.col("words").alias("words_a")), "first_a").join(sets.select(F.col("at").alias("first_b"), F.col("words").alias("words_b")), "first_b")
+    sets = sets.select("d.id", "d.print", F.split("text", "\n").alias("all"), F.explode("asked").alias("one"))
+    sets = sets.select("one.x", F.struct("id", "print", "one.line").alias("at"), F.array_distinct(_words(F.get("all", F.col("one.line")))).alias("words"))
+    sets = written(sets.dropDuplicates(["at"]), "sets")
+    left, right = (sets.select(*(F.col(c).alias(f"{c}_{s}") for c in ("x", "at", "words"))) for s in ("a", "b"))
     both = F.size(F.array_intersect("words_a", "words_b"))
-    links = links.where(F.lit(100) * both >= F.lit(percent) * (F.size("words_a") + F.size("words_b") - both))
-    return lines.select("at", "class"), classes.select("class", "first", "n"), links.select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    links = pairs.join(left, "x_a").join(right, "x_b").where(F.lit(100) * both >= F.lit(percent) * (F.size("words_a") + F.size("words_b") - both))
+    forward = F.col("at_a") < F.col("at_b")
+    links = links.select(F.when(forward, F.col("at_a")).otherwise(F.col("at_b")).alias("a"), F.when(forward, F.col("at_b")).otherwise(F.col("at_a")).alias("b"))
+    return lines.select("at", "class"), classes.select("class", "first", "n"), links
 
 
 def remove_repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:

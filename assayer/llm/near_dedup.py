@@ -104,17 +104,35 @@ def _sketches(k: int):
     return run
 
 
+def _keys(r: np.ndarray) -> np.ndarray:
+    r = r.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    return mixed(mixed((r + np.uint64(1)) * _BAND).sum(axis=2, dtype=np.uint64) + _BAND[:, 0]).view(np.int64)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), 2000):
             part = batch.slice(at, 2000)
-            r = np.frombuffer(b"".join(part.column("registers").to_pylist()), dtype=np.uint16).reshape(-1, BANDS, ROWS)
-            keys = mixed(mixed((r.astype(np.uint64) + np.uint64(1)) * _BAND).sum(axis=2, dtype=np.uint64) + _BAND[:, 0]).view(np.int64)
+            keys = _keys(np.frombuffer(b"".join(part.column("registers").to_pylist()), dtype=np.uint16))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys.ravel()), pa.array(np.repeat(part.column("rep").to_numpy(), BANDS))], ["bucket", "rep"]
             )
 
 
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A class's buckets, and a bit of each register: where two sketches agree, so do the bits, and in half of the rest."""
+    for batch in batches:
+        for at in range(0, len(batch), 2000):
+            part = batch.slice(at, 2000)
+            r = np.frombuffer(b"".join(part.column("registers").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+            bits = np.zeros((len(r), -(-REGISTERS // 64) * 64), dtype=np.uint8)
+            bits[:, :REGISTERS] = mixed(r.astype(np.uint64) + _BAND.ravel()) & np.uint64(1)
+            packed = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("rep"), part.column("n"), pa.array([*_keys(r)], pa.list_(pa.int64())), pa.array([*packed], pa.list_(pa.int64()))], ["rep", "n", "buckets", "bits"]
+            )
+
+
 def _verify(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple[tuple, np.ndarray] | None = None  # the last centre's shingles; its pairs follow one another
@@ -174,9 +192,25 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     # Buckets whose members the stars left in several components: every pair across components that wasn't tried.
     open_ = shared.join(reached.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed_ = open_.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    rest = written(open_.join(mixed_, "bucket").select("bucket", "rep", "component", "centre"), "rest")
-    left, right = (rest.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "centre"))) for s in ("a", "b"))
-    pairs = left.join(right, "bucket").where("rep_a < rep_b and component_a <> component_b and rep_a <> centre_a and rep_b <> centre_b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    rest = open_.join(mixed_, "bucket").select("bucket", "rep", "component", "centre")
+    marks = classes.join(rest.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "registers").mapInArrow(_marks, "rep long, n long, buckets array<long>, bits array<long>")
+    rest = written(rest.join(marks, "rep"), "rest")
+    left, right = (rest.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "centre", "n", "buckets", "bits"))) for s in ("a", "b"))
+    # Registers that differ at the threshold, half of which show in the bits, and six standard deviations more.
+    unlike = (1 - percent / 100) / 2
+    limit = int(REGISTERS * unlike + 6 * (REGISTERS * unlike * (1 - unlike)) ** 0.5) + 1
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    pairs = left.join(right, "bucket").where(
+        (F.col("rep_a") < F.col("rep_b"))
+        & (F.col("component_a") != F.col("component_b"))
+        & (F.col("rep_a") != F.col("centre_a"))
+        & (F.col("rep_b") != F.col("centre_b"))
+        & (F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
+        & (differ <= limit)
+        # A pair that shares several buckets comes from the first of them alone.
+        & (F.array_min(F.array_intersect("buckets_a", "buckets_b")) == F.col("bucket"))
+    )
+    pairs = pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     more = written(verified(pairs.join(stars, ["a", "b"], "left_anti")), "more")
     if not more.isEmpty():
         reached = components(links.unionByName(more))
