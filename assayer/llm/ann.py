@@ -3,7 +3,8 @@
 Vectors are scaled to length 1. A bounded sample fits the centroids and the codebooks; every vector is then filed under its
 nearest centroid, and its residual becomes one byte for each sub-space. A query looks into the lists of its ``probes`` nearest
 centroids, scores their codes by asymmetric distance tables, and the best ``RERANK`` of all lists are scored again on the
-original vectors, in double precision.
+original vectors, in double precision. Vectors of length 1 are as near by distance as by cosine; the tables hold distances,
+as what a code leaves out then counts only in proportion to the distance, and near copies are still told apart.
 
 A list is stored in blocks of ``BLOCK`` vectors and meets the queries in chunks of ``CHUNK``, so a list with a third of all
 vectors is many joined rows, not one task.
@@ -50,10 +51,12 @@ class Quantiser:
         return lists, np.stack(codes, axis=1).astype(np.uint8)
 
     def scores(self, query: np.ndarray, one: int, codes: np.ndarray) -> np.ndarray:
-        """Approximate inner products of queries with the coded vectors of a list, from the queries' tables."""
-        out = np.repeat((query @ self.centroids[one])[:, None], len(codes), axis=1)
+        """Squared distances, negated, of queries from the coded vectors of a list, from tables of the queries' own residuals."""
+        r = query - self.centroids[one]
+        out = np.zeros((len(query), len(codes)), dtype=np.float32)
         for s, (c, b) in enumerate(zip(self.cuts, self.books, strict=True)):
-            out += (query[:, c] @ b.T)[:, codes[:, s]]
+            table = 2 * r[:, c] @ b.T - (b**2).sum(axis=1) - (r[:, c] ** 2).sum(axis=1)[:, None]
+            out += table[:, codes[:, s]]
         return out
 
 
