@@ -7,7 +7,8 @@ Two classes are linked if their sets' Jaccard similarity is ``percent`` % or mor
   (the prefix filter), so only prefixes are indexed and probed;
 - a pair is dropped where sizes differ too much (length filter), where too few words can follow the shared prefix word
   (positional filter), or where 64-bit word maps differ in too many bits;
-- what is left is compared on the whole sets.
+- what is left is tried on word maps of 256 bits, by the same bound, and then compared on the whole sets, which so travel
+  for few pairs that aren't links.
 
 Rarity is the count of a word's hash bucket over all lines, on a scale of powers of two: 64 KB, whatever the corpus. A word
 is a 57-bit hash; a set that is compared with another is cut from its own line again.
@@ -23,6 +24,8 @@ from assayer.llm.scratch import written
 #: Any run of these parts words; lines end at \n.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 16
+#: Longs of a set's word map in the second filter.
+WIDE = 4
 
 
 def _words(line: Column) -> Column:
@@ -54,6 +57,16 @@ def _tokens(line: Column, scale: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(_words(line), token)))
 
 
+def _map(part: int) -> Column:
+    """One long of the map of a set's word hashes: six bits of a hash name the bit, the next ones the long."""
+
+    def bit(h: Column) -> Column:
+        mine = F.pmod(F.shiftright(h, 6), F.lit(WIDE)) == part
+        return F.when(mine, F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
+
+    return F.aggregate("hashes", F.lit(0).cast("long"), lambda m, h: m.bitwiseOR(bit(h)))
+
+
 def line_links(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The lines, the classes and the links of ``docs``.
 
@@ -104,10 +117,19 @@ def line_links(docs: DataFrame, id: str = "doc_id", text: str = "text", percent:
     sets = texts.join(asked.alias("q"), F.col("d.id").eqNullSafe(F.col("q.id")) & (F.col("d.print") == F.col("q.print")))
     sets = sets.select("d.id", "d.print", F.split("text", "\n").alias("all"), F.explode("asked").alias("one"))
     sets = sets.select("one.x", F.struct("id", "print", "one.line").alias("at"), F.array_distinct(_words(F.get("all", F.col("one.line")))).alias("words"))
-    sets = written(sets.dropDuplicates(["at"]), "sets")
-    left, right = (sets.select(*(F.col(c).alias(f"{c}_{s}") for c in ("x", "at", "words"))) for s in ("a", "b"))
-    both = F.size(F.array_intersect("words_a", "words_b"))
-    links = pairs.join(left, "x_a").join(right, "x_b").where(F.lit(100) * both >= F.lit(percent) * (F.size("words_a") + F.size("words_b") - both))
+    hashes = F.transform("words", lambda w: F.xxhash64(w))
+    sets = sets.select("x", "at", F.size("words").alias("n"), hashes.alias("hashes"), F.array_join("words", " ").alias("words"))
+    sets = written(sets.dropDuplicates(["at"]).select("x", "at", "n", "words", *(_map(i).alias(f"map{i}") for i in range(WIDE))), "sets")
+
+    maps = [f"map{i}" for i in range(WIDE)]
+    left, right = (sets.select(*(F.col(c).alias(f"{c}_{s}") for c in ("x", "n", *maps))) for s in ("a", "b"))
+    alone = lambda s, t: sum((F.bit_count(F.col(f"{m}_{s}").bitwiseAND(F.bitwise_not(f"{m}_{t}"))) for m in maps), F.lit(0))
+    close = pairs.join(left, "x_a").join(right, "x_b").where((alone("a", "b") <= F.col("n_a") - enough) & (alone("b", "a") <= F.col("n_b") - enough))
+    close = written(close.select("x_a", "x_b").distinct(), "close")
+
+    left, right = (sets.select(*(F.col(c).alias(f"{c}_{s}") for c in ("x", "n", "at", "words"))) for s in ("a", "b"))
+    both = F.size(F.array_intersect(F.split("words_a", " "), F.split("words_b", " ")))
+    links = close.join(left, "x_a").join(right, "x_b").where(F.lit(100) * both >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - both))
     forward = F.col("at_a") < F.col("at_b")
     links = links.select(F.when(forward, F.col("at_a")).otherwise(F.col("at_b")).alias("a"), F.when(forward, F.col("at_b")).otherwise(F.col("at_a")).alias("b"))
     return lines.select("at", "class"), classes.select("class", "first", "n"), links
