@@ -2,7 +2,10 @@
 
 Every paragraph has points for its length and its commas, less the share of its text that is links. It passes them to its
 ancestors: all to its parent, half to the next, and ever less further up. The container with the most points, discounted by
-its own link density, is the article; siblings that have a fair part of its points belong to it.
+its own link density, is the heart of the article. The article reaches up from there to the <article> or <main> that it stands
+in, or as long as a container has no other prose; what else stands in there belongs to it unless it is mostly links. Around it,
+siblings that have a fair part of its points belong to it, and where nothing marks the article also headings, lists, tables
+and short blocks. A class or id that tells of menus and the like takes a node out, unless that holds most of the page's points.
 """
 
 from __future__ import annotations
@@ -23,12 +26,18 @@ _BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol
 _CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"])}
 _HOLDS = {"li": frozenset(["ul", "ol"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["table", "tr"]), "th": frozenset(["table", "tr"])}
 _ASIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menus?|breadcrumbs?|header|masthead|footer|sidebar|side-bar|widgets?|cookies?|consent|gdpr|notices?|alert|popup|pop-up|modal|overlay|subscribe|subscription"
+    r"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bno[_-])(?<!\bwithout[_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menus?|breadcrumbs?|header|masthead|footer|sidebar|side-bar|widgets?|cookies?|consent|gdpr|notices?|alert|popup|pop-up|modal|overlay|subscribe|subscription"
     r"|newsletter|signup|sign-up|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|replies|pagination|pager|toolbar|copyright|legal|disclaimer|skip-link|search|complementary|navigation|contentinfo)(?:$|[\s_-])",
     re.I,
 )
+_TALK = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|respond|replies)(?:$|[\s_-])", re.I)
 _MAIN = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|entry|main|post|story|body|text)(?:$|[\s_-])", re.I)
 
+_HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that are no prose of their own, and those that stand beside prose as parts of it.
+_MINOR = _HEADS | frozenset("li dt dd td th caption figcaption pre".split())
+_BESIDE = frozenset("p ul ol dl table figure pre blockquote".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
@@ -39,6 +48,8 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.hint, self.gone = ["html"], [0], [0.0], [False]
+        #: Nodes that their class or id takes out of the text, and those of them that are comments.
+        self.aside, self.talk = [False], [False]
         #: (node, text), or (node, None) at the edge of a block.
         self.events: list[tuple[int, str | None]] = []
         stack, at, position = [0], 0, 0
@@ -79,7 +90,9 @@ class Page:
         self.tag.append(name)
         self.parent.append(parent)
         self.hint.append(25.0 * (name in ("article", "main") or bool(words and _MAIN.search(words))))
-        self.gone.append(self.gone[parent] or name in _GONE or within or not outer and bool(words and _ASIDE.search(words)) or bool(attributes and _HIDDEN.search(attributes)))
+        self.gone.append(self.gone[parent] or name in _GONE or within or bool(attributes and _HIDDEN.search(attributes)))
+        self.aside.append(not outer and bool(words and _ASIDE.search(words)))
+        self.talk.append(self.talk[parent] or self.aside[-1] and bool(_TALK.search(words)))
         stack.append(len(self.tag) - 1)
         if name in _BLOCK:
             self.events.append((stack[-1], None))
@@ -92,6 +105,23 @@ class Page:
         if name in _BLOCK:
             self.events.append((stack[-1], None))
 
+    def _taken_out(self, points: list[float]) -> list[bool]:
+        """Which nodes are gone, by what they are or by their class; ``points`` are those of each block's own text."""
+        n = len(self.tag)
+        if sum(x for x, talk in zip(points, self.talk) if not talk) >= 3:
+            points = [0.0 if talk else x for x, talk in zip(points, self.talk)]  # comments on something are not it, however long
+        held = list(points)
+        for k in range(n - 1, 0, -1):
+            held[self.parent[k]] += held[k]
+        marked, told = list(self.aside), False
+        for k in range(1, n):
+            marked[k] = marked[k] or marked[self.parent[k]]
+            told = told or not marked[k] and self.tag[k] in ("article", "main") and held[k] > 0
+        gone = list(self.gone)
+        for k in range(1, n):
+            gone[k] = gone[k] or gone[self.parent[k]] or self.aside[k] and (told or 2 * held[k] <= held[0])
+        return self.gone if held[0] and not any(x and not g for x, g in zip(points, gone)) else gone
+
     def article(self) -> list[bool]:
         """Which nodes belong to the article."""
         n = len(self.tag)
@@ -99,39 +129,78 @@ class Page:
         for k in range(1, n):
             block[k] = k if self.tag[k] in _BLOCK else block[self.parent[k]]
             link[k] = link[self.parent[k]] or self.tag[k] == "a"
-        length, linked, commas = [0] * n, [0] * n, [0] * n
-        for k, text in self.events:
-            if text and not self.gone[k] and (size := len(text.strip())):
-                b = block[k]
-                length[b] += size
-                linked[b] += size * link[k]
-                commas[b] += text.count(",") + text.count("，") + text.count("、") + text.count("،")
+        gone = self.gone
+        for again in (False, True):
+            length, linked, commas = [0] * n, [0] * n, [0] * n
+            for k, text in self.events:
+                if text and not gone[k] and (size := len(text.strip())):
+                    b = block[k]
+                    length[b] += size
+                    linked[b] += size * link[k]
+                    commas[b] += text.count(",") + text.count("，") + text.count("、") + text.count("،")
+            points = [(1 + commas[k] + min(length[k] / 100, 3)) * (1 - linked[k] / length[k]) if length[k] and self.tag[k] not in _HEADS else 0.0 for k in range(n)]
+            if again or not any(self.aside):
+                break
+            gone = self._taken_out(points)
         score, all_length, all_linked = list(self.hint), list(length), list(linked)
+        prose = [length[k] * (length[k] > 80 and linked[k] < 0.5 * length[k] and self.tag[k] not in _MINOR) for k in range(n)]
         for k in range(n - 1, 0, -1):
-            all_length[self.parent[k]] += all_length[k]
-            all_linked[self.parent[k]] += all_linked[k]
+            for x in (all_length, all_linked, prose):
+                x[self.parent[k]] += x[k]
         for k in range(1, n):
-            if length[k] and self.tag[k] not in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                points = (1 + commas[k] + min(length[k] / 100, 3)) * (1 - linked[k] / length[k])
+            if length[k] and self.tag[k] not in _HEADS:
                 if self.tag[k] in ("div", "article", "main", "section", "body"):
-                    score[k] += points  # text that stands in the container itself
+                    score[k] += points[k]  # text that stands in the container itself
                 up, share = self.parent[k], 1.0
                 for level in range(1, 6):
-                    score[up] += points * share
+                    score[up] += points[k] * share
                     if up == 0:
                         break
                     up, share = self.parent[up], 0.5 if level == 1 else 1 / (3 * level)
-        final = [s * (1 - all_linked[k] / all_length[k]) if all_length[k] and not self.gone[k] else 0.0 for k, s in enumerate(score)]
+        final = [s * (1 - all_linked[k] / all_length[k]) if all_length[k] and not gone[k] else 0.0 for k, s in enumerate(score)]
         best = max(range(n), key=lambda k: (final[k], -k))
-        chosen = {best}
-        for k in range(1, n):
-            if best and k != best and self.parent[k] == self.parent[best] and not self.gone[k]:
-                fair = final[k] - self.hint[k] * 0.8 >= 0.2 * final[best] > 0
-                if fair or self.tag[k] == "p" and length[k] > 80 and linked[k] < 0.25 * length[k]:
+        dense = [2 * all_linked[k] > all_length[k] for k in range(n)]
+
+        above = [best]
+        while above[-1]:
+            above.append(self.parent[above[-1]])
+        told = next((k for tag in ("article", "main") for k in above if self.tag[k] == tag), 0)
+        path = {best}
+        top = best
+        while top and top != told:
+            up = self.parent[top]
+            if not told and (up == 0 or self.tag[up] in ("html", "body") or prose[up] > prose[top]):
+                break
+            path.add(top := up)
+
+        chosen = set()
+        beside = [k for k in range(1, n) if top and k != top and self.parent[k] == self.parent[top] and not gone[k]]
+        headed = {self.parent[k] for k in range(1, n) if self.tag[k] in _HEADS and length[k]}  # from inner to outer nodes
+        holds = [self.tag[k] in _BESIDE for k in range(n)]
+        for k in range(n - 1, 0, -1):
+            holds[self.parent[k]] |= holds[k] and not gone[k]
+            if k in headed:
+                headed.add(self.parent[k])
+        for k, following in zip(beside, [*beside[1:], None]):
+            fair = final[k] - self.hint[k] * 0.8 >= 0.2 * final[top] > 0
+            if fair or self.tag[k] == "p" and length[k] > 80 and linked[k] < 0.25 * length[k]:
+                chosen.add(k)
+            elif self.tag[k] in _HEADS:
+                if not dense[k] and (k < top and top not in headed if told else k < top or following is None or not dense[following]):
                     chosen.add(k)
-        keep = [False] * n
-        for k in range(n):
-            keep[k] = (keep[self.parent[k]] or k in chosen) and not self.gone[k]
+            elif not told and not dense[k] and self.tag[k] in _BLOCK and self.tag[k] not in ("article", "main"):
+                if holds[k] or k in headed or self.tag[self.parent[k]] not in ("html", "body"):
+                    chosen.add(k)
+        keep = [best == 0] + [False] * (n - 1)
+        for k in range(1, n):
+            up = self.parent[k]
+            if k in path or k in chosen:
+                keep[k] = not gone[k]
+            elif up in path and up != best:
+                # Words between tags go with the line they stand in.
+                keep[k] = not gone[k] and not (dense[k] and (self.tag[k] in _BLOCK or 2 * linked[block[up]] > length[block[up]]))
+            else:
+                keep[k] = keep[up] and not gone[k]
         return keep
 
     def text(self) -> str:

@@ -37,3 +37,28 @@ def test_rows(spark):
     got = sorted((r.page_id or 0, r.url, r.text, r.n_chars) for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect())
     assert got[0] == (0, "v", "", 0) and got[2] == (2, None, "", 0) and got[3] == got[4] == (3, "w", "x", 1) and got[1][3] == len(got[1][2]) > 60
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+LONG = "Some words, and more of them, to make a paragraph that is long enough to count for something. " * 3
+
+
+def test_whole_article_around_its_best_node():
+    page = f"""<body><nav><a href=/>Home</a></nav><article><h1>Title</h1><div class="entry-content"><p>{LONG}</p><p>{LONG}</p></div>
+    <section><h2>Second</h2><p>Short one.</p></section><figure><img><figcaption>A figure</figcaption></figure><table><tr><td>a<td>b</table><ul><li>item</ul><p>End.</p>
+    <div><a href=1>more</a> <a href=2>links</a></div><div class=share>Share this</div></article><div>Site, by me</div></body>"""
+    assert Page(page).text().split("\n") == ["Title", LONG.strip(), LONG.strip(), "Second", "Short one.", "A figure", "a", "b", "item", "End."]
+
+
+def test_blocks_beside_prose_without_semantic_elements():
+    page = f"<body><div id=x><h1>Title</h1><div><p>{LONG}</p><p>{LONG}</p></div><p>Brief.</p><ul><li>item</ul><ul><li><a href=1>link</a></ul></div><div>Imprint</div></body>"
+    assert Page(page).text().split("\n") == ["Title", LONG.strip(), LONG.strip(), "Brief.", "item"]
+
+
+def test_class_of_what_holds_most_takes_nothing_out():
+    for name in ("layout has-sidebar", "no-sidebar", "with-sidebar", "legal", "alert"):
+        page = f'<body><div class="{name}"><h1>Title</h1><div class=text><p>{LONG}</p></div><div class="sidebar"><p>Other, things</p></div></div><div class="ad">Buy</div></body>'
+        assert Page(page).text().split("\n") == ["Title", LONG.strip()], name
+    halves = f"<div class=alert><p>{LONG}</p></div><div class=notice><p>{LONG}</p></div>"
+    assert Page(halves).text() == f"{LONG.strip()}\n{LONG.strip()}"
+    assert Page("<article><p>Brief, but it.</p></article><div class=ad>Buy now, cheap, good, fast.</div>").text() == "Brief, but it."
+    assert Page(f"<div><p>One, two, three.</p><p>Four.</p></div><div class=comments><p>{LONG}</p><p>{LONG}</p></div>").text() == "One, two, three.\nFour."
