@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +28,10 @@ END = 1
 SHARD_TOKENS = 1 << 20
 #: Rarest terms of a seed that are asked for, and the constants of BM25.
 QUERY_TERMS, K1, B = 24, 1.2, 0.75
+#: From this many white-space characters on end, `tiktoken`'s regular expression may run out of stack (800,000 pass).
+SPACE_RUN = 10_000
 _ranked: dict = {}
+_spaces = re.compile(rf"(?<!\s)\s{{{SPACE_RUN}}}")
 
 #: How byte-level BPE cuts a text before merging.
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -69,7 +73,7 @@ class Encoder:
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         out = []
         for text in (t or "" for t in texts):
-            if self.by_rank and not any(s in text for s in self.special):
+            if self.by_rank and not any(s in text for s in self.special) and not (len(text) >= SPACE_RUN and _spaces.search(text)):
                 ids = self.by_rank(text)
             else:
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids

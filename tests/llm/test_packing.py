@@ -16,6 +16,12 @@ def test_ids_are_those_of_whole_texts():
     assert [x[:-1].tolist() for x in Encoder(PATH)(ODD)] == [t.encode(x, add_special_tokens=False).ids for x in ODD]
 
 
+def test_long_runs_of_white_space():
+    t, encode = Tokenizer.from_file(PATH), Encoder(PATH)
+    for x in (" " * 2_000_000, "a" + "\n" * 1_500_000 + "b", "x" + "\t\u3000" * 600_000, "a" * 9_000 + " " * 9_999 + "b"):
+        assert encode([x])[0][:-1].tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 def test_round_trip(spark):
     t, rng = Tokenizer.from_file(PATH), np.random.default_rng(1)
     rows = [(i, x) for i, x in enumerate([*ODD, None, "word " * 7000])] + [(100 + i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"], rng.integers(1, 600)))) for i in range(60)]
