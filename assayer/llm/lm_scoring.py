@@ -4,10 +4,12 @@ The network predicts each word from the two words on either side of it: their em
 a hidden layer, and a two-level softmax gives the word's class and then the word in its class. A document's score is the sum of
 the log-probabilities of all its words, each given both sides.
 
-The vocabulary is the corpus's commonest words, counted over all documents; a rarer word is one of ``TAILS`` classes of last
-bytes. Training is numpy inside tasks: in each round every task takes one pass over its documents from the same parameters, at
-every ``STRIDE``-th word, and the parameters are averaged by the words they have seen. Averaging is a grouped sum, so the driver
-gets one set of parameters, however many tasks there are.
+The network knows the corpus's commonest words, counted over all documents; a rarer word is one of ``TAILS`` classes of last
+bytes, and its probability is that of the class by its share of the class. Shares are the discounted counts of all words seen
+twice or more, however many there are; what the discount and the words seen once leave is dealt by spelling, so words that were
+never seen have a share too. Training is numpy inside tasks: in each round every task takes one pass over its documents from the
+same parameters, at every ``STRIDE``-th word, and the parameters are averaged by the words they have seen; the rounds together
+train at every word. Averaging is a grouped sum, so the driver gets one set of parameters, however many tasks there are.
 """
 
 from __future__ import annotations
@@ -20,13 +22,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.words import LETTERED, slices, words
+from assayer.llm.scratch import written
+from assayer.llm.words import LETTERED, Words, slices, words
 
 #: Words and word classes that the network knows; the last TAILS + 1 are rarer words by their ending, and the texts' ends.
 VOCABULARY, TAILS, CLASSES, HIDDEN = 1024, 63, 32, 48
 SIDE = 2
 #: A round trains at one in STRIDE words of every document, at another offset each round.
-ROUNDS, STRIDE, BATCH, RATE = 2, 8, 512, 0.05
+ROUNDS, STRIDE, BATCH, RATE = 2, 2, 512, 0.05
+#: What a rare word's count is discounted by, and what a spelling's count begins at.
+DISCOUNT, LEAST = 0.5, 0.1
+#: In place of a byte: the word begins. Bytes that words are made of, lower-cased.
+_START = 256
+_BYTES = np.flatnonzero(LETTERED)
+
+
+def _tail(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The class of a rare word by its last byte and the one before, which is the same in a word of one."""
+    return (last.astype(np.int64) * 31 + before) % TAILS
+
+
+@dataclass
+class Rare:
+    """The share of each rare word in its class. Words are spelt backwards: the last two bytes, and then each byte given the next."""
+
+    hash: np.ndarray  # of words seen twice or more, sorted
+    count: np.ndarray  # of each of them, discounted
+    total: np.ndarray  # (TAILS,), of all words of a class
+    left: np.ndarray  # (TAILS,), what the words above leave of a class
+    ending: np.ndarray  # (256, 257), log-probability in the class
+    step: np.ndarray  # (256, 257)
+
+    @classmethod
+    def of(cls, kind: np.ndarray, key: np.ndarray, n: np.ndarray) -> Rare:
+        """From the rows of ``_rare_counts``."""
+
+        def counts(k: int, size: int) -> np.ndarray:
+            return np.bincount(key[kind == k], n[kind == k], size)
+
+        ending, step = np.zeros((256, 257)), np.zeros((256, 257))
+        allowed = np.zeros((256, 257), dtype=bool)
+        allowed[np.ix_(_BYTES, np.append(_BYTES, _START))] = True
+        last, before = np.divmod(np.arange(256 * 257), 257)
+        tail = _tail(last, np.where(before == _START, last, before)).reshape(256, 257)
+        ends = (counts(1, 256 * 257).reshape(256, 257) + LEAST) * allowed
+        ending[allowed] = np.log((ends / np.bincount(tail.ravel(), ends.ravel(), TAILS)[tail])[allowed])
+        steps = (counts(2, 256 * 257).reshape(256, 257) + LEAST) * allowed
+        step[allowed] = np.log(steps[allowed] / np.broadcast_to(steps.sum(axis=1, keepdims=True), steps.shape)[allowed])
+        total = counts(3, TAILS) + 1
+        order = np.argsort(key[kind == 0].view(np.uint64))
+        return cls(key[kind == 0].view(np.uint64)[order], n[kind == 0][order] - DISCOUNT, total, (counts(4, TAILS) + DISCOUNT * counts(5, TAILS) + 1) / total, ending, step)
+
+    def log_share(self, w: Words, at: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        """The log-share in its class ``tail`` of each word ``w[at]``."""
+        start, end, hash = w.start[at], w.end[at], w.hash[at]
+        # Up to each byte: the log-probabilities of the byte before it, given it.
+        steps = np.concatenate([[0, 0], np.cumsum(self.step[w.data[1:], w.data[:-1]])])
+        one = end - start == 1
+        spelt = self.ending[w.data[end - 1], np.where(one, _START, w.data[np.maximum(end - 2, start)].astype(np.int64))]
+        spelt += np.where(one, 0, steps[np.maximum(end - 1, start + 1)] - steps[start + 1] + self.step[w.data[start], _START])
+        seen = np.zeros(len(at))
+        if len(self.hash):
+            place = np.minimum(np.searchsorted(self.hash, hash), len(self.hash) - 1)
+            seen = np.where(self.hash[place] == hash, self.count[place], 0.0)
+        # A long word's spelling may be less likely than a double can say.
+        known = np.log(seen / self.total[tail], where=seen > 0, out=np.full(len(at), -np.inf))
+        return np.logaddexp(known, np.log(self.left[tail]) + spelt)
 
 
 @dataclass
@@ -39,6 +100,7 @@ class Network:
     bias: np.ndarray  # (HIDDEN,)
     by_class: np.ndarray  # (CLASSES, HIDDEN + 1)
     by_word: np.ndarray  # (CLASSES, VOCABULARY / CLASSES, HIDDEN + 1)
+    rare: Rare | None = None
 
     PARTS = ("embed", "bias", "by_class", "by_word")
 
@@ -86,10 +148,14 @@ class Network:
                 back[rows] += q @ self.by_word[g]
                 word_grad[g] = q.T @ h[rows]
         back = back[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2)
-        embed_grad = np.zeros_like(self.embed)
         for side in range(2 * SIDE):
-            np.add.at(embed_grad[side], context[:, side], back)
-        for part, grad, squares in zip(self.PARTS, (embed_grad, back.sum(axis=0), class_grad, word_grad), state, strict=True):
+            order = np.argsort(context[:, side], kind="stable")
+            near = context[order, side]
+            first = np.flatnonzero(np.append(True, near[1:] != near[:-1]))
+            grad, at = np.add.reduceat(back[order], first) / np.sqrt(n, dtype=np.float32), near[first]
+            state[0][side][at] += grad**2
+            self.embed[side][at] -= RATE * grad / np.sqrt(state[0][side][at] + 1e-6)
+        for part, grad, squares in zip(self.PARTS[1:], (back.sum(axis=0), class_grad, word_grad), state[1:], strict=True):
             grad /= np.sqrt(n)
             squares += grad**2
             getattr(self, part)[...] -= RATE * grad / np.sqrt(squares + 1e-6)
@@ -112,10 +178,13 @@ def initial(vocabulary: list[str], seed: int = 4) -> Network:
 
 def numbered(column: pa.Array, net: Network) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all words of the texts: the words around each, its own number, and where each text's words begin."""
+    return _numbered(column, net)[:3]
+
+
+def _numbered(column: pa.Array, net: Network) -> tuple[np.ndarray, np.ndarray, np.ndarray, Words]:
     w = words(column, LETTERED, lower=True)
     end, tail = VOCABULARY - 1, VOCABULARY - 1 - TAILS
-    last = w.data[w.end - 1].astype(np.int64) * 31 + w.data[np.maximum(w.end - 2, w.start)] if len(w.start) else np.zeros(0, np.int64)
-    number = tail + last % TAILS
+    number = tail + (_tail(w.data[w.end - 1], w.data[np.maximum(w.end - 2, w.start)]) if len(w.start) else np.zeros(0, np.int64))
     if len(net.known) and len(number):
         at = np.minimum(np.searchsorted(net.known, w.hash), len(net.known) - 1)
         number = np.where(net.known[at] == w.hash, net.number[at], number)
@@ -126,7 +195,7 @@ def numbered(column: pa.Array, net: Network) -> tuple[np.ndarray, np.ndarray, np
         at = np.arange(n) + step
         inside = (at >= begin) & (at < stop)
         context[inside, side] = number[at[inside]]
-    return context, number, w.first
+    return context, number, w.first, w
 
 
 def _train(network, offset: int):
@@ -152,23 +221,61 @@ def _train(network, offset: int):
     return run
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> list[str]:
-    """The commonest words of all texts, lower-cased A-Z; of equal counts the smaller word."""
+def _counts(docs: DataFrame, text: str) -> DataFrame:
     lower = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    counts = docs.select(F.explode(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")).alias("w")).where("w <> ''").groupBy("w").count()
+    return docs.select(F.explode(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")).alias("w")).where("w <> ''").groupBy("w").count()
+
+
+def _commonest(counts: DataFrame) -> list[str]:
     return [r["w"] for r in counts.orderBy(F.desc("count"), "w").limit(VOCABULARY - 1 - TAILS).collect()]
 
 
+def vocabulary(docs: DataFrame, text: str = "text") -> list[str]:
+    """The commonest words of all texts, lower-cased A-Z; of equal counts the smaller word."""
+    return _commonest(_counts(docs, text))
+
+
+def _rare_counts(network):
+    """Of the words that the network doesn't know, by ``kind``: 0 the count of each that was seen twice or more, by hash;
+    1 endings and 2 steps of spelling, each word once; 3 words of a class, 4 those seen once, 5 different ones of kind 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "w"):
+                _, number, _, w = _numbered(part.column("w"), network.value)
+                n = part.column("count").to_numpy()
+                tail = number - (VOCABULARY - 1 - TAILS)
+                rare = tail >= 0
+                n, tail, start, end, hash = n[rare], tail[rare], w.start[rare], w.end[rare], w.hash[rare]
+                more, data = n > 1, w.data.astype(np.int64)
+                ending = data[end - 1] * 257 + np.where(end - start == 1, _START, data[np.maximum(end - 2, start)])
+                size = np.maximum(end - start - 2, 0)
+                at = np.repeat(start + 1 - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                long = start[end - start > 1]
+                step = np.concatenate([data[at] * 257 + data[at - 1], data[long] * 257 + _START])
+                found = [(0, hash[more].view(np.int64), n[more])]
+                for kind, key, weight in ((1, ending, None), (2, step, None), (3, tail, n), (4, tail[~more], None), (5, tail[more], None)):
+                    sums = np.bincount(key, weight)
+                    found.append((kind, np.flatnonzero(sums), sums[sums > 0].astype(np.int64)))
+                kinds = np.repeat([k for k, _, _ in found], [len(x) for _, x, _ in found]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), *(pa.array(np.concatenate([f[i] for f in found])) for i in (1, 2))], ["kind", "key", "n"])
+
+    return run
+
+
 def fit(docs: DataFrame, text: str = "text") -> Network:
     """The network of all texts. Without words it is the untrained one."""
     spark = docs.sparkSession
-    net = initial(vocabulary(docs, text))
+    counts = written(_counts(docs, text), "words")
+    net = initial(_commonest(counts))
     source = docs.select(F.col(text).alias("text")).where("text is not null")
     for k in range(ROUNDS):
         moved = source.mapInArrow(_train(spark.sparkContext.broadcast(net), k * STRIDE // ROUNDS), "at int, total double, words long")
         mean = moved.groupBy("at").agg((F.sum("total") / F.sum("words")).alias("x")).toPandas().sort_values("at")
         if len(mean):
             net.load(mean["x"].to_numpy())
+    rare = counts.mapInArrow(_rare_counts(spark.sparkContext.broadcast(net)), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()
+    net.rare = Rare.of(*(rare.column(c).to_numpy() for c in ("kind", "key", "n")))
     return net
 
 
@@ -176,8 +283,12 @@ def _score(network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 18):
-                context, target, first = numbered(part.column("text"), network.value)
-                sums = np.concatenate([[0], np.cumsum(np.concatenate([network.value.log_probability(context[a : a + 8192], target[a : a + 8192]) for a in range(0, len(target), 8192)] or [np.zeros(0)]))])
+                context, target, first, w = _numbered(part.column("text"), network.value)
+                each = np.concatenate([network.value.log_probability(context[a : a + 8192], target[a : a + 8192]) for a in range(0, len(target), 8192)] or [np.zeros(0)])
+                at = np.flatnonzero(target >= VOCABULARY - 1 - TAILS)
+                if network.value.rare is not None and len(at):
+                    each[at] += network.value.rare.log_share(w, at, target[at] - (VOCABULARY - 1 - TAILS))
+                sums = np.concatenate([[0], np.cumsum(each)])
                 n = np.diff(first)
                 total = sums[first[1:]] - sums[first[:-1]]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n.astype(np.int64)), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)], ["id", "n_words", "log_likelihood", "mean_log_likelihood"])

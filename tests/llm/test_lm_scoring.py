@@ -2,7 +2,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from assayer.llm.lm_scoring import CLASSES, SIDE, VOCABULARY, fit, initial, numbered, score, vocabulary
+from assayer.llm.lm_scoring import CLASSES, ROUNDS, SIDE, STRIDE, TAILS, VOCABULARY, fit, initial, numbered, score, vocabulary
+from assayer.llm.words import LETTERED, words
 
 
 def sentence(rng, n):
@@ -54,3 +55,30 @@ def test_edge_cases(spark, trained):
     assert got[1].log_likelihood == 0 and got[1].mean_log_likelihood is None and got[4].log_likelihood < 0
     assert score(docs.limit(0), trained).count() == 0
     assert vocabulary(docs.where("doc_id = 5")) == ["w1"] and fit(docs.where("doc_id = 2")).known.size == 0
+
+
+def test_rare_words_have_a_share_of_their_class(spark):
+    rng = np.random.default_rng(3)
+    common, rare = [f"k{i:03}" for i in range(960)], [f"{a}{b}{c}e" for a in "abcd" for b in "aeiou" for c in "lmn"] + ["x", "ab"]
+    often = {x: 2 + i for i, x in enumerate(rare)} | {"once": 1}
+    text = [x for w, n in ({w: 200 for w in common} | often).items() for x in [w] * n]
+    net = fit(spark.createDataFrame([(" ".join(x),) for x in np.array_split(rng.permutation(text), 6)], "text string"))
+    assert len(net.known) == 960 and set(net.rare.count + 0.5) == set(range(2, 64))
+    # All strings of up to two bytes, what was seen, and some that were not: a class has no more than 1 to share out.
+    alphabet = [chr(b) for b in np.flatnonzero(LETTERED) if b < 128]
+    every = sorted({*alphabet, *(a + b for a in alphabet for b in alphabet), *often, "zzzqe", "q" * 3000})
+    w = words(pa.array(every), LETTERED, lower=True)
+    tail = numbered(pa.array(every), net)[1] - (VOCABULARY - 1 - TAILS)
+    share = net.rare.log_share(w, np.arange(len(every)), tail)
+    assert np.isfinite(share).all() and np.bincount(tail, np.exp(share), TAILS).max() <= 1 + 1e-9
+    by = dict(zip(every, np.exp(share)))
+    n = sum(often[x] for x, t in zip(every, tail) if x in often and t == tail[every.index("dune")])
+    assert (often["dune"] - 0.5) / (n + 1) <= by["dune"] <= (often["dune"] + 0.5) / n
+    # An invented word is less likely than any known one in its place.
+    docs = [(i, f"k001 k002 {x} k003 k004") for i, x in enumerate(["k500", "dune", "zzzqe", "q7é9xe"])]
+    got = {r.doc_id: r.log_likelihood for r in score(spark.createDataFrame(docs, "doc_id long, text string"), net).collect()}
+    assert min(got[0], got[1]) > max(got[2], got[3]) + 3
+
+
+def test_rounds_train_at_every_word():
+    assert {k * STRIDE // ROUNDS % STRIDE for k in range(ROUNDS)} == set(range(STRIDE))
