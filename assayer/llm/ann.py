@@ -1,9 +1,10 @@
 """Nearest neighbours by cosine: an inverted file of coarse centroids with product-quantised residuals, and exact reranking.
 
 Vectors are scaled to length 1. A bounded sample fits the centroids and the codebooks; every vector is then filed under its
-nearest centroid, and its residual becomes one byte for each sub-space. A query looks into the lists of its ``probes`` nearest
-centroids, scores their codes by asymmetric distance tables, and the best ``RERANK`` of all lists are scored again on the
-original vectors, in double precision. Vectors of length 1 are as near by distance as by cosine; the tables hold distances,
+nearest centroid, and its residual becomes one byte for each sub-space; how far the code is from the vector is kept with it. A
+query looks into the lists of its ``probes`` nearest centroids and scores their codes by asymmetric distance tables. A vector is
+no farther from its code's place than that error, so every candidate that can still be among the ``k`` nearest of its block is
+scored on the vector itself, however many they are, and the block's ``k`` nearest go on. Vectors of length 1 are as near by distance as by cosine; the tables hold distances,
 as what a code leaves out then counts only in proportion to the distance, and near copies are still told apart.
 
 A list is stored in blocks of ``BLOCK`` vectors and meets the queries in chunks of ``CHUNK``, so a list with a third of all
@@ -27,8 +28,8 @@ SAMPLE = 20_000
 CENTROIDS, SUBSPACES, CODES = 256, 32, 256
 #: Lists that a query looks into: vectors without clusters need many of them for a recall of 0.95, clustered ones far fewer.
 PROBES = 144
-#: Candidates that go on from a list's block, and those that are scored exactly.
-LOCAL, RERANK = 32, 200
+#: What single precision adds to a distance's error, at most.
+SLACK = 2e-3
 BLOCK, CHUNK = 16_384, 256
 
 
@@ -44,11 +45,13 @@ class Quantiser:
         d = (self.centroids**2).sum(axis=1) - 2 * x @ self.centroids.T
         return np.argsort(d, axis=1, kind="stable")[:, :n]
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each row's list, its code, and how far the code's place is from it."""
         lists = self.nearest(x, 1)[:, 0]
         r = x - self.centroids[lists]
         codes = [((b**2).sum(axis=1) - 2 * r[:, c] @ b.T).argmin(axis=1) for c, b in zip(self.cuts, self.books, strict=True)]
-        return lists, np.stack(codes, axis=1).astype(np.uint8)
+        error = sum(((r[:, c] - b[at]) ** 2).sum(axis=1) for c, b, at in zip(self.cuts, self.books, codes, strict=True))
+        return lists, np.stack(codes, axis=1).astype(np.uint8), np.sqrt(error)
 
     def scores(self, query: np.ndarray, one: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances, negated, of queries from the coded vectors of a list, from tables of the queries' own residuals."""
@@ -80,17 +83,19 @@ def fit(x: np.ndarray, seed: int = 1) -> Quantiser:
     return Quantiser(centroids, cuts, [_means(r[:, c], CODES, 8, rng) for c in cuts])
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, kind: type = np.float32) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = values.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
-    return (x / np.sqrt((x**2).sum(axis=1, keepdims=True))).astype(np.float32)
+    return (x / np.sqrt((x**2).sum(axis=1, keepdims=True))).astype(kind)
 
 
 def _file(quantiser):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, codes = quantiser.value.encode(_matrix(batch.column("vector")))
-            yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), batch.column("id"), batch.column("row"), pa.array([c.tobytes() for c in codes], pa.binary())], ["list", "id", "row", "code"])
+            x = _matrix(batch.column("vector"), np.float64)
+            lists, codes, error = quantiser.value.encode(x.astype(np.float32))
+            parts = [pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error.astype(np.float32)), pa.array([v.tobytes() for v in x], pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), batch.column("id"), batch.column("row"), *parts], ["list", "id", "row", "code", "error", "unit"])
 
     return run
 
@@ -98,8 +103,8 @@ def _file(quantiser):
 def _probe(quantiser, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column("vector"))
-            near = quantiser.value.nearest(x, probes)
+            x = _matrix(batch.column("vector"), np.float64)
+            near = quantiser.value.nearest(x.astype(np.float32), probes)
             at = np.repeat(np.arange(len(x)), near.shape[1])
             unit = pa.array([v.tobytes() for v in x], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), batch.column("id").take(pa.array(at)), unit.take(pa.array(at))], ["list", "query", "unit"])
@@ -107,22 +112,35 @@ def _probe(quantiser, probes: int):
     return run
 
 
-def _search(quantiser):
+def _search(quantiser, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = quantiser.value
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.array([e["id"] for e in row["entries"]], dtype=np.int64)
-                codes = np.frombuffer(b"".join(e["code"] for e in row["entries"]), np.uint8).reshape(len(ids), -1)
+            for i in range(len(batch)):
+                row = batch.slice(i, 1)
+                entries, asked = row.column("entries").flatten(), row.column("asked").flatten()
+                ids, query = entries.field("id").to_numpy(), asked.field("query").to_numpy()
+                codes, units, wanted = (np.frombuffer(b"".join(x.to_pylist()), kind).reshape(len(x), -1) for x, kind in ((entries.field("code"), np.uint8), (entries.field("unit"), np.float64), (asked.field("unit"), np.float64)))
                 order = np.argsort(ids, kind="stable")
-                ids, codes = ids[order], codes[order]
-                query = np.array([a["query"] for a in row["asked"]], dtype=np.int64)
-                score = q.scores(np.frombuffer(b"".join(a["unit"] for a in row["asked"]), np.float32).reshape(len(query), -1), row["list"], codes)
-                score[query[:, None] == ids[None, :]] = -np.inf
-                best = np.argsort(-score, axis=1, kind="stable")[:, :LOCAL]
-                taken = np.take_along_axis(score, best, axis=1)
-                use = np.isfinite(taken)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query, use.sum(axis=1))), pa.array(ids[best][use]), pa.array(taken[use].astype(float))], ["query", "id", "near"])
+                ids, codes, units, error = ids[order], codes[order], units[order], entries.field("error").to_numpy()[order] + np.float32(SLACK)
+                first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+                out: list[list[np.ndarray]] = [[], [], []]
+                for a in range(0, len(query), 32):
+                    far = np.sqrt(np.maximum(-q.scores(wanted[a : a + 32].astype(np.float32), row.column("list")[0].as_py(), codes), 0))
+                    far[query[a : a + 32, None] == ids[None, :]] = np.inf
+                    # Rows that repeat an id count once: the k-th nearest id is no farther than this.
+                    most = np.minimum.reduceat(far + error, first, axis=1)
+                    bound = np.partition(most, k - 1, axis=1)[:, k - 1] if len(first) > k else np.full(len(most), np.inf)
+                    for one, unit, low, limit in zip(query[a : a + 32], wanted[a : a + 32], far - error, bound, strict=True):
+                        at = np.flatnonzero((low <= limit) & np.isfinite(low))
+                        # Equal vectors get equal scores only up to rounding.
+                        score = np.round(np.einsum("ij,j->i", units[at], unit), 13)
+                        best = np.lexsort((ids[at], -score))
+                        _, kept = np.unique(ids[at][best], return_index=True)
+                        best = best[np.sort(kept)[:k]]
+                        for column, x in zip(out, (np.full(len(best), one), ids[at][best], score[best]), strict=True):
+                            column.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query", "id", "near"])
 
     return run
 
@@ -151,17 +169,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_i
     sample = rows.select("vector").orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(SAMPLE).toArrow().column("vector").combine_chunks()
     quantiser = spark.sparkContext.broadcast(fit(_matrix(sample)))
 
-    filed = rows.select("id", F.monotonically_increasing_id().alias("row"), "vector").mapInArrow(_file(quantiser), "list int, id long, row long, code binary")
+    filed = rows.select("id", F.monotonically_increasing_id().alias("row"), "vector").mapInArrow(_file(quantiser), "list int, id long, row long, code binary, error float, unit binary")
     filed = written(filed, "filed")
     sizes = filed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    blocks = filed.join(sizes, "list").groupBy("list", F.pmod(F.xxhash64("row"), "blocks").alias("block")).agg(F.collect_list(F.struct("id", "code")).alias("entries"))
+    blocks = filed.join(sizes, "list").groupBy("list", F.pmod(F.xxhash64("row"), "blocks").alias("block")).agg(F.collect_list(F.struct("id", "code", "error", "unit")).alias("entries"))
     probing = asked.select("id", "vector").mapInArrow(_probe(quantiser, probes), "list int, query long, unit binary")
     chunks = probing.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     chunked = probing.join(chunks, "list").groupBy("list", F.pmod(F.xxhash64("query"), "chunks").alias("chunk")).agg(F.collect_list(F.struct("query", "unit")).alias("asked"))
-    found = chunked.join(blocks, "list").select("list", "asked", "entries").mapInArrow(_search(quantiser), "query long, id long, near double")
+    found = chunked.join(blocks, "list").select("list", "asked", "entries").mapInArrow(_search(quantiser, k), "query long, id long, near double")
 
     first = Window.partitionBy("query").orderBy(F.desc("near"), "id")
-    found = found.groupBy("query", "id").agg(F.max("near").alias("near")).withColumn("at", F.row_number().over(first)).where(F.col("at") <= RERANK)
+    found = found.groupBy("query", "id").agg(F.max("near").alias("near")).withColumn("at", F.row_number().over(first)).where(F.col("at") <= k)
     found = written(found.select("query", "id"), "found")
     whole = rows.select("id", F.col("vector").alias("v"), F.col("length").alias("nv"))
     from_ = asked.select(F.col("id").alias("query"), F.col("vector").alias("q"), F.col("length").alias("nq"))

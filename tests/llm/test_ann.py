@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from assayer.llm.ann import nearest
 
@@ -38,3 +39,18 @@ def test_edge_cases(spark):
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 50, 0.0), (50, 1, 0, 0.0), (50, 2, 1, 0.0), (50, 3, 2, 0.0)]
     assert nearest(vectors.limit(0), vectors.limit(0)).count() == 0
     assert nearest(vectors, vectors.limit(0)).count() == 0
+
+
+def test_many_near_copies_that_the_sample_does_not_hold(spark, monkeypatch):
+    monkeypatch.setattr("assayer.llm.ann.SAMPLE", 500)
+    rng = np.random.default_rng(3)
+    sampled = [r.id for r in spark.range(3500).orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(500).collect()]
+    x = (rng.normal(size=(1, 64)) + rng.normal(size=(3500, 64)) * 0.01).astype(np.float32)
+    x[sampled] = rng.normal(size=(500, 64))
+    asked = [i for i in range(0, 3500, 50) if i not in set(sampled)]
+    vectors = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], SCHEMA).repartition(4)
+    got = nearest(vectors, vectors.where(F.col("vec_id").isin(asked)), probes=256).collect()
+    hits, x, ids = 0, x.astype(float), np.arange(len(x))
+    for q in asked:
+        hits += len({r.vec_id for r in got if r.query_id == q} & {i for i, _ in brute(x, ids, q, 5)})
+    assert hits == 5 * len(asked)  # all lists are looked into, so nothing is lost
