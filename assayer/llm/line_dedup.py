@@ -5,12 +5,14 @@ Two classes are linked if their sets' Jaccard similarity is ``percent`` % or mor
 
 - a set's words are put in one global order, rarest first; two linked sets share a word among the first n - ceil(t n) + 1
   (the prefix filter), so only prefixes are indexed and probed;
-- a pair is dropped where sizes differ too much (length filter), where too few words can follow the shared prefix word
-  (positional filter), or where 64-bit word maps differ in too many bits;
-- what is left is tried on word maps of 256 bits, by the same bound, and then compared on the whole sets, which so travel
-  for few pairs that aren't links.
-
-Rarity is the count of a word's hash bucket over all lines, on a scale of powers of two: 64 KB, whatever the corpus. A word
+- a prefix word that occurs often is no key by itself: linked sets whose first shared word is such a one share a second word
+  in the prefix longer by one, so the two together are the key, whose list is far shorter. Sets of over ``PAIRED`` words,
+  whose prefix has too many pairs, are keyed by single words, and so are sets that can be linked with those;
+- a pair is dropped where sizes differ too much (length filter), where too few words follow the shared ones (positional
+  filter), or where 128-bit word maps differ in too many bits;
+- what is left is compared on the whole sets.
+
+Rarity is the count of a word's hash bucket over all lines, on a scale of powers of two: 1 MB, whatever the corpus. A word
 is a 57-bit hash; a set that is compared with another is cut from its own line again.
 """
 
@@ -23,9 +25,9 @@ from assayer.llm.scratch import written
 
 #: Any run of these parts words; lines end at \n.
 SEPARATORS = r"[\x20\x09-\x0D]+"
-BUCKETS = 1 << 16
-#: Longs of a set's word map in the second filter.
-WIDE = 4
+BUCKETS, ROW = 1 << 20, 1 << 10
+#: From this power of two on, a word's count makes it common; sets of up to PAIRED words have pairs of common words as keys.
+COMMON, PAIRED = 11, 100
 
 
 def _words(line: Column) -> Column:
@@ -38,11 +40,16 @@ def rarity(docs: DataFrame) -> bytes:
         docs.select(F.explode(F.split(F.lower("text"), SEPARATORS)).alias("w"))
         .groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket"))
         .agg(F.count("*").alias("n"))
-        .select("bucket", (F.floor(F.log2("n")) + 1).cast("int").alias("power"))
+        .select(F.floor(F.col("bucket") / ROW).cast("int").alias("row"), F.struct((F.col("bucket") % ROW).alias("at"), F.least(F.floor(F.log2("n")) + 1, F.lit(64)).cast("int").alias("power")).alias("one"))
     )
+    # A row of buckets as a text: before each power as many 1s as there are empty buckets.
+    rows = counts.groupBy("row").agg(F.sort_array(F.collect_list("one")).alias("all"))
+    gap = lambda x, i: x["at"] - F.when(i > 0, F.get("all", i - 1)["at"]).otherwise(-1) - 1
+    text = F.array_join(F.transform("all", lambda x, i: F.concat(F.repeat(F.lit("\x01"), gap(x, i)), F.char(x["power"]))), "")
     scale = bytearray(b"\x01" * BUCKETS)
-    for r in counts.collect():  # BUCKETS rows at most
-        scale[r["bucket"]] = min(64, max(1, r["power"]))
+    for r in rows.select("row", text.alias("text")).collect():  # BUCKETS / ROW rows at most
+        powers = r["text"].encode("ascii")
+        scale[r["row"] * ROW : r["row"] * ROW + len(powers)] = powers
     return bytes(scale)
 
 
@@ -57,30 +64,50 @@ def _tokens(line: Column, scale: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(_words(line), token)))
 
 
-def _map(part: int) -> Column:
-    """One long of the map of a set's word hashes: six bits of a hash name the bit, the next ones the long."""
+def _map(tokens: Column, part: int) -> Column:
+    """One of two longs of a set's word map: six bits of a word's hash name the bit, the next one the long."""
+
+    def bit(t: Column) -> Column:
+        mine = F.shiftright(t, 6).bitwiseAND(F.lit(1)) == part
+        return F.when(mine, F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
+
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(bit(t)))
+
+
+def _prefix(n: Column, percent: int) -> Column:
+    """Words of the prefix of a set of n: one more than can be missing in a set that it is linked with."""
+    return n - F.floor((F.lit(percent) * n + 99) / 100).cast("int") + 1
 
-    def bit(h: Column) -> Column:
-        mine = F.pmod(F.shiftright(h, 6), F.lit(WIDE)) == part
-        return F.when(mine, F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
 
-    return F.aggregate("hashes", F.lit(0).cast("long"), lambda m, h: m.bitwiseOR(bit(h)))
+def _keys(prefix: Column, n: Column, percent: int) -> Column:
+    """The keys of a set, each with the words from its last shared word on, and one more for each shared word before it.
 
+    ``prefix`` has one word more than the prefix filter needs, unless the set itself has no more.
+    """
+    singles = _prefix(n, percent)
+    rare = F.size(F.filter(prefix, lambda t, i: (i < singles) & (F.shiftrightunsigned(t, 57) < COMMON)))
+    alone = F.when(F.lit(100) * n >= F.lit(percent * PAIRED), singles).otherwise(rare)
+    one = F.transform(F.slice(prefix, F.lit(1), alone), lambda t, i: F.struct(t.alias("key"), (n - i).alias("left")))
+
+    def pairs(t: Column, i: Column) -> Column:
+        return F.transform(F.slice(prefix, i + 2, F.size(prefix)), lambda u, j: F.struct(F.xxhash64(t, u).alias("key"), (n - i - j).alias("left")))
+
+    two = F.flatten(F.transform(F.slice(prefix, rare + 1, singles - rare), lambda t, i: pairs(t, i + rare)))
+    return F.when(n > PAIRED, one).otherwise(F.concat(one, two))
 
-def line_links(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The lines, the classes and the links of ``docs``.
 
-    Lines: ``id, print, line, class`` of every line with a word; classes: ``class, first, n``, where ``first`` is the struct
+def line_links(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """The classes and the links of ``docs``.
+
+    Classes: ``class, first, n``, where ``first`` is the struct
     ``id, print, line`` of the first line in reading order (id, then the text's hash, then the line's number); links:
     ``a, b`` as firsts of two classes, ``a`` before ``b``.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     scale = F.lit(rarity(docs))
 
     # Words shared by two linked sets of n and m: at least ceil(t (n + m) / (1 + t)). In whole numbers throughout.
-    need = lambda n, m: F.floor((F.lit(percent) * (n + m) + 99 + percent) / (100 + percent)).cast("int")
-    prefix = lambda n: n - F.floor((F.lit(percent) * n + 99) / 100).cast("int") + 1
+    enough = F.floor((F.lit(percent) * (F.col("n_a") + F.col("n_b")) + 99 + percent) / (100 + percent)).cast("int")
 
     lines = docs.select("id", F.xxhash64("text").alias("print"), F.posexplode(F.split("text", "\n")).alias("line", "words"))
     # Filtered on the line itself: a condition on its words would have Spark cut and sort them twice.
@@ -89,23 +116,23 @@ def line_links(docs: DataFrame, id: str = "doc_id", text: str = "text", percent:
         F.struct("id", "print", "line").alias("at"),
         F.struct(F.xxhash64("tokens").alias("x"), F.xxhash64(F.lit(5), "tokens").alias("y")).alias("class"),
         F.size("tokens").alias("n"),
-        F.slice("tokens", F.lit(1), prefix(F.size("tokens"))).alias("prefix"),
-        F.aggregate("tokens", F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))).alias("map"),
+        F.slice("tokens", F.lit(1), _prefix(F.size("tokens"), percent) + 1).alias("prefix"),
+        *(_map(F.col("tokens"), i).alias(f"map{i}") for i in (0, 1)),
     )
-    lines = written(lines, "lines")
-    classes = lines.groupBy("class").agg(F.min("at").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("map").alias("map"))
-    classes = written(classes, "classes")
+    rest = ("n", "prefix", "map0", "map1")
+    classes = written(lines.groupBy("class").agg(F.min("at").alias("first"), *(F.first(c).alias(c) for c in rest)), "classes")
 
     # Probes name a class by one of its hashes; the sets that are compared in the end are those of all classes of that name.
-    probes = classes.select(F.col("class.x").alias("x"), "n", "map", F.posexplode("prefix").alias("at", "token"))
-    a, b = (probes.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("x", "n", "map", "at"))) for s in ("a", "b"))
-    enough = need(F.col("n_a"), F.col("n_b"))
-    pairs = a.join(b, "token").where(
+    probes = classes.select(F.col("class.x").alias("x"), "n", "map0", "map1", F.explode(_keys(F.col("prefix"), F.col("n"), percent)).alias("k"))
+    probes = probes.select("k.key", "k.left", "x", "n", "map0", "map1")
+    a, b = (probes.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("x", "n", "left", "map0", "map1"))) for s in ("a", "b"))
+    alone = lambda s, t: sum((F.bit_count(F.col(f"{m}_{s}").bitwiseAND(F.bitwise_not(f"{m}_{t}"))) for m in ("map0", "map1")), F.lit(0))
+    pairs = a.join(b, "key").where(
         (F.col("x_a") < F.col("x_b"))
         & (F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
-        & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + F.least("at_a", "at_b") >= enough)
-        & (F.bit_count(F.col("map_a").bitwiseAND(F.bitwise_not("map_b"))) <= F.col("n_a") - enough)
-        & (F.bit_count(F.col("map_b").bitwiseAND(F.bitwise_not("map_a"))) <= F.col("n_b") - enough)
+        & (F.least("left_a", "left_b") >= enough)
+        & (alone("a", "b") <= F.col("n_a") - enough)
+        & (alone("b", "a") <= F.col("n_b") - enough)
     )
     pairs = written(pairs.select("x_a", "x_b").distinct(), "pairs")
 
@@ -117,22 +144,15 @@ def line_links(docs: DataFrame, id: str = "doc_id", text: str = "text", percent:
     sets = texts.join(asked.alias("q"), F.col("d.id").eqNullSafe(F.col("q.id")) & (F.col("d.print") == F.col("q.print")))
     sets = sets.select("d.id", "d.print", F.split("text", "\n").alias("all"), F.explode("asked").alias("one"))
     sets = sets.select("one.x", F.struct("id", "print", "one.line").alias("at"), F.array_distinct(_words(F.get("all", F.col("one.line")))).alias("words"))
-    hashes = F.transform("words", lambda w: F.xxhash64(w))
-    sets = sets.select("x", "at", F.size("words").alias("n"), hashes.alias("hashes"), F.array_join("words", " ").alias("words"))
-    sets = written(sets.dropDuplicates(["at"]).select("x", "at", "n", "words", *(_map(i).alias(f"map{i}") for i in range(WIDE))), "sets")
-
-    maps = [f"map{i}" for i in range(WIDE)]
-    left, right = (sets.select(*(F.col(c).alias(f"{c}_{s}") for c in ("x", "n", *maps))) for s in ("a", "b"))
-    alone = lambda s, t: sum((F.bit_count(F.col(f"{m}_{s}").bitwiseAND(F.bitwise_not(f"{m}_{t}"))) for m in maps), F.lit(0))
-    close = pairs.join(left, "x_a").join(right, "x_b").where((alone("a", "b") <= F.col("n_a") - enough) & (alone("b", "a") <= F.col("n_b") - enough))
-    close = written(close.select("x_a", "x_b").distinct(), "close")
-
-    left, right = (sets.select(*(F.col(c).alias(f"{c}_{s}") for c in ("x", "n", "at", "words"))) for s in ("a", "b"))
-    both = F.size(F.array_intersect(F.split("words_a", " "), F.split("words_b", " ")))
-    links = close.join(left, "x_a").join(right, "x_b").where(F.lit(100) * both >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - both))
+    sets = written(sets.dropDuplicates(["at"]), "sets")
+
+    left, right = (sets.select(*(F.col(c).alias(f"{c}_{s}") for c in ("x", "at", "words"))) for s in ("a", "b"))
+    both = F.size(F.array_intersect("words_a", "words_b"))
+    close = pairs.join(left, "x_a").join(right, "x_b").select("at_a", "at_b", (F.size("words_a") + F.size("words_b")).alias("n"), both.alias("both"))
+    links = close.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("n") - F.col("both")))
     forward = F.col("at_a") < F.col("at_b")
     links = links.select(F.when(forward, F.col("at_a")).otherwise(F.col("at_b")).alias("a"), F.when(forward, F.col("at_b")).otherwise(F.col("at_a")).alias("b"))
-    return lines.select("at", "class"), classes.select("class", "first", "n"), links
+    return classes.select("class", "first", "n"), links
 
 
 def remove_repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
@@ -143,21 +163,25 @@ def remove_repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text
     0 lines. Rows that repeat both id and text are one document. ``n_links`` counts the classes that those of the document's
     lines are linked with. Columns of ``docs`` named as those added are replaced.
     """
-    lines, classes, links = line_links(docs, id, text, percent)
+    classes, links = line_links(docs, id, text, percent)
     links = written(links, "links")
     degrees = links.select(F.explode(F.array(F.struct(F.col("a").alias("first"), F.lit(0).alias("later")), F.struct(F.col("b").alias("first"), F.lit(1).alias("later")))).alias("e"))
     degrees = degrees.groupBy("e.first").agg(F.count("*").alias("links"), F.max("e.later").alias("later"))
     marked = classes.join(degrees, "first", "left").select("class", F.col("first").alias("at"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("later", F.lit(0)).alias("later"))
     # Only firsts can stay; every document learns of its own firsts, and the count of its lines it knows itself.
     per_doc = marked.groupBy(F.col("at.id").alias("k_id"), F.col("at.print").alias("k_print")).agg(
-        F.collect_list(F.when(F.col("later") == 0, F.col("at.line"))).alias("k_stay"), F.sum("links").alias("k_links")
+        F.sort_array(F.collect_list(F.when(F.col("later") == 0, F.col("at.line")))).alias("k_stay"), F.sum("links").alias("k_links")
     )
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id).alias("r_id"), F.col(text).alias("r_text"), F.xxhash64(F.col(text)).alias("r_print"))
     rows = rows.join(per_doc, F.col("r_id").eqNullSafe(F.col("k_id")) & (F.col("r_print") == F.col("k_print")), "left")
     split = F.split("r_text", "\n")
     blank = lambda x: F.regexp_replace(x, SEPARATORS, "") == ""
     stay = F.coalesce("k_stay", F.array().cast("array<int>"))
-    kept = F.filter(split, lambda x, i: F.array_contains(stay, i) | blank(x))
+    # A byte a line up to the last that stays: finding it in a list would take the square of a long document's lines.
+    gap = lambda x, i: x - F.when(i > 0, F.get(stay, i - 1)).otherwise(-1) - 1
+    marks = F.array_join(F.transform(stay, lambda x, i: F.concat(F.repeat(F.lit("0"), gap(x, i)), F.lit("1"))), "").cast("binary")
+    rows = rows.withColumn("k_marks", marks)
+    kept = F.filter(split, lambda x, i: (F.substring("k_marks", i + 1, F.lit(1)) == F.lit(b"1")) | blank(x))
     out = {"text": F.array_join(kept, "\n"), "n_lines": F.coalesce(F.size(F.filter(split, lambda x: ~blank(x))), F.lit(0))}
     rows = rows.withColumn("o_text", F.when(F.col("r_text").isNotNull(), out["text"])).withColumn("o_lines", F.when(F.col("r_text").isNull(), 0).otherwise(out["n_lines"]))
     added = {"n_lines": F.col("o_lines"), "n_removed": F.col("o_lines") - F.size(stay), "n_links": F.coalesce("k_links", F.lit(0))}
