@@ -12,8 +12,8 @@ Two classes are linked if their sets' Jaccard similarity is ``percent`` % or mor
   filter), or where 128-bit word maps differ in too many bits;
 - what is left is compared on the whole sets.
 
-Rarity is the count of a word's hash bucket over all lines, on a scale of powers of two: 1 MB, whatever the corpus. A word
-is a 57-bit hash; a set that is compared with another is cut from its own line again.
+Rarity is the count of a word's hash bucket over all lines, on a scale of powers of two: 256 KB, whatever the corpus. A word
+is a 57-bit hash, in a key 32 bits of it; a set that is compared with another is cut from its own line again.
 """
 
 from __future__ import annotations
@@ -23,21 +23,24 @@ from pyspark.sql import functions as F
 
 from assayer.llm.scratch import written
 
-#: Any run of these parts words; lines end at \n.
-SEPARATORS = r"[\x20\x09-\x0D]+"
-BUCKETS, ROW = 1 << 20, 1 << 10
+#: Any run of blanks, \t, \v, \f and \r parts words; lines end at \n. The buckets of rarity, and how many of them one row brings.
+BUCKETS, ROW = 1 << 18, 1 << 10
 #: From this power of two on, a word's count makes it common; sets of up to PAIRED words have pairs of common words as keys.
 COMMON, PAIRED = 11, 100
+#: Sets of more words have a map of 128 bits instead of 64.
+SHORT = 48
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), SEPARATORS), lambda w: w != "")
+    # Splitting at one character is several times as fast as at a pattern; few lines have other separators.
+    spaced = F.when(line.rlike(r"[\x09-\x0D]"), F.translate(line, "\t\n\x0b\f\r", "     ")).otherwise(line)
+    return F.array_remove(F.split(F.lower(spaced), " "), "")
 
 
 def rarity(docs: DataFrame) -> bytes:
     """For each hash bucket the power of two of its words' count, in one byte of 1 to 64."""
     counts = (
-        docs.select(F.explode(F.split(F.lower("text"), SEPARATORS)).alias("w"))
+        docs.select(F.explode(_words(F.col("text"))).alias("w"))
         .groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket"))
         .agg(F.count("*").alias("n"))
         .select(F.floor(F.col("bucket") / ROW).cast("int").alias("row"), F.struct((F.col("bucket") % ROW).alias("at"), F.least(F.floor(F.log2("n")) + 1, F.lit(64)).cast("int").alias("power")).alias("one"))
@@ -65,13 +68,23 @@ def _tokens(line: Column, scale: Column) -> Column:
 
 
 def _map(tokens: Column, part: int) -> Column:
-    """One of two longs of a set's word map: six bits of a word's hash name the bit, the next one the long."""
+    """One of two longs of a set's word map. A set of up to SHORT words has only the first, which is that of a larger set's two together."""
 
     def bit(t: Column) -> Column:
-        mine = F.shiftright(t, 6).bitwiseAND(F.lit(1)) == part
-        return F.when(mine, F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
+        return F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
 
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(bit(t)))
+    none = F.lit(0).cast("long")
+    mine = lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(1)) == part
+    half = F.aggregate(tokens, none, lambda m, t: F.when(mine(t), m.bitwiseOR(bit(t))).otherwise(m))
+    return F.when(F.size(tokens) > SHORT, half).otherwise(none if part else F.aggregate(tokens, none, lambda m, t: m.bitwiseOR(bit(t))))
+
+
+def _alone(a: str, b: str) -> Column:
+    """How many bits of one set's map the other's lacks: no more than its words that the other lacks."""
+    less = lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
+    one, two = (F.col(f"map0_{s}").bitwiseOR(F.col(f"map1_{s}")) for s in (a, b))
+    apart = less(F.col(f"map0_{a}"), F.col(f"map0_{b}")) + less(F.col(f"map1_{a}"), F.col(f"map1_{b}"))
+    return F.when(F.least("n_a", "n_b") > SHORT, apart).otherwise(less(one, two))
 
 
 def _prefix(n: Column, percent: int) -> Column:
@@ -79,15 +92,14 @@ def _prefix(n: Column, percent: int) -> Column:
     return n - F.floor((F.lit(percent) * n + 99) / 100).cast("int") + 1
 
 
-def _keys(prefix: Column, n: Column, percent: int) -> Column:
+def _keys(prefix: Column, rare: Column, n: Column, percent: int) -> Column:
     """The keys of a set, each with the words from its last shared word on, and one more for each shared word before it.
 
-    ``prefix`` has one word more than the prefix filter needs, unless the set itself has no more.
+    ``prefix`` has one word more than the prefix filter needs, unless the set itself has no more; the first ``rare`` are rare.
     """
     singles = _prefix(n, percent)
-    rare = F.size(F.filter(prefix, lambda t, i: (i < singles) & (F.shiftrightunsigned(t, 57) < COMMON)))
     alone = F.when(F.lit(100) * n >= F.lit(percent * PAIRED), singles).otherwise(rare)
-    one = F.transform(F.slice(prefix, F.lit(1), alone), lambda t, i: F.struct(t.alias("key"), (n - i).alias("left")))
+    one = F.transform(F.slice(prefix, F.lit(1), alone), lambda t, i: F.struct(t.cast("long").alias("key"), (n - i).alias("left")))
 
     def pairs(t: Column, i: Column) -> Column:
         return F.transform(F.slice(prefix, i + 2, F.size(prefix)), lambda u, j: F.struct(F.xxhash64(t, u).alias("key"), (n - i - j).alias("left")))
@@ -116,23 +128,23 @@ def line_links(docs: DataFrame, id: str = "doc_id", text: str = "text", percent:
         F.struct("id", "print", "line").alias("at"),
         F.struct(F.xxhash64("tokens").alias("x"), F.xxhash64(F.lit(5), "tokens").alias("y")).alias("class"),
         F.size("tokens").alias("n"),
-        F.slice("tokens", F.lit(1), _prefix(F.size("tokens"), percent) + 1).alias("prefix"),
+        F.transform(F.slice("tokens", F.lit(1), _prefix(F.size("tokens"), percent) + 1), lambda t: F.shiftright(F.shiftleft(t, 32), 32).cast("int")).alias("prefix"),
+        F.size(F.filter(F.slice("tokens", F.lit(1), _prefix(F.size("tokens"), percent)), lambda t: F.shiftrightunsigned(t, 57) < COMMON)).alias("rare"),
         *(_map(F.col("tokens"), i).alias(f"map{i}") for i in (0, 1)),
     )
-    rest = ("n", "prefix", "map0", "map1")
+    rest = ("n", "prefix", "rare", "map0", "map1")
     classes = written(lines.groupBy("class").agg(F.min("at").alias("first"), *(F.first(c).alias(c) for c in rest)), "classes")
 
     # Probes name a class by one of its hashes; the sets that are compared in the end are those of all classes of that name.
-    probes = classes.select(F.col("class.x").alias("x"), "n", "map0", "map1", F.explode(_keys(F.col("prefix"), F.col("n"), percent)).alias("k"))
+    probes = classes.select(F.col("class.x").alias("x"), "n", "map0", "map1", F.explode(_keys(F.col("prefix"), F.col("rare"), F.col("n"), percent)).alias("k"))
     probes = probes.select("k.key", "k.left", "x", "n", "map0", "map1")
     a, b = (probes.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("x", "n", "left", "map0", "map1"))) for s in ("a", "b"))
-    alone = lambda s, t: sum((F.bit_count(F.col(f"{m}_{s}").bitwiseAND(F.bitwise_not(f"{m}_{t}"))) for m in ("map0", "map1")), F.lit(0))
     pairs = a.join(b, "key").where(
         (F.col("x_a") < F.col("x_b"))
         & (F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
         & (F.least("left_a", "left_b") >= enough)
-        & (alone("a", "b") <= F.col("n_a") - enough)
-        & (alone("b", "a") <= F.col("n_b") - enough)
+        & (_alone("a", "b") <= F.col("n_a") - enough)
+        & (_alone("b", "a") <= F.col("n_b") - enough)
     )
     pairs = written(pairs.select("x_a", "x_b").distinct(), "pairs")
 
@@ -175,7 +187,7 @@ def remove_repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id).alias("r_id"), F.col(text).alias("r_text"), F.xxhash64(F.col(text)).alias("r_print"))
     rows = rows.join(per_doc, F.col("r_id").eqNullSafe(F.col("k_id")) & (F.col("r_print") == F.col("k_print")), "left")
     split = F.split("r_text", "\n")
-    blank = lambda x: F.regexp_replace(x, SEPARATORS, "") == ""
+    blank = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]")
     stay = F.coalesce("k_stay", F.array().cast("array<int>"))
     # A byte a line up to the last that stays: finding it in a list would take the square of a long document's lines.
     gap = lambda x, i: x - F.when(i > 0, F.get(stay, i - 1)).otherwise(-1) - 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -23,4 +24,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/assayer-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
+    # Spark removes a finished plan's shuffle files once the driver has collected the plan; without this they all add up.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
