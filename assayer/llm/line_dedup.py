@@ -18,6 +18,8 @@ is a 57-bit hash, in a key 32 bits of it; a set that is compared with another is
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +30,13 @@ BUCKETS, ROW = 1 << 18, 1 << 10
 #: From this power of two on, a word's count makes it common; sets of up to PAIRED words have pairs of common words as keys.
 COMMON, PAIRED = 11, 100
 #: Sets of more words have a map of 128 bits instead of 64.
-SHORT = 48
+SHORT = 64
 
 
 def _words(line: Column) -> Column:
     # Splitting at one character is several times as fast as at a pattern; few lines have other separators.
-    spaced = F.when(line.rlike(r"[\x09-\x0D]"), F.translate(line, "\t\n\x0b\f\r", "     ")).otherwise(line)
+    other = [line.contains(c) for c in "\t\n\x0b\f\r"]
+    spaced = F.when(functools.reduce(Column.__or__, other), F.translate(line, "\t\n\x0b\f\r", "     ")).otherwise(line)
     return F.array_remove(F.split(F.lower(spaced), " "), "")
 
 
@@ -61,7 +64,7 @@ def _tokens(line: Column, scale: Column) -> Column:
 
     def token(w: Column) -> Column:
         h = F.xxhash64(w)
-        power = F.ascii(F.substring(scale, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string"))
+        power = F.get(scale, F.pmod(h, F.lit(BUCKETS)).cast("int"))
         return F.shiftleft(power.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
     return F.sort_array(F.array_distinct(F.transform(_words(line), token)))
@@ -116,7 +119,8 @@ def line_links(docs: DataFrame, id: str = "doc_id", text: str = "text", percent:
     ``a, b`` as firsts of two classes, ``a`` before ``b``.
     """
     docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    scale = F.lit(rarity(docs))
+    # A constant: Spark makes the array once, on the driver.
+    scale = F.split(F.lit(",".join(map(str, rarity(docs)))), ",").cast("array<int>")
 
     # Words shared by two linked sets of n and m: at least ceil(t (n + m) / (1 + t)). In whole numbers throughout.
     enough = F.floor((F.lit(percent) * (F.col("n_a") + F.col("n_b")) + 99 + percent) / (100 + percent)).cast("int")
@@ -139,7 +143,7 @@ def line_links(docs: DataFrame, id: str = "doc_id", text: str = "text", percent:
     probes = classes.select(F.col("class.x").alias("x"), "n", "map0", "map1", F.explode(_keys(F.col("prefix"), F.col("rare"), F.col("n"), percent)).alias("k"))
     probes = probes.select("k.key", "k.left", "x", "n", "map0", "map1")
     a, b = (probes.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("x", "n", "left", "map0", "map1"))) for s in ("a", "b"))
-    pairs = a.join(b, "key").where(
+    pairs = a.join(b.hint("shuffle_hash"), "key").where(
         (F.col("x_a") < F.col("x_b"))
         & (F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
         & (F.least("left_a", "left_b") >= enough)
