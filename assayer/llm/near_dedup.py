@@ -6,9 +6,11 @@ at 80 % one of 42 bands of 6 agrees in all but 3 of a million pairs. Registers a
 one text may be sketched apart.
 
 Work that grows with the square of a group is avoided in three ways. Equal shingle sets become one class first. In a bucket
-each class is tried against one centre, drawn anew for every band, so a group of n near copies costs n pairs a band, not
-n * n. Only where a bucket still holds several components are the pairs across components tried, all of them; so no link
-that the bands see can be lost.
+each class is tried against one centre, the class that shares most buckets with others, so a group of n near copies costs n
+pairs a band, not n * n. Where a bucket still holds several components, the pairs across them are tried, so that no link that
+the bands see is lost; but a pair is made only if what its classes share with their centre, and what they may share beside it
+by a map of 256 bits, can reach the threshold. A class that isn't linked with its centre shares too little with it, so the
+pairs that are left are those that have words in common which the centre lacks.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.components import components
@@ -120,7 +122,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A class's buckets, and a bit of each register: where two sketches agree, so do the bits, and in half of the rest."""
+    """A bit of each register of a class: where two sketches agree, so do the bits, and in half of the rest."""
     for batch in batches:
         for at in range(0, len(batch), 2000):
             part = batch.slice(at, 2000)
@@ -129,32 +131,60 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits[:, :REGISTERS] = mixed(r.astype(np.uint64) + _BAND.ravel()) & np.uint64(1)
             packed = np.packbits(bits, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column("rep"), part.column("n"), pa.array([*_keys(r)], pa.list_(pa.int64())), pa.array([*packed], pa.list_(pa.int64()))], ["rep", "n", "buckets", "bits"]
+                [part.column("rep"), part.column("n"), pa.array([*packed], pa.list_(pa.int64()))], ["rep", "n", "bits"]
             )
 
 
+#: Longs of the map of what a class has and its centre lacks.
+BESIDE = 4
+
+
+def _beside(shingles: np.ndarray) -> np.ndarray:
+    bits = np.zeros(BESIDE * 64, dtype=np.uint8)
+    bits[(mixed(shingles ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(len(bits))).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def _likely(percent: int):
+    """Pairs that the joint estimate leaves possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 2000):
+                part = batch.slice(at, 2000)
+                ra, rb = (np.frombuffer(b"".join(part.column(c).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for c in ("registers_a", "registers_b"))
+                na, nb = (part.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
+                yield part.select(["a", "b"]).filter(pa.array(joint_estimate(ra, rb, na, nb) >= percent / 100 - SLACK))
+
+    return run
+
+
+_TRIED = "a long, b long, linked boolean, beside long, map array<long>"
+
+
 def _verify(k: int, percent: int):
+    """For each pair of a centre and a class: if they are linked, and what the class has beside the centre."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple[tuple, np.ndarray] | None = None  # the last centre's shingles; its pairs follow one another
         for batch in batches:
             for part in slices(batch, "text_b"):
-                ra, rb = (np.frombuffer(b"".join(part.column(c).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for c in ("registers_a", "registers_b"))
-                na, nb = (part.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
-                likely = (joint_estimate(ra, rb, na, nb) >= percent / 100 - SLACK) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-                a, b, out = part.column("a"), part.column("b"), []
-                rows = np.flatnonzero(likely)
-                mine = shingle_sets(part.column("text_b").take(pa.array(rows)), k) if len(rows) else []
+                mine = shingle_sets(part.column("text_b"), k)
                 ha, hb = (part.column(c).to_numpy() for c in ("h1_a", "h1_b"))
-                for row, s in zip(rows, mine, strict=True):
-                    centre = a[row].as_py()
+                out: list[tuple] = []
+                for row, s in enumerate(mine):
+                    centre = part.column("a")[row].as_py()
                     if known is None or known[0] != (centre, ha[row]):
                         known = (centre, ha[row]), shingle_sets(part.column("text_a").slice(row, 1), k)[0]
                     if total(s) != hb[row] or total(known[1]) != ha[row]:
                         continue  # another text of an id that has several
-                    both = len(np.intersect1d(s, known[1], assume_unique=True))
-                    if 100 * both >= percent * (len(s) + len(known[1]) - both):
-                        out.append((centre, b[row].as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+                    other = np.setdiff1d(s, known[1], assume_unique=True)
+                    both = len(s) - len(other)
+                    linked = 100 * both >= percent * (len(s) + len(known[1]) - both)
+                    out.append((centre, part.column("b")[row].as_py(), linked, len(other), _beside(other)))
+                columns = list(zip(*out, strict=True)) or [[]] * 5
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["a", "b", "linked", "beside", "map"])
 
     return run
 
@@ -173,45 +203,56 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     # Equal sets have equal sketches, so any one of them stands for the class.
     classes = written(some.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("registers").alias("registers")), "classes")
 
-    bands = classes.mapInArrow(_bands, "bucket long, rep long")
-    buckets = bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("bucket", "rep").alias("x"), "rep"))["rep"].alias("centre")).where("size > 1")
-    shared = written(bands.join(buckets, "bucket").select("bucket", "rep", "centre"), "shared")
+    bands = written(classes.mapInArrow(_bands, "bucket long, rep long"), "bands")
+    sizes = bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = written(bands.join(sizes, "bucket"), "shared")
+    weights = shared.groupBy("rep").agg(F.sum("size").alias("weight"))
+    centres = shared.join(weights, "rep").groupBy("bucket").agg(F.max(F.struct("weight", F.xxhash64("rep"), "rep"))["rep"].alias("centre"))
+    shared = written(shared.join(centres, "bucket").select("bucket", "rep", "centre"), "centred")
     wanted = shared.select("rep").distinct()
-    texts = written(classes.join(wanted, "rep", "left_semi").join(docs.withColumnRenamed("id", "rep"), "rep").select("rep", "n", "h1", "registers", "text").dropDuplicates(["rep", "h1", "text"]), "texts")
+    texts = written(classes.join(wanted, "rep", "left_semi").join(docs.withColumnRenamed("id", "rep"), "rep").select("rep", "h1", "text").dropDuplicates(["rep", "h1", "text"]), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         def side(s: str) -> DataFrame:
-            return texts.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("h1").alias(f"h1_{s}"), F.col("registers").alias(f"registers_{s}"), F.col("text").alias(f"text_{s}"))
+            return texts.select(F.col("rep").alias(s), F.col("h1").alias(f"h1_{s}"), F.col("text").alias(f"text_{s}"))
 
-        return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_verify(shingle, percent), "a long, b long")
+        return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_verify(shingle, percent), _TRIED)
 
-    stars = shared.where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-    links = written(verified(stars), "links")
+    stars = shared.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    tried = written(verified(stars), "tried")
+    links = tried.where("linked").select("a", "b")
     reached = components(links).checkpoint()
 
-    # Buckets whose members the stars left in several components: every pair across components that wasn't tried.
+    # Buckets whose members the stars left in several components: pairs across components that can be linked.
     open_ = shared.join(reached.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed_ = open_.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    rest = open_.join(mixed_, "bucket").select("bucket", "rep", "component", "centre")
-    marks = classes.join(rest.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "registers").mapInArrow(_marks, "rep long, n long, buckets array<long>, bits array<long>")
-    rest = written(rest.join(marks, "rep"), "rest")
-    left, right = (rest.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "centre", "n", "buckets", "bits"))) for s in ("a", "b"))
+    rest = open_.where("rep <> centre").join(mixed_, "bucket").select("bucket", "rep", "component", "centre")
+    marks = classes.join(rest.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "registers").mapInArrow(_marks, "rep long, n long, bits array<long>")
+    rest = rest.join(marks, "rep").join(tried.select(F.col("a").alias("centre"), F.col("b").alias("rep"), "beside", "map"), ["centre", "rep"])
+    rest = written(rest, "rest")
+    left, right = (rest.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n", "bits", "beside", "map"))) for s in ("a", "b"))
     # Registers that differ at the threshold, half of which show in the bits, and six standard deviations more.
     unlike = (1 - percent / 100) / 2
     limit = int(REGISTERS * unlike + 6 * (REGISTERS * unlike * (1 - unlike)) ** 0.5) + 1
-    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    ones = lambda x, y, f: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(f(p, q))), F.lit(0), lambda a, p: a + p)
+    differ = ones("bits_a", "bits_b", Column.bitwiseXOR)
+    lacks = lambda p, q: p.bitwiseAND(F.bitwise_not(q))
+    # Shingles of both: at most those of the centre, and those beside it that the other's map doesn't lack.
+    common = F.least(F.col("n_a") - F.col("beside_a"), F.col("n_b") - F.col("beside_b")) + F.least(
+        F.col("beside_a") - ones("map_a", "map_b", lacks), F.col("beside_b") - ones("map_b", "map_a", lacks)
+    )
     pairs = left.join(right, "bucket").where(
         (F.col("rep_a") < F.col("rep_b"))
         & (F.col("component_a") != F.col("component_b"))
-        & (F.col("rep_a") != F.col("centre_a"))
-        & (F.col("rep_b") != F.col("centre_b"))
         & (F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
+        & (F.lit(100 + percent) * common >= F.lit(percent) * (F.col("n_a") + F.col("n_b")))
         & (differ <= limit)
-        # A pair that shares several buckets comes from the first of them alone.
-        & (F.array_min(F.array_intersect("buckets_a", "buckets_b")) == F.col("bucket"))
     )
-    pairs = pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    more = written(verified(pairs.join(stars, ["a", "b"], "left_anti")), "more")
+    pairs = written(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), "pairs")
+    # Sketches travel before texts do.
+    sketch = lambda s: classes.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("registers").alias(f"registers_{s}"))
+    likely = pairs.join(sketch("a"), "a").join(sketch("b"), "b").mapInArrow(_likely(percent), "a long, b long")
+    more = written(verified(likely).where("linked").select("a", "b"), "more")
     if not more.isEmpty():
         reached = components(links.unionByName(more))
 

@@ -1,7 +1,8 @@
 """Words of Arrow text columns as arrays: where each starts and ends, and a 64-bit hash of it.
 
 The texts of a batch lie one after another in one UTF-8 buffer. All separators used here are ASCII bytes, so words can be
-cut on bytes. A word's hash is a polynomial in its bytes modulo 2**64, taken from one running sum over the buffer.
+cut on bytes. A word's hash is the sum of one pseudo-random number for each of its bytes and their places in the word, taken
+from one running sum over the buffer. Unlike a polynomial modulo 2**64, it has no words that are known to collide.
 """
 
 from __future__ import annotations
@@ -57,6 +58,15 @@ def run_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mixed((sums[end] - sums[start]) * _power(_P_INV, n + 1)[start] + (end - start).astype(np.uint64))
 
 
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    begin = np.zeros(len(data), dtype=np.int64)
+    begin[start] = start
+    place = np.arange(len(data)) - np.maximum.accumulate(begin) if len(data) else begin
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(mixed(_BYTE[data] + place.astype(np.uint64) * _P), out=sums[1:])
+    return mixed(sums[end] - sums[start] + (end - start).astype(np.uint64))
+
+
 @dataclass
 class Words:
     """``first[d]:first[d + 1]`` are the words of text d; ``start`` and ``end`` are bytes of ``data``."""
@@ -96,7 +106,7 @@ def words(column: pa.Array, kind: np.ndarray = SPACED, lower: bool = False) -> W
     after[ends[ends >= 0]] = False
     start = np.flatnonzero(here & ~before)
     end = np.flatnonzero(here & ~after) + 1
-    return Words(data, offsets, start, end, run_hashes(_BYTE[data], start, end), np.searchsorted(start, offsets))
+    return Words(data, offsets, start, end, _word_hashes(data, start, end), np.searchsorted(start, offsets))
 
 
 def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

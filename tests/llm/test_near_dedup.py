@@ -62,3 +62,35 @@ def test_registers_merge_and_estimate():
     assert (registers(np.concatenate([a, b])) == np.maximum(registers(a), registers(b))).all()
     j = joint_estimate(registers(a)[None], registers(b)[None], np.array([2000.0]), np.array([2000.0]))[0]
     assert abs(j - 0.6) < 0.1
+
+
+def test_a_hot_group_with_chains_beside_its_centre(spark):
+    """Near copies in chains: most are linked with the centre, some only with each other, some with a copy at the rim."""
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for j in rng.choice(120, rng.integers(0, 14), replace=False):
+            w[j] = f"x{rng.integers(10**6)}"
+        rows.append((i, " ".join(w)))
+    for chain in range(6):
+        w = list(base)
+        for step in range(12):
+            for j in range(chain + step * 8, chain + step * 8 + 4):
+                w[j] = f"c{chain}_{j}"
+            rows.append((1000 + chain * 20 + step, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, shingle=2).collect()}
+    assert got == {i: c for i, (_, c) in brute(rows, 2, 80).items()}
+
+
+def test_words_that_a_polynomial_hash_confuses():
+    from assayer.llm.words import words
+    import pyarrow as pa
+
+    thue = [bin(i).count("1") % 2 for i in range(4096)]
+    texts = ["".join("ab"[b ^ flip] for b in thue) for flip in (0, 1)]
+    one, two = words(pa.array(texts)).hash
+    assert one != two
+    assert (words(pa.array([texts[0] + " x", "y " + texts[0]])).hash[[0, 3]] == one).all()
