@@ -1,8 +1,9 @@
 """The languages of documents, as mixtures of character n-gram models.
 
 Each language is a smoothed distribution of ``GRAM``-byte grams, hashed to ``BUCKETS``. A document's grams are taken for draws
-from a mixture of languages, whose proportions expectation-maximisation estimates. The set of languages is then the one of
-the best penalised likelihood: a further language must pay ``penalty`` times the logarithm of the document's grams.
+from a mixture of languages, whose proportions expectation-maximisation estimates. The set of languages then grows by the one
+with the next largest proportion as long as the penalised likelihood rises, up to all of them: a further language must pay
+``penalty`` times the logarithm of the document's grams.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from assayer.llm.words import buffer, slices
 
 GRAM, BUCKETS, SMOOTHING = 4, 1 << 15, 0.5
-ROUNDS, MOST, PENALTY = 12, 3, 4.0
+ROUNDS, PENALTY = 12, 4.0
 UNKNOWN = "und"
 
 #: Upper case to lower case; all other ASCII but letters to a space.
@@ -105,12 +106,17 @@ def mixtures(column: pa.Array, model: LanguageModel, penalty: float = PENALTY) -
     rank = np.argsort(order, axis=1)
     grams_of = np.bincount(doc, count)
     best, score = np.zeros_like(share), np.full(len(some), -np.inf)
-    for k in range(1, min(MOST, p.shape[1]) + 1):
-        start = np.where(rank < k, np.maximum(share, 1e-6), 0)
-        mine, ll = _em(p, doc, count, (start / start.sum(axis=1, keepdims=True)).astype(np.float32), 0 if k == 1 else ROUNDS // 2)
-        ll = ll - penalty * (k - 1) * np.log(grams_of + 1)
-        best[ll > score] = mine[ll > score]
-        score = np.maximum(score, ll)
+    live = np.arange(len(some))  # texts whose set may still grow
+    for k in range(1, p.shape[1] + 1):
+        start = np.where(rank[live] < k, np.maximum(share[live], 1e-6), 0)
+        here = np.isin(doc, live) if len(live) < len(some) else slice(None)
+        mine, ll = _em(p[here], np.searchsorted(live, doc[here]), count[here], (start / start.sum(axis=1, keepdims=True)).astype(np.float32), 0 if k == 1 else ROUNDS // 2)
+        ll = ll - penalty * (k - 1) * np.log(grams_of[live] + 1)
+        rises = ll > score[live]
+        live = live[rises]
+        best[live], score[live] = mine[rises], ll[rises]
+        if not len(live):
+            break
     out[some] = best
     return out
 
@@ -122,14 +128,14 @@ def _identify(model, columns: list[str], penalty: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            for part in slices(batch, "_text", max(1 << 16, (1 << 22) // max(4, len(m.languages)))):
-                share = mixtures(part.column("_text"), m, penalty)
-                share[~np.array(part.column("_lettered").to_pylist(), dtype=bool)] = 0
+            for part in slices(batch, "text", max(1 << 16, (1 << 22) // max(4, len(m.languages)))):
+                share = mixtures(part.column("text"), m, penalty)
+                share[~np.array(part.column("lettered").to_pylist(), dtype=bool)] = 0
                 top = share.argmax(axis=1) if m.languages else np.zeros(len(part), int)
                 score = share.max(axis=1, initial=0)
                 langs = [m.languages[t] if s > 0 else UNKNOWN for t, s in zip(top, score, strict=True)]
                 mix = [[{"lang": m.languages[i], "share": float(x[i])} for i in np.argsort(-x, kind="stable") if x[i] > 0] for x in share]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(langs, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(mix, _MIXTURE)], [*columns, "lang_pred", "score", "lang_mix"])
+                yield pa.RecordBatch.from_arrays([*part.column("row").flatten()[1:], pa.array(langs, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(mix, _MIXTURE)], [*columns, "lang_pred", "score", "lang_mix"])
 
     return run
 
@@ -147,6 +153,6 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: li
     """
     added = ("lang_pred", "score", "lang_mix")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    rows = docs.select(*keep, F.col(text).alias("_text"), lettered(F.col(text)).alias("_lettered"))
+    rows = docs.select(F.struct(F.lit(0), *keep).alias("row"), F.col(text).alias("text"), lettered(F.col(text)).alias("lettered"))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double, lang_mix array<struct<lang: string, share: double>>"])
     return rows.mapInArrow(_identify(docs.sparkSession.sparkContext.broadcast(model), keep, penalty), schema)
