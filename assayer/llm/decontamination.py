@@ -5,12 +5,14 @@ doubling. Every suffix of the benchmark is binary-searched in every shard, which
 and, extended from word to word, the longest of them. A document is affected if a match has ``window`` words or is a whole
 item of fewer.
 
-The benchmark is cut into blocks of ``BLOCK_BYTES``, which tasks hold one at a time; a larger benchmark takes more passes, not
-more memory. Nothing but the affected words' places is exchanged, and with one block nothing at all.
+The benchmark is cut into blocks of ``BLOCK_BYTES``, of which one at a time is with the driver and the tasks; a larger benchmark
+takes more passes, not more memory, each of which is written before the next block is sent. Nothing but the affected words'
+places is exchanged, and with one block nothing at all.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -19,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.scratch import written
 from assayer.llm.words import LETTERED, Words, slices, words
 
 WINDOW = 10
@@ -162,32 +165,49 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", tex
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    found = None
-    for block in _blocks(benchmark, item, item_text):
-        one = docs.mapInArrow(_search(spark.sparkContext.broadcast(block), window, found is None), _FOUND)
-        found = one if found is None else found.unionByName(one)
-        several = found is not one
-    if several:
+    blocks = _blocks(benchmark, item, item_text)
+    block, then = next(blocks), next(blocks, None)
+    if then is None:
+        found = docs.mapInArrow(_search(spark.sparkContext.broadcast(block), window, True), _FOUND)
+    else:
+        docs = written(docs, "numbered")  # every pass must see the same row numbers
+        passes: list[DataFrame] = []
+        while block is not None:
+            sent = spark.sparkContext.broadcast(block)
+            passes.append(written(docs.mapInArrow(_search(sent, window, not passes), _FOUND), "found"))
+            sent.destroy()
+            block, then = then, next(blocks, None)
+        found = functools.reduce(DataFrame.unionByName, passes)
         found = found.groupBy("row").agg(F.max("id").alias("id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"))
     out = found.select("id", "row", "n_words", "spans").mapInArrow(_digest, "id long, row long, n_words long, n_hit long, n_items long, items_sha256 string, spans array<struct<item: string, start: long, length: long>>")
     return out.select(F.col("id").alias(id), "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "spans")
 
 
-def _clean(blocks: list, window: int, text: str):
+def _clean(block, window: int, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bench = Benchmark(*block.value, window)
         for batch in batches:
             for part in slices(batch, text, SHARD_BYTES):
                 w = words(part.column(text), LETTERED, lower=True)
                 keep = np.ones(len(w), dtype=bool)
-                for block in blocks:
-                    _, place, _ = matches(w, Benchmark(*block.value, window))
-                    keep[np.searchsorted(w.first, place, "right") - 1] = False
+                _, place, _ = matches(w, bench)
+                keep[np.searchsorted(w.first, place, "right") - 1] = False
                 yield part.filter(pa.array(keep))
 
     return run
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` that hold no window of the benchmark, with every column. Blocks go to the tasks one after another."""
-    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(benchmark, item, item_text)]
-    return docs.mapInArrow(_clean(blocks, window, text), docs.schema)
+    """The rows of ``docs`` that hold no window of the benchmark, with every column.
+
+    Null and empty texts hold none and stay, as do all rows if the benchmark has no words. Repeated rows are judged each for
+    itself. No column is added, so names cannot clash. With several blocks what a pass keeps is written before the next.
+    """
+    blocks, context = _blocks(benchmark, item, item_text), docs.sparkSession.sparkContext
+    block = next(blocks)
+    while (then := next(blocks, None)) is not None:
+        sent = context.broadcast(block)
+        docs = written(docs.mapInArrow(_clean(sent, window, text), docs.schema), "clean")
+        sent.destroy()
+        block = then
+    return docs.mapInArrow(_clean(context.broadcast(block), window, text), docs.schema)
