@@ -25,9 +25,11 @@ from assayer.llm.scratch import written
 
 #: Vectors that fit the quantiser, at most: those whose hash is smallest.
 SAMPLE = 20_000
-CENTROIDS, SUBSPACES, CODES = 256, 32, 256
-#: Lists that a query looks into: vectors without clusters need many of them for a recall of 0.95, clustered ones far fewer.
-PROBES = 144
+SUBSPACES, CODES = 32, 256
+#: A list to so many vectors of the sample, at least; besides, there are as many lists as the square root of all vectors.
+LISTED = 8
+#: Queries of the sample that the number of lists to look into is tuned on, and the share of their neighbours to be found.
+TUNED, RECALL = 500, 0.97
 #: What single precision adds to a distance's error, at most.
 SLACK = 2e-3
 BLOCK, CHUNK = 16_384, 256
@@ -75,14 +77,30 @@ def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
     return centres
 
 
-def fit(x: np.ndarray, seed: int = 1) -> Quantiser:
+def fit(x: np.ndarray, total: int, seed: int = 1) -> Quantiser:
+    """The quantiser of ``total`` vectors, of which ``x`` is a sample."""
     rng = np.random.default_rng(seed)
-    centroids = _means(x, CENTROIDS, 12, rng)
+    centroids = _means(x, max(1, min(round(total**0.5), len(x) // LISTED)), 12, rng)
     r = x - centroids[((centroids**2).sum(axis=1) - 2 * x @ centroids.T).argmin(axis=1)]
     cuts = [c for c in np.array_split(np.arange(x.shape[1]), SUBSPACES) if len(c)]
     return Quantiser(centroids, cuts, [_means(r[:, c], CODES, 8, rng) for c in cuts])
 
 
+def probes_for(q: Quantiser, x: np.ndarray, k: int) -> int:
+    """How many lists the sample's own queries must look into to find ``RECALL`` of their k nearest in the sample.
+
+    Neighbours in all vectors are nearer than those in a sample, and so lie in nearer lists: the number errs on the safe side.
+    """
+    asked = x[:TUNED]
+    near = asked @ x.T
+    near[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+    found = np.argpartition(-near, min(k, len(x) - 1) - 1, axis=1)[:, :k] if len(x) > 1 else np.zeros((len(asked), 1), int)
+    rank = np.argsort(q.nearest(asked, len(q.centroids)), axis=1)
+    lists = q.nearest(x, 1)[:, 0]
+    needed = np.sort(np.take_along_axis(rank, lists[found], axis=1).ravel())
+    return int(needed[int(np.ceil(RECALL * len(needed))) - 1]) + 1
+
+
 def _matrix(column: pa.Array, kind: type = np.float32) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = values.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
@@ -145,13 +163,14 @@ def _search(quantiser, k: int):
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id", vector: str = "embedding", probes: int = PROBES) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id", vector: str = "embedding", probes: int | None = None) -> DataFrame:
     """The ``k`` nearest found of ``vectors`` for each row of ``queries``: ``query_id, rank`` from 1, ``id, score``.
 
     ``score`` is the cosine in double precision of the vectors as given; ties go to the smaller id. A query's own id is no
     candidate. Vectors that are null, zero or hold a null or non-finite component, and rows without an id, take no part; nor
     do those of another length than the commonest (the longer, if two are). Rows that repeat an id count once, by their best score.
-    Without queries or candidates the result is empty. Other columns are not read.
+    Without queries or candidates the result is empty. Other columns are not read. ``probes`` is how many lists a query looks
+    into, by default as many as the sample's queries need.
     """
     spark = vectors.sparkSession
 
@@ -167,7 +186,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_i
         return spark.createDataFrame([], f"query_id long, rank int, {id} long, score double")
     rows, asked = (x.where(F.size("vector") == common["d"]) for x in (rows, asked))
     sample = rows.select("vector").orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(SAMPLE).toArrow().column("vector").combine_chunks()
-    quantiser = spark.sparkContext.broadcast(fit(_matrix(sample)))
+    sample = _matrix(sample)
+    fitted = fit(sample, common["count"])
+    probes = probes or probes_for(fitted, sample, k)
+    quantiser = spark.sparkContext.broadcast(fitted)
 
     filed = rows.select("id", F.monotonically_increasing_id().alias("row"), "vector").mapInArrow(_file(quantiser), "list int, id long, row long, code binary, error float, unit binary")
     filed = written(filed, "filed")
