@@ -7,9 +7,9 @@ the log-probabilities of all its words, each given both sides.
 The network knows the corpus's commonest words, counted over all documents; a rarer word is one of ``TAILS`` classes of last
 bytes, and its probability is that of the class by its share of the class. Shares are the discounted counts of all words seen
 twice or more, however many there are; what the discount and the words seen once leave is dealt by spelling, so words that were
-never seen have a share too. Training is numpy inside tasks: in each round every task takes one pass over its documents from the
-same parameters, at every ``STRIDE``-th word, and the parameters are averaged by the words they have seen; the rounds together
-train at every word. Averaging is a grouped sum, so the driver gets one set of parameters, however many tasks there are.
+never seen have a share too. Training is numpy inside tasks: every task takes one pass over its documents from the same
+parameters, at every word, and the parameters are averaged by the words they have seen. They travel in chunks of ``CHUNK``, which
+are summed as they come, so memory and the driver hold one set of parameters, however many tasks there are.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ from assayer.llm.words import LETTERED, Words, slices, words
 #: Words and word classes that the network knows; the last TAILS + 1 are rarer words by their ending, and the texts' ends.
 VOCABULARY, TAILS, CLASSES, HIDDEN = 1024, 63, 32, 48
 SIDE = 2
-#: A round trains at one in STRIDE words of every document, at another offset each round.
-ROUNDS, STRIDE, BATCH, RATE = 2, 2, 512, 0.05
+#: Words of a step of training: a STEPS-th part of a slice of texts, within BATCH.
+STEPS, BATCH, RATE = 20, (512, 8192), 0.05
+#: Parameters that travel together.
+CHUNK = 4096
 #: What a rare word's count is discounted by, and what a spelling's count begins at.
 DISCOUNT, LEAST = 0.5, 0.1
 #: In place of a byte: the word begins. Bytes that words are made of, lower-cased.
@@ -198,29 +200,41 @@ def _numbered(column: pa.Array, net: Network) -> tuple[np.ndarray, np.ndarray, n
     return context, number, w.first, w
 
 
-def _train(network, offset: int):
+def _train(network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Network = network.value
         start = net.flat()
         net.load(start)
         state = [np.full(getattr(net, p).shape, 1e-2, np.float32) for p in net.PARTS]
-        rng, seen = np.random.default_rng(offset), 0
+        rng, seen = np.random.default_rng(4), 0
         for batch in batches:
             for part in slices(batch, "text"):
-                context, target, first = numbered(part.column("text"), net)
-                place = np.arange(len(target)) - np.repeat(first[:-1], np.diff(first))
-                at = rng.permutation(np.flatnonzero(place % STRIDE == offset % STRIDE))
-                for a in range(0, len(at), BATCH):
-                    net.train(context[at[a : a + BATCH]], target[at[a : a + BATCH]], state)
+                context, target, _ = numbered(part.column("text"), net)
+                at = rng.permutation(len(target))
+                size = min(max(len(at) // STEPS, BATCH[0]), BATCH[1])
+                for a in range(0, len(at), size):
+                    net.train(context[at[a : a + size]], target[at[a : a + size]], state)
                 seen += len(at)
         moved = net.flat()
         net.load(start)  # the worker may run another task with it
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(moved), dtype=np.int32)), pa.array(moved.astype(np.float64) * seen), pa.array(np.full(len(moved), seen))], ["at", "total", "words"])
+            parts = [moved[a : a + CHUNK].astype(np.float32).tobytes() for a in range(0, len(moved), CHUNK)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.binary()), pa.array(np.full(len(parts), seen))], ["chunk", "mean", "words"])
 
     return run
 
 
+def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean of each chunk, weighted by words, from rows that are summed one by one."""
+    sums: dict[int, tuple[np.ndarray, int]] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            total, words_ = sums.get(row["chunk"], (0.0, 0))
+            sums[row["chunk"]] = total + np.frombuffer(row["mean"], np.float32).astype(np.float64) * row["words"], words_ + row["words"]
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(t / n).astype(np.float32).tobytes() for t, n in sums.values()], pa.binary())], ["chunk", "mean"])
+
+
 def _counts(docs: DataFrame, text: str) -> DataFrame:
     lower = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return docs.select(F.explode(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")).alias("w")).where("w <> ''").groupBy("w").count()
@@ -269,11 +283,10 @@ def fit(docs: DataFrame, text: str = "text") -> Network:
     counts = written(_counts(docs, text), "words")
     net = initial(_commonest(counts))
     source = docs.select(F.col(text).alias("text")).where("text is not null")
-    for k in range(ROUNDS):
-        moved = source.mapInArrow(_train(spark.sparkContext.broadcast(net), k * STRIDE // ROUNDS), "at int, total double, words long")
-        mean = moved.groupBy("at").agg((F.sum("total") / F.sum("words")).alias("x")).toPandas().sort_values("at")
-        if len(mean):
-            net.load(mean["x"].to_numpy())
+    moved = source.mapInArrow(_train(spark.sparkContext.broadcast(net)), "chunk int, mean binary, words long")
+    mean = moved.repartition(-(-len(net.flat()) // CHUNK), "chunk").mapInArrow(_average, "chunk int, mean binary").orderBy("chunk").toArrow()
+    if len(mean):
+        net.load(np.frombuffer(b"".join(mean.column("mean").to_pylist()), np.float32))
     rare = counts.mapInArrow(_rare_counts(spark.sparkContext.broadcast(net)), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()
     net.rare = Rare.of(*(rare.column(c).to_numpy() for c in ("kind", "key", "n")))
     return net

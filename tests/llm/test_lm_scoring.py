@@ -2,7 +2,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from assayer.llm.lm_scoring import CLASSES, ROUNDS, SIDE, STRIDE, TAILS, VOCABULARY, fit, initial, numbered, score, vocabulary
+from assayer.llm.lm_scoring import CLASSES, SIDE, TAILS, VOCABULARY, _train, fit, initial, numbered, score, vocabulary
 from assayer.llm.words import LETTERED, words
 
 
@@ -80,5 +80,12 @@ def test_rare_words_have_a_share_of_their_class(spark):
     assert min(got[0], got[1]) > max(got[2], got[3]) + 3
 
 
-def test_rounds_train_at_every_word():
-    assert {k * STRIDE // ROUNDS % STRIDE for k in range(ROUNDS)} == set(range(STRIDE))
+def test_training_sees_every_word():
+    class Sent:
+        value = initial(["a", "b"])
+
+    texts = ["a b c d e f g", None, "", "x " * 5000, "a"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    (out,) = _train(Sent)(iter([batch]))
+    assert set(out.column("words").to_pylist()) == {7 + 5000 + 1}
+    assert sum(len(x) for x in out.column("mean").to_pylist()) == 4 * len(Sent.value.flat())
