@@ -50,14 +50,46 @@ def clamp(x: Column, default: float = 1.0) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.nanvl(x.cast("double"), F.lit(None).cast("double")), F.lit(default))))
 
 
-def rounded(x: Column, digits: int = 6) -> Column:
-    """Rounded with a nudge that keeps ties off the last digit, so that two engines agree."""
-    return F.round(x.cast("double") + 3.7e-10, digits)
+def rounded(x: Column, digits: int = 9, nudge: float = 0.0) -> Column:
+    """Rounded, and never -0, so that two engines agree; a nudge keeps products of short decimals off the ties."""
+    return F.round(x.cast("double") + nudge, digits) + 0.0
+
+
+#: What the family codes of tags stand for.
+FAMILIES = {
+    "a1": "abstain_toggle", "a2": "evidence_level_l3", "a3": "scale_size", "a4": "model_swap", "a5": "concept_swap", "a6": "bundle_5_l2", "a7": "bundle_5_l3",
+    "b1": "small_model_family", "c1": "bundle_5_random_l2", "c2": "bundle_5_cluster_l2_v2", "c3": "bundle_5_cluster_l3_v2", "c4": "small_model_scale_5",
+    "c5": "small_model_bundle_5_cluster_l2", "c6": "bundle_5_cluster_l2_scale_7",
+}
 
 
 def family(tag: Column) -> Column:
-    """The family code of a tag such as ``v3_a1_alpha``."""
-    return F.get(F.split(tag, "_"), F.lit(1))
+    """The family code of a tag such as ``v3_a1_alpha`` or ``v3_1_a1_alpha``; ``misc`` without one."""
+    parts = F.split(tag, "_")
+    minor = tag.startswith("v3_1_")
+    return F.coalesce(F.when(minor, F.get(parts, F.lit(2))).otherwise(F.get(parts, F.lit(1))), F.lit("misc"))
+
+
+def family_slug(tag: Column) -> Column:
+    names = F.create_map(*(F.lit(x) for item in FAMILIES.items() for x in item))
+    return F.concat_ws("_", family(tag), F.coalesce(F.try_element_at(names, family(tag)), family(tag)))
+
+
+def variant(tag: Column) -> Column:
+    """What follows the family code; the tag itself if nothing does."""
+    parts = F.split(tag, "_")
+    at = F.when(tag.startswith("v3_1_") & (F.size(parts) > 3), 4).otherwise(3)
+    return F.when(F.size(parts) > 2, F.array_join(F.slice(parts, at, F.size(parts)), "_")).otherwise(tag)
+
+
+def bucket_of_label(label: Column) -> Column:
+    """The shape of a verdict's label such as ``[1,3]``; a label without numbers abstains."""
+    s = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(label, F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int"))))
+    size = F.size(s)
+    return (
+        F.when(label.isNull() | (size == 0), "abstain").when(size == 1, "singleton").when(size >= 3, "broad_subset")
+        .when(F.array_max(s) - F.array_min(s) == 1, "adjacent_subset").otherwise("non_adjacent_subset")
+    )
 
 
 def direction(x: Column) -> Column:

@@ -1,12 +1,14 @@
 """Belief functions: verdicts as mass functions, combined by products of commonalities.
 
 A verdict puts mass on at most three sets (none, its own, the whole frame), so the commonality of any set A is a closed form, and
-the conjunctive rule multiplies commonalities. Combining is thus a grouped product over 2 ** n sets: no order, no fold, no UDF.
+the conjunctive rule multiplies commonalities. Combining is thus a grouped product: no order, no fold, no UDF.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.verdicts import clamp, full, has
@@ -16,40 +18,74 @@ CEILING = 0.9999
 
 
 def commonalities(responses: DataFrame, keys: list[str], closed: bool = False) -> DataFrame:
-    """``keys, scale_size, subset, q``; in the closed world abstentions are left out."""
+    """``keys, scale_size, q``: the commonality of every set of stages, by its mask; in the closed world abstentions are left out.
+
+    Responses are multiplied by verdict before they leave a task, so a key has one row a verdict, whatever its responses.
+    """
     a = clamp(F.col("agreement"))
     v = a if closed else clamp(a * clamp(F.col("obs")) * clamp(F.col("disc")))
-    mask, whole, subset = F.col("mask"), full(F.col("scale_size")), F.col("subset")
-    within = subset.bitwiseAND(F.bitwise_not(mask)) == 0
-    q = F.when(subset == 0, 1.0).when(mask == 0, 1 - a).when(mask == whole, F.lit(1.0) if closed else a).when(within, 1.0).otherwise(1 - v)
+    mask, whole = F.col("mask"), full(F.col("scale_size"))
+    factor = F.when(mask == 0, 1 - a).when(mask == whole, F.lit(1.0) if closed else a).otherwise(1 - v)
     rows = responses.where("mask <> 0") if closed else responses
-    rows = rows.withColumn("subset", F.explode(F.sequence(F.lit(0).cast("long"), whole)))
-    return rows.groupBy(*keys, "scale_size", "subset").agg(F.product(q).alias("q"))
+    verdicts = rows.groupBy(*keys, "scale_size", "mask").agg(F.product(factor).alias("factor"))
+    per_key = verdicts.groupBy(*keys, "scale_size").agg(F.collect_list(F.struct("mask", "factor")).alias("verdicts"))
+
+    def counts(x: Column, subset: Column) -> Column:
+        return (x["mask"] == 0) | (x["mask"] == whole) | (subset.bitwiseAND(F.bitwise_not(x["mask"])) != 0)
+
+    def q(subset: Column) -> Column:
+        return F.when(subset == 0, 1.0).otherwise(F.aggregate("verdicts", F.lit(1.0), lambda m, x: m * F.when(counts(x, subset), x["factor"]).otherwise(1.0)))
+
+    return per_key.select(*keys, "scale_size", F.transform(F.sequence(F.lit(0).cast("long"), whole), q).alias("q"))
+
+
+def _signed(q: Column, term: Callable[[Column], Column]) -> Column:
+    """The sum of (-1) ** |A| q(A) over all sets, each by a factor of its mask."""
+    signed = F.transform(q, lambda x, i: F.when(F.bit_count(i) % 2 == 0, x).otherwise(-x) * term(i.cast("long")))
+    return F.aggregate(signed, F.lit(0.0), lambda m, x: m + x)
 
 
 def pignistic(q: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, stage, bet_p, conflict`` for each stage; all 0 where the conflict reaches ``CEILING``."""
-    size = F.bit_count("subset")
-    sign = F.when(size % 2 == 0, 1.0).otherwise(-1.0)
-    conflict = q.groupBy(*keys, "scale_size").agg(F.sum(sign * F.col("q")).alias("conflict"))
-    stages = q.where("subset <> 0").withColumn("stage", F.explode(F.sequence(F.lit(1), F.col("scale_size").cast("int"))))
-    raw = stages.groupBy(*keys, "scale_size", "stage").agg(F.sum(F.when(has(F.col("subset"), F.col("stage")), -sign * F.col("q") / size).otherwise(0.0)).alias("raw"))
+    rows = q.select(*keys, "scale_size", "q", _signed(F.col("q"), lambda i: F.lit(1.0)).alias("conflict"))
+    raw = F.transform(F.sequence(F.lit(1), F.col("scale_size").cast("int")), lambda s: -_signed(F.col("q"), lambda i: F.when(has(i, s), 1 / F.bit_count(i)).otherwise(0.0)))
+    rows = rows.select(*keys, "conflict", F.posexplode(raw).alias("at", "raw"))
     bet = F.when(F.col("conflict") >= CEILING, 0.0).otherwise(F.col("raw") / F.greatest(1 - F.col("conflict"), F.lit(1e-12)))
-    return raw.join(conflict, [*keys, "scale_size"]).select(*keys, "stage", bet.alias("bet_p"), "conflict")
+    return rows.select(*keys, (F.col("at") + 1).alias("stage"), bet.alias("bet_p"), "conflict")
 
 
 def masses(q: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, subset, mass`` by Moebius inversion, for belief and plausibility."""
-    a, b = q.select(*keys, F.col("subset").alias("inner")), q.select(*keys, "subset", "q")
-    pairs = a.join(b, keys).where(F.col("inner").bitwiseAND(F.bitwise_not("subset")) == 0)
-    sign = F.when((F.bit_count("subset") - F.bit_count("inner")) % 2 == 0, 1.0).otherwise(-1.0)
-    return pairs.groupBy(*keys, F.col("inner").alias("set")).agg(F.sum(sign * F.col("q")).alias("mass")).withColumnRenamed("set", "subset")
+    """``keys, subset, mass`` by Moebius inversion."""
+
+    def mass(b: Column) -> Column:
+        total = _signed(F.col("q"), lambda a: F.when(b.bitwiseAND(F.bitwise_not(a)) == 0, 1.0).otherwise(0.0))
+        return F.when(F.bit_count(b) % 2 == 0, total).otherwise(-total)
+
+    subsets = F.transform(F.sequence(F.lit(0).cast("long"), full(F.col("scale_size"))), mass)
+    return q.select(*keys, F.posexplode(subsets).alias("subset", "mass")).withColumn("subset", F.col("subset").cast("long"))
+
+
+def support(q: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, stage, bel, pl, bet_p, conflict``: mass on the stage alone, and on all sets that hold it, unnormalised."""
+    stages = F.transform(F.sequence(F.lit(1), F.col("scale_size").cast("int")), lambda s: F.struct(
+        s.alias("stage"), (-_signed(F.col("q"), lambda i: F.when(has(i, s), 1.0).otherwise(0.0))).alias("bel"),
+        F.get("q", F.call_function("shiftleft", F.lit(1), s - 1)).alias("pl"),
+    ))
+    out = q.select(*keys, F.explode(stages).alias("s")).select(*keys, "s.*")
+    return out.join(pignistic(q, keys), [*keys, "stage"])
+
+
+def combined(q: DataFrame, keys: list[str], usable: float = 0.9) -> DataFrame:
+    """One row a key: its conflict, if that is low enough to be of use, the largest probability and its stage (the first of equals)."""
+    best = F.max(F.struct(F.round("bet_p", 9).alias("p"), (-F.col("stage")).alias("s")))
+    out = pignistic(q, keys).groupBy(*keys).agg(F.max("conflict").alias("conflict"), best.alias("best"))
+    return out.select(*keys, "conflict", (F.col("conflict") < usable).alias("usable"), F.col("best.p").alias("max_bet_p"), (-F.col("best.s")).alias("modal_stage"))
 
 
 def bundle_belief(responses: DataFrame, closed: bool = False) -> DataFrame:
     """``experiment_tag, bundle_no, stage, bet_p``: single verdicts' probabilities, averaged with weight obs * disc (else 1)."""
     one = pignistic(commonalities(responses, ["response_id"], closed), ["response_id"])
-    weight = F.col("obs") * F.col("disc")
-    weight = F.when(weight > 0, weight).otherwise(1.0)
+    weight = F.coalesce("obs", F.lit(1.0)) * F.coalesce("disc", F.lit(1.0))
+    weight = F.when((weight > 0) & (weight < float("inf")), weight).otherwise(1.0)
     rows = one.join(responses.select("response_id", "experiment_tag", "bundle_no", weight.alias("w")), "response_id")
     return rows.groupBy("experiment_tag", "bundle_no", "stage").agg((F.sum(F.col("w") * F.col("bet_p")) / F.sum("w")).alias("bet_p"))

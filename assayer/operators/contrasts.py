@@ -9,7 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ENDPOINTS = ("abstain_rate", "singleton_rate", "mean_subset_size", "mean_expected_stage", "mid_scale_mass", "stage_entropy", "mean_agreement")
+from assayer.functions.verdicts import direction, family, family_slug, variant
+
+#: The measures that contrasts are judged by; findings rest on the first six.
+PRIMARY = ("abstain_rate", "singleton_rate", "mean_subset_size", "mean_expected_stage", "mid_scale_mass", "stage_entropy")
+ENDPOINTS = (*PRIMARY, "mean_agreement")
 
 
 def paired_families(samples: DataFrame) -> DataFrame:
@@ -57,18 +61,26 @@ def effects(deltas: DataFrame) -> DataFrame:
     rows = deltas.where("delta is not null")
     out = rows.groupBy("contrast_id", "endpoint").agg(
         F.count("*").alias("n"), F.avg("delta").alias("mean_delta"), F.percentile("delta", F.lit(0.5)).alias("median_delta"),
-        F.stddev_samp("delta").alias("std_delta"), F.avg((F.col("delta") > 0).cast("double")).alias("positive_share"),
+        F.coalesce(F.stddev_samp("delta"), F.lit(0.0)).alias("std_delta"), F.avg((F.col("delta") > 1e-12).cast("double")).alias("positive_share"),
     )
     return out.withColumn("dz", F.when(F.col("std_delta") > 0, F.col("mean_delta") / F.col("std_delta")))
 
 
+def registry(samples: DataFrame) -> DataFrame:
+    """The contrasts with what a report says of them: family, kind, labels of the arms and how samples are matched."""
+    out = paired_families(samples)
+    arm = lambda side: F.concat_ws(" ", family(F.col(f"{side}_tag")), variant(F.col(f"{side}_tag"))).alias(f"{side}_label")
+    return out.select("contrast_id", family_slug(F.col("baseline_tag")).alias("family_slug"), F.lit("toggle").alias("contrast_kind"), "baseline_tag", "variant_tag", arm("baseline"), arm("variant"), F.lit("window_only").alias("match_mode"))
+
+
 def q_values(rows: DataFrame, p: str = "p_value", keys: tuple[str, ...] = (), tie: str = "endpoint") -> DataFrame:
-    """``rows`` with Benjamini-Hochberg ``q_value`` over each key's p-values; a null p has none."""
+    """``rows`` with Benjamini-Hochberg ``q_value`` over each key's p-values, and whether it is at most 0.1 and 0.05; a null p has none."""
     by = Window.partitionBy(*(keys or (F.lit(0),)))
-    some = rows.where(F.col(p).isNotNull()).withColumn("_rank", F.row_number().over(by.orderBy(p, tie))).withColumn("_n", F.count("*").over(by))
+    ranked = rows.withColumn("_rank", F.row_number().over(by.orderBy(F.asc_nulls_last(p), tie))).withColumn("_n", F.count(p).over(by))
     down = by.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
     q = F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_rank")).over(down))
-    return some.withColumn("q_value", q).drop("_rank", "_n").unionByName(rows.where(F.col(p).isNull()).withColumn("q_value", F.lit(None).cast("double")))
+    out = ranked.withColumn("q_value", F.when(F.col(p).isNotNull(), q)).drop("_rank", "_n")
+    return out.withColumns({f"is_significant_fdr_{d}": F.coalesce(F.col("q_value") <= limit, F.lit(False)) for d, limit in (("10", 0.10), ("05", 0.05))})
 
 
 def _resample(bootstraps: int, flips: int, seed: int):
@@ -100,9 +112,12 @@ def resampled(deltas: DataFrame, bootstraps: int = 2000, flips: int = 5000, seed
 
 
 def ranked_findings(effects_: DataFrame, top: int = 25) -> DataFrame:
-    """The top effects by standardised size, then by absolute mean; ties by name."""
-    score = F.abs(F.coalesce("dz", F.lit(0.0))) + 0.1 * F.abs("mean_delta")
-    return effects_.withColumn("score", score).orderBy(F.desc("score"), "contrast_id", "endpoint").limit(top)
+    """The first effects by q-value, then by significance, standardised size and absolute mean; ties by name."""
+    dz, mean = F.abs(F.coalesce("dz", F.lit(0.0))), F.abs("mean_delta")
+    sure = [F.col(f"is_significant_fdr_{d}") for d in ("05", "10")]
+    score = 3 * sure[0].cast("int") + 2 * sure[1].cast("int") + dz + 0.1 * mean
+    order = [F.asc_nulls_last(F.round("q_value", 9)), sure[0].desc(), sure[1].desc(), F.desc(F.round(F.abs("dz"), 9)), F.desc(F.round(mean, 9)), "contrast_id", "endpoint"]
+    return effects_.withColumn("rank_score", score).withColumn("direction", direction(F.round("mean_delta", 9))).orderBy(*order).limit(top)
 
 
 def effect_contributors(deltas: DataFrame, top: int = 25) -> DataFrame:

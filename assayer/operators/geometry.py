@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.verdicts import bucket, expected_stage, has, label
+from assayer.operators.belief import commonalities, pignistic
 
 SAMPLE = ["experiment_tag", "sample_ordinal"]
 
@@ -78,33 +79,56 @@ def verdict_certainty(responses: DataFrame) -> DataFrame:
     return rows.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("experiment_tag")))
 
 
-def trimmed_mean(rows: DataFrame, key: str, value: str, share: float = 0.1) -> DataFrame:
-    """Mean without the floor(share * n) smallest and largest values of each key."""
-    by = Window.partitionBy(key)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("_at", F.row_number().over(by.orderBy(value))).withColumn("_n", F.count("*").over(by))
+def with_belief(samples: DataFrame, responses: DataFrame) -> DataFrame:
+    """Sample metrics with the conflict and expected stage of both belief worlds; null where a sample has no belief."""
+    for name, closed in (("tbm", False), ("closed_world", True)):
+        b = pignistic(commonalities(responses, SAMPLE, closed), SAMPLE)
+        b = b.groupBy(*SAMPLE).agg(F.max("conflict").alias(f"{name}_conflict"), F.sum(F.col("stage") * F.col("bet_p")).alias(f"{name}_expected_stage"))
+        samples = samples.join(b, SAMPLE, "left")
+    return samples
+
+
+def experiment_conflicts(metrics: DataFrame, samples: DataFrame) -> DataFrame:
+    """Experiment metrics with the mean conflicts of the experiment's samples."""
+    names = ("tbm_conflict", "closed_world_conflict")
+    return metrics.join(samples.groupBy("experiment_tag").agg(*(F.avg(c).alias(f"mean_{c}") for c in names)), "experiment_tag", "left")
+
+
+def trimmed_means(rows: DataFrame, key: str, values: list[str], share: float = 0.1) -> DataFrame:
+    """Means without the floor(share * n) smallest and largest values of each key; nulls are left out first."""
+    by = Window.partitionBy(key, "name")
+    long = rows.select(key, F.explode(F.create_map(*(x for v in values for x in (F.lit(v), F.col(v).cast("double"))))).alias("name", "value")).where("value is not null")
+    ranked = long.withColumn("_at", F.row_number().over(by.orderBy("value"))).withColumn("_n", F.count("*").over(by))
     cut = F.floor(F.col("_n") * share)
-    return ranked.where((F.col("_at") > cut) & (F.col("_at") <= F.col("_n") - cut)).groupBy(key).agg(F.avg(value).alias(f"trimmed_mean_{value}"))
+    kept = ranked.where((F.col("_at") > cut) & (F.col("_at") <= F.col("_n") - cut))
+    return kept.groupBy(key).agg(*(F.avg(F.when(F.col("name") == v, F.col("value"))).alias(f"{v}_trimmed_mean") for v in values))
 
 
-def robust_panel(samples: DataFrame) -> DataFrame:
-    """Median, quartile range and trimmed mean of two sample metrics for each experiment."""
+def robust_panel(responses: DataFrame) -> DataFrame:
+    """Median, quartile range and trimmed mean over each experiment's responses, of size and stage over those with a verdict."""
+    rows = responses.select("experiment_tag", (F.col("mask") == 0).cast("double").alias("abstained"), F.when(_some(), F.bit_count("mask")).cast("double").alias("subset_size"), expected_stage(F.col("mask"), F.col("scale_size")).alias("expected_stage"), F.col("agreement").cast("double").alias("certainty"))
+    values = ["subset_size", "expected_stage", "certainty"]
     q = lambda c, p: F.percentile(c, F.lit(p))
-    out = samples.groupBy("experiment_tag").agg(*(x for c in ("mean_expected_stage", "stage_entropy") for x in (q(c, 0.5).alias(f"median_{c}"), (q(c, 0.75) - q(c, 0.25)).alias(f"iqr_{c}"))))
-    return out.join(trimmed_mean(samples, "experiment_tag", "mean_expected_stage"), "experiment_tag", "left")
+    out = rows.groupBy("experiment_tag").agg(F.avg("abstained").alias("abstain_rate"), *(x for c in values for x in (q(c, 0.5).alias(f"{c}_median"), (q(c, 0.75) - q(c, 0.25)).alias(f"{c}_iqr"))))
+    return out.join(trimmed_means(rows, "experiment_tag", values), "experiment_tag", "left")
+
+
+INSTABLE = ("abstain_rate", "singleton_rate", "mean_subset_size", "mean_expected_stage", "tbm_conflict", "closed_world_conflict")
 
 
 def sample_instability(samples: DataFrame) -> DataFrame:
-    """How much the experiments differ on each sample: deviations, 0 for a single value, and their sum."""
-    metrics = ("abstain_rate", "mean_expected_stage", "stage_entropy", "mean_agreement")
-    out = samples.groupBy("sample_ordinal").agg(F.countDistinct("experiment_tag").alias("experiments"), *(F.coalesce(F.stddev_samp(m), F.lit(0.0)).alias(f"std_{m}") for m in metrics))
-    return out.withColumn("instability", sum((F.col(f"std_{m}") for m in metrics), F.lit(0.0)))
+    """How much the experiments differ on each sample: deviations, 0 for a single value, and the sum of the first four."""
+    out = samples.groupBy("sample_ordinal").agg(F.countDistinct("experiment_tag").alias("experiments"), *(F.coalesce(F.stddev_samp(m), F.lit(0.0)).alias(f"{m}_std") for m in INSTABLE))
+    return out.withColumn("instability", sum((F.col(f"{m}_std") for m in INSTABLE[:4]), F.lit(0.0)))
+
+
+DISTANT = ("abstain_rate", "singleton_rate", "mean_subset_size", "mean_agreement", "mean_tbm_conflict", "mean_closed_world_conflict")
 
 
 def experiment_distances(metrics: DataFrame) -> DataFrame:
     """Euclidean distance of every pair of experiments over standardised metrics; a null is the column's mean."""
-    columns = ["abstain_rate", "singleton_rate", "mean_subset_size", "mean_agreement"]
     all_ = Window.partitionBy(F.lit(0))  # one row an experiment
-    z = metrics.select("experiment_tag", *(F.coalesce(F.try_divide(F.col(c) - F.avg(c).over(all_), F.stddev_pop(c).over(all_)), F.lit(0.0)).alias(c) for c in columns))
+    z = metrics.select("experiment_tag", *(F.coalesce(F.try_divide(F.col(c) - F.avg(c).over(all_), F.stddev_pop(c).over(all_)), F.lit(0.0)).alias(c) for c in DISTANT))
     a, b = z.alias("a"), z.alias("b")
-    square = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) ** 2 for c in columns), F.lit(0.0))
+    square = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) ** 2 for c in DISTANT), F.lit(0.0))
     return a.join(b, F.col("a.experiment_tag") < F.col("b.experiment_tag")).select(F.col("a.experiment_tag").alias("left_tag"), F.col("b.experiment_tag").alias("right_tag"), F.sqrt(square).alias("distance"))

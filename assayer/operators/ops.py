@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ATTEMPTS = 3
 
 
+#: Classes of errors, in the order in which they are tried, and the words that tell them.
+ERRORS = {
+    "quota_exhausted": ["quota", "credit"],
+    "parse_error": ["parse", "invalid criteria count", "invalid rubric line", "failed to find rubric block", "missing reasoning before rubric block"],
+    "timeout": ["timeout", "timed out", "deadline exceeded"],
+    "temporary_unavailable": ["try again later", "temporarily unavailable", "couldn't be completed", "could not be completed"],
+    "rate_limit": ["rate limit", "429"],
+    "orchestrator_error": ["too many bytes read", "convex", "orchestrator"],
+    "api_error": ["provider", "api", "openai", "5xx"],
+}
+
+
 def error_class(message: Column) -> Column:
-    """The first class whose words the message has; the order of the classes matters."""
+    """The first class whose words the message has, in any case; ``unknown`` without one."""
     m = F.lower(F.coalesce(message, F.lit("")))
-    has = lambda *words: sum((m.contains(w).cast("int") for w in words), F.lit(0)) > 0
-    return (
-        F.when(m == "", "unknown").when(has("quota", "credit"), "quota").when(has("parse", "rubric"), "parse_error").when(has("timeout"), "timeout")
-        .when(has("temporary"), "temporary").when(has("rate limit", "429"), "rate_limit").when(has("bytes read", "orchestrator"), "orchestrator").when(has("provider", "api"), "api_error").otherwise("unknown")
-    )
+    tests = {c: functools.reduce(Column.__or__, (m.contains(w) for w in words)) for c, words in ERRORS.items()}
+    tests["parse_error"] |= m.contains("expected ") & m.contains(" stages")
+    return F.coalesce(*(F.when(test, c) for c, test in tests.items()), F.lit("unknown"))
 
 
 def target_states(requests: DataFrame) -> DataFrame:
     """One row per custom key: its attempts, the latest of each kind, and what they amount to.
 
-    Pending while any attempt is; else succeeded if one is; else exhausted from the third error on, or retryable.
+    Pending while any attempt is; else succeeded if one is, or if its result is stored (``artifact``, where there is such a
+    column); else exhausted if the latest error was the third attempt or later, or retryable. Attempts count from 1, as a null does.
     """
     at = F.struct("ts", "request_id")
     of = lambda s: F.max_by("request_id", F.when(F.col("status") == s, at))
@@ -29,8 +42,10 @@ def target_states(requests: DataFrame) -> DataFrame:
     out = requests.where("status <> 'ignored'").groupBy("custom_key").agg(
         F.count("*").alias("attempts"), n("pending").alias("n_pending"), n("success").alias("n_success"), n("error").alias("n_error"), F.max_by("request_id", at).alias("latest_request"),
         of("success").alias("success_request"), of("error").alias("error_request"), F.min(F.when(F.col("status") == "pending", F.col("ts"))).alias("oldest_pending"),
+        F.max_by(F.coalesce("attempt_index", F.lit(1)), F.when(F.col("status") == "error", at)).alias("error_attempt"),
+        F.coalesce(F.bool_or("artifact") if "artifact" in requests.columns else F.lit(False), F.lit(False)).alias("stored"),
     )
-    resolution = F.when(F.col("n_pending") > 0, "pending").when(F.col("n_success") > 0, "succeeded").when(F.col("n_error") >= ATTEMPTS, "exhausted").otherwise("retryable")
+    resolution = F.when(F.col("n_pending") > 0, "pending").when((F.col("n_success") > 0) | F.col("stored"), "succeeded").when(F.col("error_attempt") >= ATTEMPTS, "exhausted").otherwise("retryable")
     return out.withColumn("resolution", resolution)
 
 

@@ -23,18 +23,18 @@ _R = f"with r as ({RESPONSES.format(lineitem='lineitem')})"
 _Q = f"with r as ({REQUESTS.format(events='events')})"
 
 
-def _query(name: str, sql: str | None = None):
-    """Register a query; its doubles are rounded, as ``n(x)`` rounds them in the SQL."""
+def _query(name: str, sql: str | None = None, nudge: float = 0.0):
+    """Register a query; its doubles are rounded, as ``n<x>n`` rounds them in the SQL. Products of beliefs have ties and need a nudge."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = f(spark, sf_dir)
-            return df.select(*(rounded(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
+            return df.select(*(rounded(F.col(c), nudge=nudge).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
 
         run.__name__ = name
         QUERIES[name] = run
         if sql:
-            ORACLE_SQL[name] = re.sub(r"\bn<(.*?)>n\b", r"round(cast(\1 as double) + 3.7e-10, 6)", sql, flags=re.S)
+            ORACLE_SQL[name] = re.sub(r"\bn<(.*?)>n\b", rf"(round(cast(\1 as double) + {nudge}, 9) + 0.0)", sql, flags=re.S)
         return f
 
     return add
@@ -92,53 +92,79 @@ def _(spark, d):
     return geometry.verdict_certainty(responses(spark, d))
 
 
-@_query("a8_robust_summary_panel", f"""{_R}, {_SM}, k as (select *, row_number() over (partition by experiment_tag order by mean_expected_stage) as pos, count(*) over (partition by experiment_tag) as n from sm where mean_expected_stage is not null),
-t as (select experiment_tag, avg(mean_expected_stage) as tm from k where pos > floor(n * 0.1) and pos <= n - floor(n * 0.1) group by 1)
-select experiment_tag, {", ".join(f"n<quantile_cont({c}, 0.5)>n as median_{c}, n<quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)>n as iqr_{c}" for c in ("mean_expected_stage", "stage_entropy"))}, n<max(tm)>n as trimmed_mean_mean_expected_stage
-from sm left join t using (experiment_tag) group by 1""")
+def _bet(keys: str, closed: bool, name: str) -> str:
+    v = "a" if closed else "a * obs * disc"
+    rows = f"(select * from r where mask <> 0)" if closed else "r"
+    frame = "1" if closed else "a"
+    return f"""{name}x as (select *, agreement as a, unnest(range(0, 1::bigint << scale_size)) as s from {rows}),
+{name}q as (select {keys}, scale_size, s, product(case when s = 0 then 1.0 when mask = 0 then 1 - a when mask = (1::bigint << scale_size) - 1 then {frame} when (s & ~mask) = 0 then 1.0 else 1 - {v} end) as q from {name}x group by all),
+{name}c as (select {keys}, scale_size, sum(case when bit_count(s) % 2 = 0 then q else -q end) as conflict from {name}q group by all),
+{name}g as (select {keys}, scale_size, stage, sum(case when (s & (1::bigint << (stage - 1))) <> 0 then (case when bit_count(s) % 2 = 0 then -q else q end) / bit_count(s) else 0 end) as raw
+ from (select *, unnest(range(1, scale_size + 1)) as stage from {name}q where s <> 0) group by all),
+{name} as (select {keys}, cast(stage as int) as stage, case when conflict >= 0.9999 then 0 else raw / greatest(1 - conflict, 1e-12) end as bet_p, conflict from {name}g join {name}c using ({keys}, scale_size))"""
+
+
+_S = "experiment_tag, sample_ordinal"
+
+
+_SB = f"""{_SM}, {_bet(_S, False, 'wo')}, {_bet(_S, True, 'wc')}, so as (select {_S}, max(conflict) as tbm_conflict, sum(stage * bet_p) as tbm_expected_stage from wo group by all),
+sc as (select {_S}, max(conflict) as closed_world_conflict, sum(stage * bet_p) as closed_world_expected_stage from wc group by all),
+sb as (select * from sm left join so using ({_S}) left join sc using ({_S}))"""
+_EC = "ec as (select * from (select experiment_tag, " + _RATES + " from r group by 1) left join (select experiment_tag, avg(tbm_conflict) as mean_tbm_conflict, avg(closed_world_conflict) as mean_closed_world_conflict from sb group by 1) using (experiment_tag))"
+_BELIEF = ("tbm_conflict", "tbm_expected_stage", "closed_world_conflict", "closed_world_expected_stage")
+
+
+def _samples(spark, d):
+    r = responses(spark, d)
+    return geometry.with_belief(geometry.sample_metrics(r), r)
+
+
+def _experiments(spark, d):
+    return geometry.experiment_conflicts(geometry.experiment_metrics(responses(spark, d)), _samples(spark, d))
+
+
+@_query("j18_samples_with_belief", f"{_R}, {_SB} select {_S}, n<mean_expected_stage>n as mean_expected_stage, {', '.join(f'n<{c}>n as {c}' for c in _BELIEF)} from sb", nudge=3.7e-13)
 def _(spark, d):
-    return geometry.robust_panel(geometry.sample_metrics(responses(spark, d)))
+    return _samples(spark, d).select(*geometry.SAMPLE, "mean_expected_stage", *_BELIEF)
 
 
-_INST = ("abstain_rate", "mean_expected_stage", "stage_entropy", "mean_agreement")
+_VALUES = ("subset_size", "expected_stage", "certainty")
 
 
-@_query("a9_sample_instability", f"""{_R}, {_SM}, i as (select sample_ordinal, count(distinct experiment_tag) as experiments, {", ".join(f"coalesce(stddev_samp({m}), 0) as std_{m}" for m in _INST)} from sm group by 1)
-select sample_ordinal, experiments, {", ".join(f"n<std_{m}>n as std_{m}" for m in _INST)}, n<{" + ".join(f"std_{m}" for m in _INST)}>n as instability from i""")
+@_query("a8_w16_f12_robust_summary_panel", f"""{_R}, v as (select experiment_tag, (mask = 0)::int as abstained, {_SIZES} as subset_size, {_EXP} as expected_stage, agreement as certainty from r),
+l as (unpivot (select experiment_tag, {", ".join(f"cast({c} as double) as {c}" for c in _VALUES)} from v) on {", ".join(_VALUES)} into name name value x),
+k as (select *, row_number() over (partition by experiment_tag, name order by x) as pos, count(*) over (partition by experiment_tag, name) as n from l where x is not null),
+t as (select experiment_tag, {", ".join(f"avg(x) filter (name = '{c}') as {c}_t" for c in _VALUES)} from k where pos > floor(n * 0.1) and pos <= n - floor(n * 0.1) group by 1)
+select experiment_tag, n<avg(abstained)>n as abstain_rate, {", ".join(f"n<quantile_cont({c}, 0.5)>n as {c}_median, n<quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)>n as {c}_iqr, n<max({c}_t)>n as {c}_trimmed_mean" for c in _VALUES)}
+from v left join t using (experiment_tag) group by 1""")
 def _(spark, d):
-    return geometry.sample_instability(geometry.sample_metrics(responses(spark, d)))
+    return geometry.robust_panel(responses(spark, d))
 
 
-_DIST = ("abstain_rate", "singleton_rate", "mean_subset_size", "mean_agreement")
+_INST = geometry.INSTABLE
 
 
-@_query("j28_w9_experiment_distances", f"""{_R}, e as (select experiment_tag, {_RATES} from r group by 1), z as (select experiment_tag, {", ".join(f"coalesce(({c} - avg({c}) over ()) / nullif(stddev_pop({c}) over (), 0), 0) as {c}" for c in _DIST)} from e)
-select a.experiment_tag as left_tag, b.experiment_tag as right_tag, n<sqrt({" + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _DIST)})>n as distance from z a join z b on a.experiment_tag < b.experiment_tag""")
+@_query("a9_sample_instability", f"""{_R}, {_SB}, i as (select sample_ordinal, count(distinct experiment_tag) as experiments, {", ".join(f"coalesce(stddev_samp({m}), 0) as {m}_std" for m in _INST)} from sb group by 1)
+select sample_ordinal, experiments, {", ".join(f"n<{m}_std>n as {m}_std" for m in _INST)}, n<{" + ".join(f"{m}_std" for m in _INST[:4])}>n as instability from i""")
 def _(spark, d):
-    return geometry.experiment_distances(geometry.experiment_metrics(responses(spark, d)))
+    return geometry.sample_instability(_samples(spark, d))
 
 
-def _bet(keys: str, closed: bool, name: str) -> str:
-    v = "a" if closed else "a * obs * disc"
-    rows = f"(select * from r where mask <> 0)" if closed else "r"
-    frame = "1" if closed else "a"
-    return f"""{name}x as (select *, agreement as a, unnest(range(0, 1::bigint << scale_size)) as s from {rows}),
-{name}q as (select {keys}, scale_size, s, product(case when s = 0 then 1.0 when mask = 0 then 1 - a when mask = (1::bigint << scale_size) - 1 then {frame} when (s & ~mask) = 0 then 1.0 else 1 - {v} end) as q from {name}x group by all),
-{name}c as (select {keys}, scale_size, sum(case when bit_count(s) % 2 = 0 then q else -q end) as conflict from {name}q group by all),
-{name}g as (select {keys}, scale_size, stage, sum(case when (s & (1::bigint << (stage - 1))) <> 0 then (case when bit_count(s) % 2 = 0 then -q else q end) / bit_count(s) else 0 end) as raw
- from (select *, unnest(range(1, scale_size + 1)) as stage from {name}q where s <> 0) group by all),
-{name} as (select {keys}, cast(stage as int) as stage, case when conflict >= 0.9999 then 0 else raw / greatest(1 - conflict, 1e-12) end as bet_p, conflict from {name}g join {name}c using ({keys}, scale_size))"""
+_DIST = geometry.DISTANT
 
 
-_S = "experiment_tag, sample_ordinal"
+@_query("j28_w9_experiment_distances", f"""{_R}, {_SB}, {_EC}, z as (select experiment_tag, {", ".join(f"coalesce(({c} - avg({c}) over ()) / nullif(stddev_pop({c}) over (), 0), 0) as {c}" for c in _DIST)} from ec)
+select a.experiment_tag as left_tag, b.experiment_tag as right_tag, n<sqrt({" + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _DIST)})>n as distance from z a join z b on a.experiment_tag < b.experiment_tag""")
+def _(spark, d):
+    return geometry.experiment_distances(_experiments(spark, d))
 
 
-@_query("b3_b4_belief_tbm", f"{_R}, {_bet(_S, False, 'b')} select {_S}, stage, n<bet_p>n as bet_p, n<conflict>n as conflict from b")
+@_query("b3_b4_belief_tbm", f"{_R}, {_bet(_S, False, 'b')} select {_S}, stage, n<bet_p>n as bet_p, n<conflict>n as conflict from b", nudge=3.7e-13)
 def _(spark, d):
     return belief.pignistic(belief.commonalities(responses(spark, d), geometry.SAMPLE), geometry.SAMPLE)
 
 
-@_query("b3_b4_belief_closed_world", f"{_R}, {_bet(_S, True, 'b')} select {_S}, stage, n<bet_p>n as bet_p, n<conflict>n as conflict from b")
+@_query("b3_b4_belief_closed_world", f"{_R}, {_bet(_S, True, 'b')} select {_S}, stage, n<bet_p>n as bet_p, n<conflict>n as conflict from b", nudge=3.7e-13)
 def _(spark, d):
     return belief.pignistic(belief.commonalities(responses(spark, d), geometry.SAMPLE, closed=True), geometry.SAMPLE)
 
@@ -168,7 +194,7 @@ def _methods(spark, d):
     return pools.sample_methods(pools.pooled(responses(spark, d)))
 
 
-@_query("m1_m4_sample_methods", f"{_R}, {_POOL} select {_S}, method, n<expected_stage>n as expected_stage, n<top_p>n as top_p, n<conflict>n as conflict from me")
+@_query("m1_m4_sample_methods", f"{_R}, {_POOL} select {_S}, method, n<expected_stage>n as expected_stage, n<top_p>n as top_p, n<conflict>n as conflict from me", nudge=3.7e-13)
 def _(spark, d):
     return _methods(spark, d)
 
@@ -226,30 +252,46 @@ def _(spark, d):
     return _deltas(spark, d)
 
 
-_EFF = f"{_DELTA}, ef as (select contrast_id, endpoint, count(*) as n, avg(delta) as mean_delta, quantile_cont(delta, 0.5) as median_delta, stddev_samp(delta) as std_delta, avg((delta > 1e-12)::int) as positive_share from de where delta is not null group by 1, 2)"
+_EFF = f"{_DELTA}, ef as (select contrast_id, endpoint, count(*) as n, avg(delta) as mean_delta, quantile_cont(delta, 0.5) as median_delta, coalesce(stddev_samp(delta), 0) as std_delta, avg((delta > 1e-12)::int) as positive_share from de where delta is not null group by 1, 2)"
 
 
-@_query("a10_m8_family_effects", f"{_R}, {_EFF} select contrast_id, endpoint, n, n<mean_delta>n as mean_delta, n<median_delta>n as median_delta, n<std_delta>n as std_delta, n<case when std_delta > 0 then mean_delta / std_delta end>n as dz from ef")
+@_query("a10_m8_family_effects", f"{_R}, {_EFF} select contrast_id, endpoint, n, n<mean_delta>n as mean_delta, n<median_delta>n as median_delta, n<std_delta>n as std_delta, n<positive_share>n as positive_share, n<case when std_delta > 0 then mean_delta / std_delta end>n as dz from ef")
 def _(spark, d):
-    return contrasts.effects(_deltas(spark, d)).drop("positive_share")
+    return contrasts.effects(_deltas(spark, d))
+
+
+def _qvalues(spark, d):
+    deltas = _deltas(spark, d).where(F.col("endpoint").isin(*contrasts.PRIMARY))
+    both = contrasts.effects(deltas).join(contrasts.resampled(deltas), ["contrast_id", "endpoint"], "left")
+    families = contrasts.registry(geometry.sample_metrics(responses(spark, d))).select("contrast_id", "family_slug")
+    return contrasts.q_values(both.join(families, "contrast_id"), keys=("family_slug",))
 
 
 @_query("m6_m7_w11_family_effects_qvalues")
 def _(spark, d):
-    deltas = _deltas(spark, d)
-    both = contrasts.effects(deltas).join(contrasts.resampled(deltas), ["contrast_id", "endpoint"], "left")
-    return contrasts.q_values(both, keys=("contrast_id",))
+    return _qvalues(spark, d)
+
+
+@_query("y2_p11_contrast_registry", f"""{_R}, {_PAIRS} select contrast_id, 'a1_abstain_toggle' as family_slug, 'toggle' as contrast_kind, baseline_tag, variant_tag, concat('a1 ', split_part(contrast_id, '_', 2)) as baseline_label, concat('b1 ', split_part(contrast_id, '_', 2)) as variant_label, 'window_only' as match_mode from ct
+where baseline_tag in (select experiment_tag from r) and variant_tag in (select experiment_tag from r)""")
+def _(spark, d):
+    return contrasts.registry(responses(spark, d))
 
 
 @_query("w11_q_values", "with p as (select p_partkey as k, p_brand as g, (p_partkey * 37 % 1000 + 1) / 1001.0::double as p from part), a as (select *, row_number() over (partition by g order by p, k) as r, count(*) over (partition by g) as n from p) select k, g, n<p>n as p, n<least(1, min(p * n / r) over (partition by g order by r desc rows between unbounded preceding and current row))>n as q_value from a")
 def _(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("g"), ((F.col("p_partkey") * 37 % 1000 + 1) / 1001.0).alias("p"))
-    return contrasts.q_values(p, "p", ("g",), "k")
+    return contrasts.q_values(p, "p", ("g",), "k").drop("is_significant_fdr_10", "is_significant_fdr_05")
 
 
-@_query("k1_k3_ranked_findings", f"{_R}, {_EFF}, f as (select contrast_id, endpoint, n, mean_delta, median_delta, std_delta, case when std_delta > 0 then mean_delta / std_delta end as dz from ef) select contrast_id, endpoint, n, n<mean_delta>n as mean_delta, n<median_delta>n as median_delta, n<std_delta>n as std_delta, n<dz>n as dz, n<abs(coalesce(dz, 0)) + 0.1 * abs(mean_delta)>n as score from f order by abs(coalesce(dz, 0)) + 0.1 * abs(mean_delta) desc, contrast_id, endpoint limit 25")
+@_query("k2_ranked_effects", f"""{_R}, {_EFF}, f as (select *, case when std_delta > 0 then mean_delta / std_delta end as dz, least(1.0, 0.01 * (1 + n % 9)) as p from ef where endpoint in ({", ".join(f"'{e}'" for e in contrasts.PRIMARY)})),
+k as (select *, row_number() over (order by p, contrast_id, endpoint) as pos, count(*) over () as m from f), q as (select *, least(1.0, min(p * m / pos) over (order by pos desc)) as q_value from k)
+select contrast_id, endpoint, n<mean_delta>n as mean_delta, n<q_value>n as q_value, n<3 * (q_value <= 0.05)::int + 2 * (q_value <= 0.1)::int + coalesce(abs(dz), 0) + 0.1 * abs(mean_delta)>n as rank_score,
+ case when round(mean_delta, 9) > 0 then 'positive' when round(mean_delta, 9) < 0 then 'negative' else 'neutral' end as direction from q order by round(q_value, 9), round(abs(dz), 9) desc nulls last, round(abs(mean_delta), 9) desc, contrast_id, endpoint limit 25""")
 def _(spark, d):
-    return contrasts.ranked_findings(contrasts.effects(_deltas(spark, d)).drop("positive_share"))
+    # p-values by a rule in place of resampling, so that SQL can follow.
+    e = contrasts.effects(_deltas(spark, d).where(F.col("endpoint").isin(*contrasts.PRIMARY))).withColumn("p_value", F.least(F.lit(1.0), 0.01 * (1 + F.col("n") % 9))).withColumn("tie", F.concat_ws("/", "contrast_id", "endpoint"))
+    return contrasts.ranked_findings(contrasts.q_values(e, tie="tie")).select("contrast_id", "endpoint", "mean_delta", "q_value", "rank_score", "direction")
 
 
 @_query("a22_j31_effect_contributors", f"{_R}, {_DELTA}, c as (select sample_ordinal, abs(delta) as s, concat(contrast_id, '/', endpoint) as k from de where delta is not null) select sample_ordinal, n<sum(s)>n as total, n<max(s)>n as largest, count(*) as n, max_by(k, {{'a': round(s + 3.7e-10, 9), 'b': k}}) as largest_key from c group by 1 order by round(sum(s), 6) desc, sample_ordinal limit 25")
@@ -279,30 +321,34 @@ def _(spark, d):
 _SAID = "select conv_id, turn, concat(text, case (conv_id + turn) % 5 when 0 then chr(10) || 'VERDICT: B' when 1 then chr(10) || '- VERDICT: VERDICT: `a, C.`' when 2 then chr(10) || 'verdict: ABSTAIN' when 3 then chr(10) || 'VERDICT: [A/d b]' || chr(10) || 'EXPERT_AGREEMENT: 0.75' else '' end) as raw from {conversations}"
 
 
-@_query("f29_f31_parsed_verdicts", f"""with s as ({_SAID.format(conversations="conversations")}), l as (select conv_id, turn, raw, (conv_id + turn) % 5 as k from s)
-select conv_id, turn, case k when 0 then [2] when 1 then [1, 3] when 2 then cast([] as int[]) when 3 then [1, 4, 2] end as stages, n<case when k = 3 then 0.75 end>n as agreement, k < 4 and length(raw) > 40 as has_reasoning from l where raw is not null""")
+@_query("f29_f32_parsed_verdicts", f"""with s as ({_SAID.format(conversations="conversations")}), l as (select conv_id, turn, raw, (conv_id + turn) % 5 as k from s)
+select conv_id, turn, case k when 0 then [2] when 1 then [1, 3] when 2 then cast([] as int[]) when 3 then [1, 4, 2] end as stages, case k when 0 then 2 when 1 then 1 when 2 then 0 when 3 then 1 end as first_stage,
+ n<case when k = 3 then 0.75 end>n as agreement, case when k < 4 then length(trim(regexp_extract(raw, '^(.*?)\\n[- ]*verdict:', 1, 'is'), chr(10) || ' ')) end as reasoning_chars from l where raw is not null""")
 def _(spark, d):
     said = spark.sql(_SAID.format(conversations="{c}").replace("chr(10) ||", "'\\n' ||").replace("|| chr(10)", "|| '\\n'"), c=table(spark, d, "conversations")).where("raw is not null")
     raw = F.col("raw")
-    return said.select("conv_id", "turn", text.letters_to_stages(raw).alias("stages"), text.agreement(raw).alias("agreement"), (text.verdict_line(raw).isNotNull() & (F.length(raw) > 40)).alias("has_reasoning"))
+    chars = F.length(text.reasoning(raw)).cast("long")
+    return said.select("conv_id", "turn", text.letters_to_stages(raw).alias("stages"), text.single_verdict(raw).alias("first_stage"), text.agreement(raw).alias("agreement"), chars.alias("reasoning_chars"))
 
 
 @_query("a41_target_states", f"""{_Q}, g as (select custom_key, count(*) as attempts, count(*) filter (status = 'pending') as n_pending, count(*) filter (status = 'success') as n_success, count(*) filter (status = 'error') as n_error,
  max_by(request_id, {{'a': ts, 'b': request_id}}) as latest_request, max_by(request_id, {{'a': ts, 'b': request_id}}) filter (status = 'success') as success_request, max_by(request_id, {{'a': ts, 'b': request_id}}) filter (status = 'error') as error_request,
- min(ts) filter (status = 'pending') as oldest_pending from r where status <> 'ignored' group by 1)
-select *, case when n_pending > 0 then 'pending' when n_success > 0 then 'succeeded' when n_error >= 3 then 'exhausted' else 'retryable' end as resolution from g""")
+ min(ts) filter (status = 'pending') as oldest_pending, max_by(coalesce(attempt_index, 1), {{'a': ts, 'b': request_id}}) filter (status = 'error') as error_attempt, false as stored from r where status <> 'ignored' group by 1)
+select *, case when n_pending > 0 then 'pending' when n_success > 0 then 'succeeded' when error_attempt >= 3 then 'exhausted' else 'retryable' end as resolution from g""")
 def _(spark, d):
     return ops.target_states(requests(spark, d))
 
 
-@_query("a24_a31_stage_progress", f"""{_Q}, g as (select custom_key, case when count(*) filter (status = 'pending') > 0 then 'p' when count(*) filter (status = 'success') > 0 then 's' when count(*) filter (status = 'error') >= 3 then 'e' else 'r' end as x from r where status <> 'ignored' group by 1)
+@_query("a24_a31_stage_progress", f"""{_Q}, g as (select custom_key, case when count(*) filter (status = 'pending') > 0 then 'p' when count(*) filter (status = 'success') > 0 then 's' when max_by(coalesce(attempt_index, 1), {{'a': ts, 'b': request_id}}) filter (status = 'error') >= 3 then 'e' else 'r' end as x from r where status <> 'ignored' group by 1)
 select split_part(custom_key, ':', 3) as stage, count(*) filter (x = 's') as completed, count(*) filter (x = 'e') as failed, count(*) filter (x in ('p', 'r')) as pending, count(*) as total, case when count(*) filter (x in ('p', 'r')) > 0 then 'running' else 'completed' end as status from g group by 1""")
 def _(spark, d):
     return ops.stage_progress(ops.target_states(requests(spark, d)))
 
 
-@_query("p17_error_classes", f"""{_Q} select case when error = '' then 'unknown' when contains(lower(error), 'quota') or contains(lower(error), 'credit') then 'quota' when contains(lower(error), 'parse') or contains(lower(error), 'rubric') then 'parse_error' when contains(lower(error), 'timeout') then 'timeout'
- when contains(lower(error), 'temporary') then 'temporary' when contains(lower(error), 'rate limit') or contains(lower(error), '429') then 'rate_limit' when contains(lower(error), 'bytes read') or contains(lower(error), 'orchestrator') then 'orchestrator' when contains(lower(error), 'provider') or contains(lower(error), 'api') then 'api_error' else 'unknown' end as error_class, count(*) as n from r where status = 'error' group by 1""")
+_CLASS = "case " + " ".join(f"when {' or '.join(f'contains(lower(error), {chr(39)}{w.replace(chr(39), chr(39) * 2)}{chr(39)})' for w in words)} then '{c}'" for c, words in ops.ERRORS.items()) + " else 'unknown' end"
+
+
+@_query("p17_error_classes", f"""{_Q} select {_CLASS} as error_class, count(*) as n from r where status = 'error' group by 1""")
 def _(spark, d):
     return ops.error_counts(requests(spark, d))
 
@@ -345,7 +391,8 @@ def _(spark, d):
 
 @_query("r3_bp3_seeded_bundles")
 def _(spark, d):
-    items = table(spark, d, "benchmark").select(F.lit("pool").alias("pool"), "item_id")
+    items = table(spark, d, "documents").where("doc_id is not null").select("source", F.col("doc_id").alias("item_id"))
+    items = items.withColumn("pool", F.concat_ws("/", "source", F.pmod(F.xxhash64("item_id"), F.lit(64)).cast("string"))).drop("source")
     return bundles.bundle_rows(bundles.chunked(bundles.seeded_shuffle(items, "pool", "item_id", 7), "pool", "at", 5), "pool", "item_id")
 
 

@@ -19,7 +19,8 @@ REQUESTS = """
 select concat('run:', cast(user_id as varchar(20)), ':', case when user_id % 2 = 0 then 'score_gen' else 'rubric_gen' end) as custom_key, event_id as request_id, ts,
        case event_type when 'purchase' then 'success' when 'error' then 'error' when 'view' then 'pending' else 'ignored' end as status,
        case event_id % 9 when 0 then 'Rate limit (429)' when 1 then 'Failed to parse verdict line' when 2 then 'Request timeout' when 3 then 'insufficient_quota'
-            when 4 then 'temporary outage' when 5 then 'too many bytes read' when 6 then 'provider refused' when 7 then '' else 'odd' end as error
+            when 4 then 'The request timed out; try again later' when 5 then 'too many bytes read' when 6 then 'provider refused' when 7 then '' else 'Temporarily unavailable' end as error,
+       case when event_id % 5 = 0 then null else event_id % 4 + 1 end as attempt_index
 from {events}"""
 
 

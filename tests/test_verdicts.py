@@ -81,7 +81,7 @@ def test_seeded_order_and_bundles(spark):
 def test_ops(spark):
     messages = ["", "Quota exceeded", "Failed to parse verdict", "Request TIMEOUT", "429", "other", None]
     got = [r[0] for r in spark.createDataFrame([(m,) for m in messages], "m string").select(ops.error_class(F.col("m"))).collect()]
-    assert got == ["unknown", "quota", "parse_error", "timeout", "rate_limit", "unknown", "unknown"]
+    assert got == ["unknown", "quota_exhausted", "parse_error", "timeout", "rate_limit", "unknown", "unknown"]
     rows = [("a:1:g", i, s) for i, s in enumerate(["error", "error", "error"])] + [("b:1:g", 4, "error"), ("b:1:g", 5, "success"), ("c:1:g", 6, "error"), ("d:1:g", 7, "pending")]
     req = spark.createDataFrame(rows, "custom_key string, request_id long, status string").withColumn("ts", F.timestamp_seconds("request_id"))
     states = ops.target_states(req)
