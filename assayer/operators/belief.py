@@ -79,7 +79,7 @@ def combined(q: DataFrame, keys: list[str], usable: float = 0.9) -> DataFrame:
     """One row a key: its conflict, if that is low enough to be of use, the largest probability and its stage (the first of equals)."""
     best = F.max(F.struct(F.round("bet_p", 9).alias("p"), (-F.col("stage")).alias("s")))
     out = pignistic(q, keys).groupBy(*keys).agg(F.max("conflict").alias("conflict"), best.alias("best"))
-    return out.select(*keys, "conflict", (F.col("conflict") < usable).alias("usable"), F.col("best.p").alias("max_bet_p"), (-F.col("best.s")).alias("modal_stage"))
+    return out.select(*keys, "conflict", (F.round("conflict", 9) < usable).alias("usable"), F.col("best.p").alias("max_bet_p"), (-F.col("best.s")).alias("modal_stage"))
 
 
 def bundle_belief(responses: DataFrame, closed: bool = False) -> DataFrame:
