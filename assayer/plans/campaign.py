@@ -52,10 +52,10 @@ def _(spark, d):
     return campaign.assembled(scores, samples, critics, items)
 
 
-@_query("p4_exploded_items", "select conv_id, pos as \"position\", w as evidence_id, case when pos < 3 then upper(w) else '' end as evidence_label from (select conv_id, unnest(ws) as w, cast(unnest(range(0, len(ws))) as int) as pos from (select conv_id, string_split(text, ' ') as ws from conversations where turn = 0 and text is not null))")
+@_query("p4_exploded_items", "select conv_id, pos as \"position\", w as evidence_id, case when pos < 3 then concat('#', w) else '' end as evidence_label from (select conv_id, unnest(ws) as w, cast(unnest(range(0, len(ws))) as int) as pos from (select conv_id, string_split(text, ' ') as ws from conversations where turn = 0 and text is not null))")
 def _(spark, d):
     c = table(spark, d, "conversations").where("turn = 0 and text is not null").select("conv_id", F.split("text", " ").alias("ids"))
-    c = c.withColumn("labels", F.transform(F.slice("ids", 1, 3), lambda x: F.upper(x))).withColumn("places", F.array().cast("array<int>"))
+    c = c.withColumn("labels", F.transform(F.slice("ids", 1, 3), lambda x: F.concat(F.lit("#"), x))).withColumn("places", F.array().cast("array<int>"))
     return campaign.exploded_items(c, "ids", "labels", "places")
 
 
