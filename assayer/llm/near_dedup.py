@@ -122,7 +122,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bit of each register of a class: where two sketches agree, so do the bits, and in half of the rest."""
+    """A class's buckets, and a bit of each register: where two sketches agree, so do the bits, and in half of the rest."""
     for batch in batches:
         for at in range(0, len(batch), 2000):
             part = batch.slice(at, 2000)
@@ -131,7 +131,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits[:, :REGISTERS] = mixed(r.astype(np.uint64) + _BAND.ravel()) & np.uint64(1)
             packed = np.packbits(bits, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column("rep"), part.column("n"), pa.array([*packed], pa.list_(pa.int64()))], ["rep", "n", "bits"]
+                [part.column("rep"), part.column("n"), pa.array([*_keys(r)], pa.list_(pa.int64())), pa.array([*packed], pa.list_(pa.int64()))], ["rep", "n", "buckets", "bits"]
             )
 
 
@@ -227,10 +227,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     open_ = shared.join(reached.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed_ = open_.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     rest = open_.where("rep <> centre").join(mixed_, "bucket").select("bucket", "rep", "component", "centre")
-    marks = classes.join(rest.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "registers").mapInArrow(_marks, "rep long, n long, bits array<long>")
+    marks = classes.join(rest.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "registers").mapInArrow(_marks, "rep long, n long, buckets array<long>, bits array<long>")
     rest = rest.join(marks, "rep").join(tried.select(F.col("a").alias("centre"), F.col("b").alias("rep"), "beside", "map"), ["centre", "rep"])
     rest = written(rest, "rest")
-    left, right = (rest.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n", "bits", "beside", "map"))) for s in ("a", "b"))
+    left, right = (rest.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n", "buckets", "bits", "beside", "map"))) for s in ("a", "b"))
     # Registers that differ at the threshold, half of which show in the bits, and six standard deviations more.
     unlike = (1 - percent / 100) / 2
     limit = int(REGISTERS * unlike + 6 * (REGISTERS * unlike * (1 - unlike)) ** 0.5) + 1
@@ -247,8 +247,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
         & (F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
         & (F.lit(100 + percent) * common >= F.lit(percent) * (F.col("n_a") + F.col("n_b")))
         & (differ <= limit)
+        # What shuts a pair out of one bucket shuts it out of all, and with a bucket's centre it was tried: the first bucket is enough.
+        & (F.array_min(F.array_intersect("buckets_a", "buckets_b")) == F.col("bucket"))
     )
-    pairs = written(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), "pairs")
+    pairs = written(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), "pairs")
     # Sketches travel before texts do.
     sketch = lambda s: classes.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("registers").alias(f"registers_{s}"))
     likely = pairs.join(sketch("a"), "a").join(sketch("b"), "b").mapInArrow(_likely(percent), "a long, b long")
