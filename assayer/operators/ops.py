@@ -34,7 +34,8 @@ def target_states(requests: DataFrame) -> DataFrame:
     """One row per custom key: its attempts, the latest of each kind, and what they amount to.
 
     Pending while any attempt is; else succeeded if one is, or if its result is stored (``artifact``, where there is such a
-    column); else exhausted if the latest error was the third attempt or later, or retryable. Attempts count from 1, as a null does.
+    column); else exhausted if the latest error was the third attempt or later, or retryable. Attempts count from 1, as a null does;
+    without the column ``attempt_index`` a key's errors are counted.
     """
     at = F.struct("ts", "request_id")
     of = lambda s: F.max_by("request_id", F.when(F.col("status") == s, at))
@@ -42,7 +43,7 @@ def target_states(requests: DataFrame) -> DataFrame:
     out = requests.where("status <> 'ignored'").groupBy("custom_key").agg(
         F.count("*").alias("attempts"), n("pending").alias("n_pending"), n("success").alias("n_success"), n("error").alias("n_error"), F.max_by("request_id", at).alias("latest_request"),
         of("success").alias("success_request"), of("error").alias("error_request"), F.min(F.when(F.col("status") == "pending", F.col("ts"))).alias("oldest_pending"),
-        F.max_by(F.coalesce("attempt_index", F.lit(1)), F.when(F.col("status") == "error", at)).alias("error_attempt"),
+        (F.max_by(F.coalesce("attempt_index", F.lit(1)), F.when(F.col("status") == "error", at)) if "attempt_index" in requests.columns else n("error")).alias("error_attempt"),
         F.coalesce(F.bool_or("artifact") if "artifact" in requests.columns else F.lit(False), F.lit(False)).alias("stored"),
     )
     resolution = F.when(F.col("n_pending") > 0, "pending").when((F.col("n_success") > 0) | F.col("stored"), "succeeded").when(F.col("error_attempt") >= ATTEMPTS, "exhausted").otherwise("retryable")
