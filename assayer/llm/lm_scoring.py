@@ -127,7 +127,7 @@ class Network:
         h = self.hidden(context)
         group, inner = target % CLASSES, target // CLASSES
         out = _log_softmax(h @ self.by_class.T)[np.arange(len(h)), group].astype(np.float64)
-        order = np.argsort(group, kind="stable")
+        order = np.argsort(group.astype(np.uint16), kind="stable")  # sorted by radix
         for g, rows in zip(range(CLASSES), np.split(order, np.searchsorted(group[order], np.arange(1, CLASSES))), strict=True):
             if len(rows):
                 out[rows] += _log_softmax(h[rows] @ self.by_word[g].T)[np.arange(len(rows)), inner[rows]]
@@ -142,7 +142,7 @@ class Network:
         back = p @ self.by_class
         class_grad = p.T @ h
         word_grad = np.zeros_like(self.by_word)
-        order = np.argsort(group, kind="stable")
+        order = np.argsort(group.astype(np.uint16), kind="stable")  # sorted by radix
         for g, rows in zip(range(CLASSES), np.split(order, np.searchsorted(group[order], np.arange(1, CLASSES))), strict=True):
             if len(rows):
                 q = np.exp(_log_softmax(h[rows] @ self.by_word[g].T))
@@ -151,7 +151,7 @@ class Network:
                 word_grad[g] = q.T @ h[rows]
         back = back[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2)
         for side in range(2 * SIDE):
-            order = np.argsort(context[:, side], kind="stable")
+            order = np.argsort(context[:, side].astype(np.uint16), kind="stable")
             near = context[order, side]
             first = np.flatnonzero(np.append(True, near[1:] != near[:-1]))
             grad, at = np.add.reduceat(back[order], first) / np.sqrt(n, dtype=np.float32), near[first]
