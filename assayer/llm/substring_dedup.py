@@ -2,10 +2,10 @@
 
 The reference of a document is every document with a smaller id. Its windows of ``window`` words are dealt by hash into
 blocks; a block's index holds, for each window, the smallest document in which it starts. A document is looked up in every
-block that one of its windows falls into, and then parsed greedily: a factor begins at the first word whose window starts in
-a smaller document, and goes on word by word while the windows come from that same reference. At its boundary the windows
-that straddle it are checked as well, and begin factors of their own. A factor has ``window`` words at least, and its words
-are a repeated passage. Thus a word is in a factor exactly if some window that covers it starts in a smaller document.
+block that one of its windows falls into. What is indexed is thus windows, not the reference's text: a factor begins at the
+first word whose window starts in a smaller document and goes on while the next windows have that same smallest document, and
+a window that straddles the end of a factor begins the next. That the reference holds a factor as one run is not looked up. The
+words in factors are exactly those that some window covers which starts in a smaller document, which is what is removed.
 
 Only window hashes are exchanged, 7 bytes each, packed by document and block; the block adds the bits of another hash. The
 number of blocks grows with the corpus, so that a block's index fits a task: at 10**12 windows one window in 10**5 million is
