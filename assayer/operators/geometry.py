@@ -34,9 +34,11 @@ def mass_shape(mass: DataFrame, keys: list[str]) -> DataFrame:
     return mass.groupBy(*keys).agg(F.sum(inside).alias("mid_scale_mass"), (F.sum(F.when(m > 0, -m * F.log2(m)).otherwise(0.0)) / F.log2(F.max(n))).alias("stage_entropy"))
 
 
-def experiment_geometry(responses: DataFrame) -> DataFrame:
+def experiment_geometry(responses: DataFrame, stages: int = 9) -> DataFrame:
+    """Mass of each stage from 1 to ``stages``, of abstentions and inside the scale, and entropy. A larger scale is an error."""
     mass = stage_mass(responses, ["experiment_tag"], of_all=True)
-    wide = mass.groupBy("experiment_tag").agg((1 - F.sum("mass")).alias("abstain_mass"), *(F.coalesce(F.sum(F.when(F.col("stage") == s, F.col("mass"))), F.lit(0.0)).alias(f"mass_stage_{s}") for s in range(1, 10)))
+    large = F.when(F.max("scale_size") > stages, F.raise_error(F.lit("a scale has more stages than columns")).cast("double"))
+    wide = mass.groupBy("experiment_tag").agg(F.coalesce(large, 1 - F.sum("mass")).alias("abstain_mass"), *(F.coalesce(F.sum(F.when(F.col("stage") == s, F.col("mass"))), F.lit(0.0)).alias(f"mass_stage_{s}") for s in range(1, stages + 1)))
     return wide.join(mass_shape(mass, ["experiment_tag"]), "experiment_tag")
 
 

@@ -86,3 +86,12 @@ def test_fnv_known_answers(spark):
     # Published values of the 32-bit FNV-1a hash.
     df = spark.createDataFrame([("",), ("a",), ("foobar",)], "t string")
     assert [r[0] for r in df.select(prompts.fnv1a(F.col("t"))).collect()] == ["811c9dc5", "e40c292c", "bf9cf968"]
+
+
+def test_a_scale_beyond_the_columns_is_an_error(spark):
+    from assayer.operators import geometry
+
+    r = spark.createDataFrame([("v3_a1_x", 1, 10, 512)], "experiment_tag string, sample_ordinal long, scale_size int, mask long")
+    assert geometry.experiment_geometry(r, stages=10).first().mass_stage_10 == 1.0
+    with pytest.raises(Exception, match="more stages than columns"):
+        geometry.experiment_geometry(r).collect()
