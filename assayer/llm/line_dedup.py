@@ -31,6 +31,9 @@ BUCKETS, ROW = 1 << 18, 1 << 10
 COMMON, PAIRED = 11, 100
 #: Sets of more words have a map of 128 bits instead of 64.
 SHORT = 64
+#: How many early classes of one word hash a class is held against before it looks for all its partners.
+SALTS = 16
+REST = ("n", "prefix", "rare", "map0", "map1")
 
 
 def _words(line: Column) -> Column:
@@ -111,23 +114,14 @@ def _keys(prefix: Column, rare: Column, n: Column, percent: int) -> Column:
     return F.when(n > PAIRED, one).otherwise(F.concat(one, two))
 
 
-def line_links(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """The classes and the links of ``docs``.
-
-    Classes: ``class, first, n``, where ``first`` is the struct
-    ``id, print, line`` of the first line in reading order (id, then the text's hash, then the line's number); links:
-    ``a, b`` as firsts of two classes, ``a`` before ``b``.
-    """
-    docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+def _classes(docs: DataFrame, percent: int, sketch: bool) -> DataFrame:
+    """A row per class of the lines of ``docs`` (``id, text``), with the columns of ``REST``; with ``sketch`` also its lowest and its highest word hash."""
     # A constant: Spark makes the array once, on the driver.
     scale = F.split(F.lit(",".join(map(str, rarity(docs)))), ",").cast("array<int>")
-
-    # Words shared by two linked sets of n and m: at least ceil(t (n + m) / (1 + t)). In whole numbers throughout.
-    enough = F.floor((F.lit(percent) * (F.col("n_a") + F.col("n_b")) + 99 + percent) / (100 + percent)).cast("int")
-
     lines = docs.select("id", F.xxhash64("text").alias("print"), F.posexplode(F.split("text", "\n")).alias("line", "words"))
     # Filtered on the line itself: a condition on its words would have Spark cut and sort them twice.
     lines = lines.where(F.col("words").rlike(r"[^\x20\x09-\x0D]")).select("id", "print", "line", _tokens(F.col("words"), scale).alias("tokens"))
+    hashes = F.transform("tokens", lambda t: F.shiftleft(t, 7))
     lines = lines.select(
         F.struct("id", "print", "line").alias("at"),
         F.struct(F.xxhash64("tokens").alias("x"), F.xxhash64(F.lit(5), "tokens").alias("y")).alias("class"),
@@ -135,24 +129,36 @@ def line_links(docs: DataFrame, id: str = "doc_id", text: str = "text", percent:
         F.transform(F.slice("tokens", F.lit(1), _prefix(F.size("tokens"), percent) + 1), lambda t: F.shiftright(F.shiftleft(t, 32), 32).cast("int")).alias("prefix"),
         F.size(F.filter(F.slice("tokens", F.lit(1), _prefix(F.size("tokens"), percent)), lambda t: F.shiftrightunsigned(t, 57) < COMMON)).alias("rare"),
         *(_map(F.col("tokens"), i).alias(f"map{i}") for i in (0, 1)),
+        *([F.array(F.array_min(hashes), F.array_max(hashes)).alias("ends")] if sketch else []),
     )
-    rest = ("n", "prefix", "rare", "map0", "map1")
-    classes = written(lines.groupBy("class").agg(F.min("at").alias("first"), *(F.first(c).alias(c) for c in rest)), "classes")
+    rest = (*REST, "ends") if sketch else REST
+    return written(lines.groupBy("class").agg(F.min("at").alias("first"), *(F.first(c).alias(c) for c in rest)), "classes")
+
+
+def _enough(percent: int) -> Column:
+    """Words shared by two linked sets of n and m: at least ceil(t (n + m) / (1 + t)). In whole numbers throughout."""
+    return F.floor((F.lit(percent) * (F.col("n_a") + F.col("n_b")) + 99 + percent) / (100 + percent)).cast("int")
+
 
+def _alike(percent: int) -> Column:
+    """Sizes and word maps leave a link possible."""
+    sizes = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
+    return sizes & (_alone("a", "b") <= F.col("n_a") - _enough(percent)) & (_alone("b", "a") <= F.col("n_b") - _enough(percent))
+
+
+def _candidates(classes: DataFrame, percent: int, apart: Column, *more: str) -> DataFrame:
+    """``x_a, x_b``, names of classes that share a key and may be linked; ``apart`` says which of both orders counts, on columns ``more`` too."""
     # Probes name a class by one of its hashes; the sets that are compared in the end are those of all classes of that name.
-    probes = classes.select(F.col("class.x").alias("x"), "n", "map0", "map1", F.explode(_keys(F.col("prefix"), F.col("rare"), F.col("n"), percent)).alias("k"))
-    probes = probes.select("k.key", "k.left", "x", "n", "map0", "map1")
-    a, b = (probes.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("x", "n", "left", "map0", "map1"))) for s in ("a", "b"))
-    pairs = a.join(b, "key").where(
-        (F.col("x_a") < F.col("x_b"))
-        & (F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
-        & (F.least("left_a", "left_b") >= enough)
-        & (_alone("a", "b") <= F.col("n_a") - enough)
-        & (_alone("b", "a") <= F.col("n_b") - enough)
-    )
-    pairs = written(pairs.select("x_a", "x_b").distinct(), "pairs")
+    mine = (F.col("class.x").alias("x"), "n", "map0", "map1", *more)
+    probes = classes.select(*mine, F.explode(_keys(F.col("prefix"), F.col("rare"), F.col("n"), percent)).alias("k"))
+    probes = probes.select("k.key", "k.left", "x", "n", "map0", "map1", *more)
+    a, b = (probes.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("x", "n", "left", "map0", "map1", *more))) for s in ("a", "b"))
+    pairs = a.join(b, "key").where(apart & (F.least("left_a", "left_b") >= _enough(percent)) & _alike(percent))
+    return written(pairs.select("x_a", "x_b").distinct(), "pairs")
+
 
-    # The whole sets of the lines in question, from their own texts.
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: firsts of the linked classes among ``pairs``, ``a`` before ``b``, by the whole sets of the lines in question, from their own texts."""
     asked = pairs.select(F.explode(F.array("x_a", "x_b")).alias("x")).distinct()
     asked = asked.join(classes.select(F.col("class.x").alias("x"), "first"), "x")
     asked = asked.groupBy(F.col("first.id").alias("id"), F.col("first.print").alias("print")).agg(F.collect_set(F.struct("x", F.col("first.line").alias("line"))).alias("asked"))
@@ -167,22 +173,66 @@ def line_links(docs: DataFrame, id: str = "doc_id", text: str = "text", percent:
     close = pairs.join(left, "x_a").join(right, "x_b").select("at_a", "at_b", (F.size("words_a") + F.size("words_b")).alias("n"), both.alias("both"))
     links = close.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("n") - F.col("both")))
     forward = F.col("at_a") < F.col("at_b")
-    links = links.select(F.when(forward, F.col("at_a")).otherwise(F.col("at_b")).alias("a"), F.when(forward, F.col("at_b")).otherwise(F.col("at_a")).alias("b"))
+    return links.select(F.when(forward, F.col("at_a")).otherwise(F.col("at_b")).alias("a"), F.when(forward, F.col("at_b")).otherwise(F.col("at_a")).alias("b"))
+
+
+def line_links(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """The classes and the links of ``docs``.
+
+    Classes: ``class, first, n``, where ``first`` is the struct
+    ``id, print, line`` of the first line in reading order (id, then the text's hash, then the line's number); links:
+    ``a, b`` as firsts of two classes, ``a`` before ``b``.
+    """
+    docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    classes = _classes(docs, percent, sketch=False)
+    links = _verified(docs, classes, _candidates(classes, percent, F.col("x_a") < F.col("x_b")), percent)
     return classes.select("class", "first", "n"), links
 
 
-def remove_repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+def later_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """The classes as of ``line_links``, and ``first`` of every class that is linked with an earlier one, without all links.
+
+    A group of near-equal lines has as many links as its square, but one link to an earlier line decides a line. So each class
+    is first held against at most ``SALTS`` early classes of those that share its lowest or its highest word hash, and the
+    likest by its map is compared on the whole sets. Only classes that this leaves open look for all their earlier partners,
+    among all classes, by the join of ``line_links``: what is found is exact.
+    """
+    docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    classes = _classes(docs, percent, sketch=True)
+    before = F.col("id_a").isNull() | (F.col("id_a") <= F.col("id_b"))
+
+    one = classes.select("first", F.col("class.x").alias("x"), "n", "map0", "map1", F.explode("ends").alias("key"))
+    early = one.groupBy("key", F.pmod(F.col("x"), F.lit(SALTS)).alias("salt")).agg(F.min(F.struct("first", "x", "n", "map0", "map1")).alias("e"))
+    early = early.select("key", F.col("e.first.id").alias("id_a"), *(F.col(f"e.{c}").alias(f"{c}_a") for c in ("x", "n", "map0", "map1")))
+    mine = one.select("key", F.col("first.id").alias("id_b"), *(F.col(c).alias(f"{c}_b") for c in ("x", "n", "map0", "map1")))
+    near = mine.join(early, "key").where(before & (F.col("x_a") != F.col("x_b")) & _alike(percent))
+    likest = near.groupBy("x_b").agg(F.min_by("x_a", F.struct(_alone("a", "b") + _alone("b", "a"), "x_a")).alias("x_a"))
+    found = _verified(docs, classes, written(likest.select("x_a", "x_b"), "likest"), percent)
+    found = written(found.select(F.col("b").alias("first")).distinct(), "found")
+
+    marked = classes.join(found.withColumn("done", F.lit(True)), "first", "left").withColumn("open", F.col("done").isNull()).withColumn("id", F.col("first.id"))
+    pairs = _candidates(marked, percent, before & F.col("open_b") & (F.col("x_a") != F.col("x_b")), "id", "open")
+    links = _verified(docs, classes, pairs, percent)
+    return classes.select("class", "first", "n"), found.unionByName(links.select(F.col("b").alias("first"))).distinct()
+
+
+def remove_repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, count: bool = True) -> DataFrame:
     """``docs`` with every column, ``text`` without its repeated lines, and ``n_lines``, ``n_removed``, ``n_links`` besides.
 
     A line goes if an earlier line, in order of id (null first), then of the text's hash, then of place, has ``percent`` % or
     more of their words in common; all comparisons are on the input. Lines without words stay, and so does a null text, with
     0 lines. Rows that repeat both id and text are one document. ``n_links`` counts the classes that those of the document's
-    lines are linked with. Columns of ``docs`` named as those added are replaced.
+    lines are linked with; without ``count`` it is left out, the same lines go, and no square of a group of near-equal lines is
+    made. Columns of ``docs`` named as those added are replaced.
     """
-    classes, links = line_links(docs, id, text, percent)
-    links = written(links, "links")
-    degrees = links.select(F.explode(F.array(F.struct(F.col("a").alias("first"), F.lit(0).alias("later")), F.struct(F.col("b").alias("first"), F.lit(1).alias("later")))).alias("e"))
-    degrees = degrees.groupBy("e.first").agg(F.count("*").alias("links"), F.max("e.later").alias("later"))
+    if count:
+        classes, links = line_links(docs, id, text, percent)
+        links = written(links, "links")
+        degrees = links.select(F.explode(F.array(F.struct(F.col("a").alias("first"), F.lit(0).alias("later")), F.struct(F.col("b").alias("first"), F.lit(1).alias("later")))).alias("e"))
+        degrees = degrees.groupBy("e.first").agg(F.count("*").alias("links"), F.max("e.later").alias("later"))
+    else:
+        classes, later = later_classes(docs, id, text, percent)
+        degrees = written(later, "later").select("first", F.lit(0).cast("long").alias("links"), F.lit(1).alias("later"))
     marked = classes.join(degrees, "first", "left").select("class", F.col("first").alias("at"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("later", F.lit(0)).alias("later"))
     # Only firsts can stay; every document learns of its own firsts, and the count of its lines it knows itself.
     per_doc = marked.groupBy(F.col("at.id").alias("k_id"), F.col("at.print").alias("k_print")).agg(
@@ -200,6 +250,6 @@ def remove_repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text
     kept = F.filter(split, lambda x, i: (F.substring("k_marks", i + 1, F.lit(1)) == F.lit(b"1")) | blank(x))
     out = {"text": F.array_join(kept, "\n"), "n_lines": F.coalesce(F.size(F.filter(split, lambda x: ~blank(x))), F.lit(0))}
     rows = rows.withColumn("o_text", F.when(F.col("r_text").isNotNull(), out["text"])).withColumn("o_lines", F.when(F.col("r_text").isNull(), 0).otherwise(out["n_lines"]))
-    added = {"n_lines": F.col("o_lines"), "n_removed": F.col("o_lines") - F.size(stay), "n_links": F.coalesce("k_links", F.lit(0))}
+    added = {"n_lines": F.col("o_lines"), "n_removed": F.col("o_lines") - F.size(stay)} | ({"n_links": F.coalesce("k_links", F.lit(0))} if count else {})
     columns = [F.col("o_text").alias(c) if c == text else F.col(f"doc.`{c}`") for c in docs.columns if c not in added]
     return rows.select(*columns, *(v.alias(c) for c, v in added.items()))
