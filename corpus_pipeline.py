@@ -24,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that nearly repeat an earlier one go, and documents that consist of nothing else."""
-    out = remove_repeated_lines(docs)
+    out = remove_repeated_lines(docs, count=False)
     emptied = (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines"))
     return out.where(~emptied).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
