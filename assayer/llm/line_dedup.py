@@ -32,7 +32,7 @@ COMMON, PAIRED = 11, 100
 #: Sets of more words have a map of 128 bits instead of 64.
 SHORT = 64
 #: How many early classes of one word hash a class is held against before it looks for all its partners.
-SALTS = 16
+SALTS, TURN = 8, 0x5A5A5A5A5A5A5A5A
 REST = ("n", "prefix", "rare", "map0", "map1")
 
 
@@ -115,13 +115,15 @@ def _keys(prefix: Column, rare: Column, n: Column, percent: int) -> Column:
 
 
 def _classes(docs: DataFrame, percent: int, sketch: bool) -> DataFrame:
-    """A row per class of the lines of ``docs`` (``id, text``), with the columns of ``REST``; with ``sketch`` also its lowest and its highest word hash."""
+    """A row per class of the lines of ``docs`` (``id, text``), with the columns of ``REST``; with ``sketch`` also four of its word hashes."""
     # A constant: Spark makes the array once, on the driver.
     scale = F.split(F.lit(",".join(map(str, rarity(docs)))), ",").cast("array<int>")
     lines = docs.select("id", F.xxhash64("text").alias("print"), F.posexplode(F.split("text", "\n")).alias("line", "words"))
     # Filtered on the line itself: a condition on its words would have Spark cut and sort them twice.
     lines = lines.where(F.col("words").rlike(r"[^\x20\x09-\x0D]")).select("id", "print", "line", _tokens(F.col("words"), scale).alias("tokens"))
+    # Lowest and highest once more after other bits are turned over: four samples of the set's words.
     hashes = F.transform("tokens", lambda t: F.shiftleft(t, 7))
+    turned = F.transform("tokens", lambda t: F.shiftleft(t, 7).bitwiseXOR(F.lit(TURN)))
     lines = lines.select(
         F.struct("id", "print", "line").alias("at"),
         F.struct(F.xxhash64("tokens").alias("x"), F.xxhash64(F.lit(5), "tokens").alias("y")).alias("class"),
@@ -129,7 +131,7 @@ def _classes(docs: DataFrame, percent: int, sketch: bool) -> DataFrame:
         F.transform(F.slice("tokens", F.lit(1), _prefix(F.size("tokens"), percent) + 1), lambda t: F.shiftright(F.shiftleft(t, 32), 32).cast("int")).alias("prefix"),
         F.size(F.filter(F.slice("tokens", F.lit(1), _prefix(F.size("tokens"), percent)), lambda t: F.shiftrightunsigned(t, 57) < COMMON)).alias("rare"),
         *(_map(F.col("tokens"), i).alias(f"map{i}") for i in (0, 1)),
-        *([F.array(F.array_min(hashes), F.array_max(hashes)).alias("ends")] if sketch else []),
+        *([F.array(*(f(h) for h in (hashes, turned) for f in (F.array_min, F.array_max))).alias("ends")] if sketch else []),
     )
     rest = (*REST, "ends") if sketch else REST
     return written(lines.groupBy("class").agg(F.min("at").alias("first"), *(F.first(c).alias(c) for c in rest)), "classes")
@@ -146,14 +148,18 @@ def _alike(percent: int) -> Column:
     return sizes & (_alone("a", "b") <= F.col("n_a") - _enough(percent)) & (_alone("b", "a") <= F.col("n_b") - _enough(percent))
 
 
-def _candidates(classes: DataFrame, percent: int, apart: Column, *more: str) -> DataFrame:
-    """``x_a, x_b``, names of classes that share a key and may be linked; ``apart`` says which of both orders counts, on columns ``more`` too."""
+def _candidates(classes: DataFrame, percent: int, apart: Column, done: Column, *more: str) -> DataFrame:
+    """``x_a, x_b``, names of classes that share a key and may be linked.
+
+    ``apart`` says which of both orders counts, on columns ``more`` too; classes that are ``done`` are only found, as ``a``.
+    """
     # Probes name a class by one of its hashes; the sets that are compared in the end are those of all classes of that name.
     mine = (F.col("class.x").alias("x"), "n", "map0", "map1", *more)
-    probes = classes.select(*mine, F.explode(_keys(F.col("prefix"), F.col("rare"), F.col("n"), percent)).alias("k"))
-    probes = probes.select("k.key", "k.left", "x", "n", "map0", "map1", *more)
+    probes = classes.select(*mine, done.alias("done"), F.explode(_keys(F.col("prefix"), F.col("rare"), F.col("n"), percent)).alias("k"))
+    # The sign says who is done: a filter of one side alone would have Spark shuffle the probes twice.
+    probes = probes.select("k.key", F.when(F.col("done"), -F.col("k.left")).otherwise(F.col("k.left")).alias("left"), "x", "n", "map0", "map1", *more)
     a, b = (probes.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("x", "n", "left", "map0", "map1", *more))) for s in ("a", "b"))
-    pairs = a.join(b, "key").where(apart & (F.least("left_a", "left_b") >= _enough(percent)) & _alike(percent))
+    pairs = a.join(b, "key").where(apart & (F.least(F.abs("left_a"), "left_b") >= _enough(percent)) & _alike(percent))
     return written(pairs.select("x_a", "x_b").distinct(), "pairs")
 
 
@@ -185,7 +191,7 @@ def line_links(docs: DataFrame, id: str = "doc_id", text: str = "text", percent:
     """
     docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     classes = _classes(docs, percent, sketch=False)
-    links = _verified(docs, classes, _candidates(classes, percent, F.col("x_a") < F.col("x_b")), percent)
+    links = _verified(docs, classes, _candidates(classes, percent, F.col("x_a") < F.col("x_b"), F.lit(False)), percent)
     return classes.select("class", "first", "n"), links
 
 
@@ -193,9 +199,10 @@ def later_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", perce
     """The classes as of ``line_links``, and ``first`` of every class that is linked with an earlier one, without all links.
 
     A group of near-equal lines has as many links as its square, but one link to an earlier line decides a line. So each class
-    is first held against at most ``SALTS`` early classes of those that share its lowest or its highest word hash, and the
-    likest by its map is compared on the whole sets. Only classes that this leaves open look for all their earlier partners,
-    among all classes, by the join of ``line_links``: what is found is exact.
+    is first held against at most ``SALTS`` early classes of those that share one of four samples of its
+    word hashes. Only
+    classes that this leaves open look for all their earlier partners, among all classes, by the join of ``line_links``: what
+    is found is exact.
     """
     docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     classes = _classes(docs, percent, sketch=True)
@@ -206,12 +213,11 @@ def later_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", perce
     early = early.select("key", F.col("e.first.id").alias("id_a"), *(F.col(f"e.{c}").alias(f"{c}_a") for c in ("x", "n", "map0", "map1")))
     mine = one.select("key", F.col("first.id").alias("id_b"), *(F.col(c).alias(f"{c}_b") for c in ("x", "n", "map0", "map1")))
     near = mine.join(early, "key").where(before & (F.col("x_a") != F.col("x_b")) & _alike(percent))
-    likest = near.groupBy("x_b").agg(F.min_by("x_a", F.struct(_alone("a", "b") + _alone("b", "a"), "x_a")).alias("x_a"))
-    found = _verified(docs, classes, written(likest.select("x_a", "x_b"), "likest"), percent)
+    found = _verified(docs, classes, written(near.select("x_a", "x_b").distinct(), "near"), percent)
     found = written(found.select(F.col("b").alias("first")).distinct(), "found")
 
-    marked = classes.join(found.withColumn("done", F.lit(True)), "first", "left").withColumn("open", F.col("done").isNull()).withColumn("id", F.col("first.id"))
-    pairs = _candidates(marked, percent, before & F.col("open_b") & (F.col("x_a") != F.col("x_b")), "id", "open")
+    marked = classes.join(found.withColumn("found", F.lit(True)), "first", "left").withColumn("id", F.col("first.id"))
+    pairs = _candidates(marked, percent, before & (F.col("x_a") != F.col("x_b")), F.col("found").isNotNull(), "id")
     links = _verified(docs, classes, pairs, percent)
     return classes.select("class", "first", "n"), found.unionByName(links.select(F.col("b").alias("first"))).distinct()
 
