@@ -46,9 +46,9 @@ def _(spark, d):
     return prompts.cohort(table(spark, d, "part").select(F.col("p_brand").alias("tag")), ["Brand#1", "Brand#2", "Brand#77", "none"])
 
 
-@_query("p28_p29_u4_contract_problems", "with a as (select o_custkey as k from orders where o_orderkey % 3 = 0), b as (select distinct c_custkey as k from customer where c_nationkey > 3) select 'missing' as problem, k as value from (select distinct k from a) where k not in (select k from b) union all select 'unexpected', k from b where k not in (select k from a) union all select 'repeated', k from a group by k having count(*) > 1")
+@_query("p28_p29_u4_contract_problems", "with a as (select o_custkey as k from orders), b as (select distinct c_custkey as k from customer where c_nationkey > 3) select 'missing' as problem, k as value from (select distinct k from a) where k not in (select k from b) union all select 'unexpected', k from b where k not in (select k from a) union all select 'repeated', k from a group by k having count(*) > 1")
 def _(spark, d):
-    a = table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("k"))
+    a = table(spark, d, "orders").select(F.col("o_custkey").alias("k"))
     return prompts.set_problems(a, table(spark, d, "customer").where("c_nationkey > 3").select(F.col("c_custkey").alias("k")), "k")
 
 
@@ -58,17 +58,17 @@ def _(spark, d):
     return prompts.resolved_prompts(r, table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
 
 
-@_query("j5_j6_pool_windows", "select l_suppkey, array_to_string(list_sort(list(distinct p_size::varchar)), '|') as windows, count(distinct l_partkey) as evidence from lineitem join part on l_partkey = p_partkey where p_size < 20 group by 1")
+@_query("j5_j6_pool_windows", "select l_suppkey, array_to_string(list_sort(list(distinct p_size::varchar)), '|') as windows, count(distinct l_partkey) as evidence from lineitem join part on l_partkey = p_partkey group by 1")
 def _(spark, d):
     links = table(spark, d, "lineitem").select("l_suppkey", "l_partkey")
-    return prompts.pool_windows(links, table(spark, d, "part").where("p_size < 20").withColumnRenamed("p_partkey", "l_partkey"), "l_suppkey", "l_partkey", "p_size")
+    return prompts.pool_windows(links, table(spark, d, "part").withColumnRenamed("p_partkey", "l_partkey"), "l_suppkey", "l_partkey", "p_size")
 
 
-@_query("bp6_bp7_same_plans", "with p as (select o_orderpriority as strategy, nullif(o_orderstatus, 'P') as version, o_custkey % 7 as seed, min(o_orderkey) as plan_id from orders where o_orderkey % 9 = 0 group by 1, 2, 3), w as (select o_orderkey, o_orderpriority as strategy, nullif(o_orderstatus, 'P') as version, o_custkey % 7 as seed from orders where o_orderkey % 11 = 0) select w.o_orderkey, w.strategy, w.version, w.seed, plan_id from w left join p on w.strategy = p.strategy and w.version is not distinct from p.version and w.seed = p.seed")
+@_query("bp6_bp7_same_plans", "with p as (select o_orderpriority as strategy, nullif(o_orderstatus, 'P') as version, o_custkey as seed, min(o_orderkey) as plan_id from orders where o_orderdate < '1995-01-01' group by 1, 2, 3), w as (select o_orderkey, o_orderpriority as strategy, nullif(o_orderstatus, 'P') as version, o_custkey as seed from orders) select w.o_orderkey, w.strategy, w.version, w.seed, plan_id from w left join p on w.strategy = p.strategy and w.version is not distinct from p.version and w.seed = p.seed")
 def _(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("strategy"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("version"), (F.col("o_custkey") % 7).alias("seed"))
-    plans = o.where("o_orderkey % 9 = 0").withColumnRenamed("o_orderkey", "plan_id")
-    return prompts.same_plans(o.where("o_orderkey % 11 = 0"), plans, ["strategy", "version", "seed"])
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("strategy"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("version"), F.col("o_custkey").alias("seed"), "o_orderdate")
+    plans = o.where("o_orderdate < '1995-01-01'").drop("o_orderdate").withColumnRenamed("o_orderkey", "plan_id")
+    return prompts.same_plans(o.drop("o_orderdate"), plans, ["strategy", "version", "seed"])
 
 
 @_query("m16_x1_encoded_texts", "select p_partkey, length(p_name)::double as a, 1.0::double as b from part")
@@ -77,7 +77,7 @@ def _(spark, d):
     return encoded.select("p_partkey", F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
 
 
-@_query("m_masses", f"""{_R}, x as (select *, unnest(range(0, 1::bigint << scale_size)) as s from r where scale_size = 4), q as (select experiment_tag, sample_ordinal, s, product(case when s = 0 then 1.0 when mask = 0 then 1 - agreement when mask = 15 then agreement when (s & ~mask) = 0 then 1.0 else 1 - agreement * obs * disc end) as q from x group by all)
+@_query("m_masses", f"""{_R}, x as (select *, unnest(range(0, 1::bigint << scale_size)) as s from r), q as (select experiment_tag, sample_ordinal, s, product(case when s = 0 then 1.0 when mask = 0 then 1 - agreement when mask = (1::bigint << scale_size) - 1 then agreement when (s & ~mask) = 0 then 1.0 else 1 - agreement * obs * disc end) as q from x group by all)
 select a.experiment_tag, a.sample_ordinal, a.s as subset, n<sum(case when bit_count(b.s) % 2 = bit_count(a.s) % 2 then b.q else -b.q end)>n as mass from q a join q b on a.experiment_tag = b.experiment_tag and a.sample_ordinal = b.sample_ordinal and (a.s & ~b.s) = 0 group by 1, 2, 3""", nudge=3.7e-13)
 def _(spark, d):
-    return belief.masses(belief.commonalities(responses(spark, d).where("scale_size = 4"), geometry.SAMPLE), geometry.SAMPLE)
+    return belief.masses(belief.commonalities(responses(spark, d), geometry.SAMPLE), geometry.SAMPLE)
