@@ -13,6 +13,12 @@ from assayer.operators.geometry import SAMPLE
 #: What is added to each probability before two distributions are compared.
 EPSILON = 1e-8
 OUTLYING = 1.5
+#: What a tag may hold, first match first, and its mark on a focus label; the mark of an abstracted view comes last.
+MARKS = (
+    ("abstain_true", "A+"), ("abstain_false", "A-"), ("illiberal_democracy", "illib"), ("control", "ctl"), ("cluster_l3", "cl3"),
+    ("cluster_l2", "cl2"), ("random_l2", "rand"), ("scale_9", "s9"), ("scale_7", "s7"), ("scale_5", "s5"),
+)
+ABSTRACTED = ("l3_abstracted", "l3")
 
 
 def family_summary(metrics: DataFrame, columns: list[str]) -> DataFrame:
@@ -225,3 +231,23 @@ def pair_cosine(vectors: DataFrame, contrasts: DataFrame) -> DataFrame:
 
 def responses_by_shape(responses: DataFrame) -> DataFrame:
     return responses.select("response_id", "experiment_tag", label(F.col("mask"), F.col("scale_size")).alias("verdict"), bucket(F.col("mask"), F.col("scale_size")).alias("bucket"))
+
+
+def focus_label(tag: Column, model: Column, view: Column) -> Column:
+    """Family, short model name and, if the tag or the view has one, a mark, with bars between them."""
+    marks = (F.when(tag.contains(held), mark) for held, mark in MARKS)
+    return F.concat_ws("|", family(tag), model, F.coalesce(*marks, F.when(view == ABSTRACTED[0], ABSTRACTED[1])))
+
+
+def focus_similarity(similarity: DataFrame, experiments: DataFrame, models: list[str]) -> DataFrame:
+    """Rows of ``similarity`` (``experiment_a, experiment_b``) whose both experiments are by one of ``models``, with what is known of each.
+
+    ``experiments`` has ``experiment_tag, model_id, model_short, evidence_view``, one row a tag.
+    """
+    tag = F.col("experiment_tag")
+    focus = experiments.where(F.col("model_id").isin(models))
+    known = focus.select(tag, F.col("model_id").alias("model"), family_slug(tag).alias("family"), focus_label(tag, F.col("model_short"), F.col("evidence_view")).alias("display_label"))
+    for side in ("a", "b"):
+        mine = known.select(tag.alias(f"experiment_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("model", "family", "display_label")))
+        similarity = similarity.join(mine, f"experiment_{side}")
+    return similarity

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayer.functions.verdicts import bucket_of_label, family, family_slug, variant
-from assayer.operators import belief, contrasts, geometry, pools, reports
+from assayer.functions.verdicts import FAMILIES, bucket_of_label, family, family_slug, variant
+from assayer.operators import belief, contrasts, geometry, pools, reports, text
 from assayer.plans.queries import _BELIEF, _DELTA, _EC, _EFF, _EXP, _LABEL, _PAIRS, _POOL, _R, _S, _SB, _SIZES, _SM, _STAGED, QUERIES, _bet, _deltas, _experiments, _matched, _methods, _query, _samples  # noqa: F401
 from assayer.sources.fixtures import responses, table
 
@@ -257,3 +257,24 @@ def _(spark, d):
     r = responses(spark, d)
     counts = r.agg(F.count("*").alias("responses"), F.countDistinct(*geometry.SAMPLE).alias("samples"), F.countDistinct("experiment_tag", "bundle_no").alias("bundles"), F.countDistinct("experiment_tag").alias("experiments"))
     return counts.select(F.explode(F.create_map(*(x for c in counts.columns for x in (F.lit(c), F.col(c))))).alias("dataset", "n"))
+
+
+_FOCUS = "select *, concat('v3_', case when vec_id % 2 = 0 then 'a1_' else 'b1_' end, case (vec_id // 2) % 4 when 0 then 'abstain_true' when 1 then 'control' when 2 then 'scale_9' else 'plain' end) as tag from embeddings where embedding is not null"
+
+
+@_query("j27_p13_focus_similarity", f"""with v as ({_FOCUS}), m as (select tag, i, avg(x) as x from (select tag, unnest(embedding)::double as x, unnest(range(1, len(embedding) + 1)) as i from v) group by 1, 2),
+c as (select a.tag as ta, b.tag as tb, sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)) as c from m a join m b on a.i = b.i group by 1, 2),
+e as (select tag, case when tag like '%control' then 'other' else concat('judge-', tag[4:5]) end as model, concat(tag[4:5], '_', case tag[4:5] {" ".join(f"when '{k}' then '{v}'" for k, v in FAMILIES.items())} else tag[4:5] end) as family,
+ concat(tag[4:5], '|J', case when tag like '%abstain_true' then '|A+' when tag like '%scale_9' then '|s9' when tag like '%b1_plain' then '|l3' else '' end) as label from (select distinct tag from v))
+select ta as experiment_a, tb as experiment_b, n<c>n as cosine, a.model as model_a, b.model as model_b, a.family as family_a, b.family as family_b, a.label as display_label_a, b.label as display_label_b
+from c join e a on a.tag = ta join e b on b.tag = tb where a.model <> 'other' and b.model <> 'other'""")
+def _(spark, d):
+    v, k = table(spark, d, "embeddings").where("embedding is not null"), F.col("vec_id")
+    kind = F.element_at(F.array(*map(F.lit, ("abstain_true", "control", "scale_9", "plain"))), (F.floor(k / 2) % 4 + 1).cast("int"))
+    v = v.select(F.concat(F.lit("v3_"), F.when(k % 2 == 0, "a1_").otherwise("b1_"), kind).alias("experiment_tag"), "embedding")
+    tag = F.col("experiment_tag")
+    model = F.when(tag.endswith("control"), "other").otherwise(F.concat(F.lit("judge-"), family(tag)))
+    view = F.when(tag.endswith("b1_plain"), "l3_abstracted").otherwise("l0_raw")
+    experiments = v.select(tag).distinct().select(tag, model.alias("model_id"), F.lit("J").alias("model_short"), view.alias("evidence_view"))
+    similarity = text.centroid_cosine(v, "experiment_tag", "embedding").withColumnsRenamed({"left_group": "experiment_a", "right_group": "experiment_b"})
+    return reports.focus_similarity(similarity, experiments, ["judge-a1", "judge-b1"])

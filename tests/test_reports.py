@@ -95,3 +95,12 @@ def test_a_scale_beyond_the_columns_is_an_error(spark):
     assert geometry.experiment_geometry(r, stages=10).first().mass_stage_10 == 1.0
     with pytest.raises(Exception, match="more stages than columns"):
         geometry.experiment_geometry(r).collect()
+
+
+def test_focus_labels_and_similarity(spark):
+    rows = [("v3_a1_x", "m", "M", None), ("v3_1_b2_abstain_false_scale_9", "m", "M", "l3_abstracted"), ("v3_c3_y", "k", "K", "l3_abstracted"), ("v3_d4_z", "other", "O", None)]
+    experiments = spark.createDataFrame(rows, "experiment_tag string, model_id string, model_short string, evidence_view string")
+    tags = [r[0] for r in rows]
+    pairs = spark.createDataFrame([(a, b, 0.5) for a in tags for b in tags] + [(None, tags[0], 0.5)], "experiment_a string, experiment_b string, cosine double")
+    got = reports.focus_similarity(pairs, experiments, ["m", "k"]).collect()
+    assert len(got) == 9 and {(r.experiment_a, r.display_label_a) for r in got} == {(tags[0], "a1|M"), (tags[1], "b2|M|A-"), (tags[2], "c3|K|l3")}
