@@ -14,6 +14,8 @@ from assayer.llm.line_dedup import remove_repeated_lines
 from assayer.llm.lm_scoring import fit, score
 from assayer.llm.near_dedup import near_duplicates
 from assayer.llm.packing import pack
+from assayer.llm.prefix_trie import ordered, trie
+from assayer.llm.scratch import written
 from assayer.llm.sharding import shuffle_into_shards
 from assayer.llm.substring_dedup import remove_repeats
 
@@ -70,7 +72,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle_into_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_decontamination, op3_html_text, op4_lm_scoring, op5_line_dedup, op6_packing, op7_substring_dedup, op8_language_id, op9_near_dedup, op10_sharding)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie after each conversation's first h turns were replaced by those of the conversation at the multiple of 5 below it."""
+    turns = written(ordered(table(spark, sf_dir, "conversations")), "turns")
+    h, base = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).alias("h"), (F.col("conv_id") - F.col("conv_id") % 5).alias("base")
+    convs = turns.groupBy("conv_id").agg(F.count("*").alias("n")).select("conv_id", "n", h, base)
+    given = convs.select(F.col("conv_id").alias("base"), F.col("n").alias("there"))
+    convs = written(convs.join(given, "base", "left").withColumn("taken", F.least("h", F.coalesce("there", F.lit(0)))), "conversations")
+    first = turns.where("place < 9").withColumnRenamed("conv_id", "base")
+    front = convs.where("taken > 0").join(first, "base").where("place < taken").select("conv_id", "place", "turn_key", "n_bytes")
+    back = turns.join(convs, "conv_id").where("place >= h").select("conv_id", (F.col("place") - F.col("h") + F.col("taken")).alias("place"), "turn_key", "n_bytes")
+    rebuilt = convs.select("conv_id", (F.col("taken") + F.greatest(F.col("n") - F.col("h"), F.lit(0))).alias("n_turns"))
+    return trie(written(front.unionByName(back), "rebuilt"), rebuilt)
+
+
+QUERIES = {f.__name__: f for f in (op1_ann, op2_decontamination, op3_html_text, op4_lm_scoring, op5_line_dedup, op6_packing, op7_substring_dedup, op8_language_id, op9_near_dedup, op10_sharding, op13_prefix_trie)}
 
 _SPACED = r"[\x20\x09-\x0D]+"
 _LETTERED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -106,4 +122,23 @@ per as (select doc_id, count(*) filter (nw > 0) as n_lines, count(*) filter (nw
                string_agg(line, chr(10) order by i) filter (nw = 0 or (first and later = 0)) as kept from marks group by doc_id)
 select doc_id, cast(coalesce(n_lines, 0) as int) as n_lines, cast(coalesce(n_removed, 0) as int) as n_removed, cast(coalesce(n_links, 0) as bigint) as n_links, sha256(coalesce(kept, '')) as kept_sha256
 from documents left join per using (doc_id)""",
+    "op13_prefix_trie": """
+with t as (select conv_id, sha256(octet_length(encode(coalesce(role, '')))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as k, strlen(coalesce(text, '')) as b,
+  row_number() over (partition by conv_id order by turn nulls first, sha256(octet_length(encode(coalesce(role, '')))::varchar || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 as p from conversations where conv_id is not null),
+crc0 as (select i as x, i as c, 0 as step from range(256) r(i)),
+crct as (with recursive z as (select * from crc0 union all select x, case when c % 2 = 1 then xor(3988292384, c >> 1) else c >> 1 end, step + 1 from z where step < 8) select x, c from z where step = 8),
+crc as (with recursive y as (select conv_id, conv_id::varchar as s, 4294967295::bigint as c, 1 as i from (select distinct conv_id from t)
+  union all select y.conv_id, s, xor(crct.c, y.c >> 8), i + 1 from y join crct on crct.x = xor(y.c, ascii(substr(s, i, 1))::bigint) & 255 where i <= length(s)) select conv_id, xor(c, 4294967295) % 9 as h from y where i = length(s) + 1),
+n as (select conv_id, count(*) as n from t group by 1),
+v as (select crc.conv_id, h, n.n, conv_id - conv_id % 5 as base, least(h, coalesce(g.n, 0)) as taken from crc join n using (conv_id) left join (select conv_id as gid, n from n) g on g.gid = conv_id - conv_id % 5),
+u as (select v.conv_id, p, k, b from v join t on t.conv_id = v.base where p < taken union all select conv_id, p - h + taken, k, b from t join v using (conv_id) where p >= h),
+lists as (select v.conv_id, coalesce(l, []) as l, coalesce(bs, []) as bs from v left join (select conv_id, list(k order by p) as l, list(b order by p) as bs from u group by 1) using (conv_id)),
+pre as (select conv_id as c, d, l[1:d] as q, len(l) as n, case when d > 0 then bs[d] else 0 end as b from (select *, unnest(range(0, len(l) + 1)) as d from lists)),
+r as (select c, d, n, b, min(c) over (partition by d, q) as name from pre),
+nodes as (select d, name, count(*) as n_convs, max(b) as b, string_agg(c::varchar, ',' order by c) filter (n = d) as ends from r group by 1, 2),
+par as (select x.d, x.name, y.name as parent from nodes x left join r y on y.c = x.name and y.d = x.d - 1),
+kids as (select d - 1 as d, parent as name, count(*) as n_children from par where parent is not null group by 1, 2),
+sub as (select r.d, r.name, sum((u.n_convs - 1) * u.b) as saved, count(*) filter (k.name is null) as leaves from nodes u join r on r.c = u.name and r.d <= u.d left join kids k on k.d = u.d and k.name = u.name group by 1, 2)
+select nodes.name as conv_id, nodes.d as depth, parent as parent_conv_id, n_convs, coalesce(n_children, 0) as n_children, leaves as n_leaves, cast(saved as bigint) as saved_tokens, sha256(coalesce(ends, '')) as ends_sha256
+from nodes join par using (d, name) left join kids using (d, name) join sub using (d, name)""",
 }
