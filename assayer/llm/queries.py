@@ -15,6 +15,7 @@ from assayer.llm.lm_scoring import fit, score
 from assayer.llm.near_dedup import near_duplicates
 from assayer.llm.packing import pack
 from assayer.llm.prefix_trie import ordered, trie
+from assayer.llm.ranked_search import ranked_search
 from assayer.llm.scratch import written
 from assayer.llm.sharding import shuffle_into_shards
 from assayer.llm.substring_dedup import remove_repeats
@@ -72,6 +73,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle_into_shards(table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie after each conversation's first h turns were replaced by those of the conversation at the multiple of 5 below it."""
     turns = written(ordered(table(spark, sf_dir, "conversations")), "turns")
@@ -86,7 +91,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(written(front.unionByName(back), "rebuilt"), rebuilt)
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_decontamination, op3_html_text, op4_lm_scoring, op5_line_dedup, op6_packing, op7_substring_dedup, op8_language_id, op9_near_dedup, op10_sharding, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_decontamination, op3_html_text, op4_lm_scoring, op5_line_dedup, op6_packing, op7_substring_dedup, op8_language_id, op9_near_dedup, op10_sharding, op12_ranked_search, op13_prefix_trie)}
 
 _SPACED = r"[\x20\x09-\x0D]+"
 _LETTERED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -122,6 +127,16 @@ per as (select doc_id, count(*) filter (nw > 0) as n_lines, count(*) filter (nw
                string_agg(line, chr(10) order by i) filter (nw = 0 or (first and later = 0)) as kept from marks group by doc_id)
 select doc_id, cast(coalesce(n_lines, 0) as int) as n_lines, cast(coalesce(n_removed, 0) as int) as n_removed, cast(coalesce(n_links, 0) as bigint) as n_links, sha256(coalesce(kept, '')) as kept_sha256
 from documents left join per using (doc_id)""",
+    "op12_ranked_search": f"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_LETTERED}') as w from documents),
+p as (select r, doc_id, len(w) as n, unnest(w) as t from d where len(w) > 0),
+g as (select count(distinct r) as n, count(*) as l from p),
+c as (select r, doc_id, n, t, count(*) as tf from p group by all),
+b as (select row_number() over () as i, item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_LETTERED}') as w from benchmark),
+q as (select i, item_id, t, count(*) as k from (select i, item_id, unnest(w) as t from b) group by all),
+f as (select t, floor(1000 * ln((2.0::double * g.n + 2) / (2 * count(*) + 1)))::bigint as w from c, g where t in (select t from q) group by t, g.n),
+s as (select i, item_id, r, doc_id, sum(k * f.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * c.n * g.n) // g.l))))::bigint as score from q join f using (t) join c using (t), g group by all)
+select item_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by i order by score desc, doc_id) as rank from s where score > 0) where rank <= 10""",
     "op13_prefix_trie": """
 with t as (select conv_id, sha256(octet_length(encode(coalesce(role, '')))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as k, strlen(coalesce(text, '')) as b,
   row_number() over (partition by conv_id order by turn nulls first, sha256(octet_length(encode(coalesce(role, '')))::varchar || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 as p from conversations where conv_id is not null),

@@ -109,6 +109,17 @@ def words(column: pa.Array, kind: np.ndarray = SPACED, lower: bool = False) -> W
     return Words(data, offsets, start, end, _word_hashes(data, start, end), np.searchsorted(start, offsets))
 
 
+def word_counts(column: pa.Array, kind: np.ndarray = SPACED, lower: bool = False) -> np.ndarray:
+    """How many words each text has."""
+    data, offsets = buffer(column)
+    inside = (kind[_LOWER] if lower else kind)[data]
+    start = inside.copy()
+    start[1:] &= ~inside[:-1]
+    at = offsets[:-1][offsets[:-1] < len(data)]
+    start[at] = inside[at]
+    return np.diff(np.concatenate([[0], np.cumsum(start)])[offsets])
+
+
 def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Every run of k words of one text: index of its first word, its hash, and where each text's windows begin."""
     count = np.maximum(np.diff(w.first) - k + 1, 0)
