@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm.ann import nearest
@@ -15,6 +15,7 @@ from assayer.llm.lm_scoring import fit, score
 from assayer.llm.near_dedup import near_duplicates
 from assayer.llm.packing import pack
 from assayer.llm.prefix_trie import ordered, trie
+from assayer.llm.quality import fit_quality, score_quality
 from assayer.llm.ranked_search import ranked_search
 from assayer.llm.scratch import written
 from assayer.llm.sharding import shuffle_into_shards
@@ -58,9 +59,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def _held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", fold.alias("held_out"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", _held_out())
     model = fit_languages(docs.where("not held_out"))
     return identify(docs, model, keep=["doc_id", "held_out"])
 
@@ -73,6 +77,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle_into_shards(table(spark, sf_dir, "documents"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", _held_out())
+    model = fit_quality(docs.where("not held_out"), table(spark, sf_dir, "labels"))
+    return score_quality(docs, model, keep=["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -91,7 +101,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(written(front.unionByName(back), "rebuilt"), rebuilt)
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_decontamination, op3_html_text, op4_lm_scoring, op5_line_dedup, op6_packing, op7_substring_dedup, op8_language_id, op9_near_dedup, op10_sharding, op12_ranked_search, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_decontamination, op3_html_text, op4_lm_scoring, op5_line_dedup, op6_packing, op7_substring_dedup, op8_language_id, op9_near_dedup, op10_sharding, op11_quality, op12_ranked_search, op13_prefix_trie)}
 
 _SPACED = r"[\x20\x09-\x0D]+"
 _LETTERED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
