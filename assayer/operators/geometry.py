@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.verdicts import bucket, expected_stage, has, label
 from assayer.operators.belief import commonalities, pignistic
+from assayer.operators.ranking import order_statistics, value_counts
 
 SAMPLE = ["experiment_tag", "sample_ordinal"]
 
@@ -96,23 +97,16 @@ def experiment_conflicts(metrics: DataFrame, samples: DataFrame) -> DataFrame:
     return metrics.join(samples.groupBy("experiment_tag").agg(*(F.avg(c).alias(f"mean_{c}") for c in names)), "experiment_tag", "left")
 
 
-def trimmed_means(rows: DataFrame, key: str, values: list[str], share: float = 0.1) -> DataFrame:
-    """Means without the floor(share * n) smallest and largest values of each key; nulls are left out first."""
-    by = Window.partitionBy(key, "name")
-    long = rows.select(key, F.explode(F.create_map(*(x for v in values for x in (F.lit(v), F.col(v).cast("double"))))).alias("name", "value")).where("value is not null")
-    ranked = long.withColumn("_at", F.row_number().over(by.orderBy("value"))).withColumn("_n", F.count("*").over(by))
-    cut = F.floor(F.col("_n") * share)
-    kept = ranked.where((F.col("_at") > cut) & (F.col("_at") <= F.col("_n") - cut))
-    return kept.groupBy(key).agg(*(F.avg(F.when(F.col("name") == v, F.col("value"))).alias(f"{v}_trimmed_mean") for v in values))
-
-
 def robust_panel(responses: DataFrame) -> DataFrame:
-    """Median, quartile range and trimmed mean over each experiment's responses, of size and stage over those with a verdict."""
+    """Median, quartile range and trimmed mean over each experiment's responses, of size and stage over those with a verdict.
+
+    All come from the counts of the measures' values, so no experiment is sorted or gathered as a whole.
+    """
     rows = responses.select("experiment_tag", (F.col("mask") == 0).cast("double").alias("abstained"), F.when(_some(), F.bit_count("mask")).cast("double").alias("subset_size"), expected_stage(F.col("mask"), F.col("scale_size")).alias("expected_stage"), F.col("agreement").cast("double").alias("certainty"))
-    values = ["subset_size", "expected_stage", "certainty"]
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    out = rows.groupBy("experiment_tag").agg(F.avg("abstained").alias("abstain_rate"), *(x for c in values for x in (q(c, 0.5).alias(f"{c}_median"), (q(c, 0.75) - q(c, 0.25)).alias(f"{c}_iqr"))))
-    return out.join(trimmed_means(rows, "experiment_tag", values), "experiment_tag", "left")
+    values, by = ["subset_size", "expected_stage", "certainty"], ["experiment_tag"]
+    found = order_statistics(value_counts(rows, by, values), by, values, {"q1": 0.25, "median": 0.5, "q3": 0.75}, trim=0.1)
+    panel = found.select(*by, *(x for v in values for x in (f"{v}_median", (F.col(f"{v}_q3") - F.col(f"{v}_q1")).alias(f"{v}_iqr"), f"{v}_trimmed_mean")))
+    return rows.groupBy(*by).agg(F.avg("abstained").alias("abstain_rate")).join(panel, by, "left")
 
 
 INSTABLE = ("abstain_rate", "singleton_rate", "mean_subset_size", "mean_expected_stage", "tbm_conflict", "closed_world_conflict")

@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from assayer.sources.checkpoints import checkpointed
 
 
-def same(a: DataFrame, b: DataFrame, keys: Iterable[str]) -> Column:
-    """The rows' keys are equal, null to null."""
-    return reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[k]) for k in keys))
+def joined(a: DataFrame, b: DataFrame, keys: Iterable[str], how: str = "inner") -> DataFrame:
+    """``a`` with the further columns of ``b``, joined on ``keys``, where null equals null."""
+    keys = list(keys)
+    named = b.select(*(F.col(k).alias(f"_of_{k}") for k in keys), *(c for c in b.columns if c not in keys))
+    equal = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys))
+    return a.join(named, equal, how).drop(*(f"_of_{k}" for k in keys))
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], sums: Sequence[str] = (), slices: int | None = None) -> DataFrame:
@@ -38,11 +41,9 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], su
     before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     names = {"_held": "", **{f"_held_{c}": f"_{c}" for c in sums}}
     start = held.select(*by, *(x for h, s in names.items() for x in (F.coalesce(F.sum(h).over(before), F.lit(0)).alias(f"_before{s}"), F.sum(h).over(whole).alias(f"_all{s}"))))
-    out = own.join(start, same(own, start, by))
-    return out.select(
-        *(own[c] for c in df.columns),
-        (F.col("_row") + F.col("_before")).alias("row_no"), F.col("_all").alias("n_rows"),
-        *(x for c in sums for x in ((own[f"_{c}"] + F.col(f"_before_{c}")).alias(f"{c}_to"), F.col(f"_all_{c}").alias(f"{c}_all"))),
+    return joined(own, start, by).select(
+        *df.columns, (F.col("_row") + F.col("_before")).alias("row_no"), F.col("_all").alias("n_rows"),
+        *(x for c in sums for x in ((F.col(f"_{c}") + F.col(f"_before_{c}")).alias(f"{c}_to"), F.col(f"_all_{c}").alias(f"{c}_all"))),
     )
 
 

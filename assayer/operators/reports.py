@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.verdicts import bucket, family, family_slug, label, stages_of
 from assayer.operators.geometry import SAMPLE
+from assayer.operators.ranking import joined, ranked
 
 #: What is added to each probability before two distributions are compared.
 EPSILON = 1e-8
@@ -62,31 +63,43 @@ def conflict_summary(combined: DataFrame) -> DataFrame:
 
 
 def weighted_quantiles(rows: DataFrame, keys: list[str], value: str, weight: str, at: tuple[float, ...]) -> DataFrame:
-    """Quantiles of the weighted distribution of each key, linear between its points and constant beyond them.
+    """``keys, q<percent>``: quantiles of each key's values, linear between points at their shares of the running weight, constant beyond.
 
-    Rows with a null value or a weight that isn't positive take no part; equal values are one point.
+    Every row is a point, also of weight 0; equal values go by weight. Where all weights are 0, quantiles are those without weights.
+    Rows with a null or non-finite value or weight take no part. Keys may be of any size.
     """
-    points = rows.where((F.col(weight) > 0) & F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("x")).agg(F.sum(weight).alias("w"))
-    by = Window.partitionBy(*keys)
-    running = by.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    points = points.withColumn("c", F.sum("w").over(running) / F.sum("w").over(by))
-    points = points.withColumn("x0", F.lag("x").over(by.orderBy("x"))).withColumn("c0", F.lag("c").over(by.orderBy("x")))
+    v, w = (F.col(c).cast("double") for c in (value, weight))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    equal = rows.select(*keys, v.alias("v"), w.alias("w")).where(finite(F.col("v")) & finite(F.col("w"))).groupBy(*keys, "v", "w").agg(F.count("*").alias("n")).withColumn("nw", F.col("n") * F.col("w"))
+    points = ranked(equal, keys, ["v", "w"], sums=["n", "nw"])
+    none = F.col("nw_all") <= 0
+    last = F.when(none, (F.col("n_to") - 1) / F.greatest(F.col("n_all") - 1, F.lit(1))).otherwise(F.try_divide("nw_to", "nw_all"))
+    first = F.when(none, (F.col("n_to") - F.col("n")) / F.greatest(F.col("n_all") - 1, F.lit(1))).otherwise(F.try_divide(F.col("nw_to") - F.col("nw") + F.col("w"), F.col("nw_all")))
+    ends = points.select(*keys, "v", "w", F.explode(F.array(first, last)).alias("c"))
+    point = F.struct("v", "w", "c")
+    out = ends.groupBy(*keys).agg(*(f(F.when(side, point)).alias(f"{name}{i}") for i, q in enumerate(at) for name, f, side in (("low", F.max, F.col("c") <= q), ("high", F.min, F.col("c") > q))))
 
-    def quantile(q: float) -> Column:
-        share = (F.lit(q) - F.col("c0")) / (F.col("c") - F.col("c0"))
-        x = F.when(F.col("x0").isNull(), F.col("x")).otherwise(F.col("x0") + share * (F.col("x") - F.col("x0")))
-        return F.min_by(x, F.when(F.col("c") >= q - 1e-12, F.col("x"))).alias(f"q{round(q * 100)}")
+    def quantile(i: int, q: float) -> Column:
+        low, high = (lambda f: F.col(f"low{i}.{f}")), (lambda f: F.col(f"high{i}.{f}"))
+        between = low("v") + (q - low("c")) / (high("c") - low("c")) * (high("v") - low("v"))
+        return F.when(F.col(f"low{i}").isNull(), high("v")).when(F.col(f"high{i}").isNull(), low("v")).otherwise(between).alias(f"q{round(q * 100)}")
 
-    return points.groupBy(*keys).agg(*(quantile(q) for q in at))
+    return out.select(*keys, *(quantile(i, q) for i, q in enumerate(at)))
 
 
 def weighted_belief(bet: DataFrame, combined: DataFrame, weights: DataFrame) -> DataFrame:
-    """Per experiment and stage: mean, 10 % and 90 % quantile of the probabilities of usable samples, by their weights (else 1)."""
-    usable = combined.where("usable").select(*SAMPLE)
-    rows = bet.join(usable, SAMPLE).join(weights, SAMPLE, "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    keys = ["experiment_tag", "stage"]
-    means = rows.groupBy(*keys).agg((F.sum(F.col("weight") * F.col("bet_p")) / F.sum("weight")).alias("mean"), F.count("*").alias("samples"), F.sum("weight").alias("weight_sum"))
-    return means.join(weighted_quantiles(rows.withColumn("bet_p", F.round("bet_p", 9)), keys, "bet_p", "weight", (0.1, 0.9)), keys, "left")
+    """Per experiment, bundle and stage: mean, 10 % and 90 % quantile of the probabilities by the weights of their rubrics.
+
+    ``bet`` is by experiment, sample (a rubric) and bundle, ``combined`` and ``weights`` by experiment and sample; samples whose combination
+    is not usable stay out. A missing or negative weight is 0; where all are, each counts 1.
+    """
+    keys = ["experiment_tag", "bundle_no", "stage"]
+    rows = bet.join(combined.where("usable").select(*SAMPLE), SAMPLE).join(weights, SAMPLE, "left").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)))
+    total = rows.groupBy(*keys).agg(F.sum("weight").alias("_total"))
+    rows = joined(rows, total, keys).withColumn("weight", F.when(F.col("_total") > 0, F.col("weight")).otherwise(1.0))
+    means = rows.groupBy(*keys).agg((F.sum(F.col("weight") * F.col("bet_p")) / F.sum("weight")).alias("mean"), F.countDistinct("sample_ordinal").alias("rubrics"), F.sum("weight").alias("weight_sum"))
+    quantiles = weighted_quantiles(rows.withColumns({"bet_p": F.round(F.col("bet_p") + 3.7e-13, 9), "weight": F.round("weight", 9)}), keys, "bet_p", "weight", (0.1, 0.9))
+    return joined(means, quantiles, keys, "left")
 
 
 def _even(p: Column) -> Column:

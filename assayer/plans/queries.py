@@ -382,17 +382,38 @@ def _(spark, d):
     return ops.latest_run(runs, "experiment", "created", "run", "status")
 
 
-@_query("w17_bp1_bp2_bp5_bundles", """with w as (select lang, source, doc_id, row_number() over (partition by lang, source order by doc_id) as turn from documents), o as (select *, row_number() over (partition by lang order by turn, source, doc_id) as pos from w),
-b as (select *, cast(floor((pos - 1) / 5) + 1 as bigint) as bundle from o) select lang, bundle, count(*) as size, array_to_string(list_sort(list(doc_id::varchar)), '|') as signature from b group by 1, 2""")
+def _uniform_sql(seed: str, step: str) -> str:
+    """The ``step``-th number, from 1, of the generator behind the seeded shuffles."""
+    product = lambda a, b: f"((({a})::hugeint * ({b})) & 4294967295)::bigint"
+    return f"""list_transform([((({seed}) + ({step}) * 1831565813::hugeint) & 4294967295)::bigint], lambda s:
+ list_transform([{product("xor(s, s >> 15)", "1 | s")}], lambda t: list_transform([xor((t + {product("xor(t, t >> 7)", "61 | t")}) & 4294967295, t)], lambda v: xor(v, v >> 14) / 4294967296.0::double)[1])[1])[1]"""
+
+
+def shuffle_sql(name: str, lists: str, seed: int) -> str:
+    """``name``: each row of ``lists`` (``pool``, ``l``) with its list shuffled from the end."""
+    j = f"floor({_uniform_sql(str(seed & 0xFFFFFFFF), 'len(l) - i + 1')} * i)::bigint + 1"
+    swapped = "list_transform(l, lambda x, k: case when k = i then l[j] when k = j then l[i] else x end)"
+    return f"""{name}w as (with recursive z as (select pool, l, len(l)::bigint as i from {lists} union all select pool, {swapped}, i - 1 from (select *, {j} as j from z where i > 1)) select pool, l from z where i <= 1),
+{name} as (select pool, unnest(l) as item, unnest(range(1, len(l) + 1)) as pos from {name}w)"""
+
+
+_ROBIN = f"""li as (select lang as pool, list(doc_id order by doc_id) as l from documents where lang is not null and doc_id is not null group by 1), {shuffle_sql("si", "li", 7)},
+it as (select si.pool, source, doc_id, pos from si join documents on lang = pool and doc_id = item), wl as (select pool, list(f order by f) as l from (select pool, source, min(pos) as f from it group by 1, 2) group by 1), {shuffle_sql("sw", "wl", 7 ^ 0x9E3779B9)},
+wf as (select pool, source, min(pos) as f from it group by 1, 2), wo as (select wf.pool, source, sw.pos as wpos from wf join sw on sw.pool = wf.pool and sw.item = f),
+tu as (select it.*, wpos, row_number() over (partition by it.pool, it.source order by pos) as turn from it join wo on wo.pool = it.pool and wo.source is not distinct from it.source),
+o as (select *, row_number() over (partition by pool order by turn, wpos) as at_ from tu)"""
+
+
+@_query("w17_bp1_bp2_bp5_bundles", f"""with {_ROBIN}, b as (select *, cast(floor((at_ - 1) / 5) + 1 as bigint) as bundle from o) select pool as lang, bundle, count(*) as size, array_to_string(list_sort(list(doc_id::varchar)), '|') as signature from b group by 1, 2""")
 def _(spark, d):
-    at = bundles.round_robin(table(spark, d, "documents").select("lang", "source", "doc_id"), "lang", "source", "doc_id")
+    at = bundles.round_robin(table(spark, d, "documents").select("lang", "source", "doc_id"), "lang", "source", "doc_id", 7)
     return bundles.bundle_rows(bundles.chunked(at, "lang", "at", 5), "lang", "doc_id")
 
 
-@_query("r3_bp3_seeded_bundles")
+@_query("r3_bp3_seeded_bundles", f"""with li as (select source as pool, list(doc_id order by doc_id) as l from documents where source is not null and doc_id is not null group by 1), {shuffle_sql("si", "li", 7)},
+b as (select *, cast(floor((pos - 1) / 5) + 1 as bigint) as bundle from si) select pool, bundle, count(*) as size, array_to_string(list_sort(list(item::varchar)), '|') as signature from b group by 1, 2""")
 def _(spark, d):
-    items = table(spark, d, "documents").where("doc_id is not null").select("source", F.col("doc_id").alias("item_id"))
-    items = items.withColumn("pool", F.concat_ws("/", "source", F.pmod(F.xxhash64("item_id"), F.lit(64)).cast("string"))).drop("source")
+    items = table(spark, d, "documents").select(F.col("source").alias("pool"), F.col("doc_id").alias("item_id"))
     return bundles.bundle_rows(bundles.chunked(bundles.seeded_shuffle(items, "pool", "item_id", 7), "pool", "at", 5), "pool", "item_id")
 
 

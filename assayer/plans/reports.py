@@ -89,16 +89,22 @@ def _(spark, d):
     return reports.conflict_summary(belief.combined(_q(spark, d), geometry.SAMPLE))
 
 
-@_query("j32_a48_w15_weighted_belief", f"""{_R}, {_COMB}, wt as (select {_S}, avg(obs * disc) as weight from r group by 1, 2), x as (select b.experiment_tag, b.stage, round(b.bet_p, 9) as x, b.bet_p, coalesce(weight, 1) as w from b join cb using ({_S}) left join wt using ({_S}) where usable),
-pt as (select experiment_tag, stage, x, sum(w) as w from x where w > 0 group by 1, 2, 3), cu as (select *, sum(w) over (partition by experiment_tag, stage order by x rows unbounded preceding) / sum(w) over (partition by experiment_tag, stage) as c from pt),
-la as (select *, lag(x) over (partition by experiment_tag, stage order by x) as x0, lag(c) over (partition by experiment_tag, stage order by x) as c0 from cu),
-qu as (select experiment_tag, stage, {", ".join(f"min_by(case when x0 is null then x else x0 + ({q} - c0) / (c - c0) * (x - x0) end, x) filter (c >= {q} - 1e-12) as {n}" for q, n in ((0.1, "q10"), (0.9, "q90")))} from la group by 1, 2),
-me as (select experiment_tag, stage, sum(w * bet_p) / sum(w) as mean, count(*) as samples, sum(w) as weight_sum from x group by 1, 2)
-select experiment_tag, stage, n<mean>n as mean, samples, n<weight_sum>n as weight_sum, n<q10>n as q10, n<q90>n as q90 from me left join qu using (experiment_tag, stage)""", nudge=_NUDGE)
+_BS = "experiment_tag, sample_ordinal, bundle_no"
+
+
+@_query("j32_a48_w15_weighted_belief", f"""{_R}, {_COMB}, {_bet(_BS, False, 'pe')}, wt as (select {_S}, round(avg(obs * disc), 9) as weight from r group by 1, 2),
+x0 as (select experiment_tag, bundle_no, stage, sample_ordinal, bet_p, round(bet_p + 3.7e-13, 9) as v, greatest(coalesce(weight, 0), 0) as w0 from pe join (select {_S} from cb where usable) using ({_S}) left join wt using ({_S})),
+x as (select *, case when sum(w0) over (partition by experiment_tag, bundle_no, stage) > 0 then w0 else 1 end as w from x0),
+cu as (select *, row_number() over k as pos, sum(w) over k / sum(w) over (partition by experiment_tag, bundle_no, stage) as c from x window k as (partition by experiment_tag, bundle_no, stage order by v, w, sample_ordinal rows unbounded preceding)),
+qu as (select experiment_tag, bundle_no, stage, {", ".join(f"max({{'pos': pos, 'v': v, 'c': c}}) filter (c <= {q}) as l{n}, min({{'pos': pos, 'v': v, 'c': c}}) filter (c > {q}) as h{n}" for q, n in ((0.1, "10"), (0.9, "90")))} from cu group by all),
+me as (select experiment_tag, bundle_no, stage, sum(w * bet_p) / sum(w) as mean, count(distinct sample_ordinal) as rubrics, sum(w) as weight_sum from x group by all)
+select experiment_tag, bundle_no, stage, n<mean>n as mean, rubrics, n<weight_sum>n as weight_sum,
+ {", ".join(f"n<case when l{n} is null then h{n}.v when h{n} is null then l{n}.v else l{n}.v + ({q} - l{n}.c) / (h{n}.c - l{n}.c) * (h{n}.v - l{n}.v) end>n as q{n}" for q, n in ((0.1, "10"), (0.9, "90")))} from me join qu using (experiment_tag, bundle_no, stage)""", nudge=_NUDGE)
 def _(spark, d):
-    q = _q(spark, d)
-    weights = responses(spark, d).groupBy(*geometry.SAMPLE).agg(F.avg(F.col("obs") * F.col("disc")).cast("double").alias("weight"))
-    return reports.weighted_belief(belief.pignistic(q, geometry.SAMPLE), belief.combined(q, geometry.SAMPLE), weights)
+    r, q = responses(spark, d), _q(spark, d)
+    weights = r.groupBy(*geometry.SAMPLE).agg(F.round(F.avg(F.col("obs") * F.col("disc")).cast("double"), 9).alias("weight"))
+    each = [*geometry.SAMPLE, "bundle_no"]
+    return reports.weighted_belief(belief.pignistic(belief.commonalities(r, each), each), belief.combined(q, geometry.SAMPLE), weights)
 
 
 _DIV = f"""{_bet(_S, False, 'b')}, e1 as (select {_S}, stage, (bet_p + 1e-8) / sum(bet_p + 1e-8) over (partition by {_S}) as p, count(*) over (partition by {_S}) as sc from b),

@@ -1,5 +1,6 @@
 """Hand-made results of the report, campaign and prompt operators."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,10 +41,22 @@ def test_tags_and_labels(spark):
     assert [r[0] for r in labels.select(bucket_of_label(F.col("l"))).collect()] == ["adjacent_subset", "non_adjacent_subset", "broad_subset", "singleton", "abstain", "abstain"]
 
 
-def test_weighted_quantiles_and_within_slopes(spark):
-    rows = spark.createDataFrame([("k", 1.0, 1.0), ("k", 2.0, 1.0), ("k", 3.0, 2.0), ("k", 9.0, 0.0), ("k", None, 1.0)], "k string, x double, w double")
-    (got,) = reports.weighted_quantiles(rows, ["k"], "x", "w", (0.25, 0.5, 0.75)).collect()
-    assert tuple(got)[1:] == (1.0, 2.0, 2.5)
+def test_weighted_quantiles_keep_every_row_as_a_point(spark):
+    sets = {
+        "plain": [(1.0, 1.0), (2.0, 1.0), (3.0, 2.0)], "ties": [(0.2, 1.0), (0.5, 3.0), (0.5, 1.0), (0.9, 1.0)], "zeros": [(1.0, 0.0), (2.0, 2.0), (4.0, 0.0), (5.0, 1.0)],
+        "none": [(1.0, 0.0), (2.0, 0.0), (7.0, 0.0), (7.0, 0.0)], "one": [(3.0, 2.0)], None: [(1.0, 1.0), (4.0, 1.0)],
+    }
+    rows = [(k, v, w) for k, s in sets.items() for v, w in s] + [("plain", None, 1.0), ("plain", 9.0, None), ("plain", float("nan"), 1.0), ("none", float("inf"), 5.0)]
+    got = {r.k: r for r in reports.weighted_quantiles(spark.createDataFrame(rows, "k string, x double, w double"), ["k"], "x", "w", (0.1, 0.25, 0.6, 1.0)).collect()}
+    for k, points in sets.items():
+        v, w = (np.array(x) for x in zip(*sorted(points), strict=True))
+        for q in (0.1, 0.25, 0.6, 1.0):
+            want = np.interp(q, np.cumsum(w) / w.sum(), v) if w.sum() > 0 else np.quantile(v, q)
+            assert got[k][f"q{round(q * 100)}"] == pytest.approx(want), (k, q)
+    assert got["ties"].q25 == pytest.approx(0.35)
+
+
+def test_within_slopes(spark):
     rows = [("a", g, float(x), 2.0 * x + 10 * g) for g in range(3) for x in range(4)] + [("b", 0, 1.0, 1.0)]
     got = {r.k: r for r in reports.within_slopes(spark.createDataFrame(rows, "k string, g int, x double, y double"), "k", ["g"], "x", "y").collect()}
     assert got["a"].slope == pytest.approx(2.0) and got["a"].error == pytest.approx(0.0, abs=1e-6) and got["b"].slope is None
