@@ -47,9 +47,13 @@ def ordered(turns: DataFrame) -> DataFrame:
 
 
 def _named(rows: DataFrame, by: list[str], value: str, name: str, keep: list[str]) -> DataFrame:
-    """``keep`` and the smallest ``value`` of the row's group as ``name``."""
-    least = rows.groupBy(*by).agg(F.min(value).alias(name))
-    return rows.join(least, by).select(*keep, name)
+    """``keep`` and the smallest ``value`` of the row's group as ``name``.
+
+    The hash is one more key of the join, as the grouping's exchange would else serve the join too, and a skewed join is only
+    split where both sides have exchanges of their own.
+    """
+    least = rows.groupBy(*by).agg(F.min(value).alias(name)).withColumn("_hash", F.xxhash64(*by))
+    return rows.withColumn("_hash", F.xxhash64(*by)).join(least, [*by, "_hash"]).select(*keep, name)
 
 
 def _blocks(turns: DataFrame, conversations: DataFrame, longest: int) -> list[DataFrame]:
@@ -71,9 +75,8 @@ def prefixes(turns: DataFrame, conversations: DataFrame) -> DataFrame:
 
     ``turns`` is as ``ordered`` returns it, ``conversations`` has each ``conv_id`` once and its ``n_turns``.
     """
-    longest = conversations.agg(F.max("n_turns")).first()[0] or 0
-    least = conversations.agg(F.min("conv_id").alias("name"))
-    known = conversations.select("conv_id", F.lit(0).cast("long").alias("depth")).join(F.broadcast(least))  # one row
+    least, longest = conversations.agg(F.min("conv_id"), F.coalesce(F.max("n_turns"), F.lit(0))).first()
+    known = conversations.select("conv_id", F.lit(0).cast("long").alias("depth"), F.lit(least).cast("long").alias("name"))
     if not longest:
         return written(known, "prefix")
     blocks = _blocks(turns, conversations, longest)
