@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from zlib import crc32
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,34 +79,6 @@ def q_values(rows: DataFrame, p: str = "p_value", keys: tuple[str, ...] = (), ti
     return out.withColumns({f"is_significant_fdr_{d}": F.coalesce(F.col("q_value") <= limit, F.lit(False)) for d, limit in (("10", 0.10), ("05", 0.05))})
 
 
-def _resample(bootstraps: int, flips: int, seed: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        d = frame.sort_values("sample_ordinal")["delta"].to_numpy(float)
-        contrast, endpoint = frame["contrast_id"].iloc[0], frame["endpoint"].iloc[0]
-        rng = np.random.default_rng([seed, crc32(f"{contrast}/{endpoint}".encode())])
-        observed, n = d.mean(), len(d)
-        step = max(1, 2_000_000 // n)
-        means = np.concatenate([d[rng.integers(0, n, (min(step, bootstraps - a), n))].mean(axis=1) for a in range(0, bootstraps, step)])
-        low, high = (observed, observed) if n == 1 else np.quantile(means, [0.025, 0.975])
-        if observed == 0:
-            p = 1.0
-        else:
-            flipped = np.concatenate([(rng.choice([-1.0, 1.0], (min(step, flips - a), n)) * d).mean(axis=1) for a in range(0, flips, step)])
-            p = ((np.abs(flipped) >= abs(observed) - 1e-15).sum() + 1) / (flips + 1)
-        return pd.DataFrame([{"contrast_id": contrast, "endpoint": endpoint, "ci_low": low, "ci_high": high, "p_value": p}])
-
-    return run
-
-
-def resampled(deltas: DataFrame, bootstraps: int = 2000, flips: int = 5000, seed: int = 0) -> DataFrame:
-    """Bootstrap interval of the mean difference and two-sided sign-flip p-value, each group from a seed of its own.
-
-    A group is the paired samples of one contrast and endpoint, tens to thousands: it fits a task.
-    """
-    rows = deltas.where("delta is not null").select("contrast_id", "endpoint", "sample_ordinal", "delta")
-    return rows.groupBy("contrast_id", "endpoint").applyInPandas(_resample(bootstraps, flips, seed), "contrast_id string, endpoint string, ci_low double, ci_high double, p_value double")
-
-
 def ranked_findings(effects_: DataFrame, top: int = 25) -> DataFrame:
     """The first effects by q-value, then by significance, standardised size and absolute mean; ties by name."""
     dz, mean = F.abs(F.coalesce("dz", F.lit(0.0))), F.abs("mean_delta")
@@ -120,11 +88,11 @@ def ranked_findings(effects_: DataFrame, top: int = 25) -> DataFrame:
     return effects_.withColumn("rank_score", score).withColumn("direction", direction(F.round("mean_delta", 9))).orderBy(*order).limit(top)
 
 
-def effect_contributors(deltas: DataFrame, top: int = 25) -> DataFrame:
-    """Samples by the sum of their absolute differences, with the largest one's name: the ``top`` of them."""
+def effect_contributors(deltas: DataFrame, findings: DataFrame, top: int = 25) -> DataFrame:
+    """Samples by the sum of their absolute differences in the contrasts and endpoints of ``findings``, then by the largest and their
+    number: the ``top`` of them, with the name of the largest (of equal ones, the first by name)."""
     size = F.abs("delta")
-    rows = deltas.where("delta is not null").withColumn("key", F.concat_ws("/", "contrast_id", "endpoint"))
-    out = rows.groupBy("sample_ordinal").agg(F.sum(size).alias("total"), F.max(size).alias("largest"), F.count("*").alias("n"), F.max_by("key", F.struct(F.round(size + 3.7e-10, 9), "key")).alias("largest_key"))
-    return out.orderBy(F.desc(F.round("total", 6)), "sample_ordinal").limit(top)
-
-
+    rows = deltas.where("delta is not null").join(F.broadcast(findings.select("contrast_id", "endpoint")), ["contrast_id", "endpoint"])  # a ranking's rows
+    rows = rows.withColumn("key", F.concat_ws(" | ", "contrast_id", "endpoint"))
+    out = rows.groupBy("sample_ordinal").agg(F.sum(size).alias("total"), F.max(size).alias("largest"), F.count("*").alias("n"), F.min_by("key", F.struct(-F.round(size + 3.7e-10, 9), "key")).alias("largest_key"))
+    return out.orderBy(F.desc(F.round("total", 6)), F.desc(F.round("largest", 6)), F.desc("n"), "sample_ordinal").limit(top)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from assayer.functions.verdicts import bucket, family, family_slug, label, stages_of
 from assayer.operators.geometry import SAMPLE
 from assayer.operators.ranking import joined, ranked
+from assayer.operators.regression import least_squares
 
 #: What is added to each probability before two distributions are compared.
 EPSILON = 1e-8
@@ -169,10 +170,11 @@ def descriptive_findings(candidates: DataFrame, top: int = 25) -> DataFrame:
 
 
 def merged_findings(descriptive: DataFrame, inferential: DataFrame) -> DataFrame:
-    """Both rankings as one: by scope, then by score; equal ones keep their order."""
-    d = descriptive.select(F.lit("descriptive").alias("finding_scope"), F.concat_ws(":", F.lit("descriptive"), "finding_kind", "subject").alias("finding_id"), "rank_score")
-    i = inferential.select(F.lit("inferential").alias("finding_scope"), F.concat_ws(":", F.lit("inferential"), "contrast_id", "endpoint").alias("finding_id"), "rank_score")
-    return d.unionByName(i)
+    """Both rankings as one, with its ``place``: by scope, then by falling score, equal scores by name. A ranking has a few rows."""
+    d = descriptive.select(F.lit("descriptive").alias("finding_scope"), F.concat_ws(":", F.lit("descriptive"), "finding_kind", "subject").alias("finding_id"), "rank_score", F.col("detail"))
+    i = inferential.select(F.lit("inferential").alias("finding_scope"), F.concat_ws(":", F.lit("inferential"), "contrast_id", "endpoint").alias("finding_id"), "rank_score", F.lit("").alias("detail"))
+    order = Window.orderBy("finding_scope", F.desc(F.round("rank_score", 9)), "finding_id", "detail")
+    return i.unionByName(d).withColumn("place", F.row_number().over(order)).drop("detail")
 
 
 def report_panel(summary: DataFrame, alignment: DataFrame) -> DataFrame:
@@ -202,35 +204,21 @@ def label_pages(rows: DataFrame, key: str, order: list[str], size: int) -> DataF
 
 
 def length_bias(responses: DataFrame, words: DataFrame) -> DataFrame:
-    """Rows of responses and stages: whether the stage was ``selected``, and its text's length in deviations within its rubric.
+    """Rows of responses with a verdict and stages: whether the stage was ``selected``, and its text's length in deviations within its rubric.
 
-    ``words`` has ``bundle_no, stage, words``. A rubric's stages of one length have 0.
+    ``words`` has ``bundle_no, stage, words``. A rubric's stages of one length have 0; a stage without a text has a null. Abstentions
+    choose between no stages and stay out.
     """
     z = z_scores(words, ["bundle_no"], "words").select("bundle_no", "stage", F.col("z").alias("length_z"))
-    rows = responses.select("experiment_tag", "bundle_no", "mask", F.explode(F.sequence(F.lit(1), F.col("scale_size").cast("int"))).alias("stage"))
+    rows = responses.where("mask <> 0").select("experiment_tag", "bundle_no", "mask", "obs", "disc", F.explode(F.sequence(F.lit(1), F.col("scale_size").cast("int"))).alias("stage"))
     chosen = F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("stage") - 1)) != 0
-    return rows.select("experiment_tag", "bundle_no", "stage", chosen.cast("double").alias("selected")).join(z, ["bundle_no", "stage"], "left")
+    return rows.select("experiment_tag", "bundle_no", "stage", "obs", "disc", chosen.cast("double").alias("selected")).join(z, ["bundle_no", "stage"], "left")
 
 
-def slopes(rows: DataFrame, key: str, x: str, y: str, least: int = 10) -> DataFrame:
-    """Least squares of each key: slope, intercept, R2 and n; null unless there are enough rows and both variables vary."""
-    n = F.regr_count(y, x)
-    sound = (n >= least) & (F.regr_sxx(y, x) > 0) & (F.regr_syy(y, x) > 0)
-    return rows.groupBy(key).agg(*(F.when(sound, f(y, x)).alias(name) for name, f in (("slope", F.regr_slope), ("intercept", F.regr_intercept), ("r2", F.regr_r2))), n.alias("n"))
-
-
-def within_slopes(rows: DataFrame, key: str, groups: list[str], x: str, y: str) -> DataFrame:
-    """Least squares of each key with a fixed effect for every group: coefficient, its standard error and n.
-
-    Values lose their group's mean, which gives the same coefficient as a column for every group would.
-    """
-    rows = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, *groups, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    sums = rows.groupBy(key, *groups).agg(*(F.sum(e).alias(n) for n, e in (("sx", F.col("x")), ("sy", F.col("y")), ("sxx", F.col("x") ** 2), ("sxy", F.col("x") * F.col("y")), ("syy", F.col("y") ** 2))), F.count("*").alias("m"))
-    c = sums.groupBy(key).agg(*(F.sum(F.col(s + a + b) - F.col("s" + a) * F.col("s" + b) / F.col("m")).alias(a + b) for s, a, b in (("s", "x", "x"), ("s", "x", "y"), ("s", "y", "y"))), F.sum("m").alias("n"), F.count("*").alias("groups"))
-    slope = F.col("xy") / F.col("xx")
-    free = F.col("n") - F.col("groups") - 1
-    error = F.sqrt(F.greatest(F.col("yy") - slope * F.col("xy"), F.lit(0.0)) / free / F.col("xx"))
-    return c.select(key, F.when(F.col("xx") > 1e-9, slope).alias("slope"), F.when((F.col("xx") > 1e-9) & (free > 0), error).alias("error"), "n", "groups")
+def length_slopes(rows: DataFrame) -> DataFrame:
+    """Per experiment with at least ten rows and stages both chosen and not: how choice depends on length, and the p-value."""
+    enough = rows.groupBy("experiment_tag").agg(F.count("*").alias("n_rows"), F.countDistinct("selected").alias("kinds")).where("n_rows >= 10 and kinds > 1")
+    return least_squares(rows, "experiment_tag", "selected", ["length_z"]).join(enough, "experiment_tag").select("experiment_tag", F.col("coef").alias("coef_stage_len_z"), "p_value", "n_rows")
 
 
 def pair_cosine(vectors: DataFrame, contrasts: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.verdicts import rounded
 from assayer.operators import belief, bundles, contrasts, geometry, ops, pools, text
+from assayer.operators import resampling as rs
 from assayer.sources.fixtures import REQUESTS, RESPONSES, requests, responses, table
 from assayer.streaming import events as live
 
@@ -260,14 +261,38 @@ def _(spark, d):
     return contrasts.effects(_deltas(spark, d))
 
 
+def _draw_sql(sample: str, replicate: str) -> str:
+    x = f"(({sample}) % {rs.PRIME} * {rs.OF_SAMPLE} + ({replicate}) % {rs.PRIME} * {rs.OF_REPLICATE} + {rs.MIX[2]}) % {rs.PRIME}"
+    for m in rs.MIX[:2]:
+        x = f"list_transform([{x}], lambda x: (x * x % {rs.PRIME} + x * {m} + 1) % {rs.PRIME})[1]"
+    return x
+
+
+_TIMES = "case " + " ".join(f"when x < {limit} then {k}" for k, limit in enumerate(rs.poisson_limits())) + f" else {len(rs.poisson_limits())} end"
+_SUMMED = lambda t: ", ".join(f"sum({t} * {e}) as t_{e}, sum(case when {e} is not null then {t} end) as n_{e}" for e in contrasts.PRIMARY)
+#: ``re``: interval and p-value of each contrast and endpoint; then ``qv`` with q-values by family, as all contrasts are of one, and ``rk``, ranked.
+_RES = f"""{_EFF}, wd as materialized (select contrast_id, sample_ordinal, {", ".join(f"max(delta) filter (endpoint = '{e}') as {e}" for e in contrasts.PRIMARY)} from de group by 1, 2),
+bo as (select contrast_id, i, {_SUMMED("t")} from (select *, {_TIMES} as t from (select wd.*, i, {_draw_sql("sample_ordinal", "i")} as x from wd, range(2000) g(i))) group by 1, 2),
+fl as (select contrast_id, i, {_SUMMED("t")} from (select *, x % 2 * 2 - 1 as t from (select wd.*, i, {_draw_sql("sample_ordinal", f"i + {rs.FLIPS_FROM}")} as x from wd, range(5000) g(i))) group by 1, 2),
+bm as ({" union all ".join(f"select contrast_id, '{e}' as endpoint, round(t_{e} / nullif(n_{e}, 0), 12) as m from bo" for e in contrasts.PRIMARY)}),
+bq as (select contrast_id, endpoint, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from bm group by 1, 2),
+fm as ({" union all ".join(f"select contrast_id, '{e}' as endpoint, t_{e} as t from fl" for e in contrasts.PRIMARY)}),
+fq as (select fm.contrast_id, fm.endpoint, count(*) filter (abs(t / n) >= abs(mean_delta) - {rs.EQUAL}) as far from fm join ef on ef.contrast_id = fm.contrast_id and ef.endpoint = fm.endpoint group by 1, 2),
+re as (select ef.*, case when std_delta > 0 then mean_delta / std_delta end as dz, case when n = 1 then mean_delta else lo end as ci_low, case when n = 1 then mean_delta else hi end as ci_high, case when abs(mean_delta) < {rs.EQUAL} then 1.0 else (far + 1) / 5001.0::double end as p_value
+ from ef join bq using (contrast_id, endpoint) join fq using (contrast_id, endpoint)),
+qr as (select *, row_number() over (order by p_value, endpoint, contrast_id) as pos, count(*) over () as m from re), qv as (select *, least(1.0, min(p_value * m / pos) over (order by pos desc)) as q_value from qr),
+rk as (select *, 3 * (q_value <= 0.05)::int + 2 * (q_value <= 0.1)::int + coalesce(abs(dz), 0) + 0.1 * abs(mean_delta) as rank_score from qv order by round(q_value, 9), round(abs(dz), 9) desc nulls last, round(abs(mean_delta), 9) desc, contrast_id, endpoint limit 25)"""
+
+
 def _qvalues(spark, d):
     deltas = _deltas(spark, d).where(F.col("endpoint").isin(*contrasts.PRIMARY))
-    both = contrasts.effects(deltas).join(contrasts.resampled(deltas), ["contrast_id", "endpoint"], "left")
+    both = contrasts.effects(deltas).join(rs.resampled(deltas), ["contrast_id", "endpoint"], "left")
     families = contrasts.registry(geometry.sample_metrics(responses(spark, d))).select("contrast_id", "family_slug")
-    return contrasts.q_values(both.join(families, "contrast_id"), keys=("family_slug",))
+    return contrasts.q_values(both.join(families, "contrast_id").withColumn("tie", F.struct("endpoint", "contrast_id")), keys=("family_slug",), tie="tie").drop("tie")
 
 
-@_query("m6_m7_w11_family_effects_qvalues")
+@_query("m6_m7_w11_family_effects_qvalues", f"""{_R}, {_RES} select contrast_id, endpoint, n, n<mean_delta>n as mean_delta, n<median_delta>n as median_delta, n<std_delta>n as std_delta, n<positive_share>n as positive_share, n<dz>n as dz, n<ci_low>n as ci_low, n<ci_high>n as ci_high, n<p_value>n as p_value,
+ 'a1_abstain_toggle' as family_slug, n<q_value>n as q_value, q_value <= 0.1 as is_significant_fdr_10, q_value <= 0.05 as is_significant_fdr_05 from qv""")
 def _(spark, d):
     return _qvalues(spark, d)
 
@@ -284,19 +309,15 @@ def _(spark, d):
     return contrasts.q_values(p, "p", ("g",), "k").drop("is_significant_fdr_10", "is_significant_fdr_05")
 
 
-@_query("k2_ranked_effects", f"""{_R}, {_EFF}, f as (select *, case when std_delta > 0 then mean_delta / std_delta end as dz, least(1.0, 0.01 * (1 + n % 9)) as p from ef where endpoint in ({", ".join(f"'{e}'" for e in contrasts.PRIMARY)})),
-k as (select *, row_number() over (order by p, contrast_id, endpoint) as pos, count(*) over () as m from f), q as (select *, least(1.0, min(p * m / pos) over (order by pos desc)) as q_value from k)
-select contrast_id, endpoint, n<mean_delta>n as mean_delta, n<q_value>n as q_value, n<3 * (q_value <= 0.05)::int + 2 * (q_value <= 0.1)::int + coalesce(abs(dz), 0) + 0.1 * abs(mean_delta)>n as rank_score,
- case when round(mean_delta, 9) > 0 then 'positive' when round(mean_delta, 9) < 0 then 'negative' else 'neutral' end as direction from q order by round(q_value, 9), round(abs(dz), 9) desc nulls last, round(abs(mean_delta), 9) desc, contrast_id, endpoint limit 25""")
+@_query("k2_ranked_effects", f"""{_R}, {_RES} select contrast_id, endpoint, n<mean_delta>n as mean_delta, n<q_value>n as q_value, n<rank_score>n as rank_score, case when round(mean_delta, 9) > 0 then 'positive' when round(mean_delta, 9) < 0 then 'negative' else 'neutral' end as direction from rk""")
 def _(spark, d):
-    # p-values by a rule in place of resampling, so that SQL can follow.
-    e = contrasts.effects(_deltas(spark, d).where(F.col("endpoint").isin(*contrasts.PRIMARY))).withColumn("p_value", F.least(F.lit(1.0), 0.01 * (1 + F.col("n") % 9))).withColumn("tie", F.concat_ws("/", "contrast_id", "endpoint"))
-    return contrasts.ranked_findings(contrasts.q_values(e, tie="tie")).select("contrast_id", "endpoint", "mean_delta", "q_value", "rank_score", "direction")
+    return contrasts.ranked_findings(_qvalues(spark, d)).select("contrast_id", "endpoint", "mean_delta", "q_value", "rank_score", "direction")
 
 
-@_query("a22_j31_effect_contributors", f"{_R}, {_DELTA}, c as (select sample_ordinal, abs(delta) as s, concat(contrast_id, '/', endpoint) as k from de where delta is not null) select sample_ordinal, n<sum(s)>n as total, n<max(s)>n as largest, count(*) as n, max_by(k, {{'a': round(s + 3.7e-10, 9), 'b': k}}) as largest_key from c group by 1 order by round(sum(s), 6) desc, sample_ordinal limit 25")
+@_query("a22_j31_effect_contributors", f"""{_R}, {_RES}, c as (select sample_ordinal, abs(delta) as s, concat(contrast_id, ' | ', endpoint) as k from de join rk using (contrast_id, endpoint) where delta is not null)
+select sample_ordinal, n<sum(s)>n as total, n<max(s)>n as largest, count(*) as n, min_by(k, {{'a': -round(s + 3.7e-10, 9), 'b': k}}) as largest_key from c group by 1 order by round(sum(s), 6) desc, round(max(s), 6) desc, count(*) desc, sample_ordinal limit 25""")
 def _(spark, d):
-    return contrasts.effect_contributors(_deltas(spark, d))
+    return contrasts.effect_contributors(_deltas(spark, d), contrasts.ranked_findings(_qvalues(spark, d)))
 
 
 @_query("m13_j26_experiment_similarity", "with u as (select label, unnest(embedding)::double as x, unnest(range(1, len(embedding) + 1)) as i from embeddings), m as (select label, i, avg(x) as x from u group by 1, 2), n as (select label, sqrt(sum(x * x)) as n from m group by 1) select a.label as left_group, b.label as right_group, n<sum(a.x * b.x) / max(na.n) / max(nb.n)>n as cosine from m a join m b using (i) join n na on na.label = a.label join n nb on nb.label = b.label group by 1, 2")

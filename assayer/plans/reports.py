@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from assayer.functions.verdicts import FAMILIES, bucket_of_label, family, family_slug, variant
 from assayer.operators import belief, contrasts, geometry, pools, reports, text
-from assayer.plans.queries import _BELIEF, _DELTA, _EC, _EFF, _EXP, _LABEL, _PAIRS, _POOL, _R, _S, _SB, _SIZES, _SM, _STAGED, QUERIES, _bet, _deltas, _experiments, _matched, _methods, _query, _samples  # noqa: F401
+from assayer.operators.regression import least_squares
+from assayer.plans.queries import _BELIEF, _DELTA, _EC, _EFF, _EXP, _LABEL, _PAIRS, _POOL, _R, _RES, _S, _SB, _SIZES, _SM, _STAGED, QUERIES, _bet, _deltas, _experiments, _matched, _methods, _query, _qvalues, _samples  # noqa: F401
 from assayer.sources.fixtures import responses, table
 
 _RATE = "count(*) as n, avg((mask = 0)::int) as abstain_rate, avg(case when mask <> 0 then (bit_count(mask) = 1)::int end) as singleton_rate"
@@ -198,11 +201,12 @@ def _(spark, d):
     return reports.descriptive_findings(_candidates(spark, d)).drop("score")
 
 
-@_query("k5_u1_merged_findings", f"""{_R}, {_CAND}, de2 as (select 'descriptive' as finding_scope, concat('descriptive:', finding_kind, ':', subject) as finding_id, score as rank_score from ca where finding_kind <> 'family_effect' order by round(score, 9) desc, finding_kind, subject, detail limit 25)
-select finding_scope, finding_id, n<rank_score>n as rank_score from de2 union all select 'inferential', concat('inferential:', contrast_id, ':', endpoint), n<abs(mean_delta)>n from ef where endpoint in {contrasts.PRIMARY}""", nudge=_NUDGE)
+@_query("k5_u1_merged_findings", f"""{_R}, {_CAND}{_RES[len(_EFF):]}, de2 as (select 'descriptive' as finding_scope, concat('descriptive:', finding_kind, ':', subject) as finding_id, score as rank_score, detail from ca where finding_kind <> 'family_effect' order by round(score, 9) desc, finding_kind, subject, detail limit 25),
+un as (select * from de2 union all select 'inferential', concat('inferential:', contrast_id, ':', endpoint), rank_score, '' from rk)
+select finding_scope, finding_id, n<rank_score>n as rank_score, cast(row_number() over (order by finding_scope, round(rank_score + {_NUDGE}, 9) desc, finding_id, detail) as int) as place from un""", nudge=_NUDGE)
 def _(spark, d):
-    e = contrasts.effects(_deltas(spark, d).where(F.col("endpoint").isin(*contrasts.PRIMARY))).withColumn("rank_score", F.abs("mean_delta"))
-    return reports.merged_findings(reports.descriptive_findings(_candidates(spark, d)), e)
+    descriptive = reports.descriptive_findings(_candidates(spark, d)).withColumn("rank_score", F.col("rank_score") + _NUDGE)
+    return reports.merged_findings(descriptive, contrasts.ranked_findings(_qvalues(spark, d)))
 
 
 @_query("a16_j23_report_panel", f"""{_R}, {_POOL}, su as (select experiment_tag, method, count(*) as n, avg(expected_stage) as e, avg(top_p) as t from me group by 1, 2),
@@ -216,20 +220,61 @@ def _(spark, d):
 _WORDS = "select cast(p_partkey % 20 as bigint) as bundle_no, cast(p_partkey % 7 + 1 as int) as stage, min(concat(p_name, repeat(' more', cast(p_size % 5 as int)))) as text from {part} group by 1, 2"
 
 
-@_query("f18_j30_m10_length_bias", f"""{_R}, tx as ({_WORDS.format(part='part')}), wo as (select bundle_no, stage, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as words from tx), zw as (select bundle_no, stage, coalesce((words - avg(words) over w) / nullif(stddev_pop(words) over w, 0), 0) as z from wo window w as (partition by bundle_no)),
-s2 as (select experiment_tag, bundle_no, mask, unnest(range(1, scale_size + 1)) as stage from r), x as (select experiment_tag, ((mask & (1::bigint << (s2.stage - 1))) <> 0)::int as y, z from s2 left join zw using (bundle_no, stage))
-select experiment_tag, n<case when regr_count(y, z) >= 10 then regr_slope(y, z) end>n as slope, n<case when regr_count(y, z) >= 10 then regr_intercept(y, z) end>n as intercept, n<case when regr_count(y, z) >= 10 then regr_r2(y, z) end>n as r2, regr_count(y, z)::bigint as n from x group by 1""")
+_LENGTHS = f"""tx as ({_WORDS.format(part='part')}), wo as (select bundle_no, stage, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as words from tx), zw as (select bundle_no, stage, coalesce((words - avg(words) over w) / nullif(stddev_pop(words) over w, 0), 0) as z from wo window w as (partition by bundle_no)),
+s2 as (select experiment_tag, bundle_no, mask, obs::double as obs, disc::double as disc, unnest(range(1, scale_size + 1)) as stage from r where mask <> 0),
+lr as (select experiment_tag, bundle_no, obs, disc, ((mask & (1::bigint << (s2.stage - 1))) <> 0)::int::double as y, z from s2 left join zw using (bundle_no, stage))"""
+
+
+def _p_sql(t: str, df: str) -> str:
+    """The two-sided tail of the t distribution by Simpson's rule over the angle, for 40 degrees of freedom or more."""
+    half = "(a / 2 - 0)"
+    ratio = f"exp(ln({half}) / 2 - 1 / (8 * {half}) + 1 / (192 * {half} ** 3) - 1 / (640 * {half} ** 5))"
+    weight = "(case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end)"
+    return f"""list_transform([{{'a': ({df})::double, 'h': atan(abs({t}) / sqrt({df}))}}], lambda s: list_transform([s.a], lambda a: 1 - 2 * {ratio} / sqrt(pi()) * s.h / 6000
+ * list_sum(list_transform(range(0, 2001), lambda i: {weight} * pow(cos(i * s.h / 2000), a - 1))))[1])[1]"""
+
+
+def _t_sql(df: str) -> str:
+    z = NormalDist().inv_cdf(0.975)
+    return f"({z} + {(z**3 + z) / 4} / ({df}) + {(5 * z**5 + 16 * z**3 + 3 * z) / 96} / ({df})::double ** 2 + {(3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384} / ({df})::double ** 3)"
+
+
+@_query("f18_j30_m10_length_bias", f"""{_R}, {_LENGTHS}, fi as (select experiment_tag, regr_slope(y, z) as b, regr_syy(y, z) as syy, regr_sxx(y, z) as sxx, regr_count(y, z) as m, count(*) as n from lr group by 1 having count(*) >= 10 and count(distinct y) > 1)
+select experiment_tag, n<b>n as coef_stage_len_z, n<{_p_sql("b / sqrt((syy - b * b * sxx) / (m - 2) / sxx)", "m - 2")}>n as p_value, n as n_rows from fi""")
 def _(spark, d):
-    words = spark.sql(_WORDS, part=table(spark, d, "part")).select("bundle_no", "stage", F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("words"))
-    return reports.slopes(reports.length_bias(responses(spark, d), words), "experiment_tag", "length_z", "selected")
+    return reports.length_slopes(reports.length_bias(responses(spark, d), _words(spark, d)))
+
+
+def _words(spark, d):
+    return spark.sql(_WORDS, part=table(spark, d, "part")).select("bundle_no", "stage", F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("words"))
+
+
+@_query("m11_length_bias_within_bundles", f"""{_R}, {_LENGTHS}, ok as (select * from lr where z is not null), ce as (select experiment_tag, {", ".join(f"{c} - avg({c}) over w as {c}" for c in ("y", "z", "obs"))}, y as raw, dense_rank() over (partition by experiment_tag order by bundle_no) as lv from ok window w as (partition by experiment_tag, bundle_no)),
+su as (select experiment_tag, sum(z * obs) / sum(obs * obs) as bz, sum(y * obs) / sum(obs * obs) as by_ from ce group by 1), re as (select ce.experiment_tag, raw, lv, y - by_ * obs as y, z - bz * obs as z from ce join su using (experiment_tag)),
+fi as (select experiment_tag, sum(z * y) / sum(z * z) as b, sum(z * z) as zz, sum(y * y) as yy, count(*) as n, count(*) - max(lv) - 2 as df, var_pop(raw) * count(*) as tss from re group by 1), se as (select *, sqrt((yy - b * b * zz) / df / zz) as e from fi)
+select experiment_tag, 'length_z' as term, n<b>n as coef, n<e>n as stderr, n<{_p_sql("b / e", "df")}>n as p_value, n<b - {_t_sql("df")} * e>n as conf_low, n<b + {_t_sql("df")} * e>n as conf_high, n<1 - (yy - b * b * zz) / tss>n as r_squared, n as n_obs, df as df_resid from se""")
+def _(spark, d):
+    rows = reports.length_bias(responses(spark, d), _words(spark, d))
+    return least_squares(rows, "experiment_tag", "selected", ["length_z", "obs", "disc"], ["bundle_no"]).where("term = 'length_z'")
+
+
+def _additive_sql(cells: str, rounds: int) -> str:
+    """Effects of ``a`` and ``b`` on x and y in each family, by that many rounds of taking each factor's means of what the other leaves."""
+    out = f"fa0 as (select k, a, 0.0::double as x, 0.0::double as y from {cells} group by 1, 2)"
+    for i in range(1, rounds + 1):
+        last = lambda side, j: f"f{side}{j}"
+        for side, other, j in (("b", "a", i - 1), ("a", "b", i)):
+            out += f""", f{side}{i} as materialized (select k, {side}, sum(c.x - c.n * o.x) / sum(c.n) as x, sum(c.y - c.n * o.y) / sum(c.n) as y from {cells} c join {last(other, j)} o using (k, {other}) group by 1, 2)"""
+    return out
 
 
-@_query("m9_m11_fixed_effects", f"""{_R}, x as (select split_part(experiment_tag, '_', 2) as family_code, bundle_no, sample_ordinal % 3 as third, scale_size::double as x, agreement::double as y from r), g as (select *, x - avg(x) over w as dx, y - avg(y) over w as dy from x window w as (partition by family_code, bundle_no, third)),
-c as (select family_code, sum(dx * dx) as xx, sum(dx * dy) as xy, sum(dy * dy) as yy, count(*) as n, count(distinct bundle_no * 3 + third) as groups from g group by 1)
-select family_code, n<xy / xx>n as slope, n<sqrt((yy - xy * xy / xx) / (n - groups - 1) / xx)>n as error, n, groups from c""")
+@_query("m9_m11_fixed_effects", f"""{_R}, rr as (select split_part(experiment_tag, '_', 2) as k, bundle_no as a, sample_ordinal as b, scale_size::double as x, agreement::double as y from r), c as materialized (select k, a, b, count(*) as n, sum(x) as x, sum(y) as y from rr group by 1, 2, 3),
+{_additive_sql("c", 24)}, rs as (select rr.k, rr.y as raw, rr.x - fa24.x - fb24.x as x, rr.y - fa24.y - fb24.y as y from rr join fa24 using (k, a) join fb24 using (k, b)),
+fi as (select k, sum(x * y) / sum(x * x) as b, sum(x * x) as xx, sum(y * y) as yy, var_pop(raw) * count(*) as tss, count(*) as n, count(*) - (select count(*) from fa0 where fa0.k = rs.k) - (select count(*) from fb1 where fb1.k = rs.k) as df from rs group by 1), se as (select *, sqrt((yy - b * b * xx) / df / xx) as e from fi)
+select k as family_code, 'scale_size' as term, n<b>n as coef, n<e>n as stderr, n<{_p_sql("b / e", "df")}>n as p_value, n<b - {_t_sql("df")} * e>n as conf_low, n<b + {_t_sql("df")} * e>n as conf_high, n<1 - (yy - b * b * xx) / tss>n as r_squared, n as n_obs, df as df_resid from se""")
 def _(spark, d):
-    rows = responses(spark, d).select(family(F.col("experiment_tag")).alias("family_code"), "bundle_no", (F.col("sample_ordinal") % 3).alias("third"), "scale_size", "agreement")
-    return reports.within_slopes(rows, "family_code", ["bundle_no", "third"], "scale_size", "agreement")
+    rows = responses(spark, d).select(family(F.col("experiment_tag")).alias("family_code"), "bundle_no", "sample_ordinal", "scale_size", "agreement")
+    return least_squares(rows, "family_code", "agreement", ["scale_size"], ["bundle_no", "sample_ordinal"])
 
 
 _VEC = "select concat('v3_', case when vec_id % 2 = 0 then 'a1_' else 'b1_' end, case (vec_id // 2) % 3 when 0 then 'alpha' when 1 then 'beta' else 'gamma' end) as experiment_tag, vec_id // 6 as sample_ordinal, embedding as vector from embeddings where embedding is not null"

@@ -56,10 +56,14 @@ def test_weighted_quantiles_keep_every_row_as_a_point(spark):
     assert got["ties"].q25 == pytest.approx(0.35)
 
 
-def test_within_slopes(spark):
-    rows = [("a", g, float(x), 2.0 * x + 10 * g) for g in range(3) for x in range(4)] + [("b", 0, 1.0, 1.0)]
-    got = {r.k: r for r in reports.within_slopes(spark.createDataFrame(rows, "k string, g int, x double, y double"), "k", ["g"], "x", "y").collect()}
-    assert got["a"].slope == pytest.approx(2.0) and got["a"].error == pytest.approx(0.0, abs=1e-6) and got["b"].slope is None
+def test_abstentions_stay_out_of_length_bias(spark):
+    r = spark.createDataFrame([("e", 1, 2, 3, 0.5, 0.5), ("e", 1, 0, 3, 0.5, 0.5)], "experiment_tag string, bundle_no int, mask long, scale_size int, obs double, disc double")
+    words = spark.createDataFrame([(1, s, 10 * s) for s in (1, 2, 3)], "bundle_no int, stage int, words int")
+    rows = reports.length_bias(r, words)
+    assert sorted((x.stage, x.selected, round(x.length_z, 4)) for x in rows.collect()) == [(1, 0.0, -1.2247), (2, 1.0, 0.0), (3, 0.0, 1.2247)]
+    assert reports.length_slopes(rows).count() == 0
+    many = reports.length_slopes(rows.unionByName(rows).unionByName(rows).unionByName(rows)).collect()
+    assert [(x.n_rows, round(x.coef_stage_len_z, 9), round(x.p_value, 9)) for x in many] == [(12, 0.0, 1.0)]
 
 
 def test_support_of_a_single_verdict(spark):

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.functions.verdicts import bucket, expected_stage, label, mask_of
+from assayer.operators.resampling import resampled
 from assayer.operators import belief, bundles, contrasts, geometry, ops, pools, text
 from assayer.sources.snapshots import SnapshotStore, batch_results
 
@@ -49,7 +50,7 @@ def test_contrasts_effects_and_q_values(spark):
     deltas = contrasts.pair_deltas(samples, c, matched)
     e = {x.endpoint: x for x in contrasts.effects(deltas).collect()}["mean_expected_stage"]
     assert e.mean_delta == 2.0 and e.n == 8
-    s = {x.endpoint: x for x in contrasts.resampled(deltas).collect()}
+    s = {x.endpoint: x for x in resampled(deltas).collect()}
     assert s["mean_expected_stage"].ci_low == 2.0 and s["mean_expected_stage"].p_value < 0.03 and s["mean_agreement"].p_value == 1.0
     p = spark.createDataFrame([("a", 0.01), ("b", 0.02), ("c", 0.5), ("d", None)], "endpoint string, p_value double")
     assert {x.endpoint: x.q_value and round(x.q_value, 9) for x in contrasts.q_values(p).collect()} == {"a": 0.03, "b": 0.03, "c": 0.5, "d": None}
