@@ -54,15 +54,57 @@ def pignistic(q: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, (F.col("at") + 1).alias("stage"), bet.alias("bet_p"), "conflict")
 
 
+def _butterflies(values: Column, size: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """``values`` by subset after, for each stage in turn, a set without it takes in the set that has it besides: n * 2**n steps."""
+
+    def stage(v: Column, bit: Column) -> Column:
+        one = F.call_function("shiftleft", F.lit(1), bit)
+        return F.transform(v, lambda x, i: F.when(i.bitwiseAND(one) == 0, step(x, F.get(v, i + one))).otherwise(x))
+
+    return F.aggregate(F.sequence(F.lit(0), size.cast("int") - 1), values, stage)
+
+
+def zeta(masses_: Column, size: Column) -> Column:
+    """Commonalities of masses by subset: each set's is the mass of all sets that hold it."""
+    return _butterflies(masses_, size, lambda without, with_: without + with_)
+
+
+def moebius(q: Column, size: Column) -> Column:
+    """Masses of commonalities by subset, the inverse of ``zeta``."""
+    return _butterflies(q, size, lambda without, with_: without - with_)
+
+
 def masses(q: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, subset, mass`` by Moebius inversion."""
+    rows = q.select(*keys, F.posexplode(moebius(F.col("q"), F.col("scale_size"))).alias("subset", "mass"))
+    return rows.withColumn("subset", F.col("subset").cast("long"))
 
-    def mass(b: Column) -> Column:
-        total = _signed(F.col("q"), lambda a: F.when(b.bitwiseAND(F.bitwise_not(a)) == 0, 1.0).otherwise(0.0))
-        return F.when(F.bit_count(b) % 2 == 0, total).otherwise(-total)
 
-    subsets = F.transform(F.sequence(F.lit(0).cast("long"), full(F.col("scale_size"))), mass)
-    return q.select(*keys, F.posexplode(subsets).alias("subset", "mass")).withColumn("subset", F.col("subset").cast("long"))
+def combined_bodies(bodies: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, scale_size, q``: the conjunctive combination of any bodies of evidence, as commonalities.
+
+    ``bodies`` has ``keys, scale_size, masses``, a map from subsets, by mask, to masses; sets not in the map have none. Equal bodies of a key
+    are multiplied before they leave a task. A null map says nothing and is left out.
+    """
+    whole = full(F.col("scale_size"))
+    dense = F.transform(F.sequence(F.lit(0).cast("long"), whole), lambda i: F.coalesce(F.try_element_at("masses", i), F.lit(0.0)))
+    rows = bodies.where("masses is not null").select(*keys, "scale_size", F.posexplode(zeta(dense, F.col("scale_size"))).alias("subset", "x"))
+    each = rows.groupBy(*keys, "scale_size", "subset").agg(F.product("x").alias("x"))
+    by_subset = F.sort_array(F.collect_list(F.struct("subset", "x")))  # a row a subset
+    return each.groupBy(*keys, "scale_size").agg(F.transform(by_subset, lambda s: s["x"]).alias("q"))
+
+
+def legacy_bodies(responses: DataFrame, keys: list[str], closed: bool = False) -> DataFrame:
+    """``keys, scale_size, masses`` of each response by the older rule: a 0 counts like a missing value, as 1, and the mass of an abstention or of
+    the whole scale is not clamped. In the closed world an abstention says nothing."""
+    given = lambda c: F.when(F.col(c) == 0, 1.0).otherwise(F.coalesce(F.col(c).cast("double"), F.lit(1.0)))
+    a, mask, whole = given("agreement"), F.col("mask").cast("long"), full(F.col("scale_size"))
+    v = clamp(a if closed else a * given("obs") * given("disc"))
+    none = F.lit(0).cast("long")
+    pair = lambda one, x, two: F.map_from_arrays(F.array(one, two), F.array(x, 1 - x))
+    abstained = F.lit(None) if closed else pair(none, a, whole)
+    said_all = F.create_map(whole, F.lit(1.0)) if closed else pair(whole, a, none)
+    return responses.select(*keys, "scale_size", F.when(mask == 0, abstained).when(mask == whole, said_all).otherwise(pair(mask, v, whole)).alias("masses"))
 
 
 def support(q: DataFrame, keys: list[str]) -> DataFrame:

@@ -70,6 +70,10 @@ def dead_transport(requests: DataFrame, batches: DataFrame) -> DataFrame:
     return rows.select("request_id", "batch_id", reason.alias("reason")).where("reason is not null")
 
 
+#: Statuses of a batch that can take another's place.
+LIVE = ("running", "finalizing", "success")
+
+
 def superseding(batches: DataFrame, live: tuple[str, ...]) -> DataFrame:
     """For each batch the newest other one of its key that is live and has a reference.
 
@@ -130,11 +134,33 @@ def stage_distribution(runs: DataFrame) -> DataFrame:
     return every.join(runs.groupBy("stage").agg(F.count("*").alias("runs")), "stage", "left").na.fill(0, ["runs"])
 
 
-def campaign_state(experiments: DataFrame, keys: list[str]) -> DataFrame:
-    """One row a campaign: the campaign's state, of which the first that holds counts. ``experiments`` has ``valid, started, completed, stuck``."""
-    e = experiments.groupBy(*keys).agg(F.bool_and("valid").alias("valid"), F.bool_or("started").alias("started"), F.bool_and("completed").alias("completed"), F.bool_or("stuck").alias("stuck"), F.count("*").alias("experiments"))
-    state = F.when((F.col("experiments") == 0) | ~F.col("valid"), "invalid").when(~F.col("started"), "preflight").when(F.col("completed"), "complete").when(F.col("stuck"), "stalled").otherwise("progressing")
-    return e.select(*keys, "experiments", state.alias("state"))
+#: Reasons that a campaign recovers from by itself, and those that make its results invalid.
+RECOVERABLE = ("pending_requests_on_dead_transport", "pending_request_no_owner", "retryable_no_transport", "scheduler_not_running")
+INVALID = ("stage_waiting_on_exhausted_requests", "batch_missing_ref", "finalizing_no_progress")
+
+
+def campaign_state(experiments: DataFrame, stuck: DataFrame, key: str, pause_after: str | None = None) -> DataFrame:
+    """``key, experiments, campaign_state, scientific_validity``: a row a campaign, the first state that holds.
+
+    ``experiments`` has ``present`` (false for a tag that is missing) and of the latest run, null without one, ``run_status, has_failures,
+    current_stage, stage_done, target_count``; ``stuck`` has ``reason``. With ``pause_after`` runs that pause there with all targets done
+    are complete too.
+    """
+    run, here = F.col("run_status"), F.col("present")
+    done = run == "completed"
+    gate = (run == "paused") & (F.col("current_stage") == pause_after) & (F.col("stage_done") == F.col("target_count")) if pause_after else F.lit(False)
+    failed = F.coalesce(F.col("has_failures"), F.lit(False)) | F.coalesce(run.isin("error", "canceled"), F.lit(False))
+    every = lambda c: F.coalesce(F.bool_and(F.when(here, F.coalesce(c, F.lit(False)))), F.lit(False))
+    e = experiments.groupBy(key).agg(F.count_if(here).alias("experiments"), F.bool_or(~here | failed).alias("broken"), F.count_if(here & run.isNotNull()).alias("runs"), every(done).alias("all_done"), every(gate).alias("all_paused"))
+    reasons = stuck.groupBy(key).agg(F.bool_or(F.col("reason").isin(*INVALID)).alias("spoilt"), F.bool_and(F.col("reason").isin(*RECOVERABLE)).alias("recoverable"))
+    state = (
+        F.when(F.col("broken") | F.coalesce("spoilt", F.lit(False)), "scientifically_invalid").when(F.col("runs") == 0, "preflight_clean")
+        .when(F.col("all_done") | F.col("all_paused"), "complete").when(F.col("recoverable"), "stalled_recoverable")
+        .when(~F.col("recoverable"), "stalled_unknown").otherwise("healthy_progressing")
+    )
+    out = e.join(reasons, key, "left").withColumn("campaign_state", state)
+    sure = F.when(F.col("campaign_state") == "scientifically_invalid", "scientifically_invalid").when(F.col("campaign_state") == "complete", "scientifically_valid").otherwise("scientifically_unknown")
+    return out.select(key, "experiments", "campaign_state", sure.alias("scientific_validity"))
 
 
 def recoverable_stalls(states: DataFrame) -> DataFrame:
@@ -194,12 +220,17 @@ def route(batchable: Column, n: Column, least: int = 30) -> Column:
     return F.when(~batchable | (n < least), "job").otherwise("batch")
 
 
+#: A provider's statuses of a batch under way, and of one that failed.
+UNDER_WAY = ("validating", "in_progress", "finalizing", "cancelling")
+FAILED = ("failed", "expired", "cancelled")
+
+
 def batch_status(status: Column) -> Column:
-    """A provider's batch status as one of three."""
-    return (
-        F.when(status.isin("validating", "in_progress", "finalizing"), "running").when(status == "completed", "completed")
-        .when(status.isin("failed", "expired", "cancelled", "cancelling"), "error").otherwise("unknown")
-    )
+    """``status`` and ``error`` of a provider's batch: what is neither complete nor under way is an error, named after the status or its lack."""
+    s = F.lower(F.coalesce(status, F.lit("")))
+    state = F.when(s == "completed", "completed").when(s.isin(*UNDER_WAY), "running").otherwise("error")
+    error = F.when(s.isin(*FAILED), F.concat(F.lit("batch_"), s)).when(s == "", "batch_missing_status").otherwise(F.concat(F.lit("batch_unknown_status:"), s))
+    return F.struct(state.alias("status"), F.when(state == "error", error).alias("error"))
 
 
 def pending_targets(targets: DataFrame, done: DataFrame, states: DataFrame, key: str) -> DataFrame:
@@ -208,10 +239,15 @@ def pending_targets(targets: DataFrame, done: DataFrame, states: DataFrame, key:
     return targets.join(done.select(key), key, "left_anti").join(busy, key, "left_anti")
 
 
+#: What a request can be about.
+TARGETS = ("sample", "sample_score_target", "evidence")
+
+
 def key_parts(key: Column) -> Column:
-    """Type, id and stage of a key of three parts; null if it has another number of them."""
-    parts = F.split(key, ":")
-    return F.when(F.size(parts) == 3, F.struct(parts[0].alias("type"), parts[1].alias("id"), parts[2].alias("stage")))
+    """Type, id and stage of a key; null unless the type is known and id and stage aren't empty. Further parts say nothing."""
+    part = lambda i: F.get(F.split(key, ":"), F.lit(i))
+    sound = part(0).isin(*TARGETS) & (part(1) != "") & (part(2) != "")
+    return F.when(sound, F.struct(part(0).alias("type"), part(1).alias("id"), part(2).alias("stage")))
 
 
 def bounded(rows: DataFrame, order: list[str], most: int) -> DataFrame:

@@ -87,9 +87,9 @@ def _(spark, d):
     return campaign.dead_transport(requests(spark, d).withColumn("batch_id", F.col("request_id") * 7 % 30000), _batches(spark, d))
 
 
-@_query("j14_superseding_batches", f"with b as ({_BATCHES.format(orders='orders')}) select a.key, a.batch_id, max_by(o.batch_id, {{'a': o.created, 'b': o.batch_id}}) as superseded_by from b a join b o on a.key = o.key and a.batch_id <> o.batch_id where o.status in ('running', 'queued') and coalesce(o.ref, '') <> '' group by 1, 2")
+@_query("j14_superseding_batches", f"with b as ({_BATCHES.format(orders='orders')}) select a.key, a.batch_id, max_by(o.batch_id, {{'a': o.created, 'b': o.batch_id}}) as superseded_by from b a join b o on a.key = o.key and a.batch_id <> o.batch_id where o.status in ('running', 'finalizing', 'success') and coalesce(o.ref, '') <> '' group by 1, 2")
 def _(spark, d):
-    return campaign.superseding(_batches(spark, d), ("running", "queued"))
+    return campaign.superseding(_batches(spark, d), campaign.LIVE)
 
 
 _TARGETS = "select l_orderkey as sample_id, l_linestatus = 'F' as scored, l_linestatus = 'F' and l_returnflag <> 'N' as judged from {lineitem}"
@@ -138,12 +138,20 @@ def _(spark, d):
     return campaign.stage_distribution(table(spark, d, "orders").select(F.when(s == "F", "score_critic").when(s == "O", "rubric_gen").otherwise("score_gen").alias("stage")))
 
 
-@_query("p24_campaign_states", "select c_nationkey as campaign, count(*) as experiments, case when not bool_and(c_acctbal > -990) then 'invalid' when not bool_or(c_acctbal > 0) then 'preflight' when bool_and(c_acctbal > -900) then 'complete' when bool_or(c_mktsegment = 'MACHINERY') then 'stalled' else 'progressing' end as state from customer group by 1")
+_RUN_ROWS = """select c_custkey % 40 as campaign, case when c_custkey % 40 < 36 or c_custkey % 3 > 0 then true else false end as present, case c_custkey % 40 % 6 when 0 then null when 1 then 'completed' when 2 then 'paused' when 3 then 'running' when 4 then case when c_custkey % 7 = 0 then 'error' else 'completed' end else 'running' end as run_status,
+ c_custkey % 40 = 9 and c_acctbal < 0 as has_failures, case when c_custkey % 40 = 2 then 'score_gen' else 'score_critic' end as current_stage, 3 as stage_done, case when c_custkey % 40 = 14 then 4 else 3 end as target_count from {customer}"""
+_STUCK_ROWS = """select c_custkey % 40 as campaign, case c_custkey % 40 when 3 then 'retryable_no_transport' when 21 then case when c_custkey % 2 = 0 then 'scheduler_not_running' else 'odd' end when 27 then 'batch_missing_ref' when 33 then 'pending_request_no_owner' else 'scheduler_not_running' end as reason from {customer} where c_custkey % 40 in (3, 21, 27, 33)"""
+
+
+@_query("p24_campaign_states", f"""with e as ({_RUN_ROWS.format(customer="customer")}), s as ({_STUCK_ROWS.format(customer="customer")}),
+g as (select campaign, count(*) filter (present) as experiments, bool_or(not present or coalesce(has_failures, false) or coalesce(run_status in ('error', 'canceled'), false)) as broken, count(run_status) filter (present) as runs,
+ coalesce(bool_and(coalesce(run_status = 'completed', false)) filter (present), false) as done, coalesce(bool_and(coalesce(run_status = 'paused' and current_stage = 'score_critic' and stage_done = target_count, false)) filter (present), false) as paused from e group by 1),
+k as (select campaign, bool_or(reason in {campaign.INVALID}) as spoilt, bool_and(reason in {campaign.RECOVERABLE}) as rec from s group by 1),
+o as (select campaign, experiments, case when broken or coalesce(spoilt, false) then 'scientifically_invalid' when runs = 0 then 'preflight_clean' when done or paused then 'complete' when rec then 'stalled_recoverable' when not rec then 'stalled_unknown' else 'healthy_progressing' end as campaign_state from g left join k using (campaign))
+select *, case campaign_state when 'scientifically_invalid' then 'scientifically_invalid' when 'complete' then 'scientifically_valid' else 'scientifically_unknown' end as scientific_validity from o""")
 def _(spark, d):
-    c = table(spark, d, "customer")
-    b = F.col("c_acctbal")
-    flags = c.select("c_nationkey", (b > -990).alias("valid"), (b > 0).alias("started"), (b > -900).alias("completed"), (F.col("c_mktsegment") == "MACHINERY").alias("stuck"))
-    return campaign.campaign_state(flags, ["c_nationkey"]).withColumnRenamed("c_nationkey", "campaign")
+    e, s = (spark.sql(q, customer=table(spark, d, "customer")) for q in (_RUN_ROWS, _STUCK_ROWS))
+    return campaign.campaign_state(e, s, "campaign", pause_after="score_critic")
 
 
 def _few(spark, d):
@@ -203,11 +211,13 @@ def _(spark, d):
     return campaign.valid_windows(w, "a", "b").select("o_orderkey", "valid")
 
 
-@_query("p18_p19_batch_routes", "select o_orderkey, case when o_orderstatus = 'P' or o_orderkey % 60 < 30 then 'job' else 'batch' end as route, case o_orderkey % 5 when 0 then 'running' when 1 then 'completed' when 2 then 'error' when 3 then 'error' else 'unknown' end as batch_status from orders")
+@_query("p18_p19_batch_routes", """select o_orderkey, case when o_orderstatus = 'P' or o_orderkey % 60 < 30 then 'job' else 'batch' end as route, case o_orderkey % 7 when 1 then 'completed' when 0 then 'running' when 3 then 'running' else 'error' end as batch_status,
+ case o_orderkey % 7 when 2 then 'batch_expired' when 4 then 'batch_unknown_status:odd' when 5 then 'batch_missing_status' when 6 then 'batch_missing_status' end as error from orders""")
 def _(spark, d):
     k = F.col("o_orderkey")
-    status = F.element_at(F.array(*map(F.lit, ("in_progress", "completed", "expired", "cancelling", "odd"))), (k % 5 + 1).cast("int"))
-    return table(spark, d, "orders").select(k, campaign.route(F.col("o_orderstatus") != "P", k % 60).alias("route"), campaign.batch_status(status).alias("batch_status"))
+    status = F.element_at(F.array(*map(F.lit, ("in_progress", "COMPLETED", "expired", "cancelling", "odd", "", None))), (k % 7 + 1).cast("int"))
+    b = campaign.batch_status(status)
+    return table(spark, d, "orders").select(k, campaign.route(F.col("o_orderstatus") != "P", k % 60).alias("route"), b["status"].alias("batch_status"), b["error"].alias("error"))
 
 
 @_query("j9_j10_u3_pending_targets", f"{_FEW}, t as (select concat('run:', o_orderkey % 4000, ':', case when o_orderkey % 2 = 0 then 'score_gen' else 'rubric_gen' end) as custom_key, o_orderkey from orders), dn as (select concat('run:', p_partkey, ':score_gen') as custom_key from part) select custom_key, o_orderkey from t where custom_key not in (select custom_key from dn) and custom_key not in (select custom_key from s where resolution in ('pending', 'exhausted'))")
@@ -218,9 +228,14 @@ def _(spark, d):
     return campaign.pending_targets(t, done, _few(spark, d), "custom_key")
 
 
-@_query("j11_f22_process_of_requests", f"{_Q} select request_id, split_part(custom_key, ':', 1) as type, split_part(custom_key, ':', 2) as id, split_part(custom_key, ':', 3) as stage from r where split_part(custom_key, ':', 2)::bigint in (select c_custkey from customer where c_nationkey < 12)")
+_KEYS = """select event_id as request_id, concat(case event_id % 4 when 0 then 'sample' when 1 then 'sample_score_target' when 2 then 'evidence' else 'run' end, ':', case when event_id % 11 = 0 then '' else cast(user_id as varchar(20)) end,
+ case when event_id % 13 = 0 then '' when event_id % 7 = 0 then ':' else ':rubric_gen' end, case when event_id % 3 = 0 then ':more' else '' end) as k from {events}"""
+
+
+@_query("j11_f22_process_of_requests", f"""with k as ({_KEYS.format(events="events")}), p as (select request_id, split_part(k, ':', 1) as type, split_part(k, ':', 2) as id, split_part(k, ':', 3) as stage from k)
+select * from p where type in {campaign.TARGETS} and id <> '' and stage <> '' and try_cast(id as bigint) in (select c_custkey from customer where c_nationkey < 12)""")
 def _(spark, d):
-    r = requests(spark, d).select("request_id", campaign.key_parts(F.col("custom_key")).alias("k")).select("request_id", "k.*")
+    r = spark.sql(_KEYS, events=table(spark, d, "events")).select("request_id", campaign.key_parts(F.col("k")).alias("k")).select("request_id", "k.*")
     c = table(spark, d, "customer").where("c_nationkey < 12").select(F.col("c_custkey").cast("string").alias("id"))
     return r.join(c, "id", "left_semi")
 

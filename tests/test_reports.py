@@ -102,7 +102,7 @@ def test_superseding_and_views(spark):
 def test_fnv_known_answers(spark):
     # Published values of the 32-bit FNV-1a hash.
     df = spark.createDataFrame([("",), ("a",), ("foobar",)], "t string")
-    assert [r[0] for r in df.select(prompts.fnv1a(F.col("t"))).collect()] == ["811c9dc5", "e40c292c", "bf9cf968"]
+    assert [r[0] for r in df.select(prompts.fnv1a(F.col("t"))).collect()] == ["fnv1a:811c9dc5", "fnv1a:e40c292c", "fnv1a:bf9cf968"]
 
 
 def test_a_scale_beyond_the_columns_is_an_error(spark):
