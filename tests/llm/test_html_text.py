@@ -62,3 +62,30 @@ def test_class_of_what_holds_most_takes_nothing_out():
     assert Page(halves).text() == f"{LONG.strip()}\n{LONG.strip()}"
     assert Page("<article><p>Brief, but it.</p></article><div class=ad>Buy now, cheap, good, fast.</div>").text() == "Brief, but it."
     assert Page(f"<div><p>One, two, three.</p><p>Four.</p></div><div class=comments><p>{LONG}</p><p>{LONG}</p></div>").text() == "One, two, three.\nFour."
+
+
+LONG = "Prose that goes on, and on, for well over eighty characters, so that it counts as a paragraph. " * 2
+
+
+def text_of(html):
+    return Page(html).text()
+
+
+def test_broken_pages_take_time_in_proportion():
+    pages = ["<b " * 350_000, "<!x" * 350_000, "<b" * 500_000, '<b "' * 250_001, "<b \"'" * 200_001 + ">", "<div>" * 40_000 + "</span>" * 120_000, "<ul>" + "<b>" * 40_000 + "<li></li>" * 60_000, "<a href=" * 120_000 + "<!--"]
+    began = time.perf_counter()
+    found = [text_of(p) for p in pages]
+    assert time.perf_counter() - began < 20 and found[5] == "" and len(found[1]) == 1_050_000
+
+
+def test_tags_end_outside_quotes():
+    assert text_of("<article><p title='a > b' id=x>one</p><p title=\"it's > so\">two</p>1 < 2<p>three</article>") == "one\ntwo\n1 < 2\nthree"
+    assert text_of('<p>one<a href="x>two</p>') == 'one<a href="x>two'
+
+
+def test_a_form_around_the_page_and_classes_of_heads_and_prose_take_nothing_out():
+    prose = " ".join(LONG.split())
+    assert text_of(f"<form><article><h1>T</h1><p>{LONG}</p></article></form>") == f"T\n{prose}"
+    assert text_of(f"<article><div class='entry-header'><h1>T</h1></div><p>{LONG}</p></article>") == f"T\n{prose}"
+    assert text_of(f"<article><h1 class='search'>T</h1><p class='social'>{LONG}</p><p>{LONG}</p></article>") == f"T\n{prose}\n{prose}"
+    assert text_of(f"<article><p>{LONG}</p><div class='social'>share</div><form><p>sign up</p></form><div class='comments'><p>{LONG}</p></div></article>") == prose
