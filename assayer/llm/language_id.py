@@ -21,6 +21,8 @@ from assayer.llm.words import buffer, slices
 
 GRAM, BUCKETS, SMOOTHING = 4, 1 << 15, 0.5
 ROUNDS, PENALTY = 12, 4.0
+#: By how many nats a gram, and by how many deviations of its mean besides, a text may be less likely than its languages' own texts.
+STRANGE, DEVIATIONS = 3.0, 6.0
 UNKNOWN = "und"
 
 #: Upper case to lower case; all other ASCII but letters to a space.
@@ -35,6 +37,12 @@ class LanguageModel:
     languages: list[str]
     logp: np.ndarray
 
+    def own(self) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and deviation of the log-probability of each language's own grams."""
+        log = self.logp.astype(float)
+        mean = (np.exp(log) * log).sum(axis=0)
+        return mean, np.sqrt(np.maximum((np.exp(log) * log**2).sum(axis=0) - mean**2, 0))
+
 
 def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each text's distinct gram buckets: text, bucket and count, in order of text."""
@@ -91,12 +99,13 @@ def _em(p: np.ndarray, doc: np.ndarray, count: np.ndarray, share: np.ndarray, ro
     return share, np.add.reduceat(count * np.log(np.maximum((p * share[doc]).sum(axis=1), 1e-30)), first)
 
 
-def mixtures(column: pa.Array, model: LanguageModel, penalty: float = PENALTY) -> np.ndarray:
-    """Each text's language proportions, 0 for languages outside its set; all 0 for a text without a gram."""
-    out = np.zeros((len(column), len(model.languages)))
+def mixtures(column: pa.Array, model: LanguageModel, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's language proportions, 0 for languages outside its set; all 0 for a text without a gram. And whether it is strange: less
+    likely than the texts of its languages by ``STRANGE`` nats a gram and ``DEVIATIONS`` deviations of a mean over as many grams."""
+    out, strange = np.zeros((len(column), len(model.languages))), np.zeros(len(column), bool)
     doc, bucket, count = grams(column)
     if not len(doc) or not model.languages:
-        return out
+        return out, strange
     some, doc = np.unique(doc, return_inverse=True)
     log = model.logp[bucket]
     p = np.exp(log - log.max(axis=1, keepdims=True))
@@ -118,7 +127,10 @@ def mixtures(column: pa.Array, model: LanguageModel, penalty: float = PENALTY) -
         if not len(live):
             break
     out[some] = best
-    return out
+    mean, deviation = model.own()
+    likely = np.bincount(doc, count * (np.log(np.maximum((p * best[doc]).sum(axis=1), 1e-30)) + log.max(axis=1))) / grams_of
+    strange[some] = best @ mean - likely > STRANGE + DEVIATIONS * (best @ deviation) / np.sqrt(grams_of)
+    return out, strange
 
 
 _MIXTURE = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
@@ -129,13 +141,13 @@ def _identify(model, columns: list[str], penalty: float):
         m = model.value
         for batch in batches:
             for part in slices(batch, "text", max(1 << 16, (1 << 22) // max(4, len(m.languages)))):
-                share = mixtures(part.column("text"), m, penalty)
+                share, strange = mixtures(part.column("text"), m, penalty)
                 share[~np.array(part.column("lettered").to_pylist(), dtype=bool)] = 0
                 top = share.argmax(axis=1) if m.languages else np.zeros(len(part), int)
                 score = share.max(axis=1, initial=0)
                 langs = [m.languages[t] if s > 0 else UNKNOWN for t, s in zip(top, score, strict=True)]
                 mix = [[{"lang": m.languages[i], "share": float(x[i])} for i in np.argsort(-x, kind="stable") if x[i] > 0] for x in share]
-                yield pa.RecordBatch.from_arrays([*part.column("row").flatten()[1:], pa.array(langs, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(mix, _MIXTURE)], [*columns, "lang_pred", "score", "lang_mix"])
+                yield pa.RecordBatch.from_arrays([*part.column("row").flatten()[1:], pa.array(langs, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(mix, _MIXTURE), pa.array(strange & (score > 0))], [*columns, "lang_pred", "score", "lang_mix", "strange"])
 
     return run
 
@@ -145,14 +157,15 @@ def lettered(text: Column) -> Column:
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None, penalty: float = PENALTY) -> DataFrame:
-    """The rows of ``docs`` with the columns ``keep`` (all) and ``lang_pred``, ``score`` and ``lang_mix`` after them.
+    """The rows of ``docs`` with the columns ``keep`` (all) and ``lang_pred``, ``score``, ``lang_mix`` and ``strange`` after them.
 
     ``lang_mix`` lists the languages of the chosen set and their proportions, largest first; ``lang_pred`` is the first, and
     ``score`` its proportion. A null text or one without a letter is ``und`` with score 0, and all are if the model knows no
-    language. Columns of ``docs`` named as those added are replaced.
+    language. ``strange`` tells texts that are in none of the languages, as far as their grams say: random letters, encoded data, other
+    languages; short texts hardly ever are. Columns of ``docs`` named as those added are replaced.
     """
-    added = ("lang_pred", "score", "lang_mix")
+    added = ("lang_pred", "score", "lang_mix", "strange")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    rows = docs.select(F.struct(F.lit(0), *keep).alias("row"), F.col(text).alias("text"), lettered(F.col(text)).alias("lettered"))
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double, lang_mix array<struct<lang: string, share: double>>"])
+    rows = docs.select(F.struct(F.lit(0), *(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(text).alias("text"), lettered(F.col(text)).alias("lettered"))
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double, lang_mix array<struct<lang: string, share: double>>, strange boolean"])
     return rows.mapInArrow(_identify(docs.sparkSession.sparkContext.broadcast(model), keep, penalty), schema)

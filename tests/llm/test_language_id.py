@@ -23,7 +23,7 @@ def test_held_out_texts_and_mixtures(spark, model):
     rows = [(i, sentence(rng, lang, 12), lang) for i, lang in enumerate([*WORDS] * 20)]
     got = identify(spark.createDataFrame(rows, "doc_id long, text string, score string"), model).collect()
     assert all(r.lang_pred == rows[r.doc_id][2] and 0 < r.score <= 1 for r in got)
-    both = mixtures(pa.array([sentence(rng, "aa", 60) + " " + sentence(rng, "cc", 30)]), model)[0]
+    both = mixtures(pa.array([sentence(rng, "aa", 60) + " " + sentence(rng, "cc", 30)]), model)[0][0]
     assert both[1] == 0 and abs(both[0] - 2 / 3) < 0.1 and abs(both.sum() - 1) < 1e-3
 
 
@@ -42,3 +42,15 @@ def test_edge_cases(spark, model):
     empty = fit_languages(docs.selectExpr("text", "cast(null as string) lang"))
     assert empty.languages == [] and {r.lang_pred for r in identify(docs, empty).collect()} == {"und"}
     assert identify(docs.limit(0), model).count() == 0 and isinstance(model, LanguageModel)
+
+
+def test_strange_texts(spark):
+    rng = np.random.default_rng(4)
+    lists = {lang: ["".join(rng.choice([*letters], rng.integers(3, 8))) for _ in range(80)] for lang, letters in (("aa", "abcdefghi"), ("bb", "éaourstnm"))}
+    say = lambda lang, n: " ".join(rng.choice(lists[lang], n))
+    model = fit_languages(spark.createDataFrame([(say(lang, 300), lang) for lang in lists for _ in range(60)], "text string, lang string"))
+    clean = [say(lang, n) for lang in lists for n in (1, 2, 5, 40, 3000) for _ in range(12)] + [say("aa", 30) + " " + say("bb", 30), say("aa", 40) + " 2abc3ff2ca8fb1e4c565a0eb63815530a948bdde", say("aa", 9).upper(), "x", "qq", "", None]
+    junk = ["".join(rng.choice([*"abcdefghijklmnopqrstuvwxyz"], 300)) for _ in range(9)] + ["QmFzZTY0IGVuY29kZWQgc3RyaW5n" * 9]
+    assert not mixtures(pa.array(clean), model)[1].any() and mixtures(pa.array(junk), model)[1].all()
+    docs = spark.createDataFrame([(1, junk[0], 5), (2, clean[5], 6)], "doc_id long, text string, `r.x` int")
+    assert {r.doc_id: (r.strange, r["r.x"]) for r in identify(docs, model).collect()} == {1: (True, 5), 2: (False, 6)}

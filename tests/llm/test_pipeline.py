@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -35,6 +37,14 @@ def test_each_stage_takes_its_cases_and_leaves_the_rest(spark, stages, tmp_path)
     assert {r.doc_id for r in stages["packing"](spark, clean, "").collect()} == {1, 2}
 
 
+def test_letters_at_random_are_in_no_language(spark, stages):
+    rng = random.Random(3)
+    words = [EN.split(), FR.split()]
+    rows = [row(i, " ".join(rng.choices(words[i % 2], k=rng.choice([3, 30, 300]))), ("en", "fr")[i % 2]) for i in range(300)]
+    junk = [row(1000 + i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=500)), None) for i in range(5)]
+    assert ids(stages["language_id"](spark, spark.createDataFrame(rows + junk, SCHEMA), "")) == [*range(300)]
+
+
 def test_run_and_empty_tables(spark, stages, tmp_path):
     spark.createDataFrame([row(1, EN), row(2, FR, "fr"), row(3, EN)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
