@@ -18,8 +18,12 @@ from assayer.llm.scratch import written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told go: those without a letter, or without a text."""
-    return identify(docs, fit_languages(docs)).where(F.col("lang_pred") != UNKNOWN).select(docs.columns)
+    """Documents without a letter or a text go, and those that are in none of the languages of the table: letters at random, encoded data.
+
+    The languages are those of the column ``lang``. Repeated rows are judged alike; if no row has a language, all go.
+    """
+    told = identify(docs, fit_languages(docs)).where(F.col("lang_pred") != UNKNOWN)
+    return told.where(~F.col("strange")).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
