@@ -5,20 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in ``spark.checkpoint.dir`` and read from there; a folder of our own only in local mode, as in tests.
-
-    It is a table and not ``checkpoint()``, as that keeps what the optimiser inferred of the plan, which grows with every round of a loop.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; one of our own only in local mode, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("on a cluster spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named := tempfile.mkdtemp(prefix="spark-"))
-    path = f"{named}/assayer-{uuid.uuid4().hex}"
+    return named
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written below the shared folder and read from there.
+
+    It is a table and not ``checkpoint()``, as that keeps what the optimiser inferred of the plan, which grows with every round of a loop.
+    """
+    path = f"{shared_folder(df.sparkSession)}/assayer-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
