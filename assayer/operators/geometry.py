@@ -59,11 +59,23 @@ def experiment_metrics(responses: DataFrame) -> DataFrame:
     return responses.groupBy("experiment_tag").agg(*_rates(), F.countDistinct("sample_ordinal").alias("samples"), F.countDistinct("bundle_no").alias("bundles"), F.avg("obs").alias("mean_observability"), F.avg("disc").alias("mean_discriminability"))
 
 
-def sample_metrics(responses: DataFrame) -> DataFrame:
-    """One row per experiment and sample; the signature lists its bundles, sorted as text."""
-    signature = F.array_join(F.array_sort(F.collect_set(F.col("bundle_no").cast("string"))), " | ")
-    rows = responses.groupBy(*SAMPLE).agg(*_rates(), F.countDistinct("bundle_no").alias("unique_bundle_count"), signature.alias("bundle_signature"))
-    return rows.join(mass_shape(stage_mass(responses, SAMPLE, of_all=False), SAMPLE), SAMPLE)
+def sample_metrics(responses: DataFrame, stages: int = 9) -> DataFrame:
+    """One row per experiment and sample, from one grouping; the signature lists its bundles, sorted as text.
+
+    Stages are added up side by side, so responses aren't multiplied by stages. A scale of more than ``stages`` is an error.
+    """
+    bundles = F.array_sort(F.collect_set(F.col("bundle_no").cast("string")))  # a sample's bundles are few
+    spread = [F.sum(F.when(has(F.col("mask"), F.lit(s)), 1 / F.bit_count("mask")).otherwise(0.0)).alias(f"_m{s}") for s in range(1, stages + 1)]
+    large = F.when(F.max("scale_size") > stages, F.raise_error(F.lit("a scale has more stages than columns")).cast("int"))
+    rows = responses.groupBy(*SAMPLE).agg(*_rates(), bundles.alias("_bundles"), *spread, F.count(F.when(_some(), 1)).alias("_verdicts"), F.coalesce(large, F.max("scale_size")).alias("_n"))
+    masses = F.transform(F.array(*(f"_m{s}" for s in range(1, stages + 1))), lambda m: F.coalesce(F.try_divide(m, F.col("_verdicts").cast("double")), F.lit(0.0)))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda x, m: x + m)
+    inside = total(F.transform("_masses", lambda m, i: F.when((i > 0) & (i < F.col("_n") - 1), m).otherwise(0.0)))
+    entropy = total(F.transform("_masses", lambda m: F.when(m > 0, -m * F.log2(m)).otherwise(0.0))) / F.log2("_n")
+    return rows.withColumn("_masses", masses).select(
+        *SAMPLE, *(c for c in rows.columns if c not in SAMPLE and not c.startswith("_")), F.size("_bundles").cast("long").alias("unique_bundle_count"),
+        F.array_join("_bundles", " | ").alias("bundle_signature"), inside.alias("mid_scale_mass"), entropy.alias("stage_entropy"),
+    )
 
 
 def evidence_metrics(responses: DataFrame) -> DataFrame:
