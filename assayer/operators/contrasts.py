@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.verdicts import direction, family, family_slug, variant
+from assayer.operators.geometry import SIGNATURES
 
 #: The measures that contrasts are judged by; findings rest on the first six.
 PRIMARY = ("abstain_rate", "singleton_rate", "mean_subset_size", "mean_expected_stage", "mid_scale_mass", "stage_entropy")
@@ -20,27 +23,38 @@ def paired_families(samples: DataFrame) -> DataFrame:
 
 
 def matching(samples: DataFrame, contrasts: DataFrame, strict: bool = False) -> DataFrame:
-    """``contrast_id, sample_ordinal, has_baseline, has_variant, comparable``: a full outer match of the arms.
+    """``contrast_id, sample_ordinal, has_baseline, has_variant, comparable`` and whether each signature matches: a full outer match of the arms.
 
-    Samples compare if both arms have them and have as many responses; strictly, if their bundles are the same too.
+    Samples compare if both arms have them, of the same windows and bundle sizes, and have as many responses; strictly, if their
+    bundles are the same too, however many responses there are. Signatures that ``samples`` lack are not compared.
     """
+    marks = [c for c in ("bundle_signature", *SIGNATURES.values(), "response_rows") if c in samples.columns]
 
     def arm(side: str) -> DataFrame:
-        m = samples.select(F.col("experiment_tag").alias(f"{side}_tag"), "sample_ordinal", F.col("response_rows").alias(f"rows_{side}"), F.col("bundle_signature").alias(f"sig_{side}"))
-        return contrasts.join(m, f"{side}_tag").select("contrast_id", "sample_ordinal", f"rows_{side}", f"sig_{side}")
+        m = samples.select(F.col("experiment_tag").alias(f"{side}_tag"), "sample_ordinal", F.lit(True).alias(f"_{side}"), *(F.col(c).alias(f"{side}_{c}") for c in marks))
+        return contrasts.join(m, f"{side}_tag").select("contrast_id", "sample_ordinal", f"_{side}", *(f"{side}_{c}" for c in marks))
 
     out = arm("baseline").join(arm("variant"), ["contrast_id", "sample_ordinal"], "full_outer")
-    same = F.col("rows_baseline") == F.col("rows_variant")
-    if strict:
-        same = same & (F.col("sig_baseline") == F.col("sig_variant"))
-    return out.select("contrast_id", "sample_ordinal", F.col("rows_baseline").isNotNull().alias("has_baseline"), F.col("rows_variant").isNotNull().alias("has_variant"), F.coalesce(same, F.lit(False)).alias("comparable"))
+    match = {c: F.coalesce(F.col(f"baseline_{c}") == F.col(f"variant_{c}"), F.lit(False)) for c in marks}
+    needed = [match[c] for c in marks if c != ("response_rows" if strict else "bundle_signature")]
+    here = lambda side: F.coalesce(F.col(f"_{side}"), F.lit(False)).alias(f"has_{side}")
+    return out.select("contrast_id", "sample_ordinal", here("baseline"), here("variant"), functools.reduce(lambda x, y: x & y, needed).alias("comparable"), *(m.alias(f"{c}_match") for c, m in match.items()))
+
+
+#: What a report says of a contrast's matching, if all samples compare and if not, by window and strictly.
+NOTES = {
+    False: ("All samples matched on window/bundle-size signatures; bundle memberships intentionally differ.", "Some samples mismatch on window/bundle-size signatures or are missing in one condition."),
+    True: ("All samples matched on bundle/window signatures.", "Some samples mismatch on bundle/window signatures or are missing in one condition."),
+}
 
 
-def matching_validation(matched: DataFrame) -> DataFrame:
+def matching_validation(matched: DataFrame, strict: bool = False) -> DataFrame:
+    """Per contrast: samples of each arm, those that compare, whether all do, and a note for the report."""
     count = lambda c: F.count_if(F.col(c))
-    return matched.groupBy("contrast_id").agg(
+    out = matched.groupBy("contrast_id").agg(
         count("has_baseline").alias("n_baseline"), count("has_variant").alias("n_variant"), count("comparable").alias("n_matched"), F.bool_and("comparable").alias("fully_matched")
     )
+    return out.withColumn("note", F.when(F.col("fully_matched"), NOTES[strict][0]).otherwise(NOTES[strict][1]))
 
 
 def pair_deltas(samples: DataFrame, contrasts: DataFrame, matched: DataFrame) -> DataFrame:

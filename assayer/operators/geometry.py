@@ -59,15 +59,21 @@ def experiment_metrics(responses: DataFrame) -> DataFrame:
     return responses.groupBy("experiment_tag").agg(*_rates(), F.countDistinct("sample_ordinal").alias("samples"), F.countDistinct("bundle_no").alias("bundles"), F.avg("obs").alias("mean_observability"), F.avg("disc").alias("mean_discriminability"))
 
 
+#: What else samples are matched by: columns of responses and their signatures.
+SIGNATURES = {"window_id": "window_signature", "bundle_size": "bundle_size_signature"}
+
+
 def sample_metrics(responses: DataFrame, stages: int = 9) -> DataFrame:
-    """One row per experiment and sample, from one grouping; the signature lists its bundles, sorted as text.
+    """One row per experiment and sample, from one grouping; the signature lists its bundles, sorted as text, as do those of windows and
+    bundle sizes where responses have ``window_id`` and ``bundle_size``.
 
     Stages are added up side by side, so responses aren't multiplied by stages. A scale of more than ``stages`` is an error.
     """
-    bundles = F.array_sort(F.collect_set(F.col("bundle_no").cast("string")))  # a sample's bundles are few
+    listed = lambda c: F.array_sort(F.collect_set(F.col(c).cast("string")))  # a sample's bundles are few
+    signatures = [F.array_join(listed(c), " | ").alias(name) for c, name in SIGNATURES.items() if c in responses.columns]
     spread = [F.sum(F.when(has(F.col("mask"), F.lit(s)), 1 / F.bit_count("mask")).otherwise(0.0)).alias(f"_m{s}") for s in range(1, stages + 1)]
     large = F.when(F.max("scale_size") > stages, F.raise_error(F.lit("a scale has more stages than columns")).cast("int"))
-    rows = responses.groupBy(*SAMPLE).agg(*_rates(), bundles.alias("_bundles"), *spread, F.count(F.when(_some(), 1)).alias("_verdicts"), F.coalesce(large, F.max("scale_size")).alias("_n"))
+    rows = responses.groupBy(*SAMPLE).agg(*_rates(), *signatures, listed("bundle_no").alias("_bundles"), *spread, F.count(F.when(_some(), 1)).alias("_verdicts"), F.coalesce(large, F.max("scale_size")).alias("_n"))
     masses = F.transform(F.array(*(f"_m{s}" for s in range(1, stages + 1))), lambda m: F.coalesce(F.try_divide(m, F.col("_verdicts").cast("double")), F.lit(0.0)))
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda x, m: x + m)
     inside = total(F.transform("_masses", lambda m, i: F.when((i > 0) & (i < F.col("_n") - 1), m).otherwise(0.0)))

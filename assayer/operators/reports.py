@@ -252,3 +252,21 @@ def focus_similarity(similarity: DataFrame, experiments: DataFrame, models: list
         mine = known.select(tag.alias(f"experiment_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("model", "family", "display_label")))
         similarity = similarity.join(mine, f"experiment_{side}")
     return similarity
+
+
+def method_order(rows: DataFrame, order: tuple[str, ...], column: str = "method") -> DataFrame:
+    """``rows`` with the ``place`` of a value in a declared order, as methods and statuses are sorted; null for others, which come last."""
+    at = F.array_position(F.array(*map(F.lit, order)), F.col(column))
+    return rows.withColumn("place", F.when(at > 0, at.cast("int")))
+
+
+def tag_order(experiments: DataFrame) -> DataFrame:
+    """Experiments with their ``place`` by model, scale, bundle size and tag. Experiments are few."""
+    return experiments.withColumn("place", F.row_number().over(Window.orderBy("model_id", "scale_size", "bundle_size", "experiment_tag")))
+
+
+def comparison_groups(experiments: DataFrame) -> DataFrame:
+    """Experiments by scale and bundle size, missing ones as 0: the number of their group, and their ``place`` in it by family, model and tag."""
+    known = experiments.withColumns({c: F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in ("scale_size", "bundle_size")}).withColumn("family_slug", family_slug(F.col("experiment_tag")))
+    group = ["scale_size", "bundle_size"]
+    return known.withColumn("group_no", F.dense_rank().over(Window.orderBy(*group))).withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy("family_slug", "model_id", "experiment_tag")))

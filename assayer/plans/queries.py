@@ -229,14 +229,29 @@ def _matched(spark, d):
     return s, c, contrasts.matching(s, c)
 
 
-@_query("j19_matching_details", f"{_R}, {_MATCH} select * from mt")
+_SEEN = {"window_id": "bundle_no % 2", "bundle_size": "bundle_no % 3 + 1"}
+_SIG = lambda e: f"array_to_string(list_sort(list(distinct ({e})::varchar)), ' | ')"
+_MATCHED = f"""sg as (select experiment_tag, sample_ordinal, count(*) as n, {_SIG("bundle_no")} as b, {_SIG(_SEEN["window_id"])} as w, {_SIG(_SEEN["bundle_size"])} as z from r group by 1, 2), {_PAIRS},
+ab as (select contrast_id, sg.* from ct join sg on experiment_tag = baseline_tag), av as (select contrast_id, sg.* from ct join sg on experiment_tag = variant_tag),
+mw as (select contrast_id, sample_ordinal, ab.n is not null as has_baseline, av.n is not null as has_variant, coalesce(ab.b = av.b, false) as bundle_signature_match, coalesce(ab.w = av.w, false) as window_signature_match, coalesce(ab.z = av.z, false) as bundle_size_signature_match, coalesce(ab.n = av.n, false) as response_rows_match
+ from ab full join av using (contrast_id, sample_ordinal)),
+mt as (select *, window_signature_match and bundle_size_signature_match and response_rows_match as comparable, window_signature_match and bundle_size_signature_match and bundle_signature_match as strictly from mw)"""
+
+
+def _windowed(spark, d, strict=False):
+    s = geometry.sample_metrics(responses(spark, d).withColumns({c: F.expr(e) for c, e in _SEEN.items()}))
+    return contrasts.matching(s, contrasts.paired_families(s), strict)
+
+
+@_query("j19_matching_details", f"{_R}, {_MATCHED} select * from mt")
 def _(spark, d):
-    return _matched(spark, d)[2]
+    strictly = _windowed(spark, d, strict=True).select("contrast_id", "sample_ordinal", F.col("comparable").alias("strictly"))
+    return _windowed(spark, d).join(strictly, ["contrast_id", "sample_ordinal"])
 
 
-@_query("a11_matching_validation", f"{_R}, {_MATCH} select contrast_id, count(*) filter (has_baseline) as n_baseline, count(*) filter (has_variant) as n_variant, count(*) filter (comparable) as n_matched, bool_and(comparable) as fully_matched from mt group by 1")
+@_query("a11_matching_validation", f"{_R}, {_MATCHED} select contrast_id, count(*) filter (has_baseline) as n_baseline, count(*) filter (has_variant) as n_variant, count(*) filter (comparable) as n_matched, bool_and(comparable) as fully_matched, case when bool_and(comparable) then '{contrasts.NOTES[False][0]}' else '{contrasts.NOTES[False][1]}' end as note from mt group by 1")
 def _(spark, d):
-    return contrasts.matching_validation(_matched(spark, d)[2])
+    return contrasts.matching_validation(_windowed(spark, d))
 
 
 _DELTA = f"""{_MATCH}, lo as (unpivot (select experiment_tag, sample_ordinal, {", ".join(f"cast({e} as double) as {e}" for e in contrasts.ENDPOINTS)} from sm) on {", ".join(contrasts.ENDPOINTS)} into name endpoint value v),

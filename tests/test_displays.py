@@ -114,3 +114,15 @@ def test_similar_vectors_loses_no_pair(spark, threshold):
     want = {(a, b): sum(x * unit[b].get(t, 0) for t, x in unit[a].items()) for a in unit for b in unit if a < b}
     got = {(r.left_id, r.right_id): r.cosine for r in text.similar_vectors(df, "id", threshold).collect()}
     assert got == pytest.approx({p: c for p, c in want.items() if round(c, 9) >= threshold}) and got
+
+
+def test_matching_needs_equal_signatures(spark):
+    from assayer.operators import contrasts
+
+    rows = [("v3_a1_x", 1, "b1", "w", "2", 3), ("v3_b1_x", 1, "b2", "w", "2", 3), ("v3_a1_x", 2, "b", "w", "2", 3), ("v3_b1_x", 2, "b", "w", "2", 4), ("v3_a1_x", 3, "b", "w", "2", 3), ("v3_b1_x", 3, "b", "v", "2", 3), ("v3_a1_x", 4, "b", "w", "2", 3)]
+    s = spark.createDataFrame(rows, "experiment_tag string, sample_ordinal int, bundle_signature string, window_signature string, bundle_size_signature string, response_rows int")
+    c = contrasts.paired_families(s)
+    got = {strict: {r.sample_ordinal: r.comparable for r in contrasts.matching(s, c, strict).collect()} for strict in (False, True)}
+    assert got == {False: {1: True, 2: False, 3: False, 4: False}, True: {1: False, 2: True, 3: False, 4: False}}
+    one = contrasts.matching_validation(contrasts.matching(s.where("sample_ordinal = 1"), c)).first()
+    assert one.fully_matched and one.note == contrasts.NOTES[False][0]
