@@ -46,7 +46,7 @@ def test_contrasts_effects_and_q_values(spark):
     samples = geometry.sample_metrics(r)
     c = contrasts.paired_families(samples)
     matched = contrasts.matching(samples, c)
-    assert contrasts.matching_validation(matched).first().asDict() == {"contrast_id": "toggle_x", "n_baseline": 8, "n_variant": 8, "n_matched": 8, "fully_matched": True}
+    assert contrasts.matching_validation(matched).first().asDict() == {"contrast_id": "toggle_x", "n_baseline": 8, "n_variant": 8, "n_matched": 8, "fully_matched": True, "note": contrasts.NOTES[False][0]}
     deltas = contrasts.pair_deltas(samples, c, matched)
     e = {x.endpoint: x for x in contrasts.effects(deltas).collect()}["mean_expected_stage"]
     assert e.mean_delta == 2.0 and e.n == 8
