@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assayer.functions.verdicts import stages_of
 from assayer.operators import belief, geometry, prompts, text
 from assayer.plans.queries import _R, _query, _uniform_sql
+from assayer.sources.embeddings import letter_counts
 from assayer.sources.fixtures import responses, table
 
 
@@ -105,10 +106,11 @@ def _(spark, d):
     return prompts.same_plans(o.drop("o_orderdate"), plans, ["strategy", "version", "seed"])
 
 
-@_query("m16_x1_encoded_texts", "select p_partkey, length(p_name)::double as a, 1.0::double as b from part")
+@_query("m16_x1_encoded_texts", """select doc_id, array_to_string(list_transform(range(0, 26), lambda i: (length(text) - length(replace(lower(text), chr((97 + i)::int), '')))::int), ',') as letters from (select doc_id, coalesce(text, '') as text from documents)""")
 def _(spark, d):
-    encoded = text.embed(table(spark, d, "part").select("p_partkey", "p_name"), lambda texts: [[float(len(t)), 1.0] for t in texts], "p_name")
-    return encoded.select("p_partkey", F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
+    """How often each letter occurs in each document, by an encoder that is given."""
+    vectors = text.embed(table(spark, d, "documents").select("doc_id", "text"), letter_counts)
+    return vectors.select("doc_id", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("letters"))
 
 
 @_query("m_masses", f"""{_R}, x as (select *, unnest(range(0, 1::bigint << scale_size)) as s from r), q as (select experiment_tag, sample_ordinal, s, product(case when s = 0 then 1.0 when mask = 0 then 1 - agreement when mask = (1::bigint << scale_size) - 1 then agreement when (s & ~mask) = 0 then 1.0 else 1 - agreement * obs * disc end) as q from x group by all)
