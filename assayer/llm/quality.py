@@ -24,7 +24,7 @@ from assayer.llm.words import SPACED, mixed, slices, words
 
 GRAMS, BUCKETS, DIMENSIONS = (2, 3, 4), 1 << 16, 16
 #: Labelled documents of each class that are learned from, at most.
-SAMPLE = 3000
+SAMPLE = 2000
 REPEATED = mixed(np.array([1], np.uint64))[0]
 EPOCHS, RATE = 8, 0.2
 #: The vectors' rate as a multiple of RATE: a feature's share of a document, and with it its gradient, is small.
@@ -130,7 +130,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
     chosen = first(0).unionByName(first(1))
     texts = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text"))  # 2 * sample ids
     rows = texts.mapInArrow(_counted, "doc_id long, label int, bucket array<int>, n array<int>").toArrow().sort_by("doc_id")
-    bags = [(b.values.to_numpy(), n.values.to_numpy().astype(float)) for b, n in zip(rows.column("bucket"), rows.column("n"), strict=True)]
+    bags = [(b.values.to_numpy(), n.values.to_numpy()) for b, n in zip(rows.column("bucket"), rows.column("n"), strict=True)]
     kept = {k: min(sample, n) for k, n in count.items()}
     offset = float(np.log(count[1] / count[0]) - np.log(kept[1] / kept[0]))
     return train(bags, rows.column("label").to_numpy(), offset)
