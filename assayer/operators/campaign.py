@@ -176,24 +176,39 @@ def retry_candidates(states: DataFrame, attempts: int = 3) -> DataFrame:
     return states.where((F.col("resolution") == "retryable") & (F.col("n_pending") == 0) & (F.coalesce("error_attempt", F.lit(0)) < attempts)).select("custom_key", (F.coalesce("error_attempt", F.lit(0)) + 1).alias("next_attempt"))
 
 
-def stuck_work(states: DataFrame, dead: DataFrame, stalls: DataFrame) -> DataFrame:
-    """``reason, subject`` of all that keeps work from going on."""
+def unowned(requests: DataFrame) -> DataFrame:
+    """Pending requests that no batch has taken."""
+    return requests.where("status = 'pending' and batch_id is null").select("request_id")
+
+
+def stuck_batches(batches: DataFrame, cutoff: str) -> DataFrame:
+    """``reason, batch_id`` of batches from before ``cutoff``: under way without a reference, unless another one took their place; or
+    finalizing without a poll since."""
+    taken = superseding(batches, LIVE).where("superseded_by is not null").select("batch_id")
+    lost = batches.where(F.col("status").isin("submitting", "running", "finalizing") & (F.coalesce("ref", F.lit("")) == "") & (F.col("created") <= F.lit(cutoff))).join(taken, "batch_id", "left_anti")
+    still = batches.where((F.col("status") == "finalizing") & (F.coalesce("next_poll", "created") <= F.lit(cutoff)))
+    return lost.select(F.lit("batch_missing_ref").alias("reason"), "batch_id").unionByName(still.select(F.lit("finalizing_no_progress").alias("reason"), "batch_id"))
+
+
+def stuck_work(states: DataFrame, dead: DataFrame, stalls: DataFrame, batches: DataFrame, orphans: DataFrame) -> DataFrame:
+    """``reason, subject`` of all that keeps work from going on: exhausted targets, requests whose batch is gone or failed, stages with targets to
+    try again and nothing under way, batches that stand still, requests that no batch has taken."""
+    part = lambda df, reason, subject: df.select(reason.alias("reason"), subject.cast("string").alias("subject"))
     parts = [
-        states.where("resolution = 'exhausted'").select(F.lit("stage_waiting_on_exhausted_requests").alias("reason"), F.col("custom_key").alias("subject")),
-        dead.select(F.concat(F.lit("transport_"), "reason").alias("reason"), F.col("request_id").cast("string").alias("subject")),
-        stalls.select(F.lit("retryable_without_transport").alias("reason"), F.concat_ws(":", "process", "stage").alias("subject")),
-    ]
+        part(states.where("resolution = 'exhausted'"), F.lit("stage_waiting_on_exhausted_requests"), F.col("custom_key")), part(dead, F.lit("pending_requests_on_dead_transport"), F.col("request_id")),
+        part(stalls, F.lit("retryable_no_transport"), F.concat_ws(":", "process", "stage")), part(batches, F.col("reason"), F.col("batch_id")), part(orphans, F.lit("pending_request_no_owner"), F.col("request_id")),
+    ]
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-#: What mends each reason.
-REPAIRS = {"stage_waiting_on_exhausted_requests": "mark_failed", "transport_missing": "requeue", "transport_error": "requeue", "retryable_without_transport": "enqueue_stage"}
+#: What mends each reason; exhausted targets and lost references are for a person to look at.
+REPAIRS = {"pending_request_no_owner": ("requeue_orphan_request",), "pending_requests_on_dead_transport": ("repair_stage_transport",), "retryable_no_transport": ("requeue_retryable_request",), "finalizing_no_progress": ("release_expired_batch_claim", "nudge_batch_poll_now")}
 
 
 def repair_plan(stuck: DataFrame, limit: int | None = None) -> DataFrame:
     """Actions for what is stuck, each once, in order of action and subject."""
-    action = F.try_element_at(F.create_map(*(F.lit(x) for item in REPAIRS.items() for x in item)), F.col("reason"))
-    plan = stuck.select(action.alias("action"), "subject").where("action is not null").dropDuplicates(["action", "subject"]).orderBy("action", "subject")
+    actions = F.create_map(*(x for reason, names in REPAIRS.items() for x in (F.lit(reason), F.array(*map(F.lit, names)))))
+    plan = stuck.select(F.explode(F.try_element_at(actions, F.col("reason"))).alias("action"), "subject").dropDuplicates(["action", "subject"]).orderBy("action", "subject")
     return plan if limit is None else plan.limit(limit)
 
 

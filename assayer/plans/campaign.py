@@ -171,15 +171,21 @@ def _(spark, d):
     return campaign.retry_candidates(_few(spark, d)).withColumn("next_attempt", F.col("next_attempt").cast("long"))
 
 
-_STUCK = f"""{_FEW}, b as ({_BATCHES.format(orders='orders')}), p as (select request_id, request_id * 7 % 30000 as batch_id from r where status = 'pending'),
-sw as (select 'stage_waiting_on_exhausted_requests' as reason, custom_key as subject from s where resolution = 'exhausted' union all select case when b.batch_id is null then 'transport_missing' else 'transport_error' end, request_id::varchar from p left join b using (batch_id) where b.batch_id is null or b.status = 'error'
- union all select 'retryable_without_transport', concat(split_part(custom_key, ':', 2), ':', split_part(custom_key, ':', 3)) from s group by split_part(custom_key, ':', 2), split_part(custom_key, ':', 3) having count(*) filter (resolution = 'retryable') > 0 and count(*) filter (resolution = 'pending') = 0)"""
+#: Batches with more states: some are being submitted or finalized, and polled at times.
+_MORE = "select o_orderkey as batch_id, o_custkey as key, cast(o_orderdate as varchar(10)) as created, case o_orderkey % 5 when 0 then 'submitting' when 1 then 'running' when 2 then 'finalizing' when 3 then 'error' else 'success' end as status, case when o_orderkey % 3 = 0 then '' when o_orderkey % 7 = 0 then null else 'ref' end as ref, case when o_orderkey % 4 > 0 then cast(o_orderdate as varchar(10)) end as next_poll from {orders}"
+_CUTOFF = "1996-06-30"
+_STUCK = f"""{_FEW}, b as ({_BATCHES.format(orders='orders')}), p as (select request_id, case when request_id % 10 > 0 then request_id * 7 % 30000 end as batch_id from r where status = 'pending'), m as ({_MORE.format(orders='orders')}),
+sw as (select 'stage_waiting_on_exhausted_requests' as reason, custom_key as subject from s where resolution = 'exhausted' union all select 'pending_requests_on_dead_transport', request_id::varchar from p left join b using (batch_id) where p.batch_id is not null and (b.batch_id is null or b.status = 'error')
+ union all select 'retryable_no_transport', concat(split_part(custom_key, ':', 2), ':', split_part(custom_key, ':', 3)) from s group by split_part(custom_key, ':', 2), split_part(custom_key, ':', 3) having count(*) filter (resolution = 'retryable') > 0 and count(*) filter (resolution = 'pending') = 0
+ union all select 'batch_missing_ref', batch_id::varchar from m where status in ('submitting', 'running', 'finalizing') and coalesce(ref, '') = '' and created <= '{_CUTOFF}' and not exists (select 1 from m o where o.key = m.key and o.batch_id <> m.batch_id and o.status in {campaign.LIVE} and coalesce(o.ref, '') <> '')
+ union all select 'finalizing_no_progress', batch_id::varchar from m where status = 'finalizing' and coalesce(next_poll, created) <= '{_CUTOFF}' union all select 'pending_request_no_owner', request_id::varchar from p where batch_id is null)"""
 
 
 def _stuck(spark, d):
-    s = _few(spark, d)
-    dead = campaign.dead_transport(requests(spark, d).withColumn("batch_id", F.col("request_id") * 7 % 30000), _batches(spark, d))
-    return campaign.stuck_work(s, dead, campaign.recoverable_stalls(s))
+    s, taken = _few(spark, d), requests(spark, d).withColumn("batch_id", F.when(F.col("request_id") % 10 > 0, F.col("request_id") * 7 % 30000))
+    dead = campaign.dead_transport(taken.where("batch_id is not null"), _batches(spark, d))
+    more = spark.sql(_MORE, orders=table(spark, d, "orders"))
+    return campaign.stuck_work(s, dead, campaign.recoverable_stalls(s), campaign.stuck_batches(more, _CUTOFF), campaign.unowned(taken))
 
 
 @_query("a39_stuck_work", f"{_STUCK} select * from sw")
@@ -187,7 +193,7 @@ def _(spark, d):
     return _stuck(spark, d)
 
 
-@_query("a43_u5_repair_plan", f"{_STUCK} select distinct case reason when 'stage_waiting_on_exhausted_requests' then 'mark_failed' when 'retryable_without_transport' then 'enqueue_stage' else 'requeue' end as action, subject from sw")
+@_query("a43_u5_repair_plan", f"{_STUCK}, ac(reason, action) as (values {', '.join(f"('{r}', '{n}')" for r, names in campaign.REPAIRS.items() for n in names)}) select distinct action, subject from sw join ac using (reason)")
 def _(spark, d):
     return campaign.repair_plan(_stuck(spark, d))
 

@@ -126,3 +126,18 @@ def test_matching_needs_equal_signatures(spark):
     assert got == {False: {1: True, 2: False, 3: False, 4: False}, True: {1: False, 2: True, 3: False, 4: False}}
     one = contrasts.matching_validation(contrasts.matching(s.where("sample_ordinal = 1"), c)).first()
     assert one.fully_matched and one.note == contrasts.NOTES[False][0]
+
+
+def test_stuck_work_and_repairs(spark):
+    rows = [(1, "k", "2024-01-01", "running", "", None), (2, "k2", "2024-01-01", "running", None, None), (3, "k2", "2024-01-02", "success", "ref", None), (4, "k4", "2024-09-01", "submitting", "", None), (5, "k5", "2024-01-01", "finalizing", "ref", "2024-02-01"), (6, "k6", "2024-01-01", "finalizing", "ref", "2024-09-01")]
+    batches = spark.createDataFrame(rows, "batch_id long, key string, created string, status string, ref string, next_poll string")
+    stuck = campaign.stuck_batches(batches, "2024-06-30")
+    assert sorted((r.reason, r.batch_id) for r in stuck.collect()) == [("batch_missing_ref", 1), ("finalizing_no_progress", 5)]
+    states = spark.createDataFrame([("sample:1:s", "exhausted")], "custom_key string, resolution string")
+    dead = spark.createDataFrame([(7, "missing"), (7, "missing")], "request_id long, reason string")
+    stalls = spark.createDataFrame([("p", "s")], "process string, stage string")
+    requests = spark.createDataFrame([(8, "pending", None), (9, "pending", 1), (10, "error", None)], "request_id long, status string, batch_id long")
+    work = campaign.stuck_work(states, dead, stalls, stuck, campaign.unowned(requests))
+    assert work.count() == 7 and [tuple(r) for r in campaign.repair_plan(work).collect()] == [
+        ("nudge_batch_poll_now", "5"), ("release_expired_batch_claim", "5"), ("repair_stage_transport", "7"), ("requeue_orphan_request", "8"), ("requeue_retryable_request", "p:s"),
+    ]
