@@ -9,7 +9,7 @@ Two classes are linked if their sets' Jaccard similarity is ``percent`` % or mor
   in the prefix longer by one, so the two together are the key, whose list is far shorter. Sets of over ``PAIRED`` words,
   whose prefix has too many pairs, are keyed by single words, and so are sets that can be linked with those;
 - a pair is dropped where sizes differ too much (length filter), where too few words follow the shared ones (positional
-  filter), or where 128-bit word maps differ in too many bits;
+  filter), or where 128-bit odd sketches (every word turns one bit over) differ in too many bits;
 - what is left is compared on the whole sets.
 
 Rarity is the count of a word's hash bucket over all lines, on a scale of powers of two: 256 KB, whatever the corpus. A word
@@ -29,10 +29,11 @@ from assayer.llm.scratch import written
 BUCKETS, ROW = 1 << 18, 1 << 10
 #: From this power of two on, a word's count makes it common; sets of up to PAIRED words have pairs of common words as keys.
 COMMON, PAIRED = 11, 100
-#: Sets of more words have a map of 128 bits instead of 64.
+#: Sets of more words have a sketch of 128 bits instead of 64.
 SHORT = 64
-#: How many early classes of one word hash a class is held against before it looks for all its partners.
+#: How many early classes of one pair of samples a class is held against before it looks for all its partners; the pairs of a set's four samples.
 SALTS, TURN = 8, 0x5A5A5A5A5A5A5A5A
+SAMPLED = ((0, 1), (2, 3), (0, 2), (1, 3))
 REST = ("n", "prefix", "rare", "map0", "map1")
 
 
@@ -74,23 +75,21 @@ def _tokens(line: Column, scale: Column) -> Column:
 
 
 def _map(tokens: Column, part: int) -> Column:
-    """One of two longs of a set's word map. A set of up to SHORT words has only the first, which is that of a larger set's two together."""
+    """One of two longs of a set's odd sketch: every word turns one bit over. Of a set of up to SHORT words the first is that of a larger set's two together."""
 
-    def bit(t: Column) -> Column:
-        return F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    def turn(m: Column, t: Column) -> Column:
+        return m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))
 
     none = F.lit(0).cast("long")
     mine = lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(1)) == part
-    half = F.aggregate(tokens, none, lambda m, t: F.when(mine(t), m.bitwiseOR(bit(t))).otherwise(m))
-    return F.when(F.size(tokens) > SHORT, half).otherwise(none if part else F.aggregate(tokens, none, lambda m, t: m.bitwiseOR(bit(t))))
+    half = F.aggregate(tokens, none, lambda m, t: F.when(mine(t), turn(m, t)).otherwise(m))
+    return F.when(F.size(tokens) > SHORT, half).otherwise(none if part else F.aggregate(tokens, none, turn))
 
 
-def _alone(a: str, b: str) -> Column:
-    """How many bits of one set's map the other's lacks: no more than its words that the other lacks."""
-    less = lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
-    one, two = (F.col(f"map0_{s}").bitwiseOR(F.col(f"map1_{s}")) for s in (a, b))
-    apart = less(F.col(f"map0_{a}"), F.col(f"map0_{b}")) + less(F.col(f"map1_{a}"), F.col(f"map1_{b}"))
-    return F.when(F.least("n_a", "n_b") > SHORT, apart).otherwise(less(one, two))
+def _apart() -> Column:
+    """Bits in which the sketches of two sets differ: no more than words that only one of them has, as shared words turn the same bits."""
+    zero, one = (F.col(f"map{i}_a").bitwiseXOR(F.col(f"map{i}_b")) for i in (0, 1))
+    return F.when(F.least("n_a", "n_b") > SHORT, F.bit_count(zero) + F.bit_count(one)).otherwise(F.bit_count(zero.bitwiseXOR(one)))
 
 
 def _prefix(n: Column, percent: int) -> Column:
@@ -115,15 +114,20 @@ def _keys(prefix: Column, rare: Column, n: Column, percent: int) -> Column:
 
 
 def _classes(docs: DataFrame, percent: int, sketch: bool) -> DataFrame:
-    """A row per class of the lines of ``docs`` (``id, text``), with the columns of ``REST``; with ``sketch`` also four of its word hashes."""
+    """A row per class of the lines of ``docs`` (``id, text``), with the columns of ``REST``; with ``sketch`` also four pairs of four of its word hashes."""
     # A constant: Spark makes the array once, on the driver.
     scale = F.split(F.lit(",".join(map(str, rarity(docs)))), ",").cast("array<int>")
     lines = docs.select("id", F.xxhash64("text").alias("print"), F.posexplode(F.split("text", "\n")).alias("line", "words"))
     # Filtered on the line itself: a condition on its words would have Spark cut and sort them twice.
     lines = lines.where(F.col("words").rlike(r"[^\x20\x09-\x0D]")).select("id", "print", "line", _tokens(F.col("words"), scale).alias("tokens"))
-    # Lowest and highest once more after other bits are turned over: four samples of the set's words.
+    # Lowest and highest once more after other bits are turned over: four samples of the set's words. One of them alone is often
+    # a common word, whose early classes have nothing to do with a set; two together are seldom shared but by near-equal sets.
     hashes = F.transform("tokens", lambda t: F.shiftleft(t, 7))
     turned = F.transform("tokens", lambda t: F.shiftleft(t, 7).bitwiseXOR(F.lit(TURN)))
+    ends = F.array(*(f(h) for h in (hashes, turned) for f in (F.array_min, F.array_max)))
+    if sketch:
+        lines = lines.withColumn("samples", ends)
+    sample = lambda i: F.get("samples", F.lit(i))
     lines = lines.select(
         F.struct("id", "print", "line").alias("at"),
         F.struct(F.xxhash64("tokens").alias("x"), F.xxhash64(F.lit(5), "tokens").alias("y")).alias("class"),
@@ -131,7 +135,7 @@ def _classes(docs: DataFrame, percent: int, sketch: bool) -> DataFrame:
         F.transform(F.slice("tokens", F.lit(1), _prefix(F.size("tokens"), percent) + 1), lambda t: F.shiftright(F.shiftleft(t, 32), 32).cast("int")).alias("prefix"),
         F.size(F.filter(F.slice("tokens", F.lit(1), _prefix(F.size("tokens"), percent)), lambda t: F.shiftrightunsigned(t, 57) < COMMON)).alias("rare"),
         *(_map(F.col("tokens"), i).alias(f"map{i}") for i in (0, 1)),
-        *([F.array(*(f(h) for h in (hashes, turned) for f in (F.array_min, F.array_max))).alias("ends")] if sketch else []),
+        *([F.array(*(F.xxhash64(F.lit(k), sample(i), sample(j)) for k, (i, j) in enumerate(SAMPLED))).alias("ends")] if sketch else []),
     )
     rest = (*REST, "ends") if sketch else REST
     return written(lines.groupBy("class").agg(F.min("at").alias("first"), *(F.first(c).alias(c) for c in rest)), "classes")
@@ -143,9 +147,9 @@ def _enough(percent: int) -> Column:
 
 
 def _alike(percent: int) -> Column:
-    """Sizes and word maps leave a link possible."""
+    """Sizes and sketches leave a link possible."""
     sizes = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
-    return sizes & (_alone("a", "b") <= F.col("n_a") - _enough(percent)) & (_alone("b", "a") <= F.col("n_b") - _enough(percent))
+    return sizes & (_apart() <= F.col("n_a") + F.col("n_b") - 2 * _enough(percent))
 
 
 def _candidates(classes: DataFrame, percent: int, apart: Column, done: Column, *more: str) -> DataFrame:
@@ -199,9 +203,8 @@ def later_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", perce
     """The classes as of ``line_links``, and ``first`` of every class that is linked with an earlier one, without all links.
 
     A group of near-equal lines has as many links as its square, but one link to an earlier line decides a line. So each class
-    is first held against at most ``SALTS`` early classes of those that share one of four samples of its
-    word hashes. Only
-    classes that this leaves open look for all their earlier partners, among all classes, by the join of ``line_links``: what
+    is first held against at most ``SALTS`` early classes of those that share one of four pairs of samples of its word hashes.
+    Only classes that this leaves open look for all their earlier partners, among all classes, by the join of ``line_links``: what
     is found is exact.
     """
     docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))

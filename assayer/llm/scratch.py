@@ -21,12 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def _collect(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table and read again: its lineage ends there, and a lost executor costs no more than a read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/assayer-{uuid.uuid4().hex}/{name}"
+    # Spark removes a finished plan's shuffle files once the driver has collected the plan; without this they all add up. What a
+    # caller still held when its table was written goes before the next one.
+    _collect(spark)
     df.write.option("compression", "zstd").parquet(path)
-    # Spark removes a finished plan's shuffle files once the driver has collected the plan; without this they all add up.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    _collect(spark)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,6 +3,9 @@ import re
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
+import assayer.llm.line_dedup as line_dedup
 from assayer.llm.line_dedup import remove_repeated_lines
 
 
@@ -78,3 +81,36 @@ def test_lines_go_alike_without_counting_links(spark):
     got = sorted((r.doc_id or 0, r.text, r.n_removed) for r in remove_repeated_lines(odd, count=False).collect())
     assert got == [(0, "p q r", 0), (2, "u v", 1), (2, "u v", 1), (3, "\nz", 1)]
     assert remove_repeated_lines(odd.limit(0), count=False).count() == 0
+
+
+def test_sketches_tell_sets_apart_and_lose_no_link(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in (40, 90):
+        for gone in range(0, n // 3):
+            a = rng.integers(0, 1 << 57, n)
+            rows.append((gone, n, a.tolist(), [*a[gone:].tolist(), *rng.integers(0, 1 << 57, gone).tolist()]))
+    sets = spark.createDataFrame(rows, "gone int, n_a int, a array<long>, b array<long>").withColumn("n_b", F.col("n_a"))
+    sets = sets.select("gone", "n_a", "n_b", *(line_dedup._map(F.col(s), i).alias(f"map{i}_{s}") for s in "ab" for i in (0, 1)))
+    got = sets.select("gone", F.col("n_a").alias("n"), line_dedup._alike(80).alias("alike")).collect()
+    assert all(r.alike for r in got if 5 * (r.n - r.gone) >= 4 * (r.n + r.gone))
+    far = [r.alike for r in got if 7 * r.gone >= r.n]  # a similarity of 3/4 or less
+    assert sum(far) <= len(far) / 4
+
+
+def test_most_of_a_group_is_found_before_all_its_pairs_are(spark, monkeypatch):
+    rng, made = np.random.default_rng(6), {}
+    # Earlier lines that hold a third of the group's words and share one of its samples now and then.
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join([*rng.choice(base, 20, replace=False), *(f"u{i}x{k}" for k in range(40))])) for i in range(200)]
+    for i in range(160):
+        w = list(base)
+        for k in rng.choice(60, rng.integers(1, 7), replace=False):
+            w[k] = f"v{int(rng.integers(400))}"
+        rows.append((1000 + i, " ".join(w)))
+    written = line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: made.setdefault(name, []).append(written(df, name)) or made[name][-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.n_removed for r in remove_repeated_lines(docs, count=False).collect()}
+    assert got == {i: gone for i, (_, _, gone) in brute(rows).items()}
+    assert made["pairs"][0].count() <= 10 * 160
