@@ -1,8 +1,11 @@
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from assayer.llm.lm_scoring import CLASSES, SIDE, TAILS, VOCABULARY, _train, fit, initial, numbered, score, vocabulary
+from assayer.llm.lm_scoring import CLASSES, SIDE, TAILS, VOCABULARY, _counts, _log_sum, _softmax, _train, fit, initial, numbered, score, vocabulary
 from assayer.llm.words import LETTERED, words
 
 
@@ -89,3 +92,19 @@ def test_training_sees_every_word():
     (out,) = _train(Sent)(iter([batch]))
     assert set(out.column("words").to_pylist()) == {7 + 5000 + 1}
     assert sum(len(x) for x in out.column("mean").to_pylist()) == 4 * len(Sent.value.flat())
+
+
+def test_every_ascii_character_but_letters_and_digits_parts_words(spark):
+    text = "".join(f"Ab{chr(b)}" for b in range(128)) + "É\u00a0x"
+    want = Counter(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)))
+    docs = spark.createDataFrame([(text,), (None,), ("",)], "text string")
+    assert {r["w"]: r["count"] for r in _counts(docs, "text").collect()} == want
+
+
+def test_softmax_of_small_and_large_scores():
+    for x in ([[1, 2, 3], [0, 0, 0]], [[1000, 0, -1000], [-500, -500, -500]], np.zeros((0, 3))):
+        x = np.array(x, np.float32)
+        top = x.max(axis=1, keepdims=True, initial=-1e9).astype(float)
+        sums = np.exp(x - top).sum(axis=1, keepdims=True)
+        assert np.allclose(_log_sum(x), (np.log(sums) + top).ravel())
+        assert np.allclose(_softmax(x.copy()), np.exp(x - top) / sums, atol=1e-6)
