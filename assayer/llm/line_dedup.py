@@ -12,6 +12,9 @@ Two classes are linked if their sets' Jaccard similarity is ``percent`` % or mor
   filter), or where 128-bit odd sketches (every word turns one bit over) differ in too many bits;
 - what is left is compared on the whole sets.
 
+Where links are only counted, those in a group of near-equal lines are mostly decided by what each line shares with an early
+one of the group, its pivot, and are not made (``link_counts``).
+
 Rarity is the count of a word's hash bucket over all lines, on a scale of powers of two: 256 KB, whatever the corpus. A word
 is a 57-bit hash, in a key 32 bits of it; a set that is compared with another is cut from its own line again.
 """
@@ -33,6 +36,8 @@ COMMON, PAIRED = 11, 100
 SHORT = 64
 #: How many early classes of one pair of samples a class is held against before it looks for all its partners; the pairs of a set's four samples.
 SALTS, TURN = 8, 0x5A5A5A5A5A5A5A5A
+#: Words apart from a pivot that go along with each of them when pairs are looked for.
+FEW = 32
 SAMPLED = ((0, 1), (2, 3), (0, 2), (1, 3))
 REST = ("n", "prefix", "rare", "map0", "map1")
 
@@ -168,7 +173,10 @@ def _candidates(classes: DataFrame, percent: int, apart: Column, done: Column, *
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: firsts of the linked classes among ``pairs``, ``a`` before ``b``, by the whole sets of the lines in question, from their own texts."""
+    """``a, b, n_a, n_b, both, apart``: firsts of the linked classes among ``pairs``, ``a`` before ``b``, by the whole sets of the lines in question, from their own texts.
+
+    ``n_a, n_b, both`` count the words of each and of both, ``apart`` holds the words that only one of them has.
+    """
     asked = pairs.select(F.explode(F.array("x_a", "x_b")).alias("x")).distinct()
     asked = asked.join(classes.select(F.col("class.x").alias("x"), "first"), "x")
     asked = asked.groupBy(F.col("first.id").alias("id"), F.col("first.print").alias("print")).agg(F.collect_set(F.struct("x", F.col("first.line").alias("line"))).alias("asked"))
@@ -179,48 +187,114 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
     sets = written(sets.dropDuplicates(["at"]), "sets")
 
     left, right = (sets.select(*(F.col(c).alias(f"{c}_{s}") for c in ("x", "at", "words"))) for s in ("a", "b"))
-    both = F.size(F.array_intersect("words_a", "words_b"))
-    close = pairs.join(left, "x_a").join(right, "x_b").select("at_a", "at_b", (F.size("words_a") + F.size("words_b")).alias("n"), both.alias("both"))
-    links = close.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("n") - F.col("both")))
+    close = pairs.join(left, "x_a").join(right, "x_b").withColumn("both", F.size(F.array_intersect("words_a", "words_b")))
+    links = close.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.size("words_a") + F.size("words_b") - F.col("both")))
     forward = F.col("at_a") < F.col("at_b")
-    return links.select(F.when(forward, F.col("at_a")).otherwise(F.col("at_b")).alias("a"), F.when(forward, F.col("at_b")).otherwise(F.col("at_a")).alias("b"))
+    ends = [F.when(forward, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")) for c in ("at", "words")]
+    ends += [F.when(forward, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")) for c in ("at", "words")]
+    apart = F.concat(F.array_except("words_a", "words_b"), F.array_except("words_b", "words_a"))
+    return links.select(ends[0].alias("a"), ends[2].alias("b"), F.size(ends[1]).alias("n_a"), F.size(ends[3]).alias("n_b"), "both", apart.alias("apart"))
+
+
+def _early(classes: DataFrame, percent: int) -> DataFrame:
+    """``x_a, x_b``: each class and at most ``SALTS`` early classes of those that share one of four pairs of samples of its word hashes."""
+    one = classes.select("first", F.col("class.x").alias("x"), "n", "map0", "map1", F.explode("ends").alias("key"))
+    early = one.groupBy("key", F.pmod(F.col("x"), F.lit(SALTS)).alias("salt")).agg(F.min(F.struct("first", "x", "n", "map0", "map1")).alias("e"))
+    early = early.select("key", F.col("e.first.id").alias("id_a"), *(F.col(f"e.{c}").alias(f"{c}_a") for c in ("x", "n", "map0", "map1")))
+    mine = one.select("key", F.col("first.id").alias("id_b"), *(F.col(c).alias(f"{c}_b") for c in ("x", "n", "map0", "map1")))
+    near = mine.join(early, "key").where(_before() & (F.col("x_a") != F.col("x_b")) & _alike(percent))
+    return written(near.select("x_a", "x_b").distinct(), "near")
+
+
+def _before() -> Column:
+    return F.col("id_a").isNull() | (F.col("id_a") <= F.col("id_b"))
 
 
-def line_links(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """The classes and the links of ``docs``.
+def _star(early: DataFrame, percent: int) -> DataFrame:
+    """``pivot, first, far, top, apart``: classes by the earliest one that they were found linked with, and that one, if it has none itself.
+
+    With a and b words of the pivot that two members lack, they share all of its words but a + b, and besides as many words as
+    their ``apart`` do. So they are linked if (100 + percent) times what their ``apart`` share is at least the sum of their
+    ``far`` less ``top``, where ``far`` is (100 + percent) a + percent n, and ``top`` is (100 + percent) times the pivot's words.
+    """
+    whole = F.lit(100 + percent).cast("long")
+    mine = early.select("b", F.struct("a", "n_a", "n_b", "both", "apart").alias("p")).groupBy("b").agg(F.min("p").alias("p"))
+    mine = mine.select(
+        F.col("p.a").alias("pivot"),
+        F.col("b").alias("first"),
+        (whole * (F.col("p.n_a") - F.col("p.both")) + F.lit(percent) * F.col("p.n_b")).alias("far"),
+        (whole * F.col("p.n_a")).alias("top"),
+        F.col("p.apart").alias("apart"),
+    )
+    mine = written(mine, "members")
+    centres = mine.groupBy("pivot").agg(F.first("top").alias("top")).join(mine.select(F.col("first").alias("pivot")), "pivot", "left_anti")
+    none = F.array().cast("array<string>")
+    # The far of a pivot is percent times its words.
+    return mine.unionByName(centres.select("pivot", F.col("pivot").alias("first"), F.expr(f"top div {100 + percent} * {percent}").alias("far"), "top", none.alias("apart")))
+
+
+def _star_links(star: DataFrame, percent: int) -> DataFrame:
+    """``first, links``: how many members of its own star a class is linked with."""
+    members = star.groupBy("pivot", "far", "top").agg(F.count("*").alias("n"))
+    # Pairs that are linked by what they share with the pivot alone: counted by far, of which a star has few values.
+    others = members.select("pivot", F.col("far").alias("their"), F.col("n").alias("m"))
+    sure = members.join(others, "pivot").groupBy("pivot", "far", "top").agg(F.sum(F.when(F.col("far") + F.col("their") <= F.col("top"), F.col("m")).otherwise(0)).alias("m"), F.max("their").alias("farthest"))
+    sure = star.join(sure, ["pivot", "far", "top"]).withColumn("m", F.col("m") - F.when(2 * F.col("far") <= F.col("top"), 1).otherwise(0))
+    sure = written(sure, "star")
+
+    # The others are only if their apart share words, which are looked up. Up to FEW of them go along, so that a pair that shares too few is let go at once.
+    asked = sure.where(F.col("far") + F.col("farthest") > F.col("top"))
+    asked = asked.select("pivot", "first", "far", "top", F.when(F.size("apart") <= FEW, F.col("apart")).alias("few"), F.explode("apart").alias("word"))
+    left, right = (asked.select("pivot", "word", *([F.col("top")] if s == "a" else []), *(F.col(c).alias(f"{c}_{s}") for c in ("first", "far", "few"))) for s in ("a", "b"))
+    over = F.col("far_a") + F.col("far_b") - F.col("top")
+    shared = F.lit(100 + percent) * F.coalesce(F.size(F.array_intersect("few_a", "few_b")), F.size("few_a"), F.size("few_b"))
+    either = F.col("few_a").isNull() | F.col("few_b").isNull() | (shared >= over)
+    pairs = left.join(right, ["pivot", "word"]).where((F.col("first_a") < F.col("first_b")) & (over > 0) & either)
+    pairs = pairs.groupBy("first_a", "first_b", over.alias("over")).agg(F.count("*").alias("shared")).where(F.lit(100 + percent) * F.col("shared") >= F.col("over"))
+    more = pairs.select(F.explode(F.array("first_a", "first_b")).alias("first"), F.lit(1).cast("long").alias("m"))
+    return sure.select("first", "m").unionByName(more).groupBy("first").agg(F.sum("m").alias("links"))
+
+
+def link_counts(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """The classes of ``docs``, and how many others each is linked with.
 
     Classes: ``class, first, n``, where ``first`` is the struct
-    ``id, print, line`` of the first line in reading order (id, then the text's hash, then the line's number); links:
-    ``a, b`` as firsts of two classes, ``a`` before ``b``.
+    ``id, print, line`` of the first line in reading order (id, then the text's hash, then the line's number); counts:
+    ``first, links, later`` of the linked ones, where ``later`` is 1 if an earlier class is among the others, else 0.
+
+    A group of near-equal lines has as many links as its square. Most of these are not made but counted: by stars, each of an
+    early class and those that were found linked with it (``_star``). Links between stars, and of classes in none, are made.
     """
     docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    classes = _classes(docs, percent, sketch=False)
-    links = _verified(docs, classes, _candidates(classes, percent, F.col("x_a") < F.col("x_b"), F.lit(False)), percent)
-    return classes.select("class", "first", "n"), links
+    classes = _classes(docs, percent, sketch=True)
+    star = written(_star(_verified(docs, classes, _early(classes, percent), percent), percent), "stars")
+    inside = written(_star_links(star, percent), "inside")
+
+    marked = classes.join(star.select("first", F.xxhash64("pivot").alias("star")), "first", "left")
+    other = F.col("x_a") < F.col("x_b")
+    other &= F.col("star_a").isNull() | F.col("star_b").isNull() | (F.col("star_a") != F.col("star_b"))
+    links = written(_verified(docs, classes, _candidates(marked, percent, other, F.lit(False), "star"), percent).select("a", "b"), "links")
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("first"), F.lit(0).alias("later")), F.struct(F.col("b").alias("first"), F.lit(1).alias("later")))).alias("e"))
+    between = ends.select("e.first", F.lit(1).cast("long").alias("links"), "e.later")
+    inside = inside.join(star.select("first", (F.col("first") != F.col("pivot")).cast("int").alias("later")), "first")
+    return classes.select("class", "first", "n"), between.unionByName(inside).groupBy("first").agg(F.sum("links").alias("links"), F.max("later").alias("later"))
 
 
 def later_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """The classes as of ``line_links``, and ``first`` of every class that is linked with an earlier one, without all links.
+    """The classes as of ``link_counts``, and ``first`` of every class that is linked with an earlier one, without all links.
 
     A group of near-equal lines has as many links as its square, but one link to an earlier line decides a line. So each class
     is first held against at most ``SALTS`` early classes of those that share one of four pairs of samples of its word hashes.
-    Only classes that this leaves open look for all their earlier partners, among all classes, by the join of ``line_links``: what
+    Only classes that this leaves open look for all their earlier partners, among all classes, by the join of ``link_counts``: what
     is found is exact.
     """
     docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     classes = _classes(docs, percent, sketch=True)
-    before = F.col("id_a").isNull() | (F.col("id_a") <= F.col("id_b"))
-
-    one = classes.select("first", F.col("class.x").alias("x"), "n", "map0", "map1", F.explode("ends").alias("key"))
-    early = one.groupBy("key", F.pmod(F.col("x"), F.lit(SALTS)).alias("salt")).agg(F.min(F.struct("first", "x", "n", "map0", "map1")).alias("e"))
-    early = early.select("key", F.col("e.first.id").alias("id_a"), *(F.col(f"e.{c}").alias(f"{c}_a") for c in ("x", "n", "map0", "map1")))
-    mine = one.select("key", F.col("first.id").alias("id_b"), *(F.col(c).alias(f"{c}_b") for c in ("x", "n", "map0", "map1")))
-    near = mine.join(early, "key").where(before & (F.col("x_a") != F.col("x_b")) & _alike(percent))
-    found = _verified(docs, classes, written(near.select("x_a", "x_b").distinct(), "near"), percent)
+    found = _verified(docs, classes, _early(classes, percent), percent)
     found = written(found.select(F.col("b").alias("first")).distinct(), "found")
 
     marked = classes.join(found.withColumn("found", F.lit(True)), "first", "left").withColumn("id", F.col("first.id"))
-    pairs = _candidates(marked, percent, before & (F.col("x_a") != F.col("x_b")), F.col("found").isNotNull(), "id")
+    pairs = _candidates(marked, percent, _before() & (F.col("x_a") != F.col("x_b")), F.col("found").isNotNull(), "id")
     links = _verified(docs, classes, pairs, percent)
     return classes.select("class", "first", "n"), found.unionByName(links.select(F.col("b").alias("first"))).distinct()
 
@@ -235,10 +309,7 @@ def remove_repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text
     made. Columns of ``docs`` named as those added are replaced.
     """
     if count:
-        classes, links = line_links(docs, id, text, percent)
-        links = written(links, "links")
-        degrees = links.select(F.explode(F.array(F.struct(F.col("a").alias("first"), F.lit(0).alias("later")), F.struct(F.col("b").alias("first"), F.lit(1).alias("later")))).alias("e"))
-        degrees = degrees.groupBy("e.first").agg(F.count("*").alias("links"), F.max("e.later").alias("later"))
+        classes, degrees = link_counts(docs, id, text, percent)
     else:
         classes, later = later_classes(docs, id, text, percent)
         degrees = written(later, "later").select("first", F.lit(0).cast("long").alias("links"), F.lit(1).alias("later"))

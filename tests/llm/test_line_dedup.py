@@ -114,3 +114,52 @@ def test_most_of_a_group_is_found_before_all_its_pairs_are(spark, monkeypatch):
     got = {r.doc_id: r.n_removed for r in remove_repeated_lines(docs, count=False).collect()}
     assert got == {i: gone for i, (_, _, gone) in brute(rows).items()}
     assert made["pairs"][0].count() <= 10 * 160
+
+
+def degrees(rows, percent):
+    """Of rows in order of id the number of links of the classes that each has the first line of, and the number of all links."""
+    first = {}
+    for i, text in rows:
+        for line in [] if text is None else text.split("\n"):
+            if w := words(line):
+                first.setdefault(w, i)
+    out, links = {i: 0 for i, _ in rows}, 0
+    for a, b in itertools.combinations(first, 2):
+        if 100 * len(a & b) >= percent * len(a | b):
+            links += 1
+            for w in (a, b):
+                out[first[w]] += 1
+    return out, links
+
+
+def test_links_of_a_large_group_are_counted_but_not_made(spark, monkeypatch):
+    rng, made = np.random.default_rng(7), {}
+    # A group of lines that have up to four of 60 words replaced, some by the same ones.
+    base = [f"b{i}" for i in range(60)]
+    rows = [*corpus(8, 20), (999, " ".join(base))]
+    for i in range(160):
+        w = list(base)
+        for k in rng.choice(60, rng.integers(0, 5), replace=False):
+            w[k] = f"v{int(rng.integers(40))}"
+        rows.append((1000 + i, " ".join(w)))
+    written = line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: made.setdefault(name, []).append(written(df, name)) or made[name][-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.n_links for r in remove_repeated_lines(docs).collect()}
+    want, links = degrees(rows, 80)
+    assert got == want
+    assert made["links"][0].count() <= links / 4
+
+
+def test_pairs_by_far_and_apart_equal_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    pivot = [f"p{i}" for i in range(40)]
+    rows = [(0, " ".join(pivot))]
+    for i in range(1, 120):
+        gone = rng.choice(40, rng.integers(0, 5), replace=False)
+        rows.append((i, " ".join([*(w for k, w in enumerate(pivot) if k not in gone), *(f"v{int(x)}" for x in rng.integers(0, 6, rng.integers(0, 6)))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for few in (0, 3, 32):
+        monkeypatch.setattr(line_dedup, "FEW", few)
+        got = {r.doc_id: r.n_links for r in remove_repeated_lines(docs).collect()}
+        assert got == degrees(rows, 80)[0]
