@@ -33,7 +33,7 @@ BUCKETS, ROW = 1 << 18, 1 << 10
 #: From this power of two on, a word's count makes it common; sets of up to PAIRED words have pairs of common words as keys.
 COMMON, PAIRED = 11, 100
 #: Sets of more words have a sketch of 128 bits instead of 64.
-SHORT = 64
+SHORT = 32
 #: How many early classes of one pair of samples a class is held against before it looks for all its partners; the pairs of a set's four samples.
 SALTS, TURN = 8, 0x5A5A5A5A5A5A5A5A
 #: Words apart from a pivot that go along with each of them when pairs are looked for.
@@ -42,18 +42,32 @@ SAMPLED = ((0, 1), (2, 3), (0, 2), (1, 3))
 REST = ("n", "prefix", "rare", "map0", "map1")
 
 
-def _words(line: Column) -> Column:
+def _cut(line: Column) -> Column:
+    """The lower-cased words of a line, with an empty one for each space too many."""
     # Splitting at one character is several times as fast as at a pattern; few lines have other separators.
-    other = [line.contains(c) for c in "\t\n\x0b\f\r"]
-    spaced = F.when(functools.reduce(Column.__or__, other), F.translate(line, "\t\n\x0b\f\r", "     ")).otherwise(line)
-    return F.array_remove(F.split(F.lower(spaced), " "), "")
+    other = [line.contains(c) for c in "\t\x0b\f\r"]
+    spaced = F.when(functools.reduce(Column.__or__, other), F.translate(line, "\t\x0b\f\r", "    ")).otherwise(line)
+    return F.split(F.lower(spaced), " ")
+
+
+def _words(line: Column) -> Column:
+    return F.array_remove(_cut(line), "")
+
+
+def _blank(line: Column) -> Column:
+    """No word in a line; unlike a pattern, it looks at the line's ends only."""
+    return F.trim(line, F.lit(" \t\x0b\f\r")) == ""
 
 
 def rarity(docs: DataFrame) -> bytes:
-    """For each hash bucket the power of two of its words' count, in one byte of 1 to 64."""
+    """For each hash bucket the power of two of its words' count, in one byte of 1 to 64.
+
+    The empty word is counted as well, and \\v and \\f, which hardly occur, part none: the order of words may be any.
+    """
+    text = functools.reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), "\n\t\r", F.col("text"))
     counts = (
-        docs.select(F.explode(_words(F.col("text"))).alias("w"))
-        .groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+        docs.select(F.explode(F.split(F.lower(text), " ")).alias("w"))
+        .groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket"))
         .agg(F.count("*").alias("n"))
         .select(F.floor(F.col("bucket") / ROW).cast("int").alias("row"), F.struct((F.col("bucket") % ROW).alias("at"), F.least(F.floor(F.log2("n")) + 1, F.lit(64)).cast("int").alias("power")).alias("one"))
     )
@@ -68,15 +82,20 @@ def rarity(docs: DataFrame) -> bytes:
     return bytes(scale)
 
 
-def _tokens(line: Column, scale: Column) -> Column:
-    """The line's set of words as sorted longs: rarity in the upper bits, then the hash."""
+def _hashes(line: Column) -> Column:
+    """The 64-bit hashes of the line's set of words."""
+    return F.array_remove(F.array_distinct(F.transform(_cut(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+
 
-    def token(w: Column) -> Column:
-        h = F.xxhash64(w)
-        power = F.get(scale, F.pmod(h, F.lit(BUCKETS)).cast("int"))
-        return F.shiftleft(power.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+def _tokens(hashes: Column, scale: Column) -> Column:
+    """The set of words as sorted longs: rarity in the upper bits, then the hash."""
 
-    return F.sort_array(F.array_distinct(F.transform(_words(line), token)))
+    def token(h: Column) -> Column:
+        # Never null, so that arrays are sorted as plain longs.
+        power = F.coalesce(F.get(scale, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(1).cast("long"))
+        return F.shiftleft(power, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+
+    return F.sort_array(F.transform(hashes, token))
 
 
 def _map(tokens: Column, part: int) -> Column:
@@ -102,17 +121,23 @@ def _prefix(n: Column, percent: int) -> Column:
     return n - F.floor((F.lit(percent) * n + 99) / 100).cast("int") + 1
 
 
-def _keys(prefix: Column, rare: Column, n: Column, percent: int) -> Column:
+def _keys(prefix: Column, rare: Column, n: Column, percent: int, before: Column | None = None) -> Column:
     """The keys of a set, each with the words from its last shared word on, and one more for each shared word before it.
 
     ``prefix`` has one word more than the prefix filter needs, unless the set itself has no more; the first ``rare`` are rare.
+    Where ``before`` is true a key has also ``before``: which words would make an earlier key with any set that shares this key
+    and has the same word there. The upper bits say by which key: the word's own (0), or with this key's first word, after (1)
+    or before it (2).
     """
     singles = _prefix(n, percent)
-    alone = F.when(F.lit(100) * n >= F.lit(percent * PAIRED), singles).otherwise(rare)
-    one = F.transform(F.slice(prefix, F.lit(1), alone), lambda t, i: F.struct(t.cast("long").alias("key"), (n - i).alias("left")))
+    alone = F.when((F.lit(100) * n >= F.lit(percent * PAIRED)) | (n > PAIRED), singles).otherwise(rare)
+    kind = lambda ts, k: F.transform(ts, lambda t: t.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(k << 32)))
+    seen = lambda *parts: [] if before is None else [F.when(before, F.concat(*parts)).alias("before")]
+    one = F.transform(F.slice(prefix, F.lit(1), alone), lambda t, i: F.struct(t.cast("long").alias("key"), (n - i).alias("left"), *seen(kind(F.slice(prefix, F.lit(1), i), 0))))
 
     def pairs(t: Column, i: Column) -> Column:
-        return F.transform(F.slice(prefix, i + 2, F.size(prefix)), lambda u, j: F.struct(F.xxhash64(t, u).alias("key"), (n - i - j).alias("left")))
+        others = lambda j: seen(kind(F.slice(prefix, F.lit(1), F.least(alone, i)), 0), kind(F.slice(prefix, alone + 1, F.greatest(i - alone, F.lit(0))), 1), kind(F.slice(prefix, i + 2, j), 2))
+        return F.transform(F.slice(prefix, i + 2, F.size(prefix)), lambda u, j: F.struct(F.xxhash64(t, u).alias("key"), (n - i - j).alias("left"), *others(j)))
 
     two = F.flatten(F.transform(F.slice(prefix, rare + 1, singles - rare), lambda t, i: pairs(t, i + rare)))
     return F.when(n > PAIRED, one).otherwise(F.concat(one, two))
@@ -121,29 +146,32 @@ def _keys(prefix: Column, rare: Column, n: Column, percent: int) -> Column:
 def _classes(docs: DataFrame, percent: int, sketch: bool) -> DataFrame:
     """A row per class of the lines of ``docs`` (``id, text``), with the columns of ``REST``; with ``sketch`` also four pairs of four of its word hashes."""
     # A constant: Spark makes the array once, on the driver.
-    scale = F.split(F.lit(",".join(map(str, rarity(docs)))), ",").cast("array<int>")
+    scale = F.split(F.lit(",".join(map(str, rarity(docs)))), ",").cast("array<long>")
     lines = docs.select("id", F.xxhash64("text").alias("print"), F.posexplode(F.split("text", "\n")).alias("line", "words"))
     # Filtered on the line itself: a condition on its words would have Spark cut and sort them twice.
-    lines = lines.where(F.col("words").rlike(r"[^\x20\x09-\x0D]")).select("id", "print", "line", _tokens(F.col("words"), scale).alias("tokens"))
+    # Each array in a step of its own: Spark would make one anew for every column that it goes into.
+    lines = lines.where(~_blank(F.col("words"))).select("id", "print", "line", _hashes(F.col("words")).alias("hashes"))
     # Lowest and highest once more after other bits are turned over: four samples of the set's words. One of them alone is often
     # a common word, whose early classes have nothing to do with a set; two together are seldom shared but by near-equal sets.
-    hashes = F.transform("tokens", lambda t: F.shiftleft(t, 7))
-    turned = F.transform("tokens", lambda t: F.shiftleft(t, 7).bitwiseXOR(F.lit(TURN)))
-    ends = F.array(*(f(h) for h in (hashes, turned) for f in (F.array_min, F.array_max)))
+    turned = [F.transform("hashes", lambda h: h.bitwiseXOR(F.lit(TURN))).alias("turned")] if sketch else []
+    lines = lines.select("id", "print", "line", "hashes", _tokens(F.col("hashes"), scale).alias("tokens"), *turned)
     if sketch:
-        lines = lines.withColumn("samples", ends)
+        lines = lines.withColumn("samples", F.array(*(f(h) for h in ("hashes", "turned") for f in (F.array_min, F.array_max))))
     sample = lambda i: F.get("samples", F.lit(i))
     lines = lines.select(
         F.struct("id", "print", "line").alias("at"),
-        F.struct(F.xxhash64("tokens").alias("x"), F.xxhash64(F.lit(5), "tokens").alias("y")).alias("class"),
+        F.xxhash64("tokens").alias("x"),
+        F.xxhash64(F.lit(5), "tokens").alias("y"),
         F.size("tokens").alias("n"),
         F.transform(F.slice("tokens", F.lit(1), _prefix(F.size("tokens"), percent) + 1), lambda t: F.shiftright(F.shiftleft(t, 32), 32).cast("int")).alias("prefix"),
         F.size(F.filter(F.slice("tokens", F.lit(1), _prefix(F.size("tokens"), percent)), lambda t: F.shiftrightunsigned(t, 57) < COMMON)).alias("rare"),
         *(_map(F.col("tokens"), i).alias(f"map{i}") for i in (0, 1)),
-        *([F.array(*(F.xxhash64(F.lit(k), sample(i), sample(j)) for k, (i, j) in enumerate(SAMPLED))).alias("ends")] if sketch else []),
+        *([F.array(*(F.hash(F.lit(k), sample(i), sample(j)) for k, (i, j) in enumerate(SAMPLED))).alias("ends")] if sketch else []),
     )
     rest = (*REST, "ends") if sketch else REST
-    return written(lines.groupBy("class").agg(F.min("at").alias("first"), *(F.first(c).alias(c) for c in rest)), "classes")
+    # Grouped by plain longs, which are sorted by their bits.
+    classes = lines.groupBy("x", "y").agg(F.min("at").alias("first"), *(F.first(c).alias(c) for c in rest))
+    return written(classes.select(F.struct("x", "y").alias("class"), "first", *rest), "classes")
 
 
 def _enough(percent: int) -> Column:
@@ -157,25 +185,36 @@ def _alike(percent: int) -> Column:
     return sizes & (_apart() <= F.col("n_a") + F.col("n_b") - 2 * _enough(percent))
 
 
-def _candidates(classes: DataFrame, percent: int, apart: Column, done: Column, *more: str) -> DataFrame:
-    """``x_a, x_b``, names of classes that share a key and may be linked.
+def _sharing(classes: DataFrame, percent: int, apart: Column, done: Column, *more: str, close: Column | None = None) -> DataFrame:
+    """``x_a, x_b``, names of classes that share a key and may be linked, a row for each key that makes them a pair.
 
-    ``apart`` says which of both orders counts, on columns ``more`` too; classes that are ``done`` are only found, as ``a``.
+    ``apart`` says which of both orders counts, on columns ``more`` too; classes that are ``done`` are only found, as ``a``. Two
+    near-equal sets share many keys: two classes that are ``close`` to others are made into a pair at the first one only.
     """
     # Probes name a class by one of its hashes; the sets that are compared in the end are those of all classes of that name.
     mine = (F.col("class.x").alias("x"), "n", "map0", "map1", *more)
-    probes = classes.select(*mine, done.alias("done"), F.explode(_keys(F.col("prefix"), F.col("rare"), F.col("n"), percent)).alias("k"))
+    probes = classes.select(*mine, done.alias("done"), F.explode(_keys(F.col("prefix"), F.col("rare"), F.col("n"), percent, close)).alias("k"))
+    more = (*more, *(["before"] if close is not None else []))
     # The sign says who is done: a filter of one side alone would have Spark shuffle the probes twice.
-    probes = probes.select("k.key", F.when(F.col("done"), -F.col("k.left")).otherwise(F.col("k.left")).alias("left"), "x", "n", "map0", "map1", *more)
+    probes = probes.select("k.*", "done", "x", "n", "map0", "map1", *(c for c in more if c != "before"))
+    probes = probes.withColumn("left", F.when(F.col("done"), -F.col("left")).otherwise(F.col("left"))).drop("done")
     a, b = (probes.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("x", "n", "left", "map0", "map1", *more))) for s in ("a", "b"))
-    pairs = a.join(b, "key").where(apart & (F.least(F.abs("left_a"), "left_b") >= _enough(percent)) & _alike(percent))
-    return written(pairs.select("x_a", "x_b").distinct(), "pairs")
+    alike = apart & (F.least(F.abs("left_a"), "left_b") >= _enough(percent)) & _alike(percent)
+    if close is not None:
+        alike &= ~F.coalesce(F.arrays_overlap("before_a", "before_b"), F.lit(False))
+    return a.join(b, "key").where(alike).select("x_a", "x_b")
+
+
+def _candidates(*args, **more) -> DataFrame:
+    """The different pairs of ``_sharing``."""
+    return written(_sharing(*args, **more).distinct(), "pairs")
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """``a, b, n_a, n_b, both, apart``: firsts of the linked classes among ``pairs``, ``a`` before ``b``, by the whole sets of the lines in question, from their own texts.
 
-    ``n_a, n_b, both`` count the words of each and of both, ``apart`` holds the words that only one of them has.
+    ``n_a, n_b, both`` count the words of each and of both, ``apart`` holds the words that only one of them has. Besides
+    these the firsts of all classes among ``pairs``.
     """
     asked = pairs.select(F.explode(F.array("x_a", "x_b")).alias("x")).distinct()
     asked = asked.join(classes.select(F.col("class.x").alias("x"), "first"), "x")
@@ -193,7 +232,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
     ends = [F.when(forward, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")) for c in ("at", "words")]
     ends += [F.when(forward, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")) for c in ("at", "words")]
     apart = F.concat(F.array_except("words_a", "words_b"), F.array_except("words_b", "words_a"))
-    return links.select(ends[0].alias("a"), ends[2].alias("b"), F.size(ends[1]).alias("n_a"), F.size(ends[3]).alias("n_b"), "both", apart.alias("apart"))
+    return links.select(ends[0].alias("a"), ends[2].alias("b"), F.size(ends[1]).alias("n_a"), F.size(ends[3]).alias("n_b"), "both", apart.alias("apart")), sets.select(F.col("at").alias("first"))
 
 
 def _early(classes: DataFrame, percent: int) -> DataFrame:
@@ -267,13 +306,16 @@ def link_counts(docs: DataFrame, id: str = "doc_id", text: str = "text", percent
     """
     docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     classes = _classes(docs, percent, sketch=True)
-    star = written(_star(_verified(docs, classes, _early(classes, percent), percent), percent), "stars")
+    early, close = _verified(docs, classes, _early(classes, percent), percent)
+    star = written(_star(early, percent), "stars")
     inside = written(_star_links(star, percent), "inside")
 
-    marked = classes.join(star.select("first", F.xxhash64("pivot").alias("star")), "first", "left")
+    close = close.join(star.select("first", F.xxhash64("pivot").alias("star")), "first", "left").withColumn("close", F.lit(True))
+    marked = classes.join(close, "first", "left")
     other = F.col("x_a") < F.col("x_b")
     other &= F.col("star_a").isNull() | F.col("star_b").isNull() | (F.col("star_a") != F.col("star_b"))
-    links = written(_verified(docs, classes, _candidates(marked, percent, other, F.lit(False), "star"), percent).select("a", "b"), "links")
+    pairs = _candidates(marked, percent, other, F.lit(False), "star", close=F.col("close").isNotNull())
+    links = written(_verified(docs, classes, pairs, percent)[0].select("a", "b"), "links")
     ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("first"), F.lit(0).alias("later")), F.struct(F.col("b").alias("first"), F.lit(1).alias("later")))).alias("e"))
     between = ends.select("e.first", F.lit(1).cast("long").alias("links"), "e.later")
     inside = inside.join(star.select("first", (F.col("first") != F.col("pivot")).cast("int").alias("later")), "first")
@@ -290,12 +332,12 @@ def later_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", perce
     """
     docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     classes = _classes(docs, percent, sketch=True)
-    found = _verified(docs, classes, _early(classes, percent), percent)
+    found, _ = _verified(docs, classes, _early(classes, percent), percent)
     found = written(found.select(F.col("b").alias("first")).distinct(), "found")
 
     marked = classes.join(found.withColumn("found", F.lit(True)), "first", "left").withColumn("id", F.col("first.id"))
     pairs = _candidates(marked, percent, _before() & (F.col("x_a") != F.col("x_b")), F.col("found").isNotNull(), "id")
-    links = _verified(docs, classes, pairs, percent)
+    links, _ = _verified(docs, classes, pairs, percent)
     return classes.select("class", "first", "n"), found.unionByName(links.select(F.col("b").alias("first"))).distinct()
 
 
@@ -318,18 +360,18 @@ def remove_repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text
     per_doc = marked.groupBy(F.col("at.id").alias("k_id"), F.col("at.print").alias("k_print")).agg(
         F.sort_array(F.collect_list(F.when(F.col("later") == 0, F.col("at.line")))).alias("k_stay"), F.sum("links").alias("k_links")
     )
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id).alias("r_id"), F.col(text).alias("r_text"), F.xxhash64(F.col(text)).alias("r_print"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id).alias("r_id"), F.xxhash64(F.col(text)).alias("r_print"))
     rows = rows.join(per_doc, F.col("r_id").eqNullSafe(F.col("k_id")) & (F.col("r_print") == F.col("k_print")), "left")
-    split = F.split("r_text", "\n")
-    blank = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]")
+    own = F.col(f"doc.`{text}`")
+    split = F.split(own, "\n")
     stay = F.coalesce("k_stay", F.array().cast("array<int>"))
     # A byte a line up to the last that stays: finding it in a list would take the square of a long document's lines.
     gap = lambda x, i: x - F.when(i > 0, F.get(stay, i - 1)).otherwise(-1) - 1
     marks = F.array_join(F.transform(stay, lambda x, i: F.concat(F.repeat(F.lit("0"), gap(x, i)), F.lit("1"))), "").cast("binary")
     rows = rows.withColumn("k_marks", marks)
-    kept = F.filter(split, lambda x, i: (F.substring("k_marks", i + 1, F.lit(1)) == F.lit(b"1")) | blank(x))
-    out = {"text": F.array_join(kept, "\n"), "n_lines": F.coalesce(F.size(F.filter(split, lambda x: ~blank(x))), F.lit(0))}
-    rows = rows.withColumn("o_text", F.when(F.col("r_text").isNotNull(), out["text"])).withColumn("o_lines", F.when(F.col("r_text").isNull(), 0).otherwise(out["n_lines"]))
+    kept = F.filter(split, lambda x, i: (F.substring("k_marks", i + 1, F.lit(1)) == F.lit(b"1")) | _blank(x))
+    out = {"text": F.array_join(kept, "\n"), "n_lines": F.coalesce(F.size(F.filter(split, lambda x: ~_blank(x))), F.lit(0))}
+    rows = rows.withColumn("o_text", F.when(own.isNotNull(), out["text"])).withColumn("o_lines", F.when(own.isNull(), 0).otherwise(out["n_lines"]))
     added = {"n_lines": F.col("o_lines"), "n_removed": F.col("o_lines") - F.size(stay)} | ({"n_links": F.coalesce("k_links", F.lit(0))} if count else {})
     columns = [F.col("o_text").alias(c) if c == text else F.col(f"doc.`{c}`") for c in docs.columns if c not in added]
     return rows.select(*columns, *(v.alias(c) for c, v in added.items()))

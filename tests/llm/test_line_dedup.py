@@ -163,3 +163,31 @@ def test_pairs_by_far_and_apart_equal_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(line_dedup, "FEW", few)
         got = {r.doc_id: r.n_links for r in remove_repeated_lines(docs).collect()}
         assert got == degrees(rows, 80)[0]
+
+
+def test_near_equal_lines_meet_at_their_first_shared_key(spark, monkeypatch):
+    rng, made, sharing = np.random.default_rng(10), [], line_dedup._sharing
+    # Two in three lines of a group are linked, and share many prefix words.
+    base = [f"b{i}" for i in range(60)]
+    rows = corpus(11, 20)
+    for i in range(120):
+        w = list(base)
+        for k in rng.choice(60, rng.integers(1, 8), replace=False):
+            w[k] = f"v{int(rng.integers(60))}"
+        rows.append((1000 + i, " ".join(w)))
+    want, _ = degrees(rows, 80)
+
+    def watched(*args, **more):
+        made.append((sharing(*args, **more), sharing(*args, **more | {"close": None})))
+        return made[-1][0]
+
+    monkeypatch.setattr(line_dedup, "_sharing", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    # All words rare, as here; some common; all common, whose keys are pairs of words.
+    for common in (11, 6, 1):
+        monkeypatch.setattr(line_dedup, "COMMON", common)
+        assert {r.doc_id: r.n_links for r in remove_repeated_lines(docs).collect()} == want
+        once, all_keys = made.pop()
+        pairs = all_keys.distinct()
+        assert once.distinct().exceptAll(pairs).count() == pairs.exceptAll(once.distinct()).count() == 0
+        assert once.count() <= 1.25 * pairs.count() < 2.5 * pairs.count() <= all_keys.count()
