@@ -33,7 +33,7 @@ BUCKETS, ROW = 1 << 18, 1 << 10
 #: From this power of two on, a word's count makes it common; sets of up to PAIRED words have pairs of common words as keys.
 COMMON, PAIRED = 11, 100
 #: Sets of more words have a sketch of 128 bits instead of 64.
-SHORT = 64
+SHORT = 48
 #: How many early classes of one pair of samples a class is held against before it looks for all its partners; the pairs of a set's four samples.
 SALTS, TURN = 8, 0x5A5A5A5A5A5A5A5A
 #: Words apart from a pivot that go along with each of them when pairs are looked for.
