@@ -65,22 +65,31 @@ def _changes(x: pa.Array) -> np.ndarray:
 Measures = Callable[[int, np.ndarray, dict[str, np.ndarray]], list[tuple[np.ufunc, np.ndarray]]]
 
 
-def by_key(responses: DataFrame, keys: list[str], products: dict[str, Column], sums: dict[str, Column], measured: Measures, found: Callable[..., list[np.ndarray]], **columns: DataType) -> DataFrame:
+def by_key(responses: DataFrame, keys: list[str], products: dict[str, Column], sums: dict[str, Column], measured: Measures, found: Callable[..., list[np.ndarray]], beside: DataFrame | None = None, **columns: DataType) -> DataFrame:
     """``keys, scale_size`` and ``columns``, by name and type: ``found`` makes them of the scale and what was ``measured``, combined over each key's responses.
 
     Responses of one key and verdict are multiplied (``products``) and added up (``sums``) before they leave a task, where that makes them
     fewer. They are then dealt out once by key and sorted, and a task works through them with numpy; of a key that goes on it only keeps what was
     combined so far, so a key may have any number of responses. ``found`` returns an array for each column, of a row or a number a
-    key; masked numbers are null. Rows without a scale are left out.
+    key; masked numbers and rows are null. Rows without a scale are left out. With ``beside``, whose columns are some of ``keys`` and numbers,
+    responses are dealt out by those keys and joined with it before they are worked through, so that what is known of a larger group needs no later join.
     """
     named, added, parts = [*keys, "scale_size"], list(sums), [*products, *sums]
     rows = responses.where("scale_size is not null").select(F.xxhash64(*named).alias("_hash"), *named, F.col("mask").cast("long").alias("mask"), *(x.alias(c) for c, x in (products | sums).items()))
     rows = rows.mapInArrow(lambda batches: _combined_batches(batches, ["_hash", *named, "mask"], added), rows.schema)
-    rows = rows.repartition("_hash").sortWithinPartitions("_hash", *named)
+    if beside is None:
+        rows = rows.repartition("_hash")
+    else:
+        parts += [c for c in beside.columns if c not in keys]
+        rows = rows.join(beside, [c for c in beside.columns if c in keys]).select("_hash", *named, "mask", *parts)
+    rows = rows.sortWithinPartitions("_hash", *named)
     schema = StructType([*(rows.schema[k] for k in named), *(StructField(name, kind) for name, kind in columns.items())])
 
     def listed(x: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())) if x.ndim == 2 else pa.array(np.ma.getdata(x), mask=np.ma.getmaskarray(x))
+        gone = np.ma.getmaskarray(x)
+        if x.ndim == 1:
+            return pa.array(np.ma.getdata(x), mask=gone)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(np.ma.getdata(x).ravel()), mask=pa.array(gone[:, 0]))
 
     def finished(n: int, of: pa.RecordBatch, values: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*of.columns, *map(listed, found(n, *values))], schema.names)
@@ -250,7 +259,7 @@ def support(q: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def combined(rows: DataFrame, keys: list[str], usable: float = 0.9) -> DataFrame:
-    """One row a key of ``beliefs``: the conflict, if that is low enough to be of use, the largest probability and its stage (the first of equals)."""
+    """One row a key of ``beliefs``: its conflict, if that is low enough to be of use, the largest probability and its stage (the first of equals)."""
     best = F.array_max(F.transform("bet", lambda p, i: F.struct(F.round(p, 9).alias("p"), (-i - 1).alias("s"))))
     out = rows.groupBy(*keys).agg(F.max("conflict").alias("conflict"), F.max(best).alias("best"))
     return out.select(*keys, "conflict", (F.round("conflict", 9) < usable).alias("usable"), F.col("best.p").alias("max_bet_p"), (-F.col("best.s")).alias("modal_stage"))

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from assayer.functions.verdicts import bucket, family, family_slug, label, stages_of
+from assayer.functions.verdicts import bucket, family, family_slug, label, rounded, stages_of
+from assayer.operators.belief import against, bets, by_key, factor
 from assayer.operators.geometry import SAMPLE
 from assayer.operators.ranking import joined, ranked
 from assayer.operators.regression import least_squares
+from assayer.sources.checkpoints import checkpointed
 
 #: What is added to each probability before two distributions are compared.
 EPSILON = 1e-8
@@ -71,13 +75,21 @@ def weighted_quantiles(rows: DataFrame, keys: list[str], value: str, weight: str
     """
     v, w = (F.col(c).cast("double") for c in (value, weight))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    equal = rows.select(*keys, v.alias("v"), w.alias("w")).where(finite(F.col("v")) & finite(F.col("w"))).groupBy(*keys, "v", "w").agg(F.count("*").alias("n")).withColumn("nw", F.col("n") * F.col("w"))
-    points = ranked(equal, keys, ["v", "w"], sums=["n", "nw"])
+    some = rows.select(*keys, v.alias("v"), w.alias("w")).where(finite(F.col("v")) & finite(F.col("w")))
+    return _quantiles(some.groupBy(*keys, "v").agg(F.count("*").alias("n"), F.sum("w").alias("nw"), F.min("w").alias("w")), keys, at)
+
+
+def _quantiles(points: DataFrame, keys: list[str], at: tuple[float, ...]) -> DataFrame:
+    """``weighted_quantiles`` of values that have ``n`` points, of weight ``nw`` together and ``w`` at least.
+
+    Between the first and the last point of a value lies that value, so points between them make no difference.
+    """
+    points = ranked(points, keys, ["v"], sums=["n", "nw"])
     none = F.col("nw_all") <= 0
     last = F.when(none, (F.col("n_to") - 1) / F.greatest(F.col("n_all") - 1, F.lit(1))).otherwise(F.try_divide("nw_to", "nw_all"))
     first = F.when(none, (F.col("n_to") - F.col("n")) / F.greatest(F.col("n_all") - 1, F.lit(1))).otherwise(F.try_divide(F.col("nw_to") - F.col("nw") + F.col("w"), F.col("nw_all")))
-    ends = points.select(*keys, "v", "w", F.explode(F.array(first, last)).alias("c"))
-    point = F.struct("v", "w", "c")
+    ends = points.select(*keys, "v", F.explode(F.array(first, last)).alias("c"))
+    point = F.struct("v", "c")
     out = ends.groupBy(*keys).agg(*(f(F.when(side, point)).alias(f"{name}{i}") for i, q in enumerate(at) for name, f, side in (("low", F.max, F.col("c") <= q), ("high", F.min, F.col("c") > q))))
 
     def quantile(i: int, q: float) -> Column:
@@ -88,19 +100,51 @@ def weighted_quantiles(rows: DataFrame, keys: list[str], value: str, weight: str
     return out.select(*keys, *(quantile(i, q) for i, q in enumerate(at)))
 
 
-def weighted_belief(bet: DataFrame, combined: DataFrame, weights: DataFrame) -> DataFrame:
-    """Per experiment, bundle and stage: mean, 10 % and 90 % quantile of the probabilities by the weights of their rubrics.
+def rubric_weights(responses: DataFrame, usable: float = 0.9) -> DataFrame:
+    """``experiment_tag, sample_ordinal, w, scales`` of the rubrics (samples) whose conflict is low enough to be of use: how many scales they have, and
+    the mean of observability times discriminability, to nine digits; 0 if that is missing or negative."""
+    both = (F.col("obs") * F.col("disc")).cast("double")
+    sums = {"n": both.isNotNull().cast("double"), "x": F.coalesce(both, F.lit(0.0))}
+
+    def measured(n: int, mask: np.ndarray, of: dict[str, np.ndarray]) -> list[tuple[np.ufunc, np.ndarray]]:
+        return [against(n, mask, of["factor"]), (np.add, of["n"]), (np.add, of["x"])]
 
-    ``bet`` is by experiment, sample (a rubric) and bundle, ``combined`` and ``weights`` by experiment and sample; samples whose combination
-    is not usable stay out. A missing or negative weight is 0; where all are, each counts 1.
+    columns = {c: DoubleType() for c in ("conflict", "n", "x")}
+    rows = by_key(responses, SAMPLE, {"factor": factor(False)}, sums, measured, lambda n, q, k, x: [bets(n, q)[1], k, x], **columns)
+    rows = rows.groupBy(*SAMPLE).agg(F.max("conflict").alias("conflict"), F.sum("n").alias("n"), F.sum("x").alias("x"), F.count("*").cast("double").alias("scales"))
+    mean = F.greatest(F.coalesce(rounded(F.try_divide("x", "n")), F.lit(0.0)), F.lit(0.0))
+    return rows.where(rounded(F.col("conflict")) < usable).select(*SAMPLE, mean.alias("w"), "scales")
+
+
+def weighted_belief(responses: DataFrame, rubrics: DataFrame) -> DataFrame:
+    """Per experiment, bundle and stage: mean, 10 % and 90 % quantile of the bundle's probabilities by rubric, by the rubrics' weights.
+
+    ``rubrics`` is what ``rubric_weights`` returns; where all weights are 0, each counts 1. Equal probabilities, to nine digits, of a bundle's stage are
+    added up at once, so what is then ordered and written has a row for each of them.
     """
     keys = ["experiment_tag", "bundle_no", "stage"]
-    rows = bet.join(combined.where("usable").select(*SAMPLE), SAMPLE).join(weights, SAMPLE, "left").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)))
-    total = rows.groupBy(*keys).agg(F.sum("weight").alias("_total"))
-    rows = joined(rows, total, keys).withColumn("weight", F.when(F.col("_total") > 0, F.col("weight")).otherwise(1.0))
-    means = rows.groupBy(*keys).agg((F.sum(F.col("weight") * F.col("bet_p")) / F.sum("weight")).alias("mean"), F.countDistinct("sample_ordinal").alias("rubrics"), F.sum("weight").alias("weight_sum"))
-    quantiles = weighted_quantiles(rows.withColumns({"bet_p": F.round(F.col("bet_p") + 3.7e-13, 9), "weight": F.round("weight", 9)}), keys, "bet_p", "weight", (0.1, 0.9))
-    return joined(means, quantiles, keys, "left")
+    rubrics = checkpointed(rubrics, collect=True)
+
+    def measured(n: int, mask: np.ndarray, of: dict[str, np.ndarray]) -> list[tuple[np.ufunc, np.ndarray]]:
+        return [against(n, mask, of["factor"]), (np.maximum, of["w"]), (np.maximum, of["scales"])]
+
+    columns = {"bet": ArrayType(DoubleType()), "w": DoubleType(), "scales": DoubleType()}
+    rows = by_key(responses, [*SAMPLE, "bundle_no"], {"factor": factor(False)}, {}, measured, lambda n, q, w, k: [bets(n, q)[0], w, k], rubrics, **columns)
+    rows = rows.select("experiment_tag", "sample_ordinal", "bundle_no", "w", "scales", F.posexplode("bet").alias("at", "bet_p"))
+    several = F.when(F.col("scales") > 1, F.col("sample_ordinal")).alias("several")  # a sample of two scales has two rows, but counts once
+    equal = rows.groupBy("experiment_tag", "bundle_no", (F.col("at") + 1).alias("stage"), rounded(F.col("bet_p"), nudge=3.7e-13).alias("v"), several).agg(
+        F.count("*").alias("n"), F.count("sample_ordinal").alias("rubrics"), F.sum("w").alias("nw"), F.min("w").alias("w"),
+        F.sum("bet_p").alias("plain"), F.sum(F.col("w") * F.col("bet_p")).alias("weighed"),
+    )
+    equal = checkpointed(equal, collect=True)
+    some = F.col("weight_sum") > 0
+    one = F.sum(F.when(F.col("several").isNull(), F.col("rubrics")).otherwise(0))
+    means = equal.groupBy(*keys).agg(F.sum("nw").alias("weight_sum"), F.sum("n").alias("_n"), F.sum("plain").alias("_plain"), F.sum("weighed").alias("_weighed"), (one + F.countDistinct("several")).alias("rubrics"))
+    means = means.select(*keys, F.when(some, F.col("_weighed") / F.col("weight_sum")).otherwise(F.col("_plain") / F.col("_n")).alias("mean"), "rubrics", F.when(some, F.col("weight_sum")).otherwise(F.col("_n").cast("double")).alias("weight_sum"))
+    points = equal.groupBy(*keys, "v").agg(F.sum("n").alias("n"), F.sum("nw").alias("nw"), F.min("w").alias("w"))
+    total = points.groupBy(*keys).agg((F.sum("nw") > 0).alias("_some"))
+    points = joined(points, total, keys).withColumns({"nw": F.when(F.col("_some"), F.col("nw")).otherwise(F.col("n").cast("double")), "w": F.when(F.col("_some"), F.col("w")).otherwise(1.0)}).drop("_some")
+    return joined(means, _quantiles(points, keys, (0.1, 0.9)), keys, "left")
 
 
 def _even(p: Column) -> Column:

@@ -192,7 +192,7 @@ me as (select {_S}, method, case when sum(p) > 0 then sum(stage * p) / sum(p) en
 
 
 def _methods(spark, d):
-    return pools.sample_methods(pools.pooled(responses(spark, d)))
+    return pools.sample_methods(pools.methods_beside(responses(spark, d)))
 
 
 @_query("m1_m4_sample_methods", f"{_R}, {_POOL} select {_S}, method, n<expected_stage>n as expected_stage, n<top_p>n as top_p, n<conflict>n as conflict from me", nudge=3.7e-13)
@@ -207,7 +207,7 @@ def _(spark, d):
 
 @_query("a14_j21_method_alignment", f"{_R}, {_POOL} select m.experiment_tag, m.method, n<avg(abs(m.expected_stage - b.expected_stage))>n as mean_absolute, n<avg(m.expected_stage - b.expected_stage)>n as bias, count(m.expected_stage - b.expected_stage) as n from me m join me b on b.method = 'linear' and m.experiment_tag = b.experiment_tag and m.sample_ordinal = b.sample_ordinal where m.method <> 'linear' group by 1, 2")
 def _(spark, d):
-    return pools.method_alignment(_methods(spark, d))
+    return pools.method_alignment(pools.methods_beside(responses(spark, d)))
 
 
 _PAIRS = "ct as (select concat('toggle_', x) as contrast_id, concat('v3_a1_', x) as baseline_tag, concat('v3_b1_', x) as variant_tag from (select distinct split_part(experiment_tag, '_', 3) as x from r))"
@@ -216,7 +216,7 @@ _PAIRS = "ct as (select concat('toggle_', x) as contrast_id, concat('v3_a1_', x)
 @_query("a15_j22_contrast_sensitivity", f"{_R}, {_POOL}, {_PAIRS} select contrast_id, method, count(*) as n, n<avg(d)>n as mean_delta, n<quantile_cont(d, 0.5)>n as median_delta, n<stddev_pop(d)>n as std_delta from (select contrast_id, a.method, b.expected_stage - a.expected_stage as d from ct join me a on a.experiment_tag = baseline_tag join me b on b.experiment_tag = variant_tag and b.sample_ordinal = a.sample_ordinal and b.method = a.method) where d is not null group by 1, 2")
 def _(spark, d):
     r = responses(spark, d)
-    return pools.contrast_sensitivity(pools.sample_methods(pools.pooled(r)), contrasts.paired_families(r))
+    return pools.contrast_sensitivity(pools.methods_beside(r), contrasts.paired_families(r))
 
 
 _MATCH = f"""{_SM}, {_PAIRS}, ar as (select contrast_id, sample_ordinal, max(response_rows) filter (experiment_tag = baseline_tag) as rb, max(response_rows) filter (experiment_tag = variant_tag) as rv from ct join sm on experiment_tag in (baseline_tag, variant_tag) group by 1, 2),

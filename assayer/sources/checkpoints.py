@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -18,11 +19,15 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written below the shared folder and read from there.
+def checkpointed(df: DataFrame, collect: bool = False) -> DataFrame:
+    """``df`` written below the shared folder and read from there; with ``collect`` the driver then collects its garbage, so that Spark removes the
+    shuffle files of finished plans.
 
     It is a table and not ``checkpoint()``, as that keeps what the optimiser inferred of the plan, which grows with every round of a loop.
     """
     path = f"{shared_folder(df.sparkSession)}/assayer-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if collect:
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)

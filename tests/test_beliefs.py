@@ -71,3 +71,27 @@ def test_expected_stage_and_rounding(spark):
     values = [0.5e-9, -1.5e-9, 2.5e-9, 0.1234567885, -0.0, 1e20, -1e16 - 2, 0.1 + 0.2, None, float("nan"), float("inf"), 12345.6789]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(rounded(F.col("v"))).collect()]
     assert got[:4] == [1e-9, -2e-9, 3e-9, 0.123456789] and str(got[4]) == "0.0" and got[5:8] == [1e20, -1e16 - 2, 0.3] and got[8] is None and np.isnan(got[9]) and got[10] == float("inf") and got[11] == 12345.6789
+
+
+def test_weighted_belief_equals_rows_one_by_one(spark):
+    from assayer.operators import reports
+
+    rng = random.Random(7)
+    rows = [("e", rng.randrange(40), rng.randrange(2), 4 if i % 9 == 0 else 3, rng.randrange(8), rng.choice([0.3, 0.6]), 0.0 if i % 5 == 0 else rng.choice([0.5, 0.9, None]), 1.0) for i in range(500)]
+    rows += [("f", s, 0, 3, rng.choice([1, 2, 4]), 0.5, 0.0, 1.0) for s in range(9)]  # weights 0
+    r = spark.createDataFrame(rows, "experiment_tag string, sample_ordinal long, bundle_no int, scale_size int, mask long, agreement double, obs double, disc double").repartition(3)
+    whole = {}
+    for x in belief.by_stage(belief.beliefs(r, ["experiment_tag", "sample_ordinal"]), ["experiment_tag", "sample_ordinal"]).collect():
+        whole[x[0], x[1]] = max(whole.get((x[0], x[1]), 0.0), x.conflict)
+    weight = {x[0:2]: x.w or 0.0 for x in r.groupBy("experiment_tag", "sample_ordinal").agg(F.avg(F.col("obs") * F.col("disc")).alias("w")).collect()}
+    points = {}
+    for x in belief.by_stage(belief.beliefs(r, ["experiment_tag", "sample_ordinal", "bundle_no"]), ["experiment_tag", "sample_ordinal", "bundle_no"]).collect():
+        if whole[x[0], x[1]] < 0.9:
+            points.setdefault((x[0], x[2], x.stage), []).append((round(x.bet_p, 9), weight[x[0], x[1]], x[1]))
+    got = reports.weighted_belief(r, reports.rubric_weights(r)).collect()
+    assert {(x.experiment_tag, x.bundle_no, x.stage) for x in got} == points.keys()
+    for x in got:
+        v, w, s = (np.array(c) for c in zip(*sorted(points[x.experiment_tag, x.bundle_no, x.stage]), strict=True))
+        w = w if w.sum() > 0 else np.ones(len(w))
+        assert (x["mean"], x.rubrics, x.weight_sum) == (pytest.approx((v * w).sum() / w.sum(), abs=1e-8), len(set(s)), pytest.approx(w.sum()))
+        assert (x.q10, x.q90) == (pytest.approx(np.interp(0.1, np.cumsum(w) / w.sum(), v), abs=1e-7), pytest.approx(np.interp(0.9, np.cumsum(w) / w.sum(), v), abs=1e-7))
