@@ -72,17 +72,15 @@ def by_key(responses: DataFrame, keys: list[str], products: dict[str, Column], s
     fewer. They are then dealt out once by key and sorted, and a task works through them with numpy; of a key that goes on it only keeps what was
     combined so far, so a key may have any number of responses. ``found`` returns an array for each column, of a row or a number a
     key; masked numbers and rows are null. Rows without a scale are left out. With ``beside``, whose columns are some of ``keys`` and numbers,
-    responses are dealt out by those keys and joined with it before they are worked through, so that what is known of a larger group needs no later join.
+    responses are joined with it before they are dealt out, so that what is known of a larger group needs no later join.
     """
     named, added, parts = [*keys, "scale_size"], list(sums), [*products, *sums]
     rows = responses.where("scale_size is not null").select(F.xxhash64(*named).alias("_hash"), *named, F.col("mask").cast("long").alias("mask"), *(x.alias(c) for c, x in (products | sums).items()))
     rows = rows.mapInArrow(lambda batches: _combined_batches(batches, ["_hash", *named, "mask"], added), rows.schema)
-    if beside is None:
-        rows = rows.repartition("_hash")
-    else:
+    if beside is not None:
         parts += [c for c in beside.columns if c not in keys]
         rows = rows.join(beside, [c for c in beside.columns if c in keys]).select("_hash", *named, "mask", *parts)
-    rows = rows.sortWithinPartitions("_hash", *named)
+    rows = rows.repartition("_hash").sortWithinPartitions("_hash", *named)  # after the join, which may be broadcast or split where it is skewed
     schema = StructType([*(rows.schema[k] for k in named), *(StructField(name, kind) for name, kind in columns.items())])
 
     def listed(x: np.ndarray) -> pa.Array:
