@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.verdicts import bucket, expected_stage, has, label
-from assayer.operators.belief import commonalities, pignistic
+from assayer.operators.belief import WORLDS, worlds
 from assayer.operators.ranking import order_statistics, value_counts
+from assayer.sources.checkpoints import checkpointed
 
 SAMPLE = ["experiment_tag", "sample_ordinal"]
 
@@ -102,11 +103,8 @@ def verdict_certainty(responses: DataFrame) -> DataFrame:
 
 def with_belief(samples: DataFrame, responses: DataFrame) -> DataFrame:
     """Sample metrics with the conflict and expected stage of both belief worlds; null where a sample has no belief."""
-    for name, closed in (("tbm", False), ("closed_world", True)):
-        b = pignistic(commonalities(responses, SAMPLE, closed), SAMPLE)
-        b = b.groupBy(*SAMPLE).agg(F.max("conflict").alias(f"{name}_conflict"), F.sum(F.col("stage") * F.col("bet_p")).alias(f"{name}_expected_stage"))
-        samples = samples.join(b, SAMPLE, "left")
-    return samples
+    found = [f(f"{w}_{c}").alias(f"{w}_{c}") for w in WORLDS for c, f in (("conflict", F.max), ("expected_stage", F.sum))]
+    return samples.join(worlds(responses, SAMPLE).groupBy(*SAMPLE).agg(*found), SAMPLE, "left")
 
 
 def experiment_conflicts(metrics: DataFrame, samples: DataFrame) -> DataFrame:
@@ -131,8 +129,8 @@ INSTABLE = ("abstain_rate", "singleton_rate", "mean_subset_size", "mean_expected
 
 
 def sample_instability(samples: DataFrame) -> DataFrame:
-    """How much the experiments differ on each sample: deviations, 0 for a single value, and the sum of the first four."""
-    out = samples.groupBy("sample_ordinal").agg(F.countDistinct("experiment_tag").alias("experiments"), *(F.coalesce(F.stddev_samp(m), F.lit(0.0)).alias(f"{m}_std") for m in INSTABLE))
+    """How much the experiments differ on each sample: deviations, 0 for a single value, and the sum of the first four. ``samples`` has a row an experiment and sample."""
+    out = samples.groupBy("sample_ordinal").agg(F.count("experiment_tag").alias("experiments"), *(F.coalesce(F.stddev_samp(m), F.lit(0.0)).alias(f"{m}_std") for m in INSTABLE))
     return out.withColumn("instability", sum((F.col(f"{m}_std") for m in INSTABLE[:4]), F.lit(0.0)))
 
 
@@ -141,6 +139,7 @@ DISTANT = ("abstain_rate", "singleton_rate", "mean_subset_size", "mean_agreement
 
 def experiment_distances(metrics: DataFrame) -> DataFrame:
     """Euclidean distance of every pair of experiments over standardised metrics; a null is the column's mean."""
+    metrics = checkpointed(metrics.select("experiment_tag", *DISTANT))  # else both sides of the join would make them
     all_ = Window.partitionBy(F.lit(0))  # one row an experiment
     z = metrics.select("experiment_tag", *(F.coalesce(F.try_divide(F.col(c) - F.avg(c).over(all_), F.stddev_pop(c).over(all_)), F.lit(0.0)).alias(c) for c in DISTANT))
     a, b = z.alias("a"), z.alias("b")
