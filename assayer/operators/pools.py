@@ -88,6 +88,7 @@ def method_alignment(beside: DataFrame, reference: str = "linear") -> DataFrame:
 
 def contrast_sensitivity(beside: DataFrame, contrasts: DataFrame) -> DataFrame:
     """Paired difference of the arms of each contrast by method: n, mean, median and population deviation. Contrasts are few."""
+    beside = checkpointed(beside.select("experiment_tag", "sample_ordinal", "methods"))  # else each arm would make it
     arm = lambda side: beside.select(F.col("experiment_tag").alias(f"{side}_tag"), "sample_ordinal", F.col("methods").alias(side))
     rows = F.broadcast(contrasts).join(arm("baseline"), "baseline_tag").join(arm("variant"), ["variant_tag", "sample_ordinal"])
     rows = rows.select("contrast_id", "baseline", F.explode("variant").alias("v"))
